@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exactdedup, media
+from . import exactdedup, media, secrets, tokens
 
 QUERIES = {
     "op1_media_wav": media.op1_media_wav,
     "op3_exact_dedup": exactdedup.op3_exact_dedup,
+    "op5_token_files": tokens.op5_token_files,
+    "op10_secret_scan": secrets.op10_secret_scan,
 }
 
-ORACLE_SQL = {"op3_exact_dedup": exactdedup.SQL}
+ORACLE_SQL = {"op3_exact_dedup": exactdedup.SQL, "op10_secret_scan": secrets.SQL}
