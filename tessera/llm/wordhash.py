@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled in one numpy pass; the arrays take about 60 times this.
 CHUNK_BYTES = 1 << 20
@@ -104,7 +105,7 @@ def chunks(text: pa.Array | pa.ChunkedArray, fold: bool = False) -> Iterator[tup
     """
     if isinstance(text, pa.ChunkedArray):
         text = text.combine_chunks()
-    text = pa.compute.fill_null(text.cast(pa.large_string()), "")
+    text = pc.fill_null(text.cast(pa.large_string()), "")
     n = len(text)
     if not n:
         return
