@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exactdedup, media, neardup, quality, secrets, substrings, tokens
+from . import exactdedup, media, neardup, pieces, quality, secrets, substrings, tokens
 
 QUERIES = {
     "op1_media_wav": media.op1_media_wav,
     "op3_exact_dedup": exactdedup.op3_exact_dedup,
     "op4_hyperminhash": neardup.op4_hyperminhash,
     "op5_token_files": tokens.op5_token_files,
+    "op6_piece_transducer": pieces.op6_piece_transducer,
     "op7_substring_dedup": substrings.op7_substring_dedup,
     "op9_rule_ensemble": quality.op9_rule_ensemble,
     "op10_secret_scan": secrets.op10_secret_scan,

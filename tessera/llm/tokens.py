@@ -29,71 +29,33 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .segments import SegmentCache
 from .staging import Stage, importable, n_partitions
 
 LENGTH, SEQUENCES = 1024, 512
-#: Distinct words that a worker holds before it starts anew, and the longest held.
-CACHED, LONGEST = 600_000, 64
 #: Rows encoded at once.
 ROWS = 512
 
 
-class WordEncoder:
+class WordEncoder(SegmentCache):
     """Token ids of whole texts, by distinct words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self._clear()
-
-    def _clear(self) -> None:
-        self.code: dict[bytes, int] = {}
-        self.flat, self.used = np.zeros(1 << 20, self.width), 0
-        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def _add(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        for w, e in zip(words, found, strict=True):
-            ids, k = e.ids, len(self.code)
-            if k == len(self.start):
-                self.start, self.length = np.resize(self.start, 2 * k), np.resize(self.length, 2 * k)
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), self.width)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[k], self.length[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.code[w] = k
-
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids with an end id after each text, and the ids of each text."""
-        words: list[bytes] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            own = t.encode().split()
-            counts[i] = len(own)
-            words += own
-        if len(self.code) > CACHED:
-            self._clear()
-        if new := list(set(words) - self.code.keys()):
-            self._add(new)
-        codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
-        lengths = self.length[codes]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        at = np.repeat(self.start[codes] - ends[:-1], lengths)
-        at += np.arange(len(at))
-        ids = self.flat[at]
-        stops = ends[np.cumsum(counts)]
-        n = np.diff(stops, prepend=0) + 1
-        if long := [w for w in new if len(w) > LONGEST]:
-            self._forget(long)
-        return np.insert(ids, stops, end_id), n
-
-    def _forget(self, long: list[bytes]) -> None:
-        """Long words are seldom seen again: with many of them held, all go."""
-        if sum(map(len, long)) > 1 << 20:
-            self._clear()
+        super().__init__("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+
+    def segments(self, text: str) -> list[bytes]:
+        return text.encode().split()
+
+    def ids_of(self, segments: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in segments], add_special_tokens=False)]
+
+    def documents(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids with an end id after each text, and how many each text has."""
+        ids, n = self.encode(texts)
+        return np.insert(ids, np.cumsum(n), end_id), n + 1
 
 
 @lru_cache(2)
@@ -200,8 +162,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, shard
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                out = out or ShardWriter(fs, draft, own.width, length)
-                out.add(part.column(0), *own.encode(part.column(1).to_pylist(), end_id))
+                out = out or ShardWriter(fs, draft, own.dtype, length)
+                out.add(part.column(0), *own.documents(part.column(1).to_pylist(), end_id))
         if out:
             out.close()
             for end in (".tokens.arrow", ".docs.arrow"):
