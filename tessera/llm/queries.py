@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from . import exactdedup, media, neardup, pieces, quality, secrets, substrings, tokens
+from . import exactdedup, licences, media, mixing, neardup, pieces, quality, secrets, substrings, tokens
 
 QUERIES = {
     "op1_media_wav": media.op1_media_wav,
+    "op2_raked_mixture": mixing.op2_raked_mixture,
     "op3_exact_dedup": exactdedup.op3_exact_dedup,
     "op4_hyperminhash": neardup.op4_hyperminhash,
     "op5_token_files": tokens.op5_token_files,
     "op6_piece_transducer": pieces.op6_piece_transducer,
     "op7_substring_dedup": substrings.op7_substring_dedup,
+    "op8_licence_scan": licences.op8_licence_scan,
     "op9_rule_ensemble": quality.op9_rule_ensemble,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
 
-ORACLE_SQL = {"op3_exact_dedup": exactdedup.SQL, "op10_secret_scan": secrets.SQL}
+ORACLE_SQL = {
+    "op2_raked_mixture": mixing.SQL,
+    "op3_exact_dedup": exactdedup.SQL,
+    "op8_licence_scan": licences.SQL,
+    "op10_secret_scan": secrets.SQL,
+}
