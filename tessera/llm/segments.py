@@ -2,18 +2,29 @@
 
 Tokenizers whose tokens never cross certain borders can encode each distinct
 segment once. The cache is one flat array of ids with a start and a length for
-each segment, so a batch of texts becomes ids by two gathers; it is bounded and
-starts anew when it is full.
+each segment, so a batch of texts becomes ids by two gathers. It is bounded: when
+it is full, the segments seen more than once stay.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Distinct segments that a worker holds before it starts anew.
-CACHED = 800_000
-#: Bytes of segments longer than LONGEST after which the cache starts anew.
-LONGEST, LONG_BYTES = 64, 1 << 22
+#: Distinct segments that a worker holds, and bytes of those longer than LONGEST.
+CACHED, LONGEST, LONG_BYTES = 1_000_000, 64, 1 << 22
+
+
+class _Codes(dict):
+    """segment -> number; an unknown segment gets the next number and is listed."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.new: list[bytes] = []
+
+    def __missing__(self, segment: bytes) -> int:
+        self[segment] = k = len(self)
+        self.new.append(segment)
+        return k
 
 
 class SegmentCache:
@@ -21,7 +32,9 @@ class SegmentCache:
 
     def __init__(self, dtype: np.dtype):
         self.dtype = np.dtype(dtype)
-        self._clear()
+        self.code, self.used, self.long = _Codes(), 0, 0
+        self.flat = np.zeros(1 << 20, self.dtype)
+        self.start, self.length, self.seen = (np.zeros(1 << 16, np.int64) for _ in range(3))
 
     def segments(self, text: str) -> list[bytes]:
         raise NotImplementedError
@@ -29,24 +42,26 @@ class SegmentCache:
     def ids_of(self, segments: list[bytes]) -> list[list[int]]:
         raise NotImplementedError
 
-    def _clear(self) -> None:
-        self.code: dict[bytes, int] = {}
-        self.flat, self.used, self.long = np.zeros(1 << 20, self.dtype), 0, 0
-        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def _add(self, new: list[bytes]) -> None:
-        for segment, ids in zip(new, self.ids_of(new), strict=True):
-            k, n = len(self.code), len(ids)
-            if k == len(self.start):
-                self.start, self.length = np.resize(self.start, 2 * k), np.resize(self.length, 2 * k)
-            if self.used + n > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), n), self.dtype)])
-            self.flat[self.used : self.used + n] = ids
-            self.start[k], self.length[k] = self.used, n
-            self.used += n
-            self.code[segment] = k
-            if len(segment) > LONGEST:
-                self.long += len(segment)
+    def _evict(self) -> None:
+        """Leaves the short segments seen more than once, if they are not too many."""
+        words = list(self.code)
+        keep = np.flatnonzero(self.seen[: len(words)] > 1)
+        keep = [k for k in keep.tolist() if len(words[k]) <= LONGEST] if len(keep) <= CACHED // 2 else []
+        held = [self.flat[self.start[k] : self.start[k] + self.length[k]].copy() for k in keep]
+        self.code, self.used, self.long = _Codes(zip((words[k] for k in keep), range(len(keep)), strict=True)), 0, 0
+        self.seen[:] = 0
+        for k, ids in enumerate(held):
+            self._put(k, ids)
+
+    def _put(self, k: int, ids) -> None:
+        n = len(ids)
+        if k >= len(self.start):
+            self.start, self.length, self.seen = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.start, self.length, self.seen))
+        if self.used + n > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), n), self.dtype)])
+        self.flat[self.used : self.used + n] = ids
+        self.start[k], self.length[k] = self.used, n
+        self.used += n
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
@@ -57,10 +72,14 @@ class SegmentCache:
             counts[i] = len(own)
             every += own
         if len(self.code) > CACHED or self.long > LONG_BYTES:
-            self._clear()
-        if new := list(set(every) - self.code.keys()):
-            self._add(new)
+            self._evict()
+        known, self.code.new = len(self.code), []
         codes = np.fromiter(map(self.code.__getitem__, every), np.int64, len(every))
+        for k, (segment, ids) in enumerate(zip(self.code.new, self.ids_of(self.code.new), strict=True), known):
+            self._put(k, ids)
+            self.long += len(segment) * (len(segment) > LONGEST)
+        n = len(self.code)
+        self.seen[:n] += np.bincount(codes, minlength=n)
         lengths = self.length[codes]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         at = np.repeat(self.start[codes] - ends[:-1], lengths)
