@@ -1,4 +1,7 @@
 """All named queries with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import cases, retrieval, scoring, structuring
+
+_MODULES = (retrieval, structuring, scoring, cases)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
