@@ -14,10 +14,11 @@ bits instead of 64. Four neighbouring registers are one 64-bit band key.
    register needs a differing shingle, and large sets must also reach a
    collision-corrected estimate six standard errors below the threshold.
 4. The rest is verified on the full sets, and links become components.
-5. Buckets that still hold several components are compared block by block on
-   their registers; only pairs of different components that pass step 3 and
-   are not verified yet are verified. So no link between different components
-   is lost and a group that hangs together is never expanded into pairs.
+5. Buckets that still hold several components are compared block by block on a
+   finer sketch; only pairs of different components that pass step 3 there and
+   are not verified yet are verified, each in the first band that both share.
+   So no link between different components is lost and a group that hangs
+   together is never expanded into pairs.
 
 The number of bands follows the size of a set (see CLASSES); a set near the
 upper end of its class is sketched for the next class too. In the small classes
@@ -54,8 +55,9 @@ LOWEST, ROWS_A_BAND, MANTISSA = 0.8, 4, 10
 ESTIMATED_FROM, SIGMAS = 192, 6
 #: Fixed value of the published expected-collision formula of HyperMinHash.
 COLLISIONS = 0.169919487159739093975315012348
-#: Members of a bucket compared in one block; hubs of a family.
-BLOCK, HUBS = 512, 8
+#: Members of a bucket compared in one block; hubs of a family; registers of the
+#: finer sketch that blocks are compared on.
+BLOCK, HUBS, FINE = 512, 8, 512
 
 
 def shingle_sets(text: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -75,7 +77,10 @@ def shingle_sets(text: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 def registers(ordered: np.ndarray, bands: int) -> np.ndarray:
     """HyperMinHash registers (uint16, 0 = empty) of a sorted set of hashes."""
-    k = bands * ROWS_A_BAND
+    return _registers(ordered, bands * ROWS_A_BAND)
+
+
+def _registers(ordered: np.ndarray, k: int) -> np.ndarray:
     limits = np.array([-(-(i << 64) // k) for i in range(k)], dtype=object).astype(np.uint64)
     first = np.searchsorted(ordered, limits)
     stop = np.append(first[1:], len(ordered))
@@ -209,6 +214,19 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return joined.mapInArrow(run, "rep long, text string")
 
 
+def _fine(texts: DataFrame, k: int) -> DataFrame:
+    """(rep, fine): the finer registers of (rep, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                made = [_registers(s, FINE).tobytes() for s in shingle_sets(part.column("text"), k)]
+                yield pa.record_batch([part.column("rep"), pa.array(made, pa.binary())], names=["rep", "fine"])
+
+    return texts.mapInArrow(run, "rep long, fine binary").dropDuplicates(["rep"])
+
+
 def _across(mixed: DataFrame, threshold: float) -> DataFrame:
     """Plausible pairs (a, b) of different components within (band, key, block pair)."""
     rows = mixed.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
@@ -216,7 +234,9 @@ def _across(mixed: DataFrame, threshold: float) -> DataFrame:
     def compare(group: list[tuple], i: int, j: int) -> Iterator[tuple[int, int]]:
         rep, comp, n = (np.array([x[c] for x in group], np.int64) for c in (4, 5, 6))
         block = np.array([x[7] for x in group])
-        regs = np.array([x[8] for x in group], "<i8").view("<u2").reshape(len(group), -1)
+        keys = np.array([x[8] for x in group], np.int64)
+        fine = np.frombuffer(b"".join(x[9] for x in group), "<u2").reshape(len(group), -1)
+        band = group[0][0] % 64
         names, count = np.unique(comp, return_counts=True)
         most = names[count.argmax()]
         rare = np.flatnonzero(comp != most)
@@ -225,7 +245,9 @@ def _across(mixed: DataFrame, threshold: float) -> DataFrame:
         for x in rare:
             # Pairs of two rare rows once; of different blocks only in their own block pair.
             other = np.flatnonzero((comp != comp[x]) & (rank < rank[x]) & ((block != block[x]) | (i == j)))
-            good = other[plausible(regs[x], regs[other], n[x], n[other], threshold)]
+            shared = (keys[other] == keys[x]) & (keys[x] != 0)
+            other = other[shared.argmax(1) == band] if len(other) else other
+            good = other[plausible(fine[x], fine[other], n[x], n[other], threshold)]
             for y in good:
                 yield (rep[x], rep[y]) if rep[x] < rep[y] else (rep[y], rep[x])
 
@@ -243,7 +265,7 @@ def _across(mixed: DataFrame, threshold: float) -> DataFrame:
                 group.append(row)
         yield send(group)
 
-    return rows.select("band", "key", "i", "j", "rep", "comp", "n", "block", "keys").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("band", "key", "i", "j", "rep", "comp", "n", "block", "keys", "fine").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -282,7 +304,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, doc_id:
     inside = stage.save(crowd.join(mixed, ["band", "key"]), "inside")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     inside = inside.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    inside = inside.join(reps.select("rep", "sketch"), "rep").withColumn("keys", F.filter("sketch", lambda s: s["cls"] == F.col("cls"))[0]["keys"])
+    wanted = texts.join(inside.select("rep").distinct(), "rep", "left_semi")
+    fine = stage.save(_fine(wanted, k), "fine")
+    inside = inside.join(reps.select("rep", "sketch").join(fine, "rep"), "rep").withColumn("keys", F.filter("sketch", lambda s: s["cls"] == F.col("cls"))[0]["keys"])
     dealt = inside.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "x")).withColumn("j", F.greatest("block", "x"))
     more = stage.save(_across(dealt, threshold).join(first, ["a", "b"], "left_anti"), "more")
     links = stage.save(links.unionByName(verified(more, texts, k, threshold)), "all-links")
@@ -292,7 +316,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, doc_id:
     found = joined.withColumnRenamed("node", "rep").join(degree, "rep")
     classes = reps.select("set_hash", "rep").join(found, "rep", "left").select("set_hash", F.coalesce("comp", "rep").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     classes = stage.save(classes, "classes")
-    stage.drop("texts", "crowd", "inside", "pairs")
+    stage.drop("texts", "crowd", "inside", "pairs", "fine")
 
     out = signed.select("doc_id", "n_shingles", "set_hash").join(classes, "set_hash", "left")
     comp = F.coalesce("comp", "doc_id")
