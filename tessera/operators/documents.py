@@ -6,6 +6,9 @@ parent, ord, child); the body's parent is ``#/body``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -98,10 +101,6 @@ def embedded(rows: DataFrame, model, column: str = "content", most: int = 2048,
 
     The seam for real models: loaded once per worker, fed with Arrow batches.
     """
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = model()
@@ -119,8 +118,6 @@ def sentence_index(chunks: DataFrame, key: list[str]) -> DataFrame:
 
 def isolated(rows: DataFrame, kernel, column: str, schema: str = "array<string>") -> tuple[DataFrame, DataFrame]:
     """(results, failures): kernel on each row; an error concerns its row only."""
-    import pandas as pd
-
     @F.pandas_udf(f"struct<result: {schema}, error: string>")
     def run(values: pd.Series) -> pd.DataFrame:
         out = []

@@ -113,13 +113,16 @@ def catalog(rows: DataFrame) -> DataFrame:
     return rows.join(n, "document_id").select(*rows.columns, problem.alias("problem"))
 
 
-def pdf_problems(spark: SparkSession, path: str) -> DataFrame:
-    """(file, problem, file_hash) of PDF files: empty, without signature or end marker."""
+def pdf_problems(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """(file, problem, file_hash) of the wanted file names below path: missing or empty
+    (the reader lists no empty files), without signature or without end marker."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pdf").load(path)
-    tail = F.decode(F.expr("substring(content, greatest(length(content) - 1023, 1), 1024)"), F.lit("ISO-8859-1"))
-    head = F.decode(F.expr("substring(content, 1, 5)"), F.lit("ISO-8859-1"))
-    problem = F.when(F.col("length") == 0, "PDF is missing or empty").when(head != "%PDF-", "PDF signature is missing").when(~F.contains(tail, F.lit("%%EOF")), "PDF EOF marker is missing")
-    return rows.select(X.basename(F.col("path")).alias("file"), problem.alias("problem"), F.substring(F.sha2("content", 256), 1, 16).alias("file_hash"))
+    tail = F.decode(F.expr("substring(content, greatest(length(content) - 1023, 1), 1024)"), "ISO-8859-1")
+    head = F.decode(F.expr("substring(content, 1, 5)"), "ISO-8859-1")
+    problem = F.when(head != "%PDF-", "PDF signature is missing").when(~F.contains(tail, F.lit("%%EOF")), "PDF EOF marker is missing")
+    found = rows.select(X.basename(F.col("path")).alias("file"), problem.alias("problem"), F.substring(F.sha2("content", 256), 1, 16).alias("file_hash"))
+    out = wanted.select("file").join(found, "file", "left")
+    return out.withColumn("problem", F.when(F.col("file_hash").isNull(), "PDF is missing or empty").otherwise(F.col("problem")))
 
 
 def markdown(spark: SparkSession, path: str) -> DataFrame:
