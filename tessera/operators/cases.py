@@ -80,10 +80,10 @@ def availability(documents: DataFrame, catalog: DataFrame, reasons: DataFrame) -
     return out.select("case_id", route.alias("route"), F.array_join("reasons", "; ").alias("reasons"))
 
 
-def question_ids(prefix: str, ranges: list[tuple[int, int]], spark) -> DataFrame:
+def question_ids(stem: str, ranges: list[tuple[int, int]], spark) -> DataFrame:
     """Frozen ids of inclusive number ranges."""
     rows = spark.createDataFrame(ranges, "lo long, hi long")
-    return rows.select(F.explode(F.sequence("lo", "hi")).alias("n")).select(F.format_string(f"adubench_{prefix}_%06d", "n").alias("question_id"))
+    return rows.select(F.explode(F.sequence("lo", "hi")).alias("n")).select(F.format_string(stem + "%06d", "n").alias("question_id"))
 
 
 def pruned_messages(rows: DataFrame, run: str, seq: str, role: str) -> DataFrame:

@@ -44,8 +44,8 @@ def resume_overlay(spark: SparkSession, d: str) -> DataFrame:
 
 
 def frozen_ids(spark: SparkSession, d: str) -> DataFrame:
-    ids = C.question_ids("x", [(1, 40), (100, 120), (999_990, 999_999)], spark)
-    questions = T.table(spark, d, "orders").select(F.format_string("adubench_x_%06d", "o_orderkey").alias("question_id"), "o_orderkey")
+    ids = C.question_ids("set_x_", [(1, 40), (100, 120), (999_990, 999_999)], spark)
+    questions = T.table(spark, d, "orders").select(F.format_string("set_x_%06d", "o_orderkey").alias("question_id"), "o_orderkey")
     selected, problems = C.frozen(questions, ids, "question_id")
     return selected.select("question_id", F.lit("selected").alias("kind")).unionByName(problems.select("question_id", F.lit("missing").alias("kind")))
 
@@ -116,7 +116,7 @@ ORACLE_SQL = {
     "negative_limit": "select c_custkey, c_name from customer qualify row_number() over (order by c_custkey) <= count(*) over () - 10",
     "resume_split": f"with {_PRIOR} select o_orderkey, status from p where status <> 'failed' union all select o_orderkey, 'new' from orders where o_orderkey not in (select o_orderkey from p where status <> 'failed')",
     "resume_overlay": f"with {_PRIOR} select o_orderkey, lower(o_orderstatus) as fresh, p.prediction, p.prediction is not null as carried_forward from orders left join (select * from p where prediction is not null) p using (o_orderkey)",
-    "frozen_ids": "with i as (select printf('adubench_x_%06d', n) as question_id from (select unnest(range(1, 41)) as n union all select unnest(range(100, 121)) union all select unnest(range(999990, 1000000)))), q as (select printf('adubench_x_%06d', o_orderkey) as question_id from orders) select question_id, 'selected' as kind from q semi join i using (question_id) union all select question_id, 'missing' from i anti join q using (question_id)",
+    "frozen_ids": "with i as (select printf('set_x_%06d', n) as question_id from (select unnest(range(1, 41)) as n union all select unnest(range(100, 121)) union all select unnest(range(999990, 1000000)))), q as (select printf('set_x_%06d', o_orderkey) as question_id from orders) select question_id, 'selected' as kind from q semi join i using (question_id) union all select question_id, 'missing' from i anti join q using (question_id)",
     "catalog_left_join": """with r as (select doc_id // 3 as case_id, doc_id, doc_id % 19 = 4 as missing, exists (select 1 from labels l where l.doc_id = d.doc_id and quality = 0) as bad from documents d)
 select case_id, case when bool_or(missing) then 'fatal' when bool_or(bad) then 'skipped' else 'runnable' end as route, coalesce(string_agg(doc_id || ': file is unusable', '; ' order by doc_id || ': file is unusable') filter (bad), '') as reasons from r group by case_id""",
     "upsert_skip": f"with {_HELD} select id, content, seq from b where seq = 1 and id not in (select id from h)",

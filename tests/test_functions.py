@@ -73,12 +73,12 @@ def test_similarity_and_f1(spark):
 
 def test_keys_and_names(spark):
     assert _one(spark, X.match_key(F.lit(" Rapport_Été-2020..pdf "))) == "rapport ete 2020 pdf"
-    assert _one(spark, X.portable_key(F.lit("C:\\old-checkout\\datasets\\finance_bench\\pdfs\\example.pdf"))) == "datasets/finance_bench/pdfs/example.pdf"
+    assert _one(spark, X.portable_key(F.lit("C:\\old-checkout\\datasets\\reports\\pdfs\\example.pdf"))) == "datasets/reports/pdfs/example.pdf"
     assert _one(spark, X.portable_key(F.lit("docs/a.pdf"))) == "docs/a.pdf" and _one(spark, X.portable_key(F.lit("/x/a.pdf"))) == "/x/a.pdf"
     assert _one(spark, X.relative_key(F.lit("/r/a/b.pdf"), "/r")) == "a/b.pdf"
     with pytest.raises(Exception, match="outside"):
         _one(spark, X.relative_key(F.lit("/q/b.pdf"), "/r"))
-    name = "3M_2018_10K"
+    name = "report_2018"
     assert _one(spark, X.name_uuid(str(uuid.NAMESPACE_URL), F.lit(name))) == str(uuid.uuid5(uuid.NAMESPACE_URL, name))
     assert _one(spark, X.safe_name(F.lit("a b/ç.pdf"))) == "a_b_ç.pdf" and _one(spark, X.preview(F.lit("a\nb" * 9), 5)) == "a\\nba... (27 chars)"
 

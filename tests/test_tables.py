@@ -139,8 +139,8 @@ def test_documents(spark):
 
 
 def test_cases(spark):
-    ids = cases.question_ids("s", [(1, 2)], spark)
-    assert [r[0] for r in ids.collect()] == ["adubench_s_000001", "adubench_s_000002"]
+    ids = cases.question_ids("set_s_", [(1, 2)], spark)
+    assert [r[0] for r in ids.collect()] == ["set_s_000001", "set_s_000002"]
     rows = spark.range(20).withColumnRenamed("id", "n")
     assert [r["n"] for r in cases.systematic(rows, "n", 7).orderBy("n").collect()] == [0, 7, 14]
     assert cases.limited(rows, "n", None).count() == 20 and cases.limited(rows, "n", 0).count() == 0 and cases.limited(rows, "n", -5).count() == 15
