@@ -74,6 +74,14 @@ def anls(a: Column, b: Column) -> Column:
     return F.when(s >= ANLS_LEAST, s).otherwise(0.0)
 
 
+def string_value(value: Column) -> Column:
+    """A JSON scalar as text: null is '', booleans are True and False, the rest as it
+    reads; objects and arrays as JSON."""
+    kind = F.schema_of_variant(value)
+    text = F.try_variant_get(value, "$", "string")
+    return F.when(value.isNull() | (kind == "VOID"), "").when(kind == "BOOLEAN", F.initcap(text)).when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.to_json(value)).otherwise(text)
+
+
 def _any(c: Column, words: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
 

@@ -110,9 +110,31 @@ def stop_reason(explicit: Column, exceeded: Column, stale: Column, steps: Column
     return F.coalesce(explicit, F.when(exceeded, "budget_exceeded").when(stale, "stale").when(steps >= most, "max_iterations").otherwise("none"))
 
 
-def outcome(found: Column, unanswerable: Column, error: Column, prediction: Column) -> Column:
-    """Class of an answer; an error wins, then what the answer says of itself."""
-    return F.when(error, "failed").when(unanswerable, "unanswerable").when(prediction.isNull() | X.is_blank(prediction), "empty").when(found, "direct").otherwise("fallback")
+def recovery_origin(stop_reason: Column, fallback_used: Column, raw: Column) -> Column:
+    """How an answer came about: forced synthesis, fallback, repaired text, or direct."""
+    broken = raw.isNotNull() & F.try_parse_json(raw).isNull()
+    return F.when(F.contains(F.coalesce(stop_reason, F.lit("")), F.lit("forced_final_synthesis")), "recovered").when(F.coalesce(fallback_used, F.lit(False)), "recovered_fallback").when(broken, "recovered").otherwise("direct")
+
+
+#: Outcomes of an answer, in the order of reports.
+OUTCOMES = ("direct", "recovered", "recovered_fallback", "explicit_unanswerable", "malformed", "failed")
+
+
+def outcome(error: Column, has_payload: Column, answer: Column, unanswerable: Column, origin: Column) -> Column:
+    """Class of an answer: an error first, then what the payload says, then its origin."""
+    said_none = answer.isNull() | F.coalesce(unanswerable, F.lit(False))
+    return F.when(error, "failed").when(~has_payload, "malformed").when(said_none, "explicit_unanswerable").otherwise(origin)
+
+
+def first_present(*columns: Column) -> Column:
+    """The first of several aliases that is not null, else ''."""
+    return F.coalesce(*columns, F.lit(""))
+
+
+def evaluation_route(question: Column, reference: Column, generated: Column) -> Column:
+    """What happens to a result before judging: a missing question or answer fails it,
+    a missing reference skips it."""
+    return F.when(question == "", "failed").when(reference == "", "skipped").when(generated == "", "failed").otherwise("judge")
 
 
 def counted(rows: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:

@@ -94,8 +94,23 @@ def score_labels(spark: SparkSession, d: str) -> DataFrame:
 
 def outcome_counts(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("key")
-    rows = T.steps(spark, d).withColumn("outcome", S.outcome(k % 2 == 0, k % 7 == 3, k % 5 == 4, F.when(k % 3 == 1, F.lit(" ")).otherwise(F.col("tool"))))
-    return S.counted(rows, "outcome", ("direct", "fallback", "empty", "unanswerable", "failed"))
+    raw = F.when(k % 4 == 0, "plain text").when(k % 4 == 1, '{"answer": 1}')
+    origin = S.recovery_origin(F.when(k % 11 == 0, "forced_final_synthesis"), k % 13 == 0, raw)
+    rows = T.steps(spark, d).withColumn("outcome", S.outcome(k % 17 == 1, k % 5 != 4, F.when(k % 3 != 1, F.col("tool")), k % 7 == 3, origin))
+    return S.counted(rows, "outcome", S.OUTCOMES)
+
+
+def evaluation_routes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    p = T.table(spark, d, "part")
+    question, reference = S.first_present(F.when(k % 10 > 0, F.col("p_name"))), S.first_present(F.when(k % 7 > 0, F.col("p_type")), F.when(k % 14 == 0, F.col("p_brand")))
+    return p.groupBy(S.evaluation_route(question, reference, S.first_present(F.when(k % 3 > 0, F.lit("x")))).alias("route")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def string_values(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    raw = F.when(k % 5 == 0, "true").when(k % 5 == 1, "null").when(k % 5 == 2, F.concat(F.lit('"'), "event_type", F.lit('"'))).when(k % 5 == 3, k.cast("string")).otherwise(F.col("props"))
+    return T.table(spark, d, "events").select("event_id", F.replace(X.string_value(F.parse_json(raw)), F.lit(" "), F.lit("")).alias("value"))
 
 
 def phase_cost_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -205,7 +220,7 @@ i as (select *, sum(grew::int) over (partition by run order by ts, event_id) as
 k as (select *, sum((not grew)::int) over (partition by run, island order by ts, event_id) as streak from i)"""
 _JUDGED = "j as (select case when doc_id % 11 = 0 then 'failed' else 'completed' end as status, quality * 0.8::double + toxic * 0.1::double as score, toxic = 0 as valid, doc_id * 3 as i, doc_id as o from labels)"
 
-QUERIES = {f.__name__: f for f in (normalize_answer, extract_number, anls_score, token_f1, relaxed_accuracy, eval_overall, eval_ignore_missing, eval_breakdowns, missing_extra_predictions, prediction_last_wins, latest_successful, judge_metrics, score_labels, outcome_counts, phase_cost_rollup, token_attribution, tokens_per_question, multiset_diff, stale_streak, budget_cutoff, stop_reasons, doc_id_sha1, fake_embed, document_uuid, json_clean_repair)}
+QUERIES = {f.__name__: f for f in (normalize_answer, extract_number, anls_score, token_f1, relaxed_accuracy, eval_overall, eval_ignore_missing, eval_breakdowns, missing_extra_predictions, prediction_last_wins, latest_successful, judge_metrics, score_labels, outcome_counts, evaluation_routes, string_values, phase_cost_rollup, token_attribution, tokens_per_question, multiset_diff, stale_streak, budget_cutoff, stop_reasons, doc_id_sha1, fake_embed, document_uuid, json_clean_repair)}
 
 ORACLE_SQL = {
     "normalize_answer": f"with {T.QA_SQL} select question_id, {_norm('prediction')} as normalised from qa",
@@ -223,7 +238,11 @@ select dimension, key, count(*) as n, {_MEANS} from e group by all""",
     "latest_successful": f"with {T.STEPS_SQL} select run, coalesce(arg_max(event_id, (ts, event_id)) filter (tool <> (select max(tool) from steps)), arg_min(event_id, (ts, event_id))) as value from steps group by run",
     "judge_metrics": f"with {_JUDGED} select count(*) as evaluated, round(coalesce(avg(score), 0.0), 6) as average_score, count(*) filter (score >= 0.7) as passed, count(*) filter (score < 0.7) as failed, count(*) filter (not valid) as schema_invalid, coalesce(sum(i), 0)::bigint as input_tokens, coalesce(sum(o), 0)::bigint as output_tokens from j where status = 'completed'",
     "score_labels": f"with {_JUDGED} select case when score >= 0.7 then 'PASS' else 'FAIL' end as label, count(*) as n from j where status = 'completed' group by 1",
-    "outcome_counts": f"with {T.STEPS_SQL}, o as (select case when key % 5 = 4 then 'failed' when key % 7 = 3 then 'unanswerable' when key % 3 = 1 then 'empty' when key % 2 = 0 then 'direct' else 'fallback' end as o from steps) select " + ", ".join(f"count(*) filter (o = '{v}') as {v}" for v in ("direct", "fallback", "empty", "unanswerable", "failed")) + ", count(*) as total from o",
+    "outcome_counts": f"""with {T.STEPS_SQL}, o as (select case when key % 17 = 1 then 'failed' when key % 5 = 4 then 'malformed' when key % 3 = 1 or key % 7 = 3 then 'explicit_unanswerable' when key % 11 = 0 then 'recovered' when key % 13 = 0 then 'recovered_fallback' when key % 4 = 0 then 'recovered' else 'direct' end as o from steps)
+select """ + ", ".join(f"count(*) filter (o = '{v}') as {v}" for v in S.OUTCOMES) + ", count(*) as total from o",
+    "evaluation_routes": "select case when p_partkey % 10 = 0 then 'failed' when p_partkey % 7 = 0 and p_partkey % 14 <> 0 then 'skipped' when p_partkey % 3 = 0 then 'failed' else 'judge' end as route, count(*) as n from part group by 1",
+    "string_values": "select event_id, case event_id % 5 when 0 then 'True' when 1 then '' when 2 then event_type when 3 then event_id::varchar else replace(props, ' ', '') end as value from events",
+    "document_uuid": f"with h as (select n_name, sha1(unhex('{_NS.replace('-', '')}') || n_name::blob) as h from nation) select n_name, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), lower(to_hex((('0x' || substr(h, 17, 2))::int & 63) | 128)) || substr(h, 19, 2), substr(h, 21, 12)) as uuid from h",
     "phase_cost_rollup": f"with {T.STEPS_SQL} select case when grouping(tool) = 1 then 'total' else tool end as phase, count(*) as calls, sum(tokens)::bigint as tokens, round(sum(cost), 6) as cost_usd from steps group by rollup (tool)",
     "token_attribution": "with t as (select l_orderkey, floor(o_totalprice)::bigint as total, count(*) over (partition by l_orderkey) as n, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) as r from lineitem join orders on o_orderkey = l_orderkey), s as (select l_orderkey, total // n + case when r = 1 then total % n else 0 end as share from t) select l_orderkey, sum(share)::bigint as tokens, max(share) as largest, min(share) as least from s group by 1",
     "tokens_per_question": f"with {T.STEPS_SQL}, r as (select run, sum(tokens) as t, sum(cost) as c from steps group by 1) select round_even(coalesce(sum(t), 0) / greatest(count(*), 1), 0)::bigint as tokens_per_question, round(coalesce(sum(c), 0.0) / greatest(count(*), 1), 6) as cost_per_question from r",

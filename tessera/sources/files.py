@@ -45,9 +45,11 @@ def _first(value: Column, names: tuple[str, ...]) -> Column:
     keys = F.json_object_keys(F.to_json(value))
     out = F.lit("")
     for name in reversed(names):
-        found = F.try_variant_get(value, f"$.{name}", "string")
+        found = X.string_value(F.try_variant_get(value, f"$.{name}", "variant"))
         if name == "answer":
-            found = F.coalesce(F.try_variant_get(value, "$.answer.value", "string"), found)
+            inner = F.try_variant_get(value, "$.answer", "variant")
+            is_object = F.coalesce(F.schema_of_variant(inner).startswith("OBJECT"), F.lit(False))
+            found = F.when(is_object, X.string_value(F.try_variant_get(value, "$.answer.value", "variant"))).otherwise(found)
         out = F.when(F.array_contains(keys, name), F.coalesce(found, F.lit(""))).otherwise(out)
     return out
 
@@ -73,7 +75,7 @@ def predictions(spark: SparkSession, path: str, field: str = "") -> DataFrame:
     key = F.coalesce("k", own)
     key = F.when(F.coalesce(key, F.lit("")) == "", F.raise_error(F.lit("a prediction row has no id"))).otherwise(key)
     is_object = F.schema_of_variant("v").startswith("OBJECT")
-    said = F.when(is_object, _first(F.col("v"), (field,) if field else ANSWER_FIELDS)).otherwise(F.coalesce(F.try_variant_get("v", "$", "string"), F.lit("")))
+    said = F.when(is_object, _first(F.col("v"), (field,) if field else ANSWER_FIELDS)).otherwise(X.string_value(F.col("v")))
     status = F.coalesce(F.nullif(F.try_variant_get("v", "$.status", "string"), F.lit("")), F.lit("success"))
     each = rows.select("line", key.alias("question_id"), said.alias("prediction"), status.alias("status"))
     return each.groupBy("question_id").agg(F.max_by(F.struct("prediction", "status"), "line").alias("r")).select("question_id", "r.*")
