@@ -46,39 +46,26 @@ _PACKED = "part int, ids binary, counts binary, hashes binary"
 _REPLY = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
 
 
-def _by_document(ids: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    if not len(ids):
-        return
-    order = np.argsort(ids, kind="stable")
-    ids, hashes = ids[order], hashes[order]
-    cut = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1))
-    for a, b in zip(cut, np.append(cut[1:], len(ids)), strict=True):
-        yield int(ids[a]), hashes[a:b].tobytes()
-
-
-def _pack(ids: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
-    """One row a hash range; entries of a document stand together."""
-    part = (hashes >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64)
+def _range_of(hashes: np.ndarray) -> np.ndarray:
+    """Which of PARTS hash ranges."""
+    return (hashes >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64)
+
+
+def _pack(ids: np.ndarray, hashes: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+    """One row a part; entries of a document stand together."""
     order = np.lexsort((ids, part))
     part, ids, hashes = part[order], ids[order], hashes[order]
-    runs = np.flatnonzero((np.diff(part, prepend=-1) != 0) | (np.diff(ids, prepend=ids[:1]) != 0))
+    runs = np.flatnonzero((np.diff(part, prepend=-2) != 0) | (np.diff(ids, prepend=ids[:1]) != 0))
     counts = np.diff(runs, append=len(part)).astype("<u4")
     run_part, run_ids = part[runs], ids[runs]
     rows = []
-    limits = np.searchsorted(run_part, np.arange(PARTS + 1))
     ends = np.append(runs, len(part))
     for p in np.unique(run_part):
-        a, b = limits[p], limits[p + 1]
+        a, b = np.searchsorted(run_part, (p, p + 1))
         rows.append((int(p), run_ids[a:b].tobytes(), counts[a:b].tobytes(), hashes[ends[a] : ends[b]].tobytes()))
     return pa.record_batch([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_REPLY)], schema=_REPLY)
 
 
-def _direct(ids: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
-    """Replies that a chunk gives itself: part -1."""
-    rows = [(-1, np.int64(d).tobytes(), b"", h) for d, h in _by_document(ids, hashes)]
-    return pa.record_batch([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_REPLY)], schema=_REPLY)
-
-
 class _Gather:
     """Entries (doc_id, hash) of a chunk, resolved and packed when it is full.
 
@@ -120,48 +107,62 @@ class _Gather:
         else:
             told = ~begin
         if told.any():
-            yield _direct(ids[told], bare[told])
-        yield _pack(ids[first], sent)
+            yield _pack(ids[told], bare[told], np.full(int(told.sum()), -1))
+        yield _pack(ids[first], sent, _range_of(sent))
 
 
 def _exchange(packed: DataFrame, flagged: bool) -> DataFrame:
-    """(doc_id, hashes) replies: hits if flagged, else repeats."""
-    spark = packed.sparkSession
+    """(doc_id, found array<binary>): each document's hits if flagged, else repeats.
+
+    Replies are packed by document range, as entries are by hash range, so there
+    are as many rows as tasks and ranges, not as documents and tasks.
+    """
     spread = F.when(F.col("part") >= 0, F.col("part")).otherwise(F.pmod(F.xxhash64("ids"), F.lit(PARTS)).cast("int"))
-    dealt = packed.withColumn("to", spread).repartition(n_partitions(spark), "to").drop("to")
-    out = pa.schema([("doc_id", pa.int64()), ("hashes", pa.binary())])
+    n = n_partitions(packed.sparkSession)
 
-    def replies(ids: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
-        rows = list(_by_document(ids, hashes))
-        return pa.record_batch([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(out)], schema=out)
+    def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for part, i, c, h in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            yield part, np.repeat(np.frombuffer(i, np.int64), np.frombuffer(c, "<u4")), np.frombuffer(h, np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        told = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for batch in batches:
-            for part, i, c, h in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                i, h = np.frombuffer(i, np.int64), np.frombuffer(h, np.uint64)
-                if part < 0:
-                    yield pa.record_batch([pa.array(i), pa.array([h.tobytes()], pa.binary())], schema=out)
-                else:
-                    ids.append(np.repeat(i, np.frombuffer(c, "<u4")))
-                    hashes.append(h)
+            for part, i, h in unpacked(batch):
+                (ids if part >= 0 else told[0]).append(i)
+                (hashes if part >= 0 else told[1]).append(h)
         ids, hashes = np.concatenate(ids), np.concatenate(hashes)
-        if not len(ids):
-            return
-        flag = np.uint64(1 if flagged else 0)
-        bare = hashes | flag
-        order = np.lexsort((ids, bare))
-        ids, hashes, bare = ids[order], hashes[order], bare[order]
-        first = np.flatnonzero(np.append(True, bare[1:] != bare[:-1]))
-        size = np.diff(first, append=len(bare))
-        if flagged:
-            good = (size > 1) & (np.bitwise_or.reduceat(hashes & flag, first) > 0)
-            keep = np.repeat(good, size)
-        else:
-            keep = ids > np.repeat(ids[first], size)
-        yield replies(ids[keep], bare[keep])
+        if len(ids):
+            flag = np.uint64(1 if flagged else 0)
+            bare = hashes | flag
+            order = np.lexsort((ids, bare))
+            ids, hashes, bare = ids[order], hashes[order], bare[order]
+            first = np.flatnonzero(np.append(True, bare[1:] != bare[:-1]))
+            size = np.diff(first, append=len(bare))
+            if flagged:
+                keep = np.repeat((size > 1) & (np.bitwise_or.reduceat(hashes & flag, first) > 0), size)
+            else:
+                keep = ids > np.repeat(ids[first], size)
+            told[0].append(ids[keep])
+            told[1].append(bare[keep])
+        ids, hashes = np.concatenate(told[0]), np.concatenate(told[1])
+        if len(ids):
+            yield _pack(ids, hashes, _range_of(wordhash.mixed(ids.view(np.uint64))))
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for _, i, h in unpacked(batch):
+                cut = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+                for a, b in zip(cut, np.append(cut[1:], len(i)), strict=True):
+                    found.setdefault(int(i[a]), []).append(h[a:b].tobytes())
+        every = list(found.items())
+        for at in range(0, len(every), ROWS):
+            rows = every[at : at + ROWS]
+            yield pa.record_batch([pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.list_(pa.binary()))], names=["doc_id", "found"])
 
-    return dealt.mapInArrow(run, "doc_id long, hashes binary")
+    dealt = packed.withColumn("to", spread).repartition(n, "to").drop("to")
+    return dealt.mapInArrow(resolve, _PACKED).repartition(n, "part").mapInArrow(collect, "doc_id long, found array<binary>")
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
@@ -265,12 +266,10 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     stage = Stage(docs.sparkSession, "substrings")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     known = docs.where("doc_id is not null and text is not null")
-    hits = stage.save(_exchange(_anchors(known), flagged=True), "hits")
-    per_doc = hits.groupBy("doc_id").agg(F.collect_list("hashes").alias("hits"))
-    found = stage.save(known.join(per_doc, "doc_id"), "found")
-    repeats = stage.save(_exchange(_windows(found), flagged=False), "repeats")
-    per_doc = repeats.groupBy("doc_id").agg(F.collect_list("hashes").alias("repeats"))
-    removed = stage.save(_removed(found.join(per_doc, "doc_id")), "removed")
+    hits = stage.save(_exchange(_anchors(known), flagged=True).withColumnRenamed("found", "hits"), "hits")
+    found = stage.save(known.join(hits, "doc_id"), "found")
+    repeats = stage.save(_exchange(_windows(found), flagged=False).withColumnRenamed("found", "repeats"), "repeats")
+    removed = stage.save(_removed(found.join(repeats, "doc_id")), "removed")
     stage.drop("hits", "found", "repeats")
     return _base(docs), removed
 

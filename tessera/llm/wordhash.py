@@ -26,7 +26,7 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
@@ -35,7 +35,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * _ODD)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 
 
@@ -79,7 +79,7 @@ class Words:
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[folded] * _table("up", n)[:n], out=total[1:])
         length = (self.end - self.start).astype(np.uint64)
-        self.hash = _mix((total[self.end] - total[self.start]) * _table("down", n)[self.start] + length * np.uint64(0xD6E8FEB86659FD93))
+        self.hash = mixed((total[self.end] - total[self.start]) * _table("down", n)[self.start] + length * np.uint64(0xD6E8FEB86659FD93))
 
     def runs(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of k words, and the limits of each document's runs.
@@ -92,7 +92,7 @@ class Words:
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(self.hash * _table("up", n)[:n], out=total[1:])
         at = np.arange(n - k + 1)
-        every = _mix((total[k:] - total[:-k]) * _table("down", n)[at] + np.uint64(k))
+        every = mixed((total[k:] - total[:-k]) * _table("down", n)[at] + np.uint64(k))
         doc = np.repeat(np.arange(len(n_words)), n_words)[: len(every)]
         keep = at + k <= self.first[1:][doc]
         return every[keep], np.concatenate([[0], np.cumsum(np.maximum(n_words - k + 1, 0))])
