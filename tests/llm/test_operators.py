@@ -150,6 +150,18 @@ def test_pieces_equal_the_library(docs, empty):
         assert own.encode([s])[0].tolist() == library.encode(s), s
 
 
+def test_general_search_finds_the_only_path(monkeypatch):
+    own = pieces.transducer(pieces.model_path())
+    words = ["▁the", "▁internationalisation", "▁▁▁x", "日本語", "▁aé🎉b"]
+    want = [own.path(w) for w in words]
+    monkeypatch.setattr(pieces.Transducer, "_only_path", lambda self, text: None)
+    assert [own.path(w) for w in words] == want
+    # Without the pair acceptor the least sum of costs wins.
+    monkeypatch.setattr(own.model, "type", pieces.UNIGRAM)
+    cost = lambda path: sum(-own.model.score[i] if i < 32000 else pieces.FALLBACK for i in path)
+    assert all(cost(own.path(w)) <= cost(p) for w, p in zip(words, want, strict=True))
+
+
 def _removed(rows):
     first, out = {}, {}
     for i, t in sorted((r[0], r[1] or "") for r in rows if r[0] is not None):
