@@ -42,9 +42,12 @@ from .segments import SegmentCache
 from .staging import importable
 
 SPACE, UNIGRAM, BPE = "▁", 1, 2
-#: Cost of a character without a piece; pairs held by the acceptor before it starts anew.
-FALLBACK, PAIRS = 100.0, 1_500_000
-ROWS = 512
+#: Cost of a character without a piece.
+FALLBACK = 100.0
+#: Segments and pairs that a worker holds; encoding and decoding workers share an
+#: executor's memory with the JVM.
+SEGMENTS, PAIRS = 400_000, 500_000
+ROWS = 256
 
 _NORMAL, _BYTE = 1, 6
 
@@ -104,7 +107,7 @@ class Transducer(SegmentCache):
 
     def __init__(self, path: str):
         self.model = Pieces(path)
-        super().__init__("<i4")
+        super().__init__("<i4", SEGMENTS)
         if any(SPACE in t.lstrip(SPACE) or "\n" in t or " " in t for t in self.model.id):
             raise ValueError("a piece crosses the borders of segments")
         # The trie: a state is {character: (next state, piece or -1, cost)}.
@@ -119,7 +122,6 @@ class Transducer(SegmentCache):
         self.other: dict[str, int] = {}
         self.surface = list(self.model.text)
         self.pairs: dict[int, bool] = {}
-        self.whole: dict[int, bool] = {}
 
     def segments(self, text: str) -> list[bytes]:
         return re.findall(rb" +[^ \n]*|[^ \n]+|\n", b" " + text.replace(SPACE, " ").encode()) if text else []
@@ -149,32 +151,65 @@ class Transducer(SegmentCache):
         return parts
 
     def follows(self, a: int, b: int) -> bool:
-        """Whether merging the text of a and b leaves just a and b."""
+        """Whether merging the text of a (-1: nothing) and b leaves just a and b."""
         key = a << 32 | b
         ok = self.pairs.get(key)
         if ok is None:
             if len(self.pairs) > PAIRS:
                 self.pairs.clear()
-            x, y = self.surface[a], self.surface[b]
-            ok = self.pairs[key] = self.merged(x + y) == [x, y]
+            x, y = self.surface[a] if a >= 0 else "", self.surface[b]
+            ok = self.pairs[key] = self.merged(x + y) == ([x, y] if x else [y])
         return ok
 
-    def stands(self, a: int) -> bool:
-        """Whether merging the text of a leaves a."""
-        ok = self.whole.get(a)
-        if ok is None:
-            ok = self.whole[a] = self.merged(self.surface[a]) == [self.surface[a]]
-        return ok
+    def _only_path(self, text: str) -> list[int] | None:
+        """The path that the pair acceptor leaves, or None if a position has two states."""
+        n, root, pairs = len(text), self.root, self.pairs
+        last, back = [None] * (n + 1), [0] * (n + 1)
+        last[0] = -1
+        for i in range(n):
+            name = last[i]
+            if name is None:
+                continue
+            trie, j, key = root, i, name << 32
+            while j < n:
+                arc = trie.get(text[j])
+                if arc is None:
+                    break
+                j += 1
+                trie, symbol, _ = arc
+                if symbol >= 0:
+                    ok = pairs.get(key | symbol)
+                    if ok or (ok is None and self.follows(name, symbol)):
+                        if last[j] is not None:
+                            return None
+                        last[j], back[j] = symbol, i
+            if text[i] not in root or root[text[i]][1] < 0:
+                symbol = self._symbol(text[i])
+                if self.follows(name, symbol):
+                    if last[i + 1] is not None:
+                        return None
+                    last[i + 1], back[i + 1] = symbol, i
+        at, out = n, []
+        while at > 0:
+            out.append(last[at])
+            at = back[at]
+        return out[::-1]
 
     def path(self, text: str) -> list[int]:
-        """The shortest path over a normalised text, as symbols."""
+        """The shortest path over a normalised text, as symbols.
+
+        For a BPE model one path is left, so costs need not be compared; the general
+        search below is for unigram models and for a position with several states.
+        """
+        if self.model.type == BPE and (only := self._only_path(text)) is not None:
+            return only
         n, bpe = len(text), self.model.type == BPE
         # The states reached at each position: {name: (cost, position before, name
         # before, symbol)}. Composed with the pair acceptor a state is named by its
         # last symbol; without it one state a position is enough.
         states: list[dict] = [{} for _ in range(n + 1)]
         states[0][-1] = (0.0, -1, -1, -1)
-        root, pairs = self.root, self.pairs
+        root = self.root
         for i in range(n):
             here = states[i]
             if not here:
@@ -193,11 +228,7 @@ class Transducer(SegmentCache):
             for name, (total, _, _, _) in here.items():
                 for j, symbol, cost in arcs:
                     if bpe:
-                        if name >= 0:
-                            ok = pairs.get(name << 32 | symbol)
-                            if not (self.follows(name, symbol) if ok is None else ok):
-                                continue
-                        elif not self.stands(symbol):
+                        if not self.follows(name, symbol):
                             continue
                         to, own = states[j], symbol
                     else:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Distinct segments that a worker holds, and bytes of those longer than LONGEST.
+#: Distinct segments that a worker holds by default, and bytes of those longer than LONGEST.
 CACHED, LONGEST, LONG_BYTES = 1_000_000, 64, 1 << 22
 
 
@@ -30,8 +30,8 @@ class _Codes(dict):
 class SegmentCache:
     """Subclasses give segments(text) and ids_of(segments)."""
 
-    def __init__(self, dtype: np.dtype):
-        self.dtype = np.dtype(dtype)
+    def __init__(self, dtype: np.dtype, most: int = CACHED):
+        self.dtype, self.most = np.dtype(dtype), most
         self.code, self.used, self.long = _Codes(), 0, 0
         self.flat = np.zeros(1 << 20, self.dtype)
         self.start, self.length, self.seen = (np.zeros(1 << 16, np.int64) for _ in range(3))
@@ -43,10 +43,13 @@ class SegmentCache:
         raise NotImplementedError
 
     def _evict(self) -> None:
-        """Leaves the short segments seen more than once, if they are not too many."""
+        """Leaves the short segments seen more than once, at most half, the most seen."""
         words = list(self.code)
-        keep = np.flatnonzero(self.seen[: len(words)] > 1)
-        keep = [k for k in keep.tolist() if len(words[k]) <= LONGEST] if len(keep) <= CACHED // 2 else []
+        seen = self.seen[: len(words)]
+        keep = np.flatnonzero(seen > 1)
+        if len(keep) > self.most // 2:
+            keep = np.sort(np.argsort(-seen, kind="stable")[: self.most // 2])
+        keep = [k for k in keep.tolist() if len(words[k]) <= LONGEST]
         held = [self.flat[self.start[k] : self.start[k] + self.length[k]].copy() for k in keep]
         self.code, self.used, self.long = _Codes(zip((words[k] for k in keep), range(len(keep)), strict=True)), 0, 0
         self.seen[:] = 0
@@ -71,7 +74,7 @@ class SegmentCache:
             own = self.segments(t)
             counts[i] = len(own)
             every += own
-        if len(self.code) > CACHED or self.long > LONG_BYTES:
+        if len(self.code) > self.most or self.long > LONG_BYTES:
             self._evict()
         known, self.code.new = len(self.code), []
         codes = np.fromiter(map(self.code.__getitem__, every), np.int64, len(every))
