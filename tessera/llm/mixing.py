@@ -6,6 +6,10 @@ budget of tokens is then spent on the cells in those proportions (a cell gives a
 most all it has, the rest goes to the others), and a document is sampled with its
 cell's probability by a hash of its doc_id.
 
+Only a budget that exhausts no cell gives the targets: what a short cell lacks goes
+to the others without raking again. ``sampled`` spends the largest such budget,
+``BUDGET`` at most; the contract query spends ``BUDGET`` whatever the cells hold.
+
 Targets name the categories, so cells are bounded by the parameters: at most the
 product of the numbers of named categories plus one each, whatever the data. What
 no target names is the category ``*`` and keeps its natural share. That bound is
@@ -85,6 +89,15 @@ def raked(cells: DataFrame, targets: dict = TARGETS, rounds: int = ROUNDS) -> Da
     return out.select(*MARGINS, "tokens", "raked")
 
 
+def feasible(cells: DataFrame, most: float = BUDGET) -> DataFrame:
+    """cells with probability: raked shares of the largest budget that no cell falls
+    short of, and of the share ``most`` of all tokens at most."""
+    every = Window.partitionBy()
+    need = F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(0.0)
+    goal = F.least(F.sum("tokens").over(every) * most, 1 / F.nullif(F.max(need).over(every), F.lit(0.0)))
+    return cells.select(*MARGINS, "tokens", "raked", F.coalesce(F.least(F.lit(1.0), goal * need), F.lit(0.0)).alias("probability"))
+
+
 def probabilities(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     """cells with probability: raked shares of a budget, at most 1 each.
 
@@ -110,18 +123,20 @@ def uniform(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def mixed(docs: DataFrame, source: str = "source", lang: str = "lang", text: str = "text", doc_id: str = "doc_id", targets: dict = TARGETS, budget: float = BUDGET) -> DataFrame:
-    """docs with _tokens, MARGINS, raked, probability and _kept."""
+def mixed(docs: DataFrame, source: str = "source", lang: str = "lang", text: str = "text", doc_id: str = "doc_id", targets: dict = TARGETS, budget: float | None = BUDGET) -> DataFrame:
+    """docs with _tokens, MARGINS, raked, probability and _kept; without a budget the
+    largest one that meets the targets is spent."""
     whole = F.coalesce(F.col(text), F.lit(""))
     known = categorised(docs.withColumn("_tokens", n_tokens(whole)), F.col(source), F.col(lang), topic(whole), targets)
     cells = known.groupBy(*MARGINS).agg(F.sum("_tokens").alias("tokens"))
-    table = probabilities(raked(cells, targets), budget)
+    weights = raked(cells, targets)
+    table = feasible(weights) if budget is None else probabilities(weights, budget)
     return known.join(F.broadcast(table), list(MARGINS)).withColumn("_kept", uniform(F.col(doc_id)) < F.col("probability"))
 
 
 def sampled(docs: DataFrame) -> DataFrame:
-    """The sampled documents; all columns stay (pipeline stage)."""
-    return mixed(docs).where("_kept").select(*docs.columns)
+    """A sample that meets the targets; all columns stay (pipeline stage)."""
+    return mixed(docs, budget=None).where("_kept").select(*docs.columns)
 
 
 def op2_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,6 +246,25 @@ def test_mixing_meets_targets(spark, docs, empty):
     assert mixing.sampled(docs).columns == docs.columns
 
 
+def test_sample_meets_production_targets(spark):
+    """Rare topics and languages have less than the budget asks of them."""
+    rng = np.random.default_rng(5)
+    marks = {"prose": "", "licence": " license", "credentials": " password", "contact": " http://x", "table": " | "}
+    topics = rng.choice(list(marks), 20000, p=[0.89, 0.03, 0.02, 0.02, 0.04])
+    langs = rng.choice(["en", "de", "es", "fr"], 20000, p=[0.62, 0.15, 0.08, 0.15])
+    rows = [(i, "word " * 20 + marks[t], str(la), f"src{i % 4}") for i, (t, la) in enumerate(zip(topics, langs, strict=True))]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.categorised(mixing.sampled(table).withColumn("n", mixing.n_tokens(F.col("text"))), F.col("source"), F.col("lang"), mixing.topic(F.col("text")))
+    for m in ("lang_cat", "topic_cat"):
+        n = {r[m]: r["n"] for r in got.groupBy(m).agg(F.sum("n").alias("n")).collect()}
+        assert {k: v / sum(n.values()) for k, v in n.items()} == pytest.approx(mixing.TARGETS[m], abs=0.012)
+    for budget in (None, mixing.BUDGET):
+        out = mixing.mixed(table, budget=budget)
+        cells = out.groupBy(*mixing.MARGINS).agg(F.sum("_tokens").alias("t"), F.first("probability").alias("p"), F.first("raked").alias("w")).collect()
+        total = sum(c["t"] * c["p"] for c in cells)
+        assert (max(abs(c["t"] * c["p"] / total - c["w"]) for c in cells) < 1e-9) == (budget is None)
+
+
 def test_licences(spark, docs, empty):
     path = F.concat_ws("/", F.col("source"), F.col("doc_id").cast("string"))
     out = {r["doc_id"]: r for r in licences.scan(docs, path, F.col("text"), ["doc_id"]).collect()}
