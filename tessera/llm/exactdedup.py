@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .staging import Stage, n_partitions, shared_dir
@@ -28,9 +28,14 @@ from .staging import Stage, n_partitions, shared_dir
 HOT_SHARE = 0.001
 
 
+def text_digest(text: Column) -> Column:
+    """The binary SHA-256 of a whole text in UTF-8; a null one counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and the binary SHA-256 of the whole text in UTF-8."""
-    return docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("digest"))
+    """doc_id and the digest of the text."""
+    return docs.select(F.col(doc_id).alias("doc_id"), text_digest(F.col(text)).alias("digest"))
 
 
 class DigestIndex:
@@ -88,10 +93,16 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ind
     return marked(rows, index)
 
 
+def kept_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of docs of which doc_id and text are those of a row of kept (doc_id, digest)."""
+    rows, keys = docs.withColumn("_digest", text_digest(F.col("text"))).alias("d"), kept.select("doc_id", "digest").distinct().alias("k")
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._digest") == F.col("k.digest"))
+    return rows.join(keys, same, "left_semi").select(*docs.columns)
+
+
 def keep_first_owner(docs: DataFrame) -> DataFrame:
     """docs without the copies; all columns stay (pipeline stage)."""
-    kept = exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return kept_rows(docs, exact_dedup(docs).where("kept"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash
 from .components import components
+from .exactdedup import kept_rows, text_digest
 from .staging import Stage
 
 #: (least set size, bands); four registers a band.
@@ -121,8 +122,8 @@ def plausible(a: np.ndarray, b: np.ndarray, n_a: int, n_b: np.ndarray, threshold
     return ok & ((np.maximum(n_a, n_b) < ESTIMATED_FROM) | (estimate >= threshold - margin))
 
 
-def signatures(docs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """doc_id, n_shingles, set_hash (null if empty), sketch of (doc_id, text)."""
+def signatures(docs: DataFrame, k: int, threshold: float, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, set_hash (null if empty), sketch of (doc_id, text), and carry."""
     kind = pa.list_(pa.struct([("cls", pa.int32()), ("keys", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,9 +135,11 @@ def signatures(docs: DataFrame, k: int, threshold: float) -> DataFrame:
                     n.append(len(s))
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     sketch.append([{"cls": c, "keys": keys} for c, keys in sketches(s, threshold)])
-                yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, kind)], names=["doc_id", "n_shingles", "set_hash", "sketch"])
+                yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, kind), *[part.column(c) for c in carry]], names=["doc_id", "n_shingles", "set_hash", "sketch", *carry])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, sketch array<struct<cls:int,keys:array<long>>>")
+    rows = docs.select("doc_id", "text", *carry)
+    carried = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, sketch array<struct<cls:int,keys:array<long>>>" + carried)
 
 
 def _bands(reps: DataFrame) -> DataFrame:
@@ -268,16 +271,17 @@ def _across(mixed: DataFrame, threshold: float) -> DataFrame:
     return rows.select("band", "key", "i", "j", "rep", "comp", "n", "block", "keys", "fine").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, n_links, kept.
+def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, n_links, carry, kept.
 
-    n_links counts the verified links of the document's class representative.
+    n_links counts the verified links of the document's class representative; carry
+    are further columns of docs.
     """
     if threshold < LOWEST:
         raise ValueError(f"the classes hold for thresholds of {LOWEST} and more")
     stage = Stage(docs.sparkSession, "neardup")
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = stage.save(signatures(docs, k, threshold), "signatures")
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *carry)
+    signed = stage.save(signatures(docs, k, threshold, carry), "signatures")
 
     least = signed.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("m"))
     reps = stage.save(least.select("set_hash", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("n"), F.col("m.sketch").alias("sketch")), "reps")
@@ -318,15 +322,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, doc_id:
     classes = stage.save(classes, "classes")
     stage.drop("texts", "crowd", "inside", "pairs", "fine")
 
-    out = signed.select("doc_id", "n_shingles", "set_hash").join(classes, "set_hash", "left")
+    out = signed.select("doc_id", "n_shingles", "set_hash", *carry).join(classes, "set_hash", "left")
     comp = F.coalesce("comp", "doc_id")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), comp).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), comp).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *carry).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one_of_group(docs: DataFrame) -> DataFrame:
     """docs without near-duplicates (five words, 0.8); pipeline stage."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    marked = near_duplicates(docs.withColumn("digest", text_digest(F.col("text"))), carry=("digest",))
+    return kept_rows(docs, marked.where("kept"))
 
 
 def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,6 +106,20 @@ def test_near_duplicates(docs, empty, k, t):
         neardup.near_duplicates(docs, k, 0.5)
 
 
+def test_stages_keep_rows_not_doc_ids(spark):
+    """Null and repeated doc_ids: each row by its own text."""
+    w = [f"w{i}" for i in range(60)]
+    a, near, b, c, d = " ".join(w), " ".join([*w[:30], "other", *w[30:]]), " ".join(w[::-1]), "one null", "two null"
+    rows = [(1, a), (9, a), (1, b), (None, c), (None, c), (None, d), (None, a), (9, d), (None, None), (4, "")]
+    left = lambda out: sorted((tuple(r) for r in out.collect()), key=str)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert left(exactdedup.keep_first_owner(table)) == sorted([(9, a), (1, b), (None, c), (None, c), (9, d), (4, "")], key=str)
+    # 5 has a text of its own and one that 2 has too; of near-duplicates the smaller id stays.
+    rows = [(2, a), (5, a), (5, b), (7, near), (None, a), (None, c), (None, None), (6, None), (5, b)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert left(neardup.keep_one_of_group(table)) == sorted([(2, a), (5, b), (5, b), (None, c), (None, a), (None, None), (6, None)], key=str)
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2)
