@@ -139,7 +139,7 @@ def chunk_id_parse_errors(spark: SparkSession, d: str) -> DataFrame:
 
 def section_chunks(spark: SparkSession, d: str) -> DataFrame:
     rows = T.chunks(spark, d).where(P.compiled(P.section_filter("src4", "fr")))
-    return rows.select(*R.ORDER, F.substring(R.rendered_chunk(), 1, 80).alias("rendered")).orderBy(*R.ORDER)
+    return rows.select(*R.ORDER, R.rendered_chunk().alias("rendered")).orderBy(*R.ORDER)
 
 
 def quote_resolution(spark: SparkSession, d: str) -> DataFrame:
@@ -149,8 +149,7 @@ def quote_resolution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def synthesis_context(spark: SparkSession, d: str) -> DataFrame:
-    rows = T.chunks(spark, d).withColumn("content", F.substring("content", 1, 6000))
-    return R.context_prefix(rows, "source_path", ["chunk_index"]).select("source_path", "chunk_index", F.col("used_chars").cast("long").alias("used_chars"))
+    return R.context_prefix(T.chunks(spark, d), "source_path", ["chunk_index"]).select("source_path", "chunk_index", F.col("used_chars").cast("long").alias("used_chars"))
 
 
 def dedupe_returned(spark: SparkSession, d: str) -> DataFrame:
