@@ -146,7 +146,7 @@ def budget_cutoff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stop_reasons(spark: SparkSession, d: str) -> DataFrame:
-    rows = S.stale_streaks(S.budgets(T.steps(spark, d).where("key < 50"), "run", ["ts", "event_id"]), "run", ["ts", "event_id"], "key")
+    rows = S.stale_streaks(S.budgets(T.steps(spark, d), "run", ["ts", "event_id"]), "run", ["ts", "event_id"], "key")
     runs = rows.groupBy("run").agg(F.max("exceeded").alias("exceeded"), F.max((F.col("streak") >= 2) & (F.col("step") >= 2)).alias("stale"), F.count(F.lit(1)).alias("steps"))
     explicit = F.when(F.col("run") % 9 == 0, "submitted")
     return runs.select("run", S.stop_reason(explicit, F.col("exceeded"), F.col("stale"), F.col("steps"), 8).alias("reason"))

@@ -46,8 +46,7 @@ def toc_breadcrumbs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def toc_render(spark: SparkSession, d: str) -> DataFrame:
-    c = T.catalog(spark, d).where("level < 3 or ordinal < 1100")
-    rows = c.select("source_path", "ordinal", "id", "title", F.when(F.col("level") > 1, F.col("level") - 1).alias("depth"), "chunk_count", F.when(F.col("chunk_count") > 0, F.col("chunk_count")).alias("page_start"))
+    rows = T.catalog(spark, d).select("source_path", "ordinal", "id", "title", F.when(F.col("level") > 1, F.col("level") - 1).alias("depth"), "chunk_count", F.when(F.col("chunk_count") > 0, F.col("chunk_count")).alias("page_start"))
     return O.rendered(rows)
 
 

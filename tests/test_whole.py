@@ -1,6 +1,8 @@
 """Queries of which the registered SQL still holds a cut, against whole results."""
 
-from collections import defaultdict
+import json
+import math
+from collections import Counter, defaultdict
 
 from tessera.plans import catalogue
 
@@ -35,3 +37,38 @@ def test_section_chunks_are_whole(spark):
     want = {(r["doc_id"], f"[CHUNK_ID: src4::{i}] [SECTION_ID: fr] [SECTION: FR]\n{r['text']}") for i, r in enumerate(_chunks(spark)["src4"]) if r["lang"] == "fr"}
     got = catalogue.QUERIES["section_chunks"](spark, SF).collect()
     assert {(int(r["id"]), r["rendered"]) for r in got} == want and max(len(t) for _, t in want) > 80
+
+
+def test_toc_render_lists_every_customer(spark):
+    regions = {r["r_regionkey"]: r["r_name"] for r in _table(spark, "region")}
+    nations = {n["n_nationkey"]: n for n in _table(spark, "nation")}
+    orders = Counter(o["o_custkey"] for o in _table(spark, "orders"))
+    lines = defaultdict(list)
+    for k, name in regions.items():
+        lines[name].append((0, 1, f"- [r{k}] {name}  (1 chunks, page 1)"))
+    for k, n in nations.items():
+        lines[regions[n["n_regionkey"]]].append((k + 1, 1, f"- [n{k}] {n['n_name']}  (1 chunks, page 1)"))
+    for c in _table(spark, "customer"):
+        n = orders[c["c_custkey"]]
+        lines[regions[nations[c["c_nationkey"]]["n_regionkey"]]].append((c["c_custkey"] + 1000, n, f"  - [c{c['c_custkey']}] {c['c_name']}  ({n} chunks, page {n or '?'})"))
+    want = {s: f"TOC for: {s}\nSections: {len(x)}  |  Total chunks: {sum(n for _, n, _ in x)}\n\n" + "\n".join(t for *_, t in sorted(x)) for s, x in lines.items()}
+    assert {r["source_path"]: r["rendered"] for r in catalogue.QUERIES["toc_render"](spark, SF).collect()} == want
+
+
+def test_stop_reasons_see_every_event(spark):
+    runs = defaultdict(list)
+    for e in sorted(_table(spark, "events"), key=lambda e: (e["ts"], e["event_id"])):
+        runs[e["user_id"]].append(e)
+    want = {}
+    for run, events in runs.items():
+        calls = tokens = streak = 0
+        exceeded, stale, seen = False, False, set()
+        for step, e in enumerate(events, 1):
+            calls, tokens = calls + 1, tokens + math.floor(abs(e["value"]) * 100)
+            key = json.loads(e["props"]).get("k")
+            streak = 0 if key is not None and key not in seen else streak + 1
+            seen.add(key)
+            exceeded |= calls >= 30 or tokens >= 500_000
+            stale |= streak >= 2 and step >= 2
+        want[run] = "submitted" if run % 9 == 0 else "budget_exceeded" if exceeded else "stale" if stale else "max_iterations" if len(events) >= 8 else "none"
+    assert {r["run"]: r["reason"] for r in catalogue.QUERIES["stop_reasons"](spark, SF).collect()} == want
