@@ -82,11 +82,14 @@ def uncached_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_key_migration(spark: SparkSession, d: str) -> DataFrame:
-    p = T.table(spark, d, "pages").select("page_id", F.concat(F.lit("datasets/web/"), (F.col("page_id") % 40).cast("string"), F.lit(".html")).alias("key"), "html")
-    rows = p.where("page_id < 40").select("key", (F.col("page_id") % 8).alias("m"), F.md5("html").alias("content"))
+    """Three pages a key; up to three paths, of equal or different payloads, lead to one."""
+    number = F.floor(F.col("page_id") / 3)
+    key = F.concat(F.lit("datasets/web/"), number.cast("string"), F.lit(".html"))
+    rows = T.table(spark, d, "pages").select("page_id", key.alias("key"), (number % 8).alias("m"), F.md5("html").alias("content"))
     old = rows.where("m <> 1").select(F.when(F.col("m") % 2 == 0, F.concat(F.lit("/old/checkout/"), "key")).otherwise(F.concat(F.lit("C:\\work\\"), F.replace("key", F.lit("/"), F.lit("\\")))).alias("source_path"), F.when(F.col("m") == 3, F.lit("other")).otherwise(F.col("content")).alias("content"))
+    copy = rows.where("m in (2, 3, 4) or m = 5 and page_id % 3 > 0").select(F.concat(F.lit("/srv/copy/"), "key").alias("source_path"), "content")
     new = rows.where("m in (1, 2, 3, 4)").select(F.col("key").alias("source_path"), "content")
-    kept, conflicts = K.migrated(old.unionByName(new), ["content"])
+    kept, conflicts = K.migrated(old.unionByName(copy).unionByName(new), ["content"])
     return kept.select("source_path", F.col("content").alias("value"), F.lit("kept").alias("kind")).unionByName(conflicts.select(F.col("target").alias("source_path"), F.col("n_paths").cast("string").alias("value"), F.lit("conflict").alias("kind")))
 
 

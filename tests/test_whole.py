@@ -1,5 +1,6 @@
 """Queries of which the registered SQL still holds a cut, against whole results."""
 
+import hashlib
 import json
 import math
 from collections import Counter, defaultdict
@@ -72,3 +73,26 @@ def test_stop_reasons_see_every_event(spark):
             stale |= streak >= 2 and step >= 2
         want[run] = "submitted" if run % 9 == 0 else "budget_exceeded" if exceeded else "stale" if stale else "max_iterations" if len(events) >= 8 else "none"
     assert {r["run"]: r["reason"] for r in catalogue.QUERIES["stop_reasons"](spark, SF).collect()} == want
+
+
+def test_source_key_migration_over_all_pages(spark):
+    paths = defaultdict(lambda: defaultdict(list))
+    for p in _table(spark, "pages"):
+        n = p["page_id"] // 3
+        m, key, content = n % 8, f"datasets/web/{n}.html", hashlib.md5(p["html"].encode()).hexdigest()
+        if m != 1:
+            paths[key]["/old/checkout/" if m % 2 == 0 else "C:\\work\\"].append("other" if m == 3 else content)
+        if m in (2, 3, 4) or m == 5 and p["page_id"] % 3:
+            paths[key]["/srv/copy/"].append(content)
+        if m in (1, 2, 3, 4):
+            paths[key][""].append(content)
+    want = Counter()
+    for key, found in paths.items():
+        sets = [Counter(x) for x in found.values()]
+        if all(x == sets[0] for x in sets):
+            want.update((key, c, "kept") for c in sets[0].elements())
+        else:
+            want[key, str(len(found)), "conflict"] += 1
+    got = Counter((r["source_path"], r["value"], r["kind"]) for r in catalogue.QUERIES["source_key_migration"](spark, SF).collect())
+    assert got == want and max(len(x) for x in paths.values()) == 3
+    assert {v for _, v, kind in want if kind == "conflict"} == {"2", "3"}
