@@ -36,9 +36,9 @@ def vector_topk(rows: DataFrame, query: DataFrame, k: int = LEG, vector: str = "
 
 
 def vector_topk_batch(rows: DataFrame, queries: DataFrame, k: int, query_id: str = "query_id", order: tuple[str, ...] = ("id",)) -> DataFrame:
-    """The k nearest rows of each query. Queries are a stated set, broadcast
-    against all rows; the per-query cut happens before the shuffle."""
-    scored = rows.crossJoin(F.broadcast(queries)).withColumn("score", V.cosine(F.col("embedding"), F.col("q"))).where("score is not null").drop("q", "embedding")
+    """The k nearest rows of each query. Queries grow with the table, so they are joined
+    partition by partition with all rows; the per-query cut happens before the shuffle."""
+    scored = rows.crossJoin(queries.repartition(query_id).hint("shuffle_replicate_nl")).withColumn("score", V.cosine(F.col("embedding"), F.col("q"))).where("score is not null").drop("q", "embedding")
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), *order))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -56,7 +56,7 @@ def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 def vector_topk_batch(spark: SparkSession, d: str) -> DataFrame:
     e = T.table(spark, d, "embeddings")
-    queries = e.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     found = R.vector_topk_batch(e.select(F.col("vec_id").alias("id"), "embedding"), queries, 5)
     return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
@@ -122,12 +122,14 @@ def fuzzy_title_resolve(spark: SparkSession, d: str) -> DataFrame:
     return R.resolve_title(needles.distinct(), p)
 
 
-def _picked(spark: SparkSession, d: str) -> DataFrame:
-    return T.chunks(spark, d).where("doc_id % 97 = 5").select("source_path", "chunk_index")
+def _cited(spark: SparkSession, d: str) -> DataFrame:
+    """(answer_id, pos, chunk_id): three chunks that each benchmark item cites."""
+    return T.table(spark, d, "benchmark").select(F.col("item_id").alias("answer_id"), F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.concat(F.lit("src"), ((F.col("item_id") + i) % 22).cast("string"), F.lit("::"), (F.col("item_id") * 3 + i).cast("string")).alias("chunk_id")) for i in range(3)])).alias("s")).select("answer_id", "s.pos", "s.chunk_id")
 
 
 def chunk_window(spark: SparkSession, d: str) -> DataFrame:
-    return R.chunk_window(T.chunks(spark, d), _picked(spark, d), 1, 2).select(*_COLUMNS).orderBy(*R.ORDER)
+    """The windows around all chunks that benchmark items cite."""
+    return R.chunk_window(T.chunks(spark, d), R.parse_chunk_ids(_cited(spark, d)), 1, 2).select(*_COLUMNS).orderBy(*R.ORDER)
 
 
 _IDS = ("a/b.pdf::3", "x::y::7", "plain", "p::", "p::x1", "p::-2", "::0", "p:: 4 ", "p::1_0", "p::+5")
@@ -143,8 +145,7 @@ def section_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quote_resolution(spark: SparkSession, d: str) -> DataFrame:
-    sources = T.table(spark, d, "benchmark").select(F.col("item_id").alias("answer_id"), F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.concat(F.lit("src"), ((F.col("item_id") + i) % 22).cast("string"), F.lit("::"), (F.col("item_id") * 3 + i).cast("string")).alias("chunk_id")) for i in range(3)])).alias("s"))
-    found = R.quotes(sources.select("answer_id", "s.pos", "s.chunk_id"), T.chunks(spark, d).select("source_path", "chunk_index", "content", "id"))
+    found = R.quotes(_cited(spark, d), T.chunks(spark, d).select("source_path", "chunk_index", "content", "id"))
     return found.select("answer_id", "pos", "chunk_id", F.md5("exact_quote").alias("quote_md5"), F.length("exact_quote").alias("quote_chars"))
 
 

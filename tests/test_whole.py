@@ -5,6 +5,10 @@ import json
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
+
+from tessera.operators import retrieval
 from tessera.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -96,3 +100,37 @@ def test_source_key_migration_over_all_pages(spark):
     got = Counter((r["source_path"], r["value"], r["kind"]) for r in catalogue.QUERIES["source_key_migration"](spark, SF).collect())
     assert got == want and max(len(x) for x in paths.values()) == 3
     assert {v for _, v, kind in want if kind == "conflict"} == {"2", "3"}
+
+
+def test_vector_topk_batch_of_every_twentieth(spark):
+    rows = sorted(_table(spark, "embeddings"), key=lambda r: r["vec_id"])
+    ids = np.array([r["vec_id"] for r in rows])
+    v = np.array([r["embedding"] for r in rows], float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    want = {}
+    for i in np.flatnonzero(ids % 20 == 0):
+        score = v @ v[i]
+        want[ids[i]] = sorted(np.round(score, 5), reverse=True)[:5]
+    got = defaultdict(list)
+    place = {j: i for i, j in enumerate(ids)}
+    for r in catalogue.QUERIES["vector_topk_batch"](spark, SF).collect():
+        assert r["score"] == pytest.approx(v[place[r["id"]]] @ v[place[r["query_id"]]], abs=2e-6)
+        got[r["query_id"]].append((r["rank"], r["score"]))
+    assert set(got) == set(want) and len(want) > 1
+    for q, found in got.items():
+        assert [n for n, _ in sorted(found)] == [1, 2, 3, 4, 5] and [s for _, s in sorted(found)] == pytest.approx(want[q], abs=2e-5)
+
+
+def test_batch_queries_are_not_broadcast(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    out = retrieval.vector_topk_batch(e.selectExpr("vec_id as id", "embedding"), e.selectExpr("vec_id as query_id", "embedding as q"), 3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan
+
+
+def test_chunk_window_around_every_cited_chunk(spark):
+    chunks = _chunks(spark)
+    keys = {(f"src{(b['item_id'] + i) % 22}", b["item_id"] * 3 + i) for b in _table(spark, "benchmark") for i in range(3)}
+    near = {(s, j) for s, i in keys for j in range(max(0, i - 1), i + 3)}
+    want = {str(r["doc_id"]) for s, docs in chunks.items() for j, r in enumerate(docs) if (s, j) in near}
+    assert {r["id"] for r in catalogue.QUERIES["chunk_window"](spark, SF).collect()} == want and want
