@@ -21,8 +21,9 @@ bits instead of 64. Four neighbouring registers are one 64-bit band key.
    together is never expanded into pairs.
 
 The number of bands follows the size of a set (see CLASSES); a set near the
-upper end of its class is sketched for the next class too. In the small classes
-there are more bands than differing shingles, so a pair cannot be missed there;
+upper end of its class is sketched for the next class too. The small classes have
+more bands than differing shingles, but empty bands do not count, so below 12
+shingles all filled bands of a linked pair can differ and its link be lost;
 with 32 bands of four registers a pair at similarity 0.8 (0.85) is missed with
 probability 5e-8 (6e-11).
 
