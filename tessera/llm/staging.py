@@ -2,13 +2,19 @@
 
 Every multi-step operator cuts its lineage by writing a table below
 ``spark.checkpoint.dir`` and reading it again: a lost executor then costs the
-running step only. The setting is read from the session; where it is unset (a
-local test) a folder below the warehouse's parent is used.
+running step only. The setting is read from the session. Where it is unset, a
+session on a local master (a test, the bench) gets a folder of its own below the
+system's temporary folder; on a cluster that is an error, since executors would not
+see one another's files.
+
+Tables are dropped by the operator as soon as no later step reads them; what a
+result still reads goes when the application ends.
 """
 
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +38,17 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = f"/tmp/tessera-{os.getpid()}"
+        named = f"{tempfile.gettempdir()}/tessera-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of a path, and the path for it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 class Stage:
     """Tables of one run of one operator, each written once."""
 
@@ -44,6 +56,9 @@ class Stage:
         importable(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        fs, at = file_system(spark, self.root)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -55,11 +70,26 @@ class Stage:
 
     def drop(self, *tables: str) -> None:
         """Deletes tables that no later step reads."""
-        jvm, sc = self.spark._jvm, self.spark.sparkContext
         for table in tables:
-            at = jvm.org.apache.hadoop.fs.Path(self.path(table))
-            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+            fs, at = file_system(self.spark, self.path(table))
+            fs.delete(at, True)
+
+    def keep(self, *tables: str) -> None:
+        """Deletes all tables but these."""
+        fs, at = file_system(self.spark, self.root)
+        self.drop(*{x.getPath().getName() for x in fs.listStatus(at)} - set(tables))
 
 
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+#: Bytes of input that one shard or one hash range is meant to hold.
+SHARD_BYTES = 64 << 20
+
+
+def n_shards(docs: DataFrame, most_bytes: int = SHARD_BYTES) -> int:
+    """How many shards of about most_bytes the files below docs make; the shuffle
+    partitions at least, so that small inputs keep all cores busy."""
+    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return max(n_partitions(docs.sparkSession), min(int(str(size)) // most_bytes + 1, 1 << 20))
