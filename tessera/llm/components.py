@@ -27,8 +27,9 @@ def components(links: DataFrame, stage: Stage, name: str) -> DataFrame:
         # The other end of a jump keeps its own label of the round before.
         after = nearer.join(jump, "via", "left").select("node", "before", F.least("via", F.coalesce("jumped", "via")).alias("comp"))
         after = stage.save(after, f"{name}-{step}")
-        changed = after.where("comp <> before").limit(1).count()
+        changed = not after.where("comp <> before").isEmpty()
         labels = after.select("node", "comp")
-        stage.drop(f"{name}-near-{step}")
+        stage.drop(f"{name}-near-{step}", f"{name}-{step - 1}")
         if not changed:
+            stage.drop(f"{name}-edges")
             return labels

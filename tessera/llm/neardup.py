@@ -21,17 +21,19 @@ bits instead of 64. Four neighbouring registers are one 64-bit band key.
    together is never expanded into pairs.
 
 The number of bands follows the size of a set (see CLASSES); a set near the
-upper end of its class is sketched for the next class too. The small classes have
-more bands than differing shingles, but empty bands do not count, so below 12
-shingles all filled bands of a linked pair can differ and its link be lost;
-with 32 bands of four registers a pair at similarity 0.8 (0.85) is missed with
-probability 5e-8 (6e-11).
+upper end of its class is sketched for the next class too. Sets of fewer than 12
+shingles are indexed exactly instead, since their few filled bands can all differ:
+the keys are the set's hash and its hashes with every shingle (or two) left out that
+a linked partner may lack, so linked pairs share the key of their intersection. From
+12 shingles on a linked pair has fewer differing shingles than bands, and with 32
+bands of four registers one at similarity 0.8 (0.85) is missed with probability
+5e-8 (6e-11).
 
 Defined results: null texts and texts without words have an empty set, are
 linked with nothing and are kept. A text of fewer than k words is one shingle.
 Ties go to the smaller doc_id. Repeated rows with equal text count as copies of
 one doc_id and are marked alike; rows that share a doc_id but not the text are
-one document of the link graph. Rows with a null doc_id are components of their
+one document of the link graph, linked by any of its texts. Rows with a null doc_id are components of their
 own, of a null id, and kept. Whole texts are used, however long.
 """
 
@@ -39,6 +41,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +53,10 @@ from .components import components
 from .exactdedup import kept_rows, text_digest
 from .staging import Stage
 
-#: (least set size, bands); four registers a band.
-CLASSES = ((4, 4), (12, 8), (24, 14), (48, 20), (96, 28), (192, 32))
+#: (least set size, bands); four registers a band. The first class has no bands but
+#: exact keys.
+CLASSES = ((1, 0), (12, 14), (24, 14), (48, 20), (96, 28), (192, 32))
+EXACT = 0
 LOWEST, ROWS_A_BAND, MANTISSA = 0.8, 4, 10
 #: From this set size on the estimate is used besides the exact bound.
 ESTIMATED_FROM, SIGMAS = 192, 6
@@ -97,15 +102,34 @@ def _registers(ordered: np.ndarray, k: int) -> np.ndarray:
 
 
 def class_of(n: int) -> int:
-    """Index in CLASSES, or -1: sets so small link only with equal ones."""
+    """Index in CLASSES, or -1 for an empty set."""
     return sum(n >= least for least, _ in CLASSES) - 1
 
 
+def exact_keys(ordered: np.ndarray, threshold: float) -> np.ndarray:
+    """Keys of the set and of all its subsets that can be the whole intersection with
+    a linked set; two sets share one if (but for chance) such a subset is in both.
+
+    A partner that lacks a of the n shingles has a similarity of (n - a) / n at most.
+    """
+    n = len(ordered)
+    lacking = int((1 - threshold) * n + 1e-9)
+    total = np.add.reduce(ordered, dtype=np.uint64)
+    sums = [np.array([total], np.uint64)]
+    if lacking > 0:
+        sums.append(total - ordered)
+    if lacking > 1:
+        i, j = np.triu_indices(n, 1)
+        sums.append(total - ordered[i] - ordered[j])
+    sizes = np.repeat(np.arange(n, n - len(sums), -1), [len(x) for x in sums]).astype(np.uint64)
+    return np.unique(wordhash.mixed(np.concatenate(sums) + sizes) | np.uint64(1)).view("<i8")
+
+
 def sketches(ordered: np.ndarray, threshold: float) -> list[tuple[int, np.ndarray]]:
-    """(class, band keys) of the set's class and, near its end, of the next."""
+    """(class, keys) of the set's class and, near its end, of the next."""
     n, own = len(ordered), class_of(len(ordered))
     wanted = [c for c in (own, own + 1) if 0 <= c < len(CLASSES) and n >= threshold * CLASSES[c][0]]
-    return [(c, registers(ordered, CLASSES[c][1]).view("<i8")) for c in wanted]
+    return [(c, exact_keys(ordered, threshold) if c == EXACT else registers(ordered, CLASSES[c][1]).view("<i8")) for c in wanted if c != EXACT or n * (1 - threshold) >= 1 - 1e-9 or (n + 1) * threshold <= n + 1e-9]
 
 
 def plausible(a: np.ndarray, b: np.ndarray, n_a: int, n_b: np.ndarray, threshold: float) -> np.ndarray:
@@ -146,14 +170,17 @@ def signatures(docs: DataFrame, k: int, threshold: float, carry: tuple[str, ...]
 def _bands(reps: DataFrame) -> DataFrame:
     """(rep, n, cls, band, key) for every band that is not empty."""
     each = reps.select("rep", "n", F.explode("sketch").alias("s")).select("rep", "n", F.col("s.cls").alias("cls"), F.posexplode("s.keys").alias("pos", "key"))
-    return each.where("key <> 0").select("rep", "n", "cls", (F.col("cls") * 64 + F.col("pos")).alias("band"), "key")
+    band = F.when(F.col("cls") == EXACT, F.lit(EXACT)).otherwise(F.col("cls") * 64 + F.col("pos"))
+    return each.where("key <> 0").select("rep", "n", "cls", band.alias("band"), "key")
 
 
 def _register_filter(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """pairs (a, b, cls) whose registers of class cls allow the threshold."""
+    """pairs (a, b, cls) whose registers of class cls allow the threshold; exact keys
+    need no such test."""
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     keys = lambda x: F.filter(f"s_{x}", lambda s: s["cls"] == F.col("cls"))[0]["keys"].alias(f"k_{x}")
-    wide = pairs.join(side("a"), "a").select("a", "b", "cls", "n_a", keys("a")).join(side("b"), "b").select("a", "b", "n_a", "n_b", "k_a", keys("b"))
+    sure = pairs.where(F.col("cls") == EXACT).select("a", "b")
+    wide = pairs.where(F.col("cls") != EXACT).join(side("a"), "a").select("a", "b", "cls", "n_a", keys("a")).join(side("b"), "b").select("a", "b", "n_a", "n_b", "k_a", keys("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,11 +195,12 @@ def _register_filter(pairs: DataFrame, reps: DataFrame, threshold: float) -> Dat
             at = pa.array(np.flatnonzero(keep))
             yield pa.record_batch([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
 
-    return wide.mapInArrow(run, "a long, b long").distinct()
+    return wide.mapInArrow(run, "a long, b long").unionByName(sure).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """pairs (a, b) with 100 * intersection >= 100 * threshold * union on full sets."""
+    """pairs (a, b) with 100 * intersection >= 100 * threshold * union on full sets;
+    of a doc_id with several texts any may be the one."""
     percent = round(100 * threshold)
     numbered = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("rep"))
     both = numbered.join(texts, "rep").select("a", "b", "rep", "text").repartition("a", "b").sortWithinPartitions("a", "b", "rep")
@@ -183,9 +211,11 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
         def linked() -> bool:
             if at is None or len(held) < 2:
                 return False
-            x, y = held.values()
-            same = len(np.intersect1d(x, y, assume_unique=True))
-            return 100 * same >= percent * (len(x) + len(y) - same)
+            for x, y in product(*held.values()):
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * same >= percent * (len(x) + len(y) - same):
+                    return True
+            return False
 
         for batch in batches:
             out = []
@@ -195,7 +225,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
                     if linked():
                         out.append(at)
                     at, held = (a[i], b[i]), {}
-                held[rep[i]] = s
+                held.setdefault(rep[i], []).append(s)
             yield pa.record_batch([pa.array([x[j] for x in out], pa.int64()) for j in (0, 1)], names=["a", "b"])
         last = [at] if linked() else []
         yield pa.record_batch([pa.array([x[j] for x in last], pa.int64()) for j in (0, 1)], names=["a", "b"])
@@ -204,7 +234,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(rep, text) of the wanted (rep, set_hash); of several rows those with that set."""
+    """(rep, set_hash, many, text) of the wanted (rep, set_hash, many): rows with that set."""
     joined = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,9 +243,9 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 part = batch.slice(at, 2048)
                 text, digest = part.column("text"), part.column("set_hash").to_pylist()
                 keep = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == h for s, h in zip(shingle_sets(text, k), digest, strict=True)]
-                yield pa.record_batch([part.column("rep"), text], names=["rep", "text"]).filter(pa.array(keep))
+                yield part.select(["rep", "set_hash", "many", "text"]).filter(pa.array(keep))
 
-    return joined.mapInArrow(run, "rep long, text string")
+    return joined.select("rep", "set_hash", "many", "text").mapInArrow(run, "rep long, set_hash binary, many boolean, text string")
 
 
 def _fine(texts: DataFrame, k: int) -> DataFrame:
@@ -228,7 +258,7 @@ def _fine(texts: DataFrame, k: int) -> DataFrame:
                 made = [_registers(s, FINE).tobytes() for s in shingle_sets(part.column("text"), k)]
                 yield pa.record_batch([part.column("rep"), pa.array(made, pa.binary())], names=["rep", "fine"])
 
-    return texts.mapInArrow(run, "rep long, fine binary").dropDuplicates(["rep"])
+    return texts.mapInArrow(run, "rep long, fine binary")
 
 
 def _across(mixed: DataFrame, threshold: float) -> DataFrame:
@@ -238,7 +268,8 @@ def _across(mixed: DataFrame, threshold: float) -> DataFrame:
     def compare(group: list[tuple], i: int, j: int) -> Iterator[tuple[int, int]]:
         rep, comp, n = (np.array([x[c] for x in group], np.int64) for c in (4, 5, 6))
         block = np.array([x[7] for x in group])
-        keys = np.array([x[8] for x in group], np.int64)
+        band_keys = group[0][0] // 64 != EXACT
+        keys = np.array([x[8] for x in group], np.int64) if band_keys else None
         fine = np.frombuffer(b"".join(x[9] for x in group), "<u2").reshape(len(group), -1)
         band = group[0][0] % 64
         names, count = np.unique(comp, return_counts=True)
@@ -249,8 +280,9 @@ def _across(mixed: DataFrame, threshold: float) -> DataFrame:
         for x in rare:
             # Pairs of two rare rows once; of different blocks only in their own block pair.
             other = np.flatnonzero((comp != comp[x]) & (rank < rank[x]) & ((block != block[x]) | (i == j)))
-            shared = (keys[other] == keys[x]) & (keys[x] != 0)
-            other = other[shared.argmax(1) == band] if len(other) else other
+            if band_keys and len(other):
+                shared = (keys[other] == keys[x]) & (keys[x] != 0)
+                other = other[shared.argmax(1) == band]
             good = other[plausible(fine[x], fine[other], n[x], n[other], threshold)]
             for y in good:
                 yield (rep[x], rep[y]) if rep[x] < rep[y] else (rep[y], rep[x])
@@ -284,7 +316,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, doc_id:
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *carry)
     signed = stage.save(signatures(docs, k, threshold, carry), "signatures")
 
-    least = signed.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("m"))
+    least = signed.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min_by(F.struct("doc_id", "n_shingles", "sketch"), "doc_id").alias("m"))
     reps = stage.save(least.select("set_hash", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("n"), F.col("m.sketch").alias("sketch")), "reps")
 
     # One hub a bucket, the same for every HUBS-th band.
@@ -297,9 +329,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, doc_id:
     first = stage.save(_register_filter(stage.save(pairs, "pairs"), reps, threshold), "first")
 
     crowded = bands.join(hubs.select("band", "key"), ["band", "key"]).select("rep").distinct()
-    wanted = reps.select("rep", "set_hash").join(crowded, "rep", "left_semi")
-    texts = stage.save(_texts(docs, wanted, k), "texts")
+    # A doc_id that several rows have is read once.
+    several = signed.groupBy(F.col("doc_id").alias("rep")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    wanted = reps.select("rep", "set_hash").join(crowded, "rep", "left_semi").join(several, "rep", "left").select("rep", "set_hash", F.col("rows").isNotNull().alias("many"))
+    found = stage.save(_texts(docs, wanted, k), "texts")
+    texts = found.where("not many").select("rep", "text").unionByName(found.where("many").groupBy("rep", "set_hash").agg(F.min("text").alias("text")).select("rep", "text"))
     links = stage.save(verified(first, texts, k, threshold), "links")
+    stage.drop("pairs")
     joined = components(links, stage, "one")
 
     # Buckets that hold several components still.
@@ -321,7 +357,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, doc_id:
     found = joined.withColumnRenamed("node", "rep").join(degree, "rep")
     classes = reps.select("set_hash", "rep").join(found, "rep", "left").select("set_hash", F.coalesce("comp", "rep").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     classes = stage.save(classes, "classes")
-    stage.drop("texts", "crowd", "inside", "pairs", "fine")
+    stage.keep("signatures", "classes")
 
     out = signed.select("doc_id", "n_shingles", "set_hash", *carry).join(classes, "set_hash", "left")
     comp = F.coalesce("comp", "doc_id")
