@@ -1,24 +1,29 @@
 """Operator 2: mixing sources to target weights by raking (native).
 
 Documents fall into cells by source, language and topic. Iterative proportional
-fitting rakes the cells' token counts until each margin has its target share; a
-budget of tokens is then spent on the cells in those proportions (a cell gives at
-most all it has, the rest goes to the others), and a document is sampled with its
-cell's probability by a hash of its doc_id.
-
-Only a budget that exhausts no cell gives the targets: what a short cell lacks goes
-to the others without raking again. ``sampled`` spends the largest such budget,
-``BUDGET`` at most; the contract query spends ``BUDGET`` whatever the cells hold.
+fitting rakes the cells' token counts until each margin has its target share. The
+budget is the largest number of tokens that can be spent in those proportions
+without exhausting a cell, ``BUDGET`` of all tokens at most, so the sample meets the
+targets whatever the cells hold: a larger one would have to take what a short cell
+lacks from others.
+
+A cell's probability is its raked share of the budget over its tokens. It is then
+calibrated: documents have a uniform number that depends on the doc_id alone, and a
+cell keeps those below a cutoff, one of ``BINS`` limits, chosen by the tokens that
+these documents really have. So a cell misses its share of the budget by less than
+one bin's tokens, and margins by less, since neighbouring cells are rounded together.
 
 Targets name the categories, so cells are bounded by the parameters: at most the
 product of the numbers of named categories plus one each, whatever the data. What
 no target names is the category ``*`` and keeps its natural share. That bound is
-why the raking runs on one task and its result is broadcast.
+why the raking runs on one task and its result is broadcast; bins are summed cell by
+cell in the tasks that read the documents.
 
 Defined results: null texts have no tokens and null categories are ``*``; a
 document without tokens is sampled like its cell; equal doc_ids are sampled
 alike, null ones as ''; an empty table gives an empty result; a target category
-without documents leaves its share to the others.
+without documents leaves its share to the others. The caller's columns travel in one
+struct, so columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -29,9 +34,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .staging import Stage
+
 OTHER = "*"
 ROUNDS, SEED = 10, "mix-1"
+#: Limits of a cell's cutoff, how far a margin may be off its target, and how often ROUNDS
+#: are tried for that.
+BINS, CLOSE, BLOCKS = 1024, 1e-6, 10
 MARGINS = ("source_cat", "lang_cat", "topic_cat")
+#: The order in which cells are rounded.
+ROUNDING = ("topic_cat", "lang_cat", "source_cat")
 
 #: Production parameters: what share of the sampled tokens each category should have.
 TARGETS = {
@@ -59,62 +71,88 @@ def n_tokens(text: Column) -> Column:
     return F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")).cast("long")
 
 
-def categorised(docs: DataFrame, source: Column, lang: Column, topics: Column, targets: dict = TARGETS) -> DataFrame:
-    """docs with the columns of MARGINS; what no target names is OTHER."""
-    named = lambda c, m: F.when(c.isin(list(targets[m])), c).otherwise(OTHER)
-    return docs.withColumns({m: named(c, m) for m, c in zip(MARGINS, (source, lang, topics), strict=True)})
+def categories(source: Column, lang: Column, topics: Column, targets: dict = TARGETS) -> list[Column]:
+    """The columns of MARGINS; what no target names is OTHER."""
+    return [F.when(c.isin(list(targets[m])), c).otherwise(OTHER).alias(m) for m, c in zip(MARGINS, (source, lang, topics), strict=True)]
 
 
-def raked(cells: DataFrame, targets: dict = TARGETS, rounds: int = ROUNDS) -> DataFrame:
-    """cells (MARGINS, tokens) with raked, of which the total is 1.
+def targeted(cells: DataFrame, targets: dict = TARGETS) -> DataFrame:
+    """cells (MARGINS, tokens) with raked, their natural share, and ``_t_`` and a margin's
+    name, the share that the cell's category of that margin should have.
 
-    One partition holds all cells, so every window below runs without a shuffle.
+    One partition holds all cells, so every window here runs without a shuffle.
     """
-    out = cells.repartition(1).withColumn("share", F.col("tokens") / F.sum("tokens").over(Window.partitionBy()))
+    every = Window.partitionBy()
+    out = cells.repartition(1).withColumn("raked", F.col("tokens") / F.sum("tokens").over(every))
     for m in MARGINS:
-        own = F.sum("share").over(Window.partitionBy(m))
+        own = F.sum("raked").over(Window.partitionBy(m))
         wish = reduce(lambda rest, x: F.when(F.col(m) == x[0], F.lit(float(x[1]))).otherwise(rest), targets[m].items(), F.lit(0.0))
         out = out.withColumn("_own", own).withColumn("_wish", wish)
         # Named categories that are there divide what OTHER leaves, by their wishes.
         out = out.withColumn("_first", (F.row_number().over(Window.partitionBy(m).orderBy(*MARGINS)) == 1).cast("double"))
-        every = Window.partitionBy()
-        left = 1 - F.sum(F.when(F.col(m) == OTHER, F.col("share")).otherwise(0.0)).over(every)
+        left = 1 - F.sum(F.when(F.col(m) == OTHER, F.col("raked")).otherwise(0.0)).over(every)
         wishes = F.sum(F.col("_wish") * F.col("_first")).over(every)
         out = out.withColumn(f"_t_{m}", F.when(F.col(m) == OTHER, F.col("_own")).otherwise(F.col("_wish") / wishes * left)).drop("_own", "_wish", "_first")
-    out = out.withColumn("raked", F.col("share"))
-    for _ in range(rounds):
+    return out
+
+
+def rounds(cells: DataFrame, n: int = ROUNDS) -> DataFrame:
+    """cells after n rounds over the margins."""
+    out = cells.repartition(1)
+    for _ in range(n):
         for m in MARGINS:
             total = F.sum("raked").over(Window.partitionBy(m))
             out = out.withColumn("raked", F.when(total > 0, F.col("raked") * F.col(f"_t_{m}") / total).otherwise(0.0))
+    return out
+
+
+def off_target(cells: DataFrame) -> float:
+    """How far the worst margin of raked cells is off its target."""
+    worst = [F.max(F.abs(F.sum("raked").over(Window.partitionBy(m)) - F.col(f"_t_{m}"))).over(Window.partitionBy()) for m in MARGINS]
+    found = cells.repartition(1).select(F.greatest(*worst).alias("off")).first()
+    return (found["off"] if found else None) or 0.0
+
+
+def raked(cells: DataFrame, stage: Stage, targets: dict = TARGETS) -> DataFrame:
+    """cells with raked, of which the total is 1: ROUNDS at a time until every margin
+    is CLOSE to its target, or after BLOCKS times as near as these targets allow."""
+    out = stage.save(targeted(cells, targets), "raked-0")
+    for block in range(1, BLOCKS + 1):
+        out = stage.save(rounds(out), f"raked-{block}")
+        if off_target(out) <= CLOSE:
+            break
     return out.select(*MARGINS, "tokens", "raked")
 
 
 def feasible(cells: DataFrame, most: float = BUDGET) -> DataFrame:
-    """cells with probability: raked shares of the largest budget that no cell falls
-    short of, and of the share ``most`` of all tokens at most."""
+    """cells with probability: raked shares of the largest budget that no cell
+    falls short of, and of the share ``most`` of all tokens at most."""
     every = Window.partitionBy()
     need = F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(0.0)
-    goal = F.least(F.sum("tokens").over(every) * most, 1 / F.nullif(F.max(need).over(every), F.lit(0.0)))
-    return cells.select(*MARGINS, "tokens", "raked", F.coalesce(F.least(F.lit(1.0), goal * need), F.lit(0.0)).alias("probability"))
+    budget = F.least(F.sum("tokens").over(every) * most, 1 / F.nullif(F.max(need).over(every), F.lit(0.0)))
+    probability = F.coalesce(F.least(F.lit(1.0), budget * need), F.lit(0.0))
+    return cells.select(*MARGINS, "tokens", "raked", probability.alias("probability"))
 
 
-def probabilities(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """cells with probability: raked shares of a budget, at most 1 each.
+def calibrated(cells: DataFrame, bins: DataFrame) -> DataFrame:
+    """cells with cutoff, of bins (MARGINS, bin, tokens): the leading bins that hold at
+    most probability * tokens, as a share of BINS, and in some cells one bin more.
 
-    Cells are filled from the one with the greatest need for its size; when the
-    first j are exhausted the others share what is left.
+    What the next bin would have to give is a cell's fraction; going through the cells
+    by topic, language and source, one bin more is taken where the running sum of the
+    fractions passes a half. So what neighbouring cells lack and have too much cancels.
     """
-    need = F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(0.0)
-    by = Window.orderBy(F.desc("need"), *MARGINS)
-    before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing)
-    out = cells.withColumn("need", need)
-    spent = F.coalesce(F.sum("tokens").over(before), F.lit(0))
-    goal = F.sum("tokens").over(Window.partitionBy()) * budget
-    out = out.withColumn("rate", (goal - spent) / F.sum("raked").over(after))
-    # The first cell that its rate doesn't exhaust sets the rate of all after it.
-    fits = F.when(F.col("rate") * F.col("need") < 1, F.col("rate"))
-    out = out.withColumn("final", F.first(fits, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return out.select(*MARGINS, "tokens", "raked", F.when(F.col("final").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("final") * F.col("need")))).alias("probability"))
+    by = Window.partitionBy(*MARGINS).orderBy("bin")
+    goal = F.col("probability") * F.col("tokens")
+    told = bins.withColumn("upto", F.sum("tokens").over(by)).drop("tokens").join(F.broadcast(cells), list(MARGINS)).withColumn("fits", F.col("upto") <= goal)
+    inside, after = (lambda c: F.when(F.col("fits"), F.col(c))), (lambda c: F.when(~F.col("fits"), F.col(c)))
+    ends = told.groupBy(*MARGINS).agg(F.coalesce(F.max(inside("bin")) + 1, F.lit(0)).alias("low"), F.coalesce(F.max(inside("upto")), F.lit(0)).alias("held"), F.min(after("bin")).alias("next"), F.min(after("upto")).alias("over"))
+    out = cells.join(ends, list(MARGINS)).withColumn("fraction", F.coalesce((goal - F.col("held")) / (F.col("over") - F.col("held")), F.lit(0.0)))
+    sofar = F.sum("fraction").over(Window.orderBy(*ROUNDING).rowsBetween(Window.unboundedPreceding, 0))
+    out = out.repartition(1).withColumn("sofar", sofar)
+    more = F.floor(F.col("sofar") + 0.5) > F.floor(F.col("sofar") - F.col("fraction") + 0.5)
+    cutoff = F.when(F.col("next").isNull(), 1.0).when(more, (F.col("next") + 1) / BINS).otherwise(F.col("low") / BINS)
+    return out.select(*MARGINS, "tokens", "raked", "probability", cutoff.alias("cutoff"))
 
 
 def uniform(doc_id: Column, seed: str = SEED) -> Column:
@@ -123,26 +161,32 @@ def uniform(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def mixed(docs: DataFrame, source: str = "source", lang: str = "lang", text: str = "text", doc_id: str = "doc_id", targets: dict = TARGETS, budget: float | None = BUDGET) -> DataFrame:
-    """docs with _tokens, MARGINS, raked, probability and _kept; without a budget the
-    largest one that meets the targets is spent."""
+def mixed(docs: DataFrame, source: str = "source", lang: str = "lang", text: str = "text", doc_id: str = "doc_id", targets: dict = TARGETS, most: float = BUDGET, carry: bool = True) -> DataFrame:
+    """Per row of docs: doc (all its columns as a struct, or doc_id alone), n_tokens,
+    MARGINS, raked, probability, cutoff, kept."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    known = categorised(docs.withColumn("_tokens", n_tokens(whole)), F.col(source), F.col(lang), topic(whole), targets)
-    cells = known.groupBy(*MARGINS).agg(F.sum("_tokens").alias("tokens"))
-    weights = raked(cells, targets)
-    table = feasible(weights) if budget is None else probabilities(weights, budget)
-    return known.join(F.broadcast(table), list(MARGINS)).withColumn("_kept", uniform(F.col(doc_id)) < F.col("probability"))
+    row = F.struct(*(docs.columns if carry else [doc_id])).alias("doc")
+    known = docs.select(row, uniform(F.col(doc_id)).alias("u"), n_tokens(whole).alias("n_tokens"), *categories(F.col(source), F.col(lang), topic(whole), targets))
+    stage = Stage(docs.sparkSession, "mixing")
+    narrow = known if carry else stage.save(known, "known")
+    bins = narrow.groupBy(*MARGINS, F.floor(F.col("u") * BINS).alias("bin")).agg(F.sum("n_tokens").alias("tokens"))
+    bins = stage.save(bins, "bins")
+    cells = bins.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"))
+    table = stage.save(calibrated(feasible(raked(cells, stage, targets), most), bins), "cells")
+    out = narrow.join(F.broadcast(table.drop("tokens")), list(MARGINS))
+    return out.select("doc", "n_tokens", *MARGINS, "raked", "probability", "cutoff", (F.col("u") < F.col("cutoff")).alias("kept"))
 
 
 def sampled(docs: DataFrame) -> DataFrame:
     """A sample that meets the targets; all columns stay (pipeline stage)."""
-    return mixed(docs, budget=None).where("_kept").select(*docs.columns)
+    return mixed(docs).where("kept").select("doc.*")
 
 
 def op2_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their cell, raked share, probability and fate."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
-    return mixed(docs).select("doc_id", F.col("_tokens").alias("n_tokens"), *MARGINS, F.round("raked", 9).alias("raked"), F.round("probability", 9).alias("probability"), F.col("_kept").alias("kept"))
+    found = mixed(docs, carry=False)
+    return found.select("doc.doc_id", "n_tokens", *MARGINS, F.round("raked", 9).alias("raked"), F.round("probability", 9).alias("probability"), "cutoff", "kept")
 
 
 def _sql() -> str:
@@ -162,7 +206,7 @@ def _sql() -> str:
     keys = ", ".join(MARGINS)
     return f"""
 with recursive d as (select doc_id, source, lang, coalesce(text, '') as t from documents),
-k as (select doc_id, len(list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))::bigint as n_tokens,
+k as (select doc_id, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':{SEED}'), 1, 8))::bigint / 4294967296.0::double as u, len(list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))::bigint as n_tokens,
   {cat("source", "source_cat")}, {cat("lang", "lang_cat")}, case {topics} else 'prose' end as topic_cat from d),
 n as (select {keys}, sum(n_tokens)::bigint as tokens from k group by all),
 c as (select *, tokens / sum(tokens) over () as share from n),
@@ -171,13 +215,15 @@ it as (
   select 0 as i, {keys}, tokens, share as raked, {", ".join(f"t_{m}" for m in MARGINS)} from c {" ".join(f"join t_{m} using ({m})" for m in MARGINS)}
   union all select * replace (i + 1 as i) from ({step}) where i < {ROUNDS}),
 r as (select {keys}, tokens, raked, case when tokens > 0 then raked / tokens else 0.0 end as need from it where i = {ROUNDS}),
-w as (select *, (sum(tokens) over () * {BUDGET} - coalesce(sum(tokens) over (order by need desc, {keys} rows between unbounded preceding and 1 preceding), 0))
-  / sum(raked) over (order by need desc, {keys} rows between current row and unbounded following) as rate from r),
-f as (select *, first_value(case when rate * need < 1 then rate end ignore nulls) over (order by need desc, {keys} rows between unbounded preceding and current row) as final from w),
-p as (select {keys}, raked, case when final is null then 1.0 else least(1.0, greatest(0.0, final * need)) end as probability from f)
-select doc_id, n_tokens, {keys}, round(raked, 9) as raked, round(probability, 9) as probability,
-  ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':{SEED}'), 1, 8))::bigint / 4294967296.0 < probability as kept
-from k join p using ({keys})
+p as (select {keys}, tokens, raked, coalesce(least(1.0, least(sum(tokens) over () * {BUDGET}, 1 / nullif(max(need) over (), 0.0)) * need), 0.0) as probability from r),
+b as (select {keys}, floor(u * {BINS})::bigint as bin, sum(n_tokens)::bigint as own from k group by all),
+o as (select {keys}, bin, sum(own) over (partition by {keys} order by bin) as upto, probability * tokens as goal from b join p using ({keys})),
+e as (select {keys}, goal, coalesce(max(bin) filter (upto <= goal) + 1, 0) as low, coalesce(max(upto) filter (upto <= goal), 0) as held, min(bin) filter (upto > goal) as nxt, min(upto) filter (upto > goal) as over from o group by {keys}, goal),
+f as (select *, coalesce((goal - held) / (over - held), 0.0)::double as fraction from e),
+h as (select *, sum(fraction) over (order by {", ".join(ROUNDING)} rows between unbounded preceding and current row) as sofar from f),
+q as (select {keys}, (case when nxt is null then 1.0 when floor(sofar + 0.5) > floor(sofar - fraction + 0.5) then (nxt + 1) / {BINS} else low / {BINS} end)::double as cutoff from h)
+select doc_id, n_tokens, {keys}, round(raked, 9) as raked, round(probability, 9) as probability, cutoff, u < cutoff as kept
+from k join p using ({keys}) join q using ({keys})
 """
 
 
