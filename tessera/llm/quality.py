@@ -3,7 +3,8 @@
 Shallow boosted trees over text statistics give paths; each path is a
 conjunctive rule; a lasso logistic regression keeps the few rules that matter;
 what is left is one Spark column expression, so scoring is a single scan without
-a shuffle or Python.
+a shuffle or Python. The expression is a lambda over the statistics of a row, which
+are computed once whatever the number of rules, and generated code stays small.
 
 Labels are learned from at most ``SAMPLE`` labelled rows, those whose doc_id has
 the least hash among the rows that are not held out (crc32 of the doc_id as text
@@ -31,33 +32,32 @@ BINS, SHRINK, LEAST_LEAF, STEPS = 32, 0.3, 10, 400
 #: Documents with a score of this or more pass.
 PASS = 0.3
 
-_WORDS, _LINES, _TEXT = "_q_words", "_q_lines", "_q_text"
 FEATURES = ("n_chars", "n_words", "word_length", "distinct_words", "repeated_words", "upper", "digits", "symbols", "n_lines", "distinct_lines")
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with one double column for each of FEATURES, prefixed by ``q_``."""
+    """doc (all columns of docs as a struct) and stats (a double for each of FEATURES)."""
     space = r"[\x20\x09-\x0D]+"
-    held = docs.withColumn(_TEXT, F.coalesce(F.col(text), F.lit("")))
-    held = held.withColumn(_WORDS, F.array_remove(F.split(_TEXT, space), "")).withColumn(_LINES, F.split(_TEXT, "\n"))
-    chars, words, lines = F.length(_TEXT), F.size(_WORDS), F.size(_LINES)
+    held = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    held = held.select("doc", "text", F.array_remove(F.split("text", space), "").alias("words"), F.split("text", "\n").alias("lines"))
+    chars, words, lines = F.length("text"), F.size("words"), F.size("lines")
     share = lambda x, of: x.cast("double") / F.greatest(of, F.lit(1))
-    without = lambda pattern: share(chars - F.length(F.regexp_replace(_TEXT, pattern, "")), chars)
+    without = lambda pattern: share(chars - F.length(F.regexp_replace("text", pattern, "")), chars)
     n = F.greatest(words - 1, F.lit(0))
-    same = F.zip_with(F.slice(_WORDS, F.lit(1), n), F.slice(_WORDS, F.lit(2), n), lambda a, b: a == b)
+    same = F.zip_with(F.slice("words", F.lit(1), n), F.slice("words", F.lit(2), n), lambda a, b: a == b)
     made = (
         chars.cast("double"),
         words.cast("double"),
         share(chars, words),
-        share(F.size(F.array_distinct(_WORDS)), words),
+        share(F.size(F.array_distinct("words")), words),
         share(F.size(F.filter(same, lambda x: x)), words),
         without(r"\p{Lu}"),
         without("[0-9]"),
         without(r"""[^\p{L}\p{N}\s.,;:'"?()-]"""),
         lines.cast("double"),
-        share(F.size(F.array_distinct(_LINES)), lines),
+        share(F.size(F.array_distinct("lines")), lines),
     )
-    return held.withColumns({f"q_{name}": x for name, x in zip(FEATURES, made, strict=True)}).drop(_TEXT, _WORDS, _LINES)
+    return held.select("doc", F.struct(*[x.alias(name) for name, x in zip(FEATURES, made, strict=True)]).alias("stats"))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -76,10 +76,10 @@ class Rule:
             out &= (x[:, f] > low) & (x[:, f] <= high)
         return out
 
-    def column(self) -> Column:
+    def column(self, stats: Column) -> Column:
         parts = []
         for f, low, high in self.limits:
-            c = F.col(f"q_{FEATURES[f]}")
+            c = stats[FEATURES[f]]
             parts += [c > float(low)] * (low > -np.inf) + [c <= float(high)] * (high < np.inf)
         out = parts[0]
         for p in parts[1:]:
@@ -160,34 +160,42 @@ class RuleEnsemble:
         b, w = lasso(np.column_stack([r.holds(x) for r in rules]).astype(float), y)
         return cls(b, tuple((r, float(v)) for r, v in zip(rules, w, strict=True) if abs(v) > 1e-4))
 
-    def column(self) -> Column:
-        """The score, over the columns of :func:`statistics`."""
-        z = F.lit(self.intercept)
-        for rule, weight in self.rules:
-            z = z + F.when(rule.column(), F.lit(weight)).otherwise(F.lit(0.0))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+    def column(self, stats: Column) -> Column:
+        """The score of a struct of statistics."""
+
+        def score(x: Column) -> Column:
+            z = F.lit(self.intercept)
+            for rule, weight in self.rules:
+                z = z + F.when(rule.column(x), F.lit(weight)).otherwise(F.lit(0.0))
+            return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+
+        return F.transform(F.array(stats), score)[0]
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text") -> RuleEnsemble:
     """Fits on the bounded sample of labels that are not held out."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).where(~held_out(doc_id))
-    sample = known.groupBy(F.col(doc_id).alias("_id")).agg(F.min(label).alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(sample), "_id")
-    held = statistics(rows).select("_id", "_label", *[f"q_{f}" for f in FEATURES]).collect()
-    held.sort(key=lambda r: (r["_id"], r[2:]))
+    sample = known.groupBy(F.col(doc_id).alias("id")).agg(F.min(label).alias("label")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(sample), "id")
+    found = statistics(rows).groupBy("doc.id", "doc.label").agg(F.min("stats").alias("stats"))
+    held = found.select("id", "label", "stats.*").collect()  # one row a sampled label
+    held.sort(key=lambda r: r["id"])
     x = np.array([r[2:] for r in held], float).reshape(len(held), len(FEATURES))
     return RuleEnsemble.fit(x, np.array([r[1] for r in held], float))
 
 
 def scored(docs: DataFrame, model: RuleEnsemble, text: str = "text", score: str = "score") -> DataFrame:
     """docs with a score column."""
-    found = statistics(docs, text).withColumn(score, model.column())
-    return found.drop(*[f"q_{f}" for f in FEATURES])
+    found = statistics(docs, text).select("doc", model.column(F.col("stats")).alias("score"))
+    return found.select(*[F.col("doc")[c].alias(c) for c in docs.columns if c != score], F.col("score").alias(score))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs that pass; all columns stay (pipeline stage)."""
-    return scored(docs, train(docs, labels), score="_q_score").where(F.col("_q_score") >= PASS).select(*docs.columns)
+    model = train(docs, labels)
+    # The row number keeps the filter above the statistics, where they are computed once.
+    found = statistics(docs).withColumn("row", F.monotonically_increasing_id())
+    return found.where((F.col("row") >= 0) & (model.column(F.col("stats")) >= PASS)).select("doc.*")
 
 
 def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
