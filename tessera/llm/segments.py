@@ -28,7 +28,7 @@ class _Codes(dict):
 
 
 class SegmentCache:
-    """Subclasses give segments(text) and ids_of(segments)."""
+    """Subclasses give segments(text) and ids_of(segments): all ids, and each one's number."""
 
     def __init__(self, dtype: np.dtype, most: int = CACHED):
         self.dtype, self.most = np.dtype(dtype), most
@@ -39,7 +39,7 @@ class SegmentCache:
     def segments(self, text: str) -> list[bytes]:
         raise NotImplementedError
 
-    def ids_of(self, segments: list[bytes]) -> list[list[int]]:
+    def ids_of(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         raise NotImplementedError
 
     def _evict(self) -> None:
@@ -49,22 +49,31 @@ class SegmentCache:
         keep = np.flatnonzero(seen > 1)
         if len(keep) > self.most // 2:
             keep = np.sort(np.argsort(-seen, kind="stable")[: self.most // 2])
-        keep = [k for k in keep.tolist() if len(words[k]) <= LONGEST]
-        held = [self.flat[self.start[k] : self.start[k] + self.length[k]].copy() for k in keep]
-        self.code, self.used, self.long = _Codes(zip((words[k] for k in keep), range(len(keep)), strict=True)), 0, 0
+        keep = np.array([k for k in keep.tolist() if len(words[k]) <= LONGEST], np.int64)
+        ids, lengths = self._gathered(keep), self.length[keep]
+        self.code, self.used, self.long = _Codes(zip((words[k] for k in keep.tolist()), range(len(keep)), strict=True)), 0, 0
         self.seen[:] = 0
-        for k, ids in enumerate(held):
-            self._put(k, ids)
-
-    def _put(self, k: int, ids) -> None:
-        n = len(ids)
-        if k >= len(self.start):
-            self.start, self.length, self.seen = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.start, self.length, self.seen))
-        if self.used + n > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), n), self.dtype)])
-        self.flat[self.used : self.used + n] = ids
-        self.start[k], self.length[k] = self.used, n
-        self.used += n
+        self._put(0, ids, lengths)
+
+    def _put(self, at: int, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Holds the ids of segments at, at + 1, …"""
+        to, used = at + len(lengths), self.used + len(ids)
+        if to > len(self.start):
+            self.start, self.length, self.seen = (np.concatenate([x, np.zeros(max(len(x), to), np.int64)]) for x in (self.start, self.length, self.seen))
+        if used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), self.dtype)])
+        self.flat[self.used : used] = ids
+        self.length[at:to] = lengths
+        self.start[at:to] = self.used + np.cumsum(lengths) - lengths
+        self.used = used
+
+    def _gathered(self, codes: np.ndarray) -> np.ndarray:
+        """The ids of segments, one after another."""
+        lengths = self.length[codes]
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.start[codes] - ends + lengths, lengths)
+        at += np.arange(len(at))
+        return self.flat[at]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
@@ -78,13 +87,10 @@ class SegmentCache:
             self._evict()
         known, self.code.new = len(self.code), []
         codes = np.fromiter(map(self.code.__getitem__, every), np.int64, len(every))
-        for k, (segment, ids) in enumerate(zip(self.code.new, self.ids_of(self.code.new), strict=True), known):
-            self._put(k, ids)
-            self.long += len(segment) * (len(segment) > LONGEST)
+        if self.code.new:
+            self._put(known, *self.ids_of(self.code.new))
+            self.long += sum(len(x) for x in self.code.new if len(x) > LONGEST)
         n = len(self.code)
         self.seen[:n] += np.bincount(codes, minlength=n)
-        lengths = self.length[codes]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        at = np.repeat(self.start[codes] - ends[:-1], lengths)
-        at += np.arange(len(at))
-        return self.flat[at], np.diff(ends[np.cumsum(counts)], prepend=0)
+        ends = np.concatenate([[0], np.cumsum(self.length[codes])])
+        return self._gathered(codes), np.diff(ends[np.cumsum(counts)], prepend=0)

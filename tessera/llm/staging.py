@@ -84,12 +84,14 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-#: Bytes of input that one shard or one hash range is meant to hold.
+#: Bytes of input files that one shard or one hash range is meant to hold.
 SHARD_BYTES = 64 << 20
 
 
 def n_shards(docs: DataFrame, most_bytes: int = SHARD_BYTES) -> int:
-    """How many shards of about most_bytes the files below docs make; the shuffle
+    """How many shards of about most_bytes the tables below docs make; the shuffle
     partitions at least, so that small inputs keep all cores busy."""
-    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return max(n_partitions(docs.sparkSession), min(int(str(size)) // most_bytes + 1, 1 << 20))
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())]
+    # A leaf of which Spark doesn't know the size tells the largest one there is.
+    return max(n_partitions(docs.sparkSession), sum(x for x in sizes if x < 1 << 55) // most_bytes + 1)

@@ -12,8 +12,9 @@ Defined results: a null text counts as empty (the end id alone); repeated rows
 with one doc_id are documents of their own, ordered by text; null doc_ids come
 first; an empty table gives no documents. Documents of any length are encoded
 whole. Words are cut at ASCII white space, which no token of this kind of
-vocabulary crosses, and each distinct word is encoded once per worker; ids equal
-those of encoding the whole text, which the tests hold them against.
+vocabulary crosses (one of another kind raises), and each distinct word is encoded
+once per worker; ids equal those of encoding the whole text, which the tests hold them
+against.
 """
 
 from __future__ import annotations
@@ -30,11 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .segments import SegmentCache
-from .staging import Stage, importable, n_partitions
+from .staging import Stage, importable, n_shards
 
 LENGTH, SEQUENCES = 1024, 512
-#: Rows encoded at once.
-ROWS = 512
+#: Rows encoded at once; distinct words in one call of the library.
+ROWS, WORDS = 512, 10_000
 
 
 class WordEncoder(SegmentCache):
@@ -45,12 +46,33 @@ class WordEncoder(SegmentCache):
 
         self.tokenizer = Tokenizer.from_file(path)
         super().__init__("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        whole, apart = self._ids([" ab  cd\t\r\nef\x0b\x0cgh "])[0], self._ids(["ab", "cd", "ef", "gh"])
+        if whole != sum(apart, []):
+            raise ValueError("tokens of this vocabulary cross white space")
+        # A special token between words tells their ids apart in one call.
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        good = [(t, i) for t, i in special.items() if self._ids([f"ab{t}cd"])[0] == [*apart[0], i, *apart[1]]]
+        self.mark, self.mark_id = good[-1] if good else (None, -1)
 
     def segments(self, text: str) -> list[bytes]:
         return text.encode().split()
 
-    def ids_of(self, segments: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in segments], add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids_of(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self._part([w.decode() for w in segments[at : at + WORDS]]) for at in range(0, len(segments), WORDS)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _part(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.mark:
+            ids = np.array(self._ids([self.mark.join(words)])[0], self.dtype)
+            marks = np.flatnonzero(ids == self.mark_id)
+            if len(marks) == len(words) - 1:
+                return np.delete(ids, marks), np.diff(marks, prepend=-1, append=len(ids)) - 1
+        # No mark, or a word that holds it: one by one.
+        each = self._ids(words)
+        return np.array([i for x in each for i in x], self.dtype), np.array([len(x) for x in each], np.int64)
 
     def documents(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with an end id after each text, and how many each text has."""
@@ -144,12 +166,12 @@ class Shard:
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, shards: int | None = None, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> list[dict]:
     """Writes docs in ascending doc_id; returns the shards in order.
 
-    A shard is one range of doc_ids and one task, so there are as many entries
-    as shuffle partitions: {path, base (tokens before it), n_tokens, n_docs}.
+    A shard is one range of doc_ids and one task; there is one for about SHARD_BYTES
+    of input, and as many entries: {path, base (tokens before it), n_tokens, n_docs}.
     """
     spark = docs.sparkSession
     importable(spark)
-    shards = shards or n_partitions(spark)
+    shards = shards or n_shards(docs)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
 
