@@ -13,10 +13,14 @@ window over it also starts in a document with a smaller doc_id.
    both directions: windows over a hit are hashed whole, the smallest doc_id of
    each is found, and runs of repeated windows are the maximal exact repeats.
 
-Hashes travel packed: a task sends, for each of ``PARTS`` hash ranges, one row
-with the hashes of a chunk of documents, each hash once per chunk however many
-documents of the chunk hold it. A passage that a third of the corpus shares
-costs a chunk one entry, so no range grows with it.
+Hashes travel packed: a task sends, for each hash range, one row with the hashes of
+a chunk of documents, each hash once per chunk however many documents of the chunk
+hold it. A passage that a third of the corpus shares costs a chunk one entry, so no
+range grows with it. There is a task for about ``SHARD_BYTES`` of input, so what one
+holds does not grow with the input either.
+
+Windows are equal when their 64-bit hashes are, and hits only decide which windows
+are hashed whole.
 
 Defined results: null texts have no words; texts shorter than the window lose
 nothing; a text's own repeats are no repeats (only other, smaller doc_ids
@@ -35,20 +39,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .staging import Stage, n_partitions
+from .staging import Stage, n_shards
 
 WINDOW, BLOCK, STRIDE = 50, 11, 3
-#: Hash ranges, and hashes gathered before a chunk is sent.
-PARTS, CHUNK = 1024, 1_000_000
-ROWS = 2048
+#: Hashes gathered before a chunk is sent; rows handled at once; hash ranges a task
+#: gets on average, so that tasks get about as much.
+CHUNK, ROWS, RANGES = 1_000_000, 2048, 16
 
 _PACKED = "part int, ids binary, counts binary, hashes binary"
 _REPLY = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
 
 
-def _range_of(hashes: np.ndarray) -> np.ndarray:
-    """Which of PARTS hash ranges."""
-    return (hashes >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64)
+def _range_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Which of the hash ranges, by the upper 32 bits."""
+    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def _pack(ids: np.ndarray, hashes: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
@@ -74,8 +78,8 @@ class _Gather:
     have a hit; without, all but the smallest doc_id have a repeat.
     """
 
-    def __init__(self, flagged: bool):
-        self.flagged, self.ids, self.hashes, self.n = flagged, [], [], 0
+    def __init__(self, flagged: bool, parts: int):
+        self.flagged, self.parts, self.ids, self.hashes, self.n = flagged, parts, [], [], 0
 
     def add(self, doc_id: int, hashes: np.ndarray) -> None:
         self.ids.append(np.full(len(hashes), doc_id, np.int64))
@@ -108,17 +112,16 @@ class _Gather:
             told = ~begin
         if told.any():
             yield _pack(ids[told], bare[told], np.full(int(told.sum()), -1))
-        yield _pack(ids[first], sent, _range_of(sent))
+        yield _pack(ids[first], sent, _range_of(sent, self.parts))
 
 
-def _exchange(packed: DataFrame, flagged: bool) -> DataFrame:
+def _exchange(packed: DataFrame, flagged: bool, parts: int) -> DataFrame:
     """(doc_id, found array<binary>): each document's hits if flagged, else repeats.
 
     Replies are packed by document range, as entries are by hash range, so there
     are as many rows as tasks and ranges, not as documents and tasks.
     """
-    spread = F.when(F.col("part") >= 0, F.col("part")).otherwise(F.pmod(F.xxhash64("ids"), F.lit(PARTS)).cast("int"))
-    n = n_partitions(packed.sparkSession)
+    spread = F.when(F.col("part") >= 0, F.col("part")).otherwise(F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
 
     def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for part, i, c, h in zip(*(x.to_pylist() for x in batch.columns), strict=True):
@@ -147,7 +150,7 @@ def _exchange(packed: DataFrame, flagged: bool) -> DataFrame:
             told[1].append(bare[keep])
         ids, hashes = np.concatenate(told[0]), np.concatenate(told[1])
         if len(ids):
-            yield _pack(ids, hashes, _range_of(wordhash.mixed(ids.view(np.uint64))))
+            yield _pack(ids, hashes, _range_of(wordhash.mixed(ids.view(np.uint64)), parts))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list[bytes]] = {}
@@ -161,15 +164,15 @@ def _exchange(packed: DataFrame, flagged: bool) -> DataFrame:
             rows = every[at : at + ROWS]
             yield pa.record_batch([pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.list_(pa.binary()))], names=["doc_id", "found"])
 
-    dealt = packed.withColumn("to", spread).repartition(n, "to").drop("to")
-    return dealt.mapInArrow(resolve, _PACKED).repartition(n, "part").mapInArrow(collect, "doc_id long, found array<binary>")
+    dealt = packed.withColumn("to", spread).repartition(parts // RANGES, "to").drop("to")
+    return dealt.mapInArrow(resolve, _PACKED).repartition(parts // RANGES, "part").mapInArrow(collect, "doc_id long, found array<binary>")
 
 
-def _anchors(docs: DataFrame) -> DataFrame:
+def _anchors(docs: DataFrame, parts: int) -> DataFrame:
     """Packed index blocks and probes of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gather = _Gather(flagged=True)
+        gather = _Gather(True, parts)
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for at, words in wordhash.chunks(batch.column(1)):
@@ -202,11 +205,11 @@ def _with_hits(batch: pa.RecordBatch) -> Iterator[tuple[int, wordhash.Words, int
             yield at + i, words, i, starts, whole[w_at[i] : w_at[i + 1]][starts]
 
 
-def _windows(found: DataFrame) -> DataFrame:
+def _windows(found: DataFrame, parts: int) -> DataFrame:
     """Packed hashes of the windows over a hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gather = _Gather(flagged=False)
+        gather = _Gather(False, parts)
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
                 part = batch.slice(lo, ROWS)
@@ -266,9 +269,10 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     stage = Stage(docs.sparkSession, "substrings")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     known = docs.where("doc_id is not null and text is not null")
-    hits = stage.save(_exchange(_anchors(known), flagged=True).withColumnRenamed("found", "hits"), "hits")
+    parts = RANGES * n_shards(docs)
+    hits = stage.save(_exchange(_anchors(known, parts), True, parts).withColumnRenamed("found", "hits"), "hits")
     found = stage.save(known.join(hits, "doc_id"), "found")
-    repeats = stage.save(_exchange(_windows(found), flagged=False).withColumnRenamed("found", "repeats"), "repeats")
+    repeats = stage.save(_exchange(_windows(found, parts), False, parts).withColumnRenamed("found", "repeats"), "repeats")
     removed = stage.save(_removed(found.join(repeats, "doc_id")), "removed")
     stage.drop("hits", "found", "repeats")
     return _base(docs), removed
