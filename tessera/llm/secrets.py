@@ -31,6 +31,8 @@ KINDS = {
     "hex": (2, r"[0-9a-f]{16,}", 0, 16),
 }
 BARE = (3, r"[A-Za-z0-9+/_=-]{20,}", 0, 20)
+#: Matches of a text whose positions are summed in one block.
+RUN = 64
 #: Owners from which on a value counts as a copied example.
 COPIED_OWNERS = 3
 
@@ -39,7 +41,8 @@ def spans(text: Column, kind: str, order: int, pattern: str, group: int, least:
     """array<struct<start, ord, end, kind, value>> of one pattern, by start.
 
     A split by the pattern gives what lies between the matches; running sums of
-    both lengths are the positions.
+    both lengths are the positions. They are taken in blocks of RUN matches and then
+    over the blocks, as an array that grows match by match is copied each time.
     """
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
@@ -52,7 +55,17 @@ def spans(text: Column, kind: str, order: int, pattern: str, group: int, least:
         one = F.struct(begin.alias("start"), F.lit(order).alias("ord"), (begin + x["m"]).alias("end"), F.lit(kind).alias("kind"), x["v"].alias("value"))
         return F.struct((begin + x["m"]).alias("at"), F.when(F.length(x["v"]) >= least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(steps, start, step, lambda acc: acc["out"])).otherwise(none)
+    def blocks(every: Column) -> Column:
+        n = F.ceil(F.size(every) / RUN).cast("int")
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.aggregate(F.slice(every, b * RUN + 1, F.lit(RUN)), start, step))
+
+    def joined(own: Column) -> Column:
+        begins = F.aggregate(own, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["at"])))
+        moved = lambda x, by: F.transform(x["out"], lambda y: F.struct((y["start"] + by).alias("start"), y["ord"].alias("ord"), (y["end"] + by).alias("end"), y["kind"].alias("kind"), y["value"].alias("value")))
+        return F.flatten(F.zip_with(own, F.slice(begins, F.lit(1), F.size(own)), moved))
+
+    once = lambda value, body: F.transform(F.array(value), body)[0]
+    return F.when(text.rlike(pattern), once(once(steps, blocks), joined)).otherwise(none)
 
 
 def _mixed(value: Column) -> Column:
