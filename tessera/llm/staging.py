@@ -92,6 +92,6 @@ def n_shards(docs: DataFrame, most_bytes: int = SHARD_BYTES) -> int:
     """How many shards of about most_bytes the tables below docs make; the shuffle
     partitions at least, so that small inputs keep all cores busy."""
     leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())]
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     # A leaf of which Spark doesn't know the size tells the largest one there is.
     return max(n_partitions(docs.sparkSession), sum(x for x in sizes if x < 1 << 55) // most_bytes + 1)
