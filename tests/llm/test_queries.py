@@ -1,8 +1,11 @@
 """The contract queries on the smallest tables: oracle SQL, brute force, the pipeline."""
 
+import hashlib
 import os
+import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -34,8 +37,46 @@ def test_windows_against_brute_force(spark):
 
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = _removed(docs)
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in queries.QUERIES["op7_substring_dedup"](spark, SF).collect()}
-    assert got == {i: v[:2] for i, v in want.items()}
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in queries.QUERIES["op7_substring_dedup"](spark, SF).collect()}
+    assert got == {i: (n, gone, hashlib.sha256(left.encode()).hexdigest()) for i, (n, gone, left) in want.items()}
+
+
+def test_media_query(spark):
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    out = queries.QUERIES["op1_media_wav"](spark, SF).collect()
+    assert {r["doc_id"] for r in out} == set(docs)
+    for r in out:
+        data = docs[r["doc_id"]]
+        want = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]))
+        assert r["media_bytes"] > len(want) and len(r["fp_time"]) == len(r["fp_hash"]) == r["n_pairs"]
+
+
+def test_token_query(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    start, want = 0, []
+    for r in sorted(spark.read.parquet(f"{SF}/documents.parquet").collect(), key=lambda r: r["doc_id"]):
+        ids = [*library.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+        want.append((r["doc_id"], start, len(ids), zlib.crc32(np.array(ids, "<u4"))))
+        start += len(ids)
+    assert sorted(tuple(r) for r in queries.QUERIES["op5_token_files"](spark, SF).collect()) == want
+
+
+def test_piece_query(spark):
+    import sentencepiece
+
+    from tessera.llm import pieces
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    out = queries.QUERIES["op6_piece_transducer"](spark, SF).collect()
+    assert {r["doc_id"] for r in out} == set(texts) and all(r["round_trip"] for r in out)
+    for r in out:
+        ids = library.encode(texts[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<i4")))
 
 
 def test_near_duplicates_against_brute_force(spark):
