@@ -7,7 +7,9 @@ joins its conditions with OR; empty or malformed conditions are true.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,25 +17,31 @@ from pyspark.sql import functions as F
 FIELDS = ("source_kind", "source_path", "chunk_index", "section_id", "section_title")
 
 
+def _in(column: Column, value) -> Column:
+    if not isinstance(value, (list, tuple)):
+        raise ValueError("in needs a list")
+    return column.isin(*value) if value else F.lit(False)
+
+
+#: What a leaf's operator does with its column and value.
+LEAVES: dict[str, Callable[[Column, object], Column]] = {"==": lambda column, value: column == F.lit(value), "in": _in}
+
+
+def _leaf(node: dict, fields: tuple[str, ...]) -> Column:
+    name, test = str(node["field"]).removeprefix("meta."), LEAVES.get(node.get("operator"))
+    if name not in fields or test is None:
+        raise ValueError(f"unknown field or operator: {name} {node.get('operator')}")
+    return test(F.col(name), node.get("value"))
+
+
 def compiled(node: dict | None, fields: tuple[str, ...] = FIELDS) -> Column:
-    if not node:
-        return F.lit(True)
-    if "field" in node:
-        field, operator, value = str(node["field"]).removeprefix("meta."), node.get("operator"), node.get("value")
-        if field not in fields:
-            raise ValueError(f"unknown field {field}")
-        if operator == "==":
-            return F.col(field) == F.lit(value)
-        if operator == "in":
-            if not isinstance(value, (list, tuple)):
-                raise ValueError("in needs a list")
-            return F.col(field).isin(*value) if value else F.lit(False)
-        raise ValueError(f"unknown operator {operator}")
-    parts = node.get("conditions")
-    if not isinstance(parts, (list, tuple)) or not parts:
+    parts = node.get("conditions") if node else None
+    if node and "field" in node:
+        return _leaf(node, fields)
+    if not (parts and isinstance(parts, (list, tuple))):
         return F.lit(True)
-    every = str(node.get("operator", "AND")).upper() == "AND"
-    return reduce(lambda a, b: a & b if every else a | b, [compiled(p, fields) for p in parts])
+    join = and_ if str(node.get("operator", "AND")).upper() == "AND" else or_
+    return reduce(join, (compiled(p, fields) for p in parts))
 
 
 def equal(field: str, value) -> dict:

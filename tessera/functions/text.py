@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _LATIN = [c for c in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFKD", c)) > 1 and d[0].isascii() and all(map(unicodedata.combining, d[1:]))]
 #: Accented Latin letters and what they fold to.
@@ -18,6 +21,15 @@ UNANSWERABLE = ("not answerable", "unanswerable", "cannot be determined", "canno
 YES, NO = ("yes", "true", "correct"), ("no", "false", "incorrect")
 FORMATS = {"Str": "entity", "Int": "numeric", "Float": "numeric", "None": "unanswerable", "Bool": "boolean", "Boolean": "boolean", "Percentage": "percentage"}
 TOLERANCE, SIMILAR, ANLS_LEAST = 0.05, 0.8, 0.5
+#: Digits from which on a whole number is no long; a shorter one that is kept as a
+#: decimal was written with a point.
+WIDE = 19
+
+
+def once(value: Column, body) -> Column:
+    """body(value) with value computed once; code that is generated for an expression
+    with many uses of a costly part would grow beyond what the compiler takes."""
+    return F.transform(F.array(value), body)[0]
 
 
 def stripped(c: Column) -> Column:
@@ -30,13 +42,23 @@ def is_blank(c: Column) -> Column:
 
 
 def folded(c: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(F.translate(c, FOLD_FROM, FOLD_TO)), FOLD_FROM, FOLD_TO)
+    """Lower case without accents; a text of ASCII alone needs no table."""
+    other = F.rlike(c, F.lit(r"[^\x00-\x7F]"))
+    return F.when(other, F.translate(F.lower(F.translate(c, FOLD_FROM, FOLD_TO)), FOLD_FROM, FOLD_TO)).otherwise(F.lower(c))
+
 
+@F.pandas_udf(T.StringType())
+def match_key(c: pd.Series) -> pd.Series:
+    """Key of fuzzy comparison: without marks (compatibility decomposition), separators
+    as one space, stripped, lower case. The engine has no such decomposition."""
 
-def match_key(c: Column) -> Column:
-    """Key of fuzzy comparison: folded, separators as one space, stripped."""
-    return F.trim(F.regexp_replace(folded(c), r"(?U)[\s_.\-]+", " "))
+    def key(text: str | None) -> str | None:
+        if text is None:
+            return None
+        plain = "".join(x for x in unicodedata.normalize("NFKD", text) if not unicodedata.combining(x))
+        return re.sub(r"[\s_.\-]+", " ", plain).strip().lower()
+
+    return c.map(key)
 
 
 def terms(c: Column) -> Column:
@@ -64,22 +86,53 @@ def number(c: Column) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    x, y = F.lower(stripped(a)), F.lower(stripped(b))
-    longest = F.greatest(F.length(x), F.length(y))
-    return F.when((x == "") & (y == ""), 1.0).when((x == "") | (y == ""), 0.0).otherwise(1 - F.levenshtein(x, y) / longest)
+    def of(s: Column) -> Column:
+        x, y = s["x"], s["y"]
+        longest = F.greatest(F.length(x), F.length(y))
+        return F.when((x == "") & (y == ""), 1.0).when((x == "") | (y == ""), 0.0).otherwise(1 - F.levenshtein(x, y) / longest)
+
+    return once(F.struct(F.lower(stripped(a)).alias("x"), F.lower(stripped(b)).alias("y")), of)
 
 
 def anls(a: Column, b: Column) -> Column:
-    s = similarity(a, b)
-    return F.when(s >= ANLS_LEAST, s).otherwise(0.0)
+    return once(similarity(a, b), lambda s: F.when(s >= ANLS_LEAST, s).otherwise(0.0))
+
+
+def float_text(d: Column) -> Column:
+    """A double as the shortest text that reads back: 1.0, 1e-05, 1e+16."""
+    raw = d.cast("string")
+    mantissa, exponent = F.substring_index(raw, "E", 1), F.substring_index(raw, "E", -1).try_cast("int")
+    sign = F.when(raw.startswith("-"), "-").otherwise("")
+    digits = F.regexp_replace(F.translate(mantissa, "-.", ""), "(?<=.)0+$", "")
+    n = F.length(digits)
+    large = F.when(n <= exponent + 1, F.concat(F.rpad(digits, exponent + 1, "0"), F.lit(".0"))).otherwise(F.concat(F.substr(digits, F.lit(1), exponent + 1), F.lit("."), F.substr(digits, exponent + 2)))
+    power = F.concat(F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), "0"))
+    short = F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.when(n > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""), power)
+    small = F.concat(F.lit("0.000"), digits)
+    # The engine turns to an exponent outside 1e-3 to 1e7, the format outside 1e-4 to 1e16.
+    return F.when(~F.contains(raw, F.lit("E")), raw).otherwise(F.concat(sign, F.when(exponent == -4, small).when((exponent > 0) & (exponent < 16), large).otherwise(short)))
+
+
+def spaced_json(c: Column) -> Column:
+    """JSON without spaces as one with a space after each comma and colon."""
+    parts = F.regexp_extract_all(c, F.lit(r'("(?:[^"\\]|\\.)*"|[,:]|[^",:]+)'), F.lit(1))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.isin(",", ":"), F.concat(x, F.lit(" "))).otherwise(x)), "")
 
 
 def string_value(value: Column) -> Column:
-    """A JSON scalar as text: null is '', booleans are True and False, the rest as it
-    reads; objects and arrays as JSON."""
+    """A JSON value as text: null is '', booleans are True and False, whole numbers and
+    texts as they read, other numbers in float notation, objects (keys sorted) and arrays
+    as JSON with a space after commas and colons."""
     kind = F.schema_of_variant(value)
     text = F.try_variant_get(value, "$", "string")
-    return F.when(value.isNull() | (kind == "VOID"), "").when(kind == "BOOLEAN", F.initcap(text)).when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.to_json(value)).otherwise(text)
+    number = float_text(F.try_variant_get(value, "$", "double"))
+    return (
+        F.when(value.isNull() | (kind == "VOID"), "")
+        .when(kind == "BOOLEAN", F.initcap(text))
+        .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), spaced_json(F.to_json(value)))
+        .when(kind.isin("DOUBLE", "FLOAT") | (kind.startswith("DECIMAL") & (~kind.endswith(",0)") | (F.length(text) < WIDE))), number)
+        .otherwise(text)
+    )
 
 
 def _any(c: Column, words: tuple[str, ...]) -> Column:
@@ -88,9 +141,13 @@ def _any(c: Column, words: tuple[str, ...]) -> Column:
 
 def token_f1(prediction: Column, gold: Column) -> Column:
     words = lambda c: F.array_remove(F.array_distinct(F.split(normalised_answer(c), " ")), "")
-    p, g = words(prediction), words(gold)
-    same, n_p, n_g = F.size(F.array_intersect(p, g)), F.size(p), F.size(g)
-    return F.when(n_g == 0, F.when(n_p == 0, 1.0).otherwise(0.0)).when((n_p == 0) | (same == 0), 0.0).otherwise(2 * (same / n_p) * (same / n_g) / (same / n_p + same / n_g))
+    sizes = lambda s: F.struct(F.size(s["p"]).alias("p"), F.size(s["g"]).alias("g"), F.size(F.array_intersect(s["p"], s["g"])).alias("same"))
+
+    def of(n: Column) -> Column:
+        precision, recall = n["same"] / n["p"], n["same"] / n["g"]
+        return F.when(n["g"] == 0, F.when(n["p"] == 0, 1.0).otherwise(0.0)).when((n["p"] == 0) | (n["same"] == 0), 0.0).otherwise(2 * precision * recall / (precision + recall))
+
+    return once(once(F.struct(words(prediction).alias("p"), words(gold).alias("g")), sizes), of)
 
 
 def answer_type(raw: Column, rule: Column) -> Column:
@@ -101,27 +158,48 @@ def answer_type(raw: Column, rule: Column) -> Column:
 
 def relaxed_accuracy(prediction: Column, gold: Column, kind: Column) -> Column:
     """1 or 0 by answer type; types that find nothing to compare fall through."""
-    p, g = normalised_answer(prediction), normalised_answer(gold)
     one = lambda c: F.when(c, 1.0).otherwise(0.0)
-    said = F.when(_any(p, YES), True).when(_any(p, NO), False)
-    boolean = F.when(said.isNull(), 0.0).otherwise(one(said == _any(g, YES)))
-    np, ng = number(p), number(g)
-    numeric = F.when(ng == 0, one(F.abs(np) < 1e-6)).otherwise(one(F.abs(np - ng) / F.abs(ng) <= TOLERANCE))
     option = lambda c: F.regexp_extract(F.upper(stripped(c)), r"(?U)\b([A-D])\b", 1)
-    rest = one(((g != "") & F.contains(p, g)) | (similarity(p, g) >= SIMILAR))
-    return (
-        F.when(kind == "unanswerable", one(_any(p, UNANSWERABLE)))
-        .when(kind == "boolean", boolean)
-        .when(kind.isin("numeric", "percentage") & np.isNotNull() & ng.isNotNull(), numeric)
-        .when((kind == "single_choice") & (option(prediction) != "") & (option(gold) != ""), one(option(prediction) == option(gold)))
-        .otherwise(rest)
-    )
+    texts = F.struct(normalised_answer(prediction).alias("p"), normalised_answer(gold).alias("g"), option(prediction).alias("op"), option(gold).alias("og"), kind.alias("kind"))
+
+    def known(s: Column) -> Column:
+        said = F.when(_any(s["p"], YES), True).when(_any(s["p"], NO), False)
+        return F.struct(s["p"].alias("p"), s["g"].alias("g"), s["op"].alias("op"), s["og"].alias("og"), s["kind"].alias("kind"), number(s["p"]).alias("np"), number(s["g"]).alias("ng"), said.alias("said"))
+
+    def of(s: Column) -> Column:
+        p, g, np, ng, kind = (s[c] for c in ("p", "g", "np", "ng", "kind"))
+        boolean = F.when(s["said"].isNull(), 0.0).otherwise(one(s["said"] == _any(g, YES)))
+        numeric = F.when(ng == 0, one(F.abs(np) < 1e-6)).otherwise(one(F.abs(np - ng) / F.abs(ng) <= TOLERANCE))
+        return (
+            F.when(kind == "unanswerable", one(_any(p, UNANSWERABLE)))
+            .when(kind == "boolean", boolean)
+            .when(kind.isin("numeric", "percentage") & np.isNotNull() & ng.isNotNull(), numeric)
+            .when((kind == "single_choice") & (s["op"] != "") & (s["og"] != ""), one(s["op"] == s["og"]))
+            .otherwise(one(((g != "") & F.contains(p, g)) | (similarity(p, g) >= SIMILAR)))
+        )
+
+    return once(once(texts, known), of)
+
 
+def chunk_identity(kind: Column, path: Column, index: Column, section_id: Column, title: Column, own_id: Column | None = None, content: Column | None = None) -> Column:
+    """SHA-1 of the chunk's coordinates; a null reads ``None``.
 
-def chunk_identity(kind: Column, path: Column, index: Column, section_id: Column, title: Column) -> Column:
-    """SHA-1 of the chunk's coordinates; a null reads ``None``."""
+    Without a path or an index it is the chunk's own id if it has one, else the SHA-1
+    of its content.
+    """
     parts = [F.coalesce(c.cast("string"), F.lit("None")) for c in (kind, path, index, section_id, title)]
-    return F.sha1(F.concat_ws("::", *parts))
+    whole = F.sha1(F.concat_ws("::", *parts))
+    if own_id is None and content is None:
+        return whole
+    rest = [F.nullif(own_id, F.lit(""))] if own_id is not None else []
+    rest += [F.sha1(F.coalesce(content, F.lit("")))] if content is not None else []
+    return F.when(path.isNotNull() & index.isNotNull(), whole).otherwise(F.coalesce(*rest))
+
+
+def canonical_json(c: Column) -> Column:
+    """JSON with sorted keys and without spaces; malformed text raises."""
+    value = F.try_parse_json(c)
+    return F.when(value.isNull(), F.raise_error(F.concat(F.lit("invalid JSON: "), F.coalesce(c, F.lit("null"))))).otherwise(F.to_json(value))
 
 
 def portable_key(path: Column) -> Column:

@@ -28,3 +28,18 @@ def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
     places = F.sequence(F.lit(0), F.lit(dimensions - 1))
     raw = _let(F.sha2(text, 256), lambda h: F.transform(places, lambda j: F.conv(F.substr(h, 2 * (j % 32) + 1, F.lit(2)), 16, 10).cast("double") / 255.0 * 2 - 1))
     return _let(raw, lambda r: _let(F.sqrt(dot(r, r)), lambda n: F.transform(r, lambda x: x / n)))
+
+
+def serialised(v: Column) -> Column:
+    """A vector as JSON without spaces; null stays null."""
+    return F.to_json(v.cast("array<double>"))
+
+
+def deserialised(c: Column) -> Column:
+    """The vector of a JSON text; null for a null or empty one. Malformed text raises."""
+    return F.when(F.coalesce(c, F.lit("")) != "", F.from_json(c, "array<double>", {"mode": "FAILFAST"}))
+
+
+def normalised(v: Column) -> Column:
+    """A vector at unit length; a zero vector stays as it is."""
+    return _let(F.sqrt(dot(v, v)), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))

@@ -13,8 +13,9 @@ from ..functions.ranks import numbered
 
 def matches(question: str | None = None, source: str | None = None, subset: list[str] | None = None, text: Column | None = None, ids: Column | None = None, sources: Column | None = None) -> Column:
     """Substring tests of a case: any subset part in its id, the question in text or
-    id, the source in any of its sources; what is not given holds."""
-    has = lambda c, s: F.contains(F.lower(c), F.lit(s.lower()))
+    id, the source in any of its sources; what is not given holds. Upper and lower case,
+    also of a sharp s, are alike."""
+    has = lambda c, s: F.contains(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit(s.casefold()))
     out = F.lit(True)
     if subset:
         out = out & reduce(lambda a, b: a | b, [F.contains(ids, F.lit(s)) for s in subset])
@@ -95,3 +96,29 @@ def pruned_messages(rows: DataFrame, run: str, seq: str, role: str) -> DataFrame
     last = F.max(F.when(F.col(role).isin("assistant", "user"), F.struct(F.col(seq), F.col(role)))).over(by)[role]
     out = out.withColumn("_last", F.coalesce(last, F.lit("")))
     return out.where(~((F.col("_group") == 1) & (F.col("_last") == "assistant"))).drop("_group", "_last")
+
+
+def with_info(questions: DataFrame, info: DataFrame, key: str, seq: str) -> DataFrame:
+    """questions with info, a struct of the other columns of info; of several rows of a
+    key the last by seq, null where there is none."""
+    fields = [c for c in info.columns if c not in (key, seq)]
+    last = info.groupBy(key).agg(F.max_by(F.struct(*fields), seq).alias("info"))
+    return questions.join(last, key, "left")
+
+
+def with_files(questions: DataFrame, files: DataFrame, key: str) -> DataFrame:
+    """questions of which the file is listed in files (key)."""
+    return questions.join(files.select(key).distinct(), key, "left_semi")
+
+
+def selected(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """known rows of the wanted keys; wanted keys that are not known raise."""
+    unknown = [r[0] for r in wanted.select(key).join(known.select(key), key, "left_anti").distinct().orderBy(key).head(10)]
+    if unknown:
+        raise ValueError(f"unknown {key}: {', '.join(map(str, unknown))}")
+    return known.join(wanted.select(key).distinct(), key, "left_semi")
+
+
+def first_order(rows: DataFrame, key: str, seq: str) -> DataFrame:
+    """Distinct keys by their first place."""
+    return rows.groupBy(key).agg(F.min(seq).alias(seq)).orderBy(seq, key)

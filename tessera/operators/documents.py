@@ -9,11 +9,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..functions import vectors as V
+from . import toc as O
 
 BODY = "#/body"
 DEEPEST = 20
@@ -96,19 +100,27 @@ def cache_problems(sources: DataFrame, rows: DataFrame, tocs: DataFrame) -> Data
     return out.select("source_path", F.coalesce(F.col("good") & F.col("valid"), F.lit(False)).alias("valid"))
 
 
-def embedded(rows: DataFrame, model, column: str = "content", most: int = 2048, prefix: str = "") -> DataFrame:
+#: Texts that a model gets in one call.
+EMBED_BATCH = 96
+
+
+def embedded(rows: DataFrame, model, column: str = "content", most: int = 2048, prefix: str = "", batch: int = EMBED_BATCH, unit: bool = True) -> DataFrame:
     """rows with embedding, by a factory model() -> (list of texts -> array of vectors).
 
-    The seam for real models: loaded once per worker, fed with Arrow batches.
+    The seam for real models: loaded once per worker, called with at most ``batch``
+    texts of at most ``most`` characters. Vectors are scaled to unit length unless unit
+    is false.
     """
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = model()
         for texts in batches:
             cut = [(prefix + (t or ""))[:most] for t in texts]
-            yield pd.Series([list(map(float, v)) for v in encode(cut)], dtype=object)
+            made = [v for at in range(0, len(cut), batch) for v in encode(cut[at : at + batch])]
+            yield pd.Series([list(map(float, v)) for v in made], dtype=object)
 
-    return rows.withColumn("embedding", run(F.col(column)))
+    found = rows.withColumn("embedding", run(F.col(column)))
+    return found.withColumn("embedding", V.normalised(F.col("embedding"))) if unit else found
 
 
 def sentence_index(chunks: DataFrame, key: list[str]) -> DataFrame:
@@ -116,6 +128,46 @@ def sentence_index(chunks: DataFrame, key: list[str]) -> DataFrame:
     return chunks.select(*key, F.posexplode(X.sentences(F.col("content"))).alias("sent_id", "sentence"))
 
 
+def chunks_hash(chunks: DataFrame, document: str, key: str) -> DataFrame:
+    """(document, chunks_hash): a digest of each document's chunks by the integer column key."""
+    return O.fingerprint(chunks, document, key, F.sha2("content", 256)).withColumnRenamed("revision", "chunks_hash")
+
+
+def build_sentence_index(chunks: DataFrame, document: str, key: str, model, name: str, path: str) -> None:
+    """Writes each document's sentences with unit vectors, the model's name and the digest
+    of its chunks; a document's partition is replaced as a whole."""
+    rows = embedded(sentence_index(chunks, [document, key]), model, "sentence")
+    rows = rows.join(chunks_hash(chunks, document, key), document).withColumn("model_name", F.lit(name))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(document).parquet(path)
+
+
+def index_matches(chunks: DataFrame, document: str, key: str, name: str, path: str) -> DataFrame:
+    """(document, matches): whether there is an index of this model and these chunks."""
+    spark = chunks.sparkSession
+    wanted = chunks_hash(chunks, document, key)
+    try:
+        held = spark.read.parquet(path).select(F.col(document).cast(wanted.schema[document].dataType).alias(document), "model_name", F.col("chunks_hash").alias("_held")).distinct()
+    except AnalysisException:  # no index yet
+        return wanted.select(document, F.lit(False).alias("matches"))
+    same = (F.col("_held") == F.col("chunks_hash")) & (F.col("model_name") == name)
+    return wanted.join(held, document, "left").groupBy(document).agg(F.bool_and(F.coalesce(same, F.lit(False))).alias("matches"))
+
+
+def parsed_with_cache(files: DataFrame, parse, path: str, schema: str = "array<string>") -> DataFrame:
+    """files (file, file_hash, content) with result, by a parser that runs on contents not
+    parsed before; new results are added to the cache (file_hash, result) below path."""
+    spark = files.sparkSession
+    try:
+        held = spark.read.schema(f"file_hash string, result {schema}").parquet(path)
+    except AnalysisException:  # no cache yet
+        held = spark.createDataFrame([], f"file_hash string, result {schema}")
+    new = files.join(held.select("file_hash"), "file_hash", "left_anti").dropDuplicates(["file_hash"])
+    done, _ = isolated(new, parse, "content", schema)
+    done.select("file_hash", "result").write.mode("append").parquet(path)
+    cache = spark.read.schema(f"file_hash string, result {schema}").parquet(path).dropDuplicates(["file_hash"])
+    return files.select("file", "file_hash").join(cache, "file_hash", "left")
+
+
 def isolated(rows: DataFrame, kernel, column: str, schema: str = "array<string>") -> tuple[DataFrame, DataFrame]:
     """(results, failures): kernel on each row; an error concerns its row only."""
     @F.pandas_udf(f"struct<result: {schema}, error: string>")

@@ -8,6 +8,7 @@ vectors only.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,15 @@ ORDER = ("source_path", "chunk_index", "id")
 WINDOW_MOST, CONTEXT_DOCS, CONTEXT_CHARS = 5, 20, 45_000
 
 
+#: Rows that a request names at most to be sent to every task.
+REQUEST = 1000
+
+
+def request(rows: DataFrame, most: int = REQUEST) -> DataFrame:
+    """A request's rows: broadcast if there are few, else joined partition by partition."""
+    return F.broadcast(rows) if len(rows.head(most + 1)) <= most else rows.hint("shuffle_replicate_nl")
+
+
 def vector_topk(rows: DataFrame, query: DataFrame, k: int = LEG, vector: str = "embedding", order: tuple[str, ...] = ORDER) -> DataFrame:
     """The k rows nearest to the one vector of query (column q), with score.
 
@@ -87,14 +97,14 @@ def bm25_topk(rows: DataFrame, query: str, k: int = LEG, predicate: Column | Non
     return scored.select(*rows.columns, "bm25", "score").orderBy("bm25", *order).limit(k or LEG)
 
 
-def like_topk(rows: DataFrame, query: str, k: int = LEG, content: str = "content") -> DataFrame:
+def like_topk(rows: DataFrame, query: str, k: int = LEG, content: str = "content", order: tuple[str, ...] = ("source_path", "chunk_index")) -> DataFrame:
     """Fallback without an index: any term as a substring, cut in scan order, then
     scored by the share of terms. A ``_`` matches any character in the search only."""
     tokens = query_tokens(query)
     low = F.lower(content)
     if not tokens:
         return rows.limit(0).withColumn("score", F.lit(0.0))
-    cut = rows.where(reduce(lambda a, b: a | b, [F.like(low, F.lit(f"%{t}%")) for t in tokens])).orderBy("source_path", "chunk_index").limit(k)
+    cut = rows.where(reduce(lambda a, b: a | b, [F.like(low, F.lit(f"%{t}%")) for t in tokens])).orderBy(*order).limit(k)
     hits = reduce(lambda a, b: a + b, [F.contains(low, F.lit(t)).cast("int") for t in tokens])
     return cut.withColumn("score", hits / len(tokens))
 
@@ -120,33 +130,54 @@ def fused(legs: list[DataFrame], keys: list[str], k: int) -> DataFrame:
     return out.orderBy(F.desc(F.round("rrf", 12)), F.desc("hits"), F.desc("best_score"), "_seen").limit(k).drop("_seen")
 
 
-def hybrid(rows: DataFrame, query: str, vector: DataFrame, k: int = FINAL, predicate: Column | None = None) -> DataFrame:
-    """Vector and keyword legs over chunks, fused by chunk key."""
+def hybrid(rows: DataFrame, query: str, vector: DataFrame, k: int = FINAL, predicate: Column | None = None, keys: tuple[str, ...] = ("source_path", "chunk_index"), warn: Callable[[str, Exception], None] | None = None) -> DataFrame:
+    """Vector and keyword legs over chunks, fused by chunk key.
+
+    With warn, a leg that fails is told and left out; if both fail the second error
+    is raised.
+    """
+    keys = list(keys)
+    order = (*keys, "id")
     scoped = rows if predicate is None else rows.where(predicate)
-    keys = ["source_path", "chunk_index"]
-    semantic = vector_topk(scoped.select(*ORDER, "embedding"), vector, LEG)
-    lexical = bm25_topk(rows.select(*ORDER, "section_id", "content"), query, LEG, predicate)
-    return fused([ranked(semantic, 0, keys, [F.desc("score"), *ORDER]), ranked(lexical, 1, keys, ["bm25", "source_path", "chunk_index"])], keys, k)
+    semantic = lambda: ranked(vector_topk(scoped.select(*order, "embedding"), vector, LEG, order=order), 0, keys, [F.desc("score"), *order])
+    lexical = lambda: ranked(bm25_topk(rows.select(*order, "section_id", "content"), query, LEG, predicate, order=tuple(keys)), 1, keys, ["bm25", *keys])
+    if warn is None:
+        return fused([semantic(), lexical()], keys, k)
+    legs, failure = [], None
+    for name, leg in (("semantic", semantic), ("keyword", lexical)):
+        try:
+            # A leg is a few dozen rows; it runs here so that its failure is its own.
+            found = leg()
+            legs.append(rows.sparkSession.createDataFrame(found.collect(), found.schema))
+        except Exception as e:
+            warn(name, e)
+            failure = e
+    if not legs:
+        raise failure
+    return fused(legs, keys, k)
 
 
 def resolve_file(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """(file_id, source_path): exact, then basename containment either way, then the
-    folded key. Ties go to the smaller path. Files are a listing, wanted a request.
+    folded key. Ties go to the smaller path. Files are a listing, wanted a request; keys
+    are made once a file and once a request.
     """
-    needle, base = F.lower("file_id"), F.lower(X.basename(F.col("source_path")))
-    n_key, b_key = X.match_key(needle), X.match_key(base)
+    base = F.lower(X.basename(F.col("source_path")))
+    listing = files.select("source_path").distinct().withColumns({"base": base, "b_key": X.match_key(base)})
+    needles = wanted.select("file_id", F.lower("file_id").alias("needle")).withColumn("n_key", X.match_key(F.col("needle")))
     # The third rule reads: the base's key starts with or holds the needle's key.
-    rank = F.when(F.col("file_id") == F.col("source_path"), 1).when(F.contains(base, needle) | F.contains(needle, base), 2).when(F.contains(b_key, n_key), 3)
-    best = files.select("source_path").distinct().crossJoin(F.broadcast(wanted.select("file_id"))).withColumn("_p", rank).where("_p is not null")
+    rank = F.when(F.col("file_id") == F.col("source_path"), 1).when(F.contains("base", "needle") | F.contains("needle", "base"), 2).when(F.contains("b_key", "n_key"), 3)
+    best = listing.crossJoin(request(needles)).withColumn("_p", rank).where("_p is not null")
     best = best.groupBy("file_id").agg(F.min(F.struct("_p", "source_path")).alias("m"))
     return wanted.select("file_id").join(best, "file_id", "left").select("file_id", F.col("m.source_path").alias("source_path"))
 
 
 def resolve_title(wanted: DataFrame, sections: DataFrame) -> DataFrame:
     """(needle, title): exact, equal keys, key contained; first in section order."""
-    need, key = X.match_key(F.col("needle")), X.match_key(F.col("title"))
-    rank = F.when(F.col("needle") == F.col("title"), 1).when(need == key, 2).when((need != "") & F.contains(key, need), 3)
-    best = sections.select("title", "ordinal").crossJoin(F.broadcast(wanted.select("needle"))).withColumn("_p", rank).where("_p is not null")
+    listing = sections.select("title", "ordinal").withColumn("key", X.match_key(F.col("title")))
+    needles = wanted.select("needle").withColumn("need", X.match_key(F.col("needle")))
+    rank = F.when(F.col("needle") == F.col("title"), 1).when(F.col("need") == F.col("key"), 2).when((F.col("need") != "") & F.contains("key", "need"), 3)
+    best = listing.crossJoin(request(needles)).withColumn("_p", rank).where("_p is not null")
     best = best.groupBy("needle").agg(F.min(F.struct("_p", "ordinal", "title")).alias("m"))
     return wanted.select("needle").join(best, "needle", "left").select("needle", F.col("m.title").alias("title"))
 

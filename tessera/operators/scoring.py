@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 
+#: Statuses of a run that could not read its documents; a passing score.
 OVERFLOW = ("context_overflow", "vision_unsupported")
 PASSING = 0.7
 MAX_CALLS, MAX_INPUT, STALE = 30, 500_000, 5
@@ -37,11 +38,32 @@ def bucket(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def breakdowns(rows: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
-    """The bucket of each key of each dimension, in one pass; arrays count for each
-    of their entries, null is ``unknown``."""
-    pair = lambda name, c: F.transform(c, lambda v: F.struct(F.lit(name).alias("dimension"), F.coalesce(v, F.lit("unknown")).alias("key")))
+    """The bucket of each key of each dimension, in one pass and by dimension and key;
+    arrays count for each of their entries, null, '' and an empty array are ``unknown``."""
+    unknown = F.lit("unknown")
+    filled = lambda c: F.when(F.coalesce(F.size(c), F.lit(0)) > 0, c).otherwise(F.array(unknown))
+    pair = lambda name, c: F.transform(filled(c), lambda v: F.struct(F.lit(name).alias("dimension"), F.coalesce(F.nullif(v, F.lit("")), unknown).alias("key")))
     every = F.concat(*[pair(n, c) for n, c in dimensions.items()])
-    return bucket(rows.select(F.explode(every).alias("d"), *METRICS).select("d.dimension", "d.key", *METRICS), "dimension", "key")
+    return bucket(rows.select(F.explode(every).alias("d"), *METRICS).select("d.dimension", "d.key", *METRICS), "dimension", "key").orderBy("dimension", "key")
+
+
+def report(rows: DataFrame, gold: DataFrame, predictions: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
+    """An evaluation as (section, key, n, METRICS): counts of questions and predictions,
+    the overall bucket and every breakdown, in report order.
+
+    rows are the scored questions, gold and predictions have a question_id each.
+    """
+    ids = lambda df: df.select("question_id").distinct()
+    number = lambda key, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit("counts").alias("section"), F.lit(key).alias("key"), "n")
+    counts = [
+        number("gold", gold), number("prediction", predictions), number("evaluated", rows),
+        number("missing_prediction", ids(gold).join(ids(predictions), "question_id", "left_anti")),
+        number("extra_prediction", ids(predictions).join(ids(gold), "question_id", "left_anti")),
+    ]
+    none = {m: F.lit(None).cast("double") for m in METRICS}
+    out = reduce(DataFrame.unionByName, counts).withColumns(none)
+    overall = bucket(rows).select(F.lit("overall").alias("section"), F.lit("").alias("key"), "n", *METRICS)
+    return out.unionByName(overall).unionByName(breakdowns(rows, dimensions).withColumnRenamed("dimension", "section"))
 
 
 def last_wins(rows: DataFrame, key: str, seq: Column, value: str) -> DataFrame:
@@ -63,11 +85,61 @@ def judge_metrics(rows: DataFrame) -> DataFrame:
         F.count_if(F.col("score") >= PASSING).alias("passed"),
         F.count_if(F.col("score") < PASSING).alias("failed"),
         F.count_if(~F.col("schema_valid")).alias("schema_invalid"),
-        F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"),
-        F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"),
+        *token_sums(),
     )
 
 
+#: The kinds of tokens that runs count.
+TOKENS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")
+
+
+def token_sums() -> list[Column]:
+    """One sum a kind of tokens, 0 for none."""
+    return [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in TOKENS]
+
+
+def token_totals(rows: DataFrame, *keys: str) -> DataFrame:
+    """TOKENS of each group, and total_tokens."""
+    return rows.groupBy(*keys).agg(*token_sums()).withColumn("total_tokens", reduce(lambda a, b: a + b, map(F.col, TOKENS)))
+
+
+#: What becomes of a case.
+STATUSES = ("completed", "failed", "skipped")
+
+
+def run_status(rows: DataFrame) -> DataFrame:
+    """How many cases there are of each of STATUSES, and in all."""
+    return counted(rows, "status", STATUSES)
+
+
+def per_document(rows: DataFrame, document: str) -> DataFrame:
+    """(document, n): questions of each document, most first."""
+    return rows.groupBy(document).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), document)
+
+
+def submission_counts(rows: DataFrame) -> DataFrame:
+    """What a submission's debug file counts, of rows (prediction, outcome,
+    carried_forward, TOKENS)."""
+    outcomes = [F.count_if(F.col("outcome") == v).alias(n) for v, n in zip(OUTCOMES, (*OUTCOMES[:4], "malformed_omitted", "runtime_error_omitted"), strict=True)]
+    carried = F.coalesce("carried_forward", F.lit(False))
+    return rows.agg(F.count(F.lit(1)).alias("selected"), F.count("prediction").alias("emitted"), *outcomes, F.count_if(carried).alias("carried_forward"), F.count_if(~carried).alias("rerun"), *[x.alias(f"total_{c}") for x, c in zip(token_sums(), TOKENS, strict=True)])
+
+
+def in_order(rows: DataFrame, wanted: DataFrame, key: str, seq: str) -> DataFrame:
+    """rows in the order of wanted (key, seq); what is not wanted goes."""
+    return rows.join(wanted.select(key, seq), key).orderBy(seq).select(*rows.columns)
+
+
+#: Characters of a question that a result keeps.
+QUESTION_CHARS = 100
+
+
+def error_results(rows: DataFrame, error: Column) -> DataFrame:
+    """Result rows of cases that failed: test_id, the question's start, status, error."""
+    question = F.substring("question", 1, QUESTION_CHARS)
+    return rows.select("test_id", question.alias("question"), F.lit("failed").alias("status"), error.alias("error"))
+
+
 def phase_costs(rows: DataFrame) -> DataFrame:
     """Calls, tokens and cost by phase, and ``total``."""
     out = rows.rollup("tool").agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 6).alias("cost_usd"), F.grouping("tool").alias("_g"))
@@ -82,9 +154,10 @@ def attributed(rows: DataFrame, group: str, seq: list[str], total: str) -> DataF
 
 
 def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(side, id, n): what is only, or more often, on one side."""
-    one = lambda a, b, side: a.exceptAll(b).groupBy("id").agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(side))
-    return one(left, right, "missing").unionByName(one(right, left, "extra"))
+    """(side, id, n): what is only, or more often, on one side; one shuffle of counts."""
+    sides = left.select("id", F.lit(1).alias("by")).unionByName(right.select("id", F.lit(-1).alias("by")))
+    more = sides.groupBy("id").agg(F.sum("by").alias("by")).where("by <> 0")
+    return more.select("id", F.abs("by").alias("n"), F.when(F.col("by") > 0, "missing").otherwise("extra").alias("side"))
 
 
 def stale_streaks(rows: DataFrame, run: str, seq: list[str], key: str) -> DataFrame:
@@ -131,6 +204,18 @@ def first_present(*columns: Column) -> Column:
     return F.coalesce(*columns, F.lit(""))
 
 
+#: Names under which a result may hold its question, answers and status.
+ALIASES = {"question": ("question",), "reference": ("gold_answer", "reference", "benchmark_answer", "golden_answer"), "generated": ("generated_answer", "generated", "mafin_answer", "answer")}
+
+
+def normalised_results(rows: DataFrame) -> DataFrame:
+    """rows with question, reference and generated of the first alias that is there and
+    not null, else '', and status, else ``completed``."""
+    said = {n: first_present(*[F.col(a).cast("string") for a in names if a in rows.columns]) for n, names in ALIASES.items()}
+    status = F.coalesce(F.col("status"), F.lit("completed")) if "status" in rows.columns else F.lit("completed")
+    return rows.withColumns({**said, "status": status})
+
+
 def evaluation_route(question: Column, reference: Column, generated: Column) -> Column:
     """What happens to a result before judging: a missing question or answer fails it,
     a missing reference skips it."""
@@ -139,7 +224,3 @@ def evaluation_route(question: Column, reference: Column, generated: Column) ->
 
 def counted(rows: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
     return rows.agg(*[F.count_if(F.col(column) == v).alias(v) for v in values], F.count(F.lit(1)).alias("total"))
-
-
-def any_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns)

@@ -77,22 +77,59 @@ def rendered(sections: DataFrame) -> DataFrame:
     return lines.select("source_path", F.concat(head, F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("rendered"))
 
 
-def revision(entries: DataFrame, key: str, seq: str, columns: list[str]) -> DataFrame:
-    """SHA-256 of each key's entries in order."""
-    line = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    rows = entries.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), line.alias("l")))).alias("e"))
-    return rows.select(key, F.sha2(F.array_join(F.transform("e", lambda x: x["l"]), "\n"), 256).alias("revision"), F.size("e").alias("section_count"))
+#: Fields of a section that a revision covers; canonical JSON has them in this order.
+REVISED = ("breadcrumb", "char_count", "direct_chunk_count", "ordinal", "page_start", "section_id", "section_title")
 
 
-def index_states(files: DataFrame, tocs: DataFrame, state: DataFrame, records: DataFrame) -> DataFrame:
-    """Status of each file's section index and whether it may be searched.
+def revision(records: DataFrame) -> DataFrame:
+    """(source_path, revision, section_count): SHA-256 of the canonical JSON (sorted keys,
+    no spaces, nulls written) of each file's section records in order."""
+    line = F.to_json(F.struct(*REVISED), {"ignoreNullFields": "false"})
+    rows = records.groupBy("source_path").agg(F.array_sort(F.collect_list(F.struct("ordinal", line.alias("l")))).alias("e"))
+    whole = F.concat(F.lit("["), F.array_join(F.transform("e", lambda x: x["l"]), ","), F.lit("]"))
+    return rows.select("source_path", F.sha2(whole, 256).alias("revision"), F.size("e").alias("section_count"))
+
+
+#: Entries that one row of a fingerprint's level joins, and the levels.
+SPAN, SPANS = 4096, 3
+
+
+def fingerprint(rows: DataFrame, key: str, seq: str, line: Column) -> DataFrame:
+    """(key, revision): a digest of each key's lines by the integer column seq.
+
+    Digests of ranges of seq, then of ranges of these ranges, so that no row joins the
+    lines of a large key.
+    """
+    found = rows.select(F.col(key).alias("key"), F.col(seq).cast("long").alias("at"), line.alias("l"))
+    for level in range(SPANS):
+        to = F.floor(F.col("at") / SPAN).cast("long") if level < SPANS - 1 else F.lit(0).cast("long")
+        each = found.groupBy("key", to.alias("to")).agg(F.array_sort(F.collect_list(F.struct("at", "l"))).alias("e"))
+        found = each.select("key", F.col("to").alias("at"), F.sha2(F.array_join(F.transform("e", lambda x: F.concat_ws(":", x["at"].cast("string"), x["l"])), "\n"), 256).alias("l"))
+    return found.select(F.col("key").alias(key), F.col("l").alias("revision"))
+
+
+def index_states(files: DataFrame, tocs: DataFrame, state: DataFrame, expected: DataFrame, records: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """Status of each file's section index, whether it is to be rebuilt, and whether it
+    may be searched.
 
     files (source_path, indexed, valid); tocs, state (source_path, revision,
-    section_count); records (source_path, n_records, embedded).
+    section_count); expected (source_path, ordinal, section_id) of the section trees,
+    records (…, embedded) of the index: an index is current if both hold the same set
+    of (ordinal, section_id) and every record has a vector. failed (source_path) are
+    files of which the rebuilding failed.
     """
     t = tocs.select("source_path", F.col("revision").alias("wanted"), F.col("section_count").alias("n_wanted"))
     s = state.select("source_path", F.col("revision").alias("held"), F.col("section_count").alias("n_held"))
-    out = files.join(t, "source_path", "left").join(s, "source_path", "left").join(records, "source_path", "left")
-    drift = ~(F.col("wanted").eqNullSafe(F.col("held")) & F.col("n_wanted").eqNullSafe(F.col("n_held")) & F.col("n_wanted").eqNullSafe(F.col("n_records")) & F.coalesce("embedded", F.lit(False)))
-    status = F.when(~F.col("indexed"), "SOURCE_NOT_INDEXED").when(F.col("wanted").isNull(), "MISSING_TOC").when(~F.col("valid"), "INVALID_TOC").otherwise("OK")
-    return out.select("source_path", status.alias("status"), ((status == "OK") & drift).alias("rebuild"), ((status == "OK") & (F.coalesce("n_records", F.lit(0)) >= 1)).alias("eligible"))
+    keys = ["source_path", "ordinal", "section_id"]
+    both = expected.select(*keys, F.lit(True).alias("_e")).join(records.select(*keys, F.lit(True).alias("_r"), "embedded"), keys, "full")
+    same = F.bool_and(F.col("_e").isNotNull() & F.col("_r").isNotNull() & F.coalesce("embedded", F.lit(False)))
+    sets = both.groupBy("source_path").agg(same.alias("same"), F.count("_e").alias("n_expected"))
+    out = files.join(t, "source_path", "left").join(s, "source_path", "left").join(sets, "source_path", "left")
+    current = F.col("wanted").eqNullSafe(F.col("held")) & F.col("n_wanted").eqNullSafe(F.col("n_held")) & F.coalesce("same", F.lit(True))
+    broken = F.lit(False)
+    if failed is not None:
+        out = out.join(failed.select("source_path", F.lit(True).alias("_failed")), "source_path", "left")
+        broken = F.col("_failed").isNotNull()
+    status = F.when(F.col("wanted").isNull(), "MISSING_TOC").when(~F.col("valid"), "INVALID_TOC").when(~F.col("indexed"), "SOURCE_NOT_INDEXED").when(~current & broken, "BACKFILL_FAILED").otherwise("OK")
+    ok = status == "OK"
+    return out.select("source_path", status.alias("status"), (ok & ~current).alias("rebuild"), (ok & (F.coalesce("n_expected", F.lit(0)) >= 1)).alias("eligible"))

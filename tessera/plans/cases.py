@@ -125,8 +125,13 @@ select case_id, case when bool_or(missing) then 'fatal' when bool_or(bad) then '
     "upsert_skip": f"with {_HELD} select id, content, seq from b where seq = 1 and id not in (select id from h)",
     "upsert_replace": f"with {_HELD} select id, content, seq from h where id not in (select id from b) union all select id, content, seq from b where seq = 2",
     "uncached_sources": "select distinct source as source_path from documents where source not in (select source from documents where doc_id % 50 < 12)",
-    "source_key_migration": """with r as (select 'datasets/web/' || page_id || '.html' as key, page_id % 8 as m, md5(html) as content from pages where page_id < 40)
-select key as source_path, content as value, 'kept' as kind from r where m <> 3 union all select key, '2', 'conflict' from r where m = 3""",
+    "source_key_migration": """with p as (select page_id, 'datasets/web/' || (page_id // 3) || '.html' as key, (page_id // 3) % 8 as m, md5(html) as content from pages),
+a as (select key, case when m % 2 = 0 then '/old/checkout/' || key else 'C:\\work\\' || replace(key, '/', '\\') end as path, case when m = 3 then 'other' else content end as content from p where m <> 1
+  union all select key, '/srv/copy/' || key, content from p where m in (2, 3, 4) or m = 5 and page_id % 3 > 0
+  union all select key, key, content from p where m in (1, 2, 3, 4)),
+s as (select key, path, list_sort(list(content)) as held from a group by all),
+c as (select key, count(distinct held) as n_held, count(*) as n_paths, arg_min(path, (path <> key, path)) as chosen from s group by key)
+select a.key as source_path, content as value, 'kept' as kind from a join c on c.key = a.key and chosen = path where n_held = 1 union all select key, n_paths::varchar, 'conflict' from c where n_held > 1""",
     "prune_oldest_tool_group": """with g as (select conv_id, turn, role, sum((role = 'assistant')::int) over w as n, max(case when role in ('assistant', 'user') then turn end) over w as last from conversations window w as (partition by conv_id order by turn)),
 x as (select g.*, (select c.role from conversations c where c.conv_id = g.conv_id and c.turn = g.last) as last_role from g) select conv_id, turn, role from x where not (n = 1 and coalesce(last_role, '') = 'assistant')""",
     "blank_filter": "select conv_id, turn from conversations where turn % 4 <> 0 and trim(text) <> ''",

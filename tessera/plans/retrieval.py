@@ -18,9 +18,13 @@ CHUNKS, CATALOG = T.CHUNKS_SQL, T.CATALOG_SQL
 _COLUMNS = ("id", "source_path", "chunk_index", "section_id")
 
 
+#: Keys and order of chunks before they are numbered.
+_KEYS = ("source_path", "doc_id")
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     e = T.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
-    return T.chunks(spark, d).join(e, "doc_id", "left")
+    return T.unnumbered(spark, d).join(e, "doc_id", "left")
 
 
 _VECTORS = f"{CHUNKS}, vectors as (select c.*, embedding::double[] as embedding, label from chunks c left join embeddings on vec_id = doc_id)"
@@ -46,12 +50,14 @@ def scan_ordered_by_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.vector_topk(_vectors(spark, d).select(*R.ORDER, "embedding"), _question(spark, d)).select(*R.ORDER, F.round("score", 6).alias("score"))
+    found = R.vector_topk(_vectors(spark, d).select("id", *_KEYS, "embedding"), _question(spark, d), order=_KEYS)
+    return T.located(spark, d, found.drop("embedding")).select(*R.ORDER, F.round("score", 6).alias("score"))
 
 
 def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     rows = _vectors(spark, d).where(P.compiled(P.equal("section_id", "en")) & (F.col("label") == 1))
-    return R.vector_topk(rows.select(*R.ORDER, "embedding"), _question(spark, d), 10).select(*R.ORDER, F.round("score", 6).alias("score"))
+    found = R.vector_topk(rows.select("id", *_KEYS, "embedding"), _question(spark, d), 10, order=_KEYS)
+    return T.located(spark, d, found.drop("embedding")).select(*R.ORDER, F.round("score", 6).alias("score"))
 
 
 def vector_topk_batch(spark: SparkSession, d: str) -> DataFrame:
@@ -66,23 +72,26 @@ def query_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_term_stats(spark: SparkSession, d: str) -> DataFrame:
-    rows = T.table(spark, d, "documents").select("doc_id", X.terms(F.col("text")).alias("t"))
+    """Texts are dealt by document, so that a document's terms are counted where it is
+    and only the counts by term are shuffled."""
+    rows = T.table(spark, d, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", X.terms(F.col("text")).alias("t"))
     each = rows.select("doc_id", F.explode("t").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     return each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    found = R.bm25_topk(T.chunks(spark, d), QUESTION)
-    return found.select(*R.ORDER, F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"))
+    found = R.bm25_topk(T.unnumbered(spark, d).select("id", *_KEYS, "content"), QUESTION, order=_KEYS)
+    return T.located(spark, d, found.drop("content")).select(*R.ORDER, F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"))
 
 
 def keyword_like_fallback(spark: SparkSession, d: str) -> DataFrame:
-    return R.like_topk(T.chunks(spark, d), "licensed token").select(*R.ORDER, F.round("score", 6).alias("score"))
+    found = R.like_topk(T.unnumbered(spark, d).select("id", *_KEYS, "content"), "licensed token", order=_KEYS)
+    return T.located(spark, d, found.drop("content")).select(*R.ORDER, F.round("score", 6).alias("score"))
 
 
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    found = R.hybrid(_vectors(spark, d), QUESTION, _question(spark, d))
-    return found.select("source_path", "chunk_index", F.round("rrf", 6).alias("rrf"), "hits", F.round("best_score", 6).alias("best_score"))
+    found = R.hybrid(_vectors(spark, d), QUESTION, _question(spark, d), keys=_KEYS)
+    return T.located(spark, d, found).select("source_path", "chunk_index", F.round("rrf", 6).alias("rrf"), "hits", F.round("best_score", 6).alias("best_score"))
 
 
 def _sections(spark: SparkSession, d: str) -> DataFrame:
@@ -206,7 +215,7 @@ ORACLE_SQL = {
     "scan_ordered_by_source": f"with {CHUNKS} select id, source_path, chunk_index, section_id, length(content)::int as chars from chunks order by source_path, chunk_index, id",
     "vector_topk": f"with {_VECTORS}, {_Q} select id, source_path, chunk_index, round({_COS}, 6) as score from vectors, q where embedding is not null order by {_COS} desc, source_path, chunk_index, id limit 30",
     "vector_topk_filtered": f"with {_VECTORS}, {_Q} select id, source_path, chunk_index, round({_COS}, 6) as score from vectors, q where embedding is not null and section_id = 'en' and label = 1 order by {_COS} desc, source_path, chunk_index, id limit 10",
-    "vector_topk_batch": "with e as (select vec_id, embedding::double[] as v from embeddings), s as (select q.vec_id as query_id, e.vec_id as id, list_cosine_similarity(e.v, q.v) as s from e, e q where q.vec_id < 8) select query_id, id, row_number() over (partition by query_id order by s desc, id) as rank, round(s, 6) as score from s qualify rank <= 5",
+    "vector_topk_batch": "with e as (select vec_id, embedding::double[] as v from embeddings), s as (select q.vec_id as query_id, e.vec_id as id, list_cosine_similarity(e.v, q.v) as s from e, e q where q.vec_id % 20 = 0) select query_id, id, row_number() over (partition by query_id order by s desc, id) as rank, round(s, 6) as score from s qualify rank <= 5",
     "query_tokens": "select item_id, array_to_string(list_transform(regexp_extract_all(text, '([0-9A-Za-z_]+)', 1), lambda x: lower(x)), ' ') as tokens from benchmark",
     "bm25_term_stats": "with e as (select doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '([\\p{L}\\p{N}]+)', 1)) as term from documents), t as (select doc_id, term, count(*) as tf from e group by all) select term, count(*) as df, sum(tf)::bigint as cf, max(tf) as max_tf from t group by term",
     "bm25_topk": f"with {CHUNKS}, {_bm25_sql('chunks', QUESTION, 'source_path, chunk_index', 30, 'source_path, chunk_index, id')} select source_path, chunk_index, id, round(bm25, 6) as bm25, round(score, 6) as score from lex",
@@ -223,15 +232,16 @@ select file_id, (select source_path from m where m.file_id = n.file_id and p is
     "fuzzy_title_resolve": f"""with n as (select distinct case when p_partkey % 2 = 1 then upper(replace(p_name, ' ', '_')) else substr(p_name, 1, 5) end as needle from part where p_partkey in (3, 14, 15, 92)),
 m as (select needle, p_name, p_partkey, case when needle = p_name then 1 when {_KEY("needle")} = {_KEY("p_name")} then 2 when {_KEY("needle")} <> '' and contains({_KEY("p_name")}, {_KEY("needle")}) then 3 end as p from n, part)
 select needle, (select p_name from m where m.needle = n.needle and p is not null order by p, p_partkey limit 1) as title from n""",
-    "chunk_window": f"""with {CHUNKS}, k as (select distinct source_path, unnest(range(greatest(chunk_index - 1, 0), chunk_index + 3)) as i from chunks where doc_id % 97 = 5)
+    "chunk_window": f"""with {CHUNKS}, x as (select item_id, unnest([0, 1, 2]) as pos from benchmark),
+k as (select distinct 'src' || ((item_id + pos) % 22) as source_path, unnest(range(greatest(item_id * 3 + pos - 1, 0), item_id * 3 + pos + 3)) as i from x)
 select id, c.source_path, chunk_index, section_id from chunks c semi join k on k.source_path = c.source_path and i = chunk_index""",
     "chunk_id_parse_errors": f"""with x as (select unnest([{", ".join(f"'{i}'" for i in _IDS)}]) as chunk_id), p as (select chunk_id, regexp_extract(chunk_id, '(?s)^(.*)::(.*)$', 1) as path, replace(trim(regexp_extract(chunk_id, '(?s)^(.*)::(.*)$', 2)), '_', '') as raw from x),
 e as (select *, case when regexp_matches(raw, '^[+-]?[0-9]+$') then try_cast(raw as int) end as i from p), r as (select *, case when not contains(chunk_id, '::') then 'no separator' when i is null then 'index is no integer' when i < 0 then 'index is negative' end as error from e)
 select chunk_id, error, case when error is null then path end as source_path, case when error is null then i end as chunk_index from r""",
-    "section_chunks": f"with {CHUNKS} select source_path, chunk_index, id, substr('[CHUNK_ID: ' || source_path || '::' || chunk_index || '] [SECTION_ID: ' || section_id || '] [SECTION: ' || section_title || ']' || chr(10) || content, 1, 80) as rendered from chunks where source_path = 'src4' and section_id = 'fr'",
+    "section_chunks": f"with {CHUNKS} select source_path, chunk_index, id, '[CHUNK_ID: ' || source_path || '::' || chunk_index || '] [SECTION_ID: ' || section_id || '] [SECTION: ' || section_title || ']' || chr(10) || content as rendered from chunks where source_path = 'src4' and section_id = 'fr'",
     "quote_resolution": f"""with {CHUNKS}, s as (select item_id as answer_id, unnest([0, 1, 2]) as pos from benchmark), k as (select answer_id, pos, 'src' || ((answer_id + pos) % 22) as sp, (answer_id * 3 + pos) as ci from s)
 select answer_id, pos, sp || '::' || ci as chunk_id, md5(nullif(content, '')) as quote_md5, length(nullif(content, ''))::int as quote_chars from k left join chunks c on c.source_path = sp and c.chunk_index = ci""",
-    "synthesis_context": f"""with {CHUNKS}, f as (select source_path, chunk_index, substr(content, 1, 6000) as c, row_number() over (partition by source_path order by chunk_index) as r from chunks qualify r <= 20)
+    "synthesis_context": f"""with {CHUNKS}, f as (select source_path, chunk_index, content as c, row_number() over (partition by source_path order by chunk_index) as r from chunks qualify r <= 20)
 select source_path, chunk_index, sum(length(c)) over (partition by source_path order by chunk_index)::bigint as used_chars from f qualify used_chars <= 45000""",
     "dedupe_returned": f"""with {T.STEPS_SQL}, f as (select *, row_number() over (partition by run, key order by ts, event_id) = 1 as is_new from steps where key is not null)
 select run, count(*) filter (is_new) as new_chunks, count(*) filter (not is_new) as already_returned, min(event_id) filter (is_new) as first_event from f group by run""",

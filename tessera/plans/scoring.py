@@ -55,14 +55,31 @@ def eval_ignore_missing(spark: SparkSession, d: str) -> DataFrame:
     return S.bucket(_rows(spark, d, True))
 
 
+def _dimensions() -> dict:
+    """The dimensions of a report; the question's key stands in for what parts lack."""
+    one = lambda c: F.array(c)
+    split = F.when(F.col("question_id").endswith("7"), "single_doc").otherwise("cross_doc")
+    return {
+        "split": one(split), "domain": one(F.col("domain")), "reasoning_type": one(F.element_at(F.split("reasoning_type", " "), 1)),
+        "answer_format": one(F.nullif(F.col("raw_format"), F.lit("None"))), "difficulty": one(F.nullif(F.col("difficulty"), F.lit("0"))),
+        "doc_type": one(F.upper("domain")), "evidence_source": F.when(F.col("difficulty") != "2", F.split("reasoning_type", " ")),
+    }
+
+
 def eval_breakdowns(spark: SparkSession, d: str) -> DataFrame:
-    one = lambda c: F.array(F.nullif(F.col(c), F.lit("0")))
-    return S.breakdowns(_rows(spark, d), {"domain": one("domain"), "answer_format": one("answer_format"), "difficulty": one("difficulty"), "evidence_source": F.split("reasoning_type", " ")})
+    return S.breakdowns(_rows(spark, d), _dimensions())
+
+
+def _said(spark: SparkSession, d: str) -> DataFrame:
+    return T.qa(spark, d).where("answered").select("question_id").unionByName(T.table(spark, d, "nation").select(F.concat(F.lit("x"), "n_nationkey").alias("question_id")))
+
+
+def eval_report(spark: SparkSession, d: str) -> DataFrame:
+    return S.report(_rows(spark, d, True), T.qa(spark, d), _said(spark, d), _dimensions())
 
 
 def missing_extra_predictions(spark: SparkSession, d: str) -> DataFrame:
-    qa = T.qa(spark, d)
-    said = qa.where("answered").select("question_id").unionByName(T.table(spark, d, "nation").select(F.concat(F.lit("x"), "n_nationkey").alias("question_id")))
+    qa, said = T.qa(spark, d), _said(spark, d)
     missing = qa.select("question_id").join(said, "question_id", "left_anti").withColumn("side", F.lit("missing"))
     return missing.unionByName(said.join(qa.select("question_id"), "question_id", "left_anti").withColumn("side", F.lit("extra")))
 
@@ -80,13 +97,32 @@ def latest_successful(spark: SparkSession, d: str) -> DataFrame:
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     l = T.table(spark, d, "labels")  # noqa: E741
     status = F.when(F.col("doc_id") % 11 == 0, "failed").otherwise("completed")
-    return l.select(status.alias("status"), (F.col("quality") * 0.8 + F.col("toxic") * 0.1).alias("score"), (F.col("toxic") == 0).alias("schema_valid"), (F.col("doc_id") * 3).alias("input_tokens"), F.col("doc_id").alias("output_tokens"))
+    return l.select(status.alias("status"), (F.col("quality") * 0.8 + F.col("toxic") * 0.1).alias("score"), (F.col("toxic") == 0).alias("schema_valid"), (F.col("doc_id") * 3).alias("input_tokens"), F.col("doc_id").alias("output_tokens"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") + 1).alias("cache_read_tokens"), F.lit(2).alias("cache_write_tokens"), "doc_id")
 
 
 def judge_metrics(spark: SparkSession, d: str) -> DataFrame:
     return S.judge_metrics(_judged(spark, d))
 
 
+def token_totals(spark: SparkSession, d: str) -> DataFrame:
+    return S.token_totals(_judged(spark, d), "status")
+
+
+def run_status(spark: SparkSession, d: str) -> DataFrame:
+    rows = _judged(spark, d)
+    return S.run_status(rows.withColumn("status", F.when(F.col("doc_id") % 7 == 0, "skipped").otherwise(F.col("status"))))
+
+
+def questions_per_document(spark: SparkSession, d: str) -> DataFrame:
+    return S.per_document(T.qa(spark, d), "reasoning_type")
+
+
+def expected_order(spark: SparkSession, d: str) -> DataFrame:
+    """Results in the order in which their questions were asked for."""
+    wanted = T.table(spark, d, "part").where("p_partkey % 3 <> 0").select(F.concat(F.lit("q"), "p_partkey").alias("question_id"), (-F.col("p_partkey")).alias("place"))
+    return S.in_order(T.qa(spark, d).select("question_id", "prediction"), wanted, "question_id", "place")
+
+
 def score_labels(spark: SparkSession, d: str) -> DataFrame:
     rows = _judged(spark, d).where("status = 'completed'")
     return rows.groupBy(X.status_label(F.col("score")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
@@ -100,6 +136,13 @@ def outcome_counts(spark: SparkSession, d: str) -> DataFrame:
     return S.counted(rows, "outcome", S.OUTCOMES)
 
 
+def submission_counts(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("key")
+    outcome = S.outcome(k % 17 == 1, k % 5 != 4, F.when(k % 3 != 1, F.col("tool")), F.lit(False), S.recovery_origin(F.lit(None), k % 13 == 0, F.lit(None)))
+    rows = T.steps(spark, d).select(outcome.alias("outcome"), F.when(k % 3 > 0, F.col("tool")).alias("prediction"), (k % 4 == 0).alias("carried_forward"), F.col("tokens").alias("input_tokens"), k.alias("output_tokens"), F.lit(0).alias("cache_read_tokens"), F.when(k % 2 == 0, k).alias("cache_write_tokens"))
+    return S.submission_counts(rows)
+
+
 def evaluation_routes(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     p = T.table(spark, d, "part")
@@ -107,10 +150,15 @@ def evaluation_routes(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy(S.evaluation_route(question, reference, S.first_present(F.when(k % 3 > 0, F.lit("x")))).alias("route")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: JSON texts and, beside them, what they read as.
+_VALUES = {"true": "True", "null": "", "1.0": "1.0", "17.40": "17.4", "-0.5": "-0.5", "1e2": "100.0", "0.00001": "1e-05", "0.0001": "0.0001", "12345678.25": "12345678.25", "1e16": "1e+16", "123456789012345.0": "123456789012345.0", "9007199254740993": "9007199254740993", "[1,2]": "[1, 2]"}
+
+
 def string_values(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id")
-    raw = F.when(k % 5 == 0, "true").when(k % 5 == 1, "null").when(k % 5 == 2, F.concat(F.lit('"'), "event_type", F.lit('"'))).when(k % 5 == 3, k.cast("string")).otherwise(F.col("props"))
-    return T.table(spark, d, "events").select("event_id", F.replace(X.string_value(F.parse_json(raw)), F.lit(" "), F.lit("")).alias("value"))
+    more = F.when(k % 16 == 13, F.concat(F.lit('"'), "event_type", F.lit('"'))).when(k % 16 == 14, F.concat(F.lit('{"b": "x, y: \\"z\\"", "a": '), "props", F.lit("}"))).otherwise(k.cast("string"))
+    raw = F.when(k % 16 < len(_VALUES), F.try_element_at(F.array(*map(F.lit, _VALUES)), (k % 16 + 1).cast("int"))).otherwise(more)
+    return T.table(spark, d, "events").select("event_id", X.string_value(F.parse_json(raw)).alias("value"))
 
 
 def phase_cost_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -201,7 +249,7 @@ _HAS = lambda c, words: "(" + " or ".join(f"contains({c}, '{w}')" for w in words
 _TYPE = "case raw_format " + " ".join(f"when '{k}' then '{v}'" for k, v in X.FORMATS.items()) + " else lower(raw_format) end"
 _EVAL = f"""{T.QA_SQL},
 said as (select question_id, prediction as pr, case when question_id like '%13' then 'context_overflow' else 'success' end as st from qa where answered),
-j as (select question_id, domain, reasoning_type, difficulty, gold, {_TYPE} as answer_format, coalesce(st, 'missing') as status,
+j as (select question_id, domain, reasoning_type, raw_format, difficulty, gold, {_TYPE} as answer_format, coalesce(st, 'missing') as status,
   case when st in ('context_overflow', 'vision_unsupported') then 'CONTEXT_OVERFLOW' else coalesce(pr, '') end as prediction from qa {{how}} join said using (question_id)),
 n as (select *, {_norm("prediction")} as p, {_norm("gold")} as g from j),
 t as (select *, {_NUM("p")} as np, {_NUM("g")} as ng, case when {_HAS("p", X.YES)} then true when {_HAS("p", X.NO)} then false end as yes,
@@ -215,12 +263,18 @@ r as (select *, case when sim >= 0.5 then sim else 0.0 end as anls,
   case when len(tg) = 0 then case when len(tp) = 0 then 1.0 else 0.0 end when len(tp) = 0 or both_n = 0 then 0.0 else 2 * (both_n / len(tp)) * (both_n / len(tg)) / (both_n / len(tp) + both_n / len(tg)) end::double as token_f1 from s)"""
 _MEANS = ", ".join(f"round(coalesce(avg({m}), 0.0), 6) as {m}" for m in S.METRICS)
 _LEFT, _INNER = _EVAL.format(how="left"), _EVAL.format(how="inner")
+_M = "accuracy, token_f1, anls from r"
+_EACH = f"""e0 as (select 'split' as dimension, case when question_id like '%7' then 'single_doc' else 'cross_doc' end as key, {_M} union all select 'domain', domain, {_M} union all select 'reasoning_type', string_split(reasoning_type, ' ')[1], {_M}
+  union all select 'answer_format', nullif(raw_format, 'None'), {_M} union all select 'difficulty', nullif(difficulty, '0'), {_M} union all select 'doc_type', upper(domain), {_M}
+  union all select 'evidence_source', unnest(case when difficulty <> '2' then string_split(reasoning_type, ' ') else ['unknown'] end), {_M}),
+e as (select dimension, coalesce(nullif(key, ''), 'unknown') as key, accuracy, token_f1, anls from e0)"""
 _STALE = f"""{T.STEPS_SQL}, f as (select *, row_number() over (partition by run order by ts, event_id) as step, key is not null and row_number() over (partition by run, key order by ts, event_id) = 1 as grew from steps {{where}}),
 i as (select *, sum(grew::int) over (partition by run order by ts, event_id) as island from f),
 k as (select *, sum((not grew)::int) over (partition by run, island order by ts, event_id) as streak from i)"""
-_JUDGED = "j as (select case when doc_id % 11 = 0 then 'failed' else 'completed' end as status, quality * 0.8::double + toxic * 0.1::double as score, toxic = 0 as valid, doc_id * 3 as i, doc_id as o from labels)"
+_JUDGED = "j as (select case when doc_id % 11 = 0 then 'failed' else 'completed' end as status, quality * 0.8::double + toxic * 0.1::double as score, toxic = 0 as valid, doc_id * 3 as i, doc_id as o, case when doc_id % 2 = 0 then doc_id + 1 end as cr, 2 as cw, doc_id from labels)"
+_SUMS = ", ".join(f"coalesce(sum({a}), 0)::bigint as {b}" for a, b in zip(("i", "o", "cr", "cw"), S.TOKENS, strict=True))
 
-QUERIES = {f.__name__: f for f in (normalize_answer, extract_number, anls_score, token_f1, relaxed_accuracy, eval_overall, eval_ignore_missing, eval_breakdowns, missing_extra_predictions, prediction_last_wins, latest_successful, judge_metrics, score_labels, outcome_counts, evaluation_routes, string_values, phase_cost_rollup, token_attribution, tokens_per_question, multiset_diff, stale_streak, budget_cutoff, stop_reasons, doc_id_sha1, fake_embed, document_uuid, json_clean_repair)}
+QUERIES = {f.__name__: f for f in (normalize_answer, extract_number, anls_score, token_f1, relaxed_accuracy, eval_overall, eval_ignore_missing, eval_breakdowns, eval_report, missing_extra_predictions, prediction_last_wins, latest_successful, judge_metrics, token_totals, run_status, questions_per_document, expected_order, score_labels, outcome_counts, submission_counts, evaluation_routes, string_values, phase_cost_rollup, token_attribution, tokens_per_question, multiset_diff, stale_streak, budget_cutoff, stop_reasons, doc_id_sha1, fake_embed, document_uuid, json_clean_repair)}
 
 ORACLE_SQL = {
     "normalize_answer": f"with {T.QA_SQL} select question_id, {_norm('prediction')} as normalised from qa",
@@ -230,18 +284,28 @@ ORACLE_SQL = {
     "relaxed_accuracy": f"with {_LEFT} select question_id, answer_format, status, accuracy from r",
     "eval_overall": f"with {_LEFT} select count(*) as n, {_MEANS} from r",
     "eval_ignore_missing": f"with {_INNER} select count(*) as n, {_MEANS} from r",
-    "eval_breakdowns": f"""with {_LEFT}, e as (select 'domain' as dimension, domain as key, accuracy, token_f1, anls from r union all select 'answer_format', answer_format, accuracy, token_f1, anls from r
-union all select 'difficulty', coalesce(nullif(difficulty, '0'), 'unknown'), accuracy, token_f1, anls from r union all select 'evidence_source', unnest(string_split(reasoning_type, ' ')), accuracy, token_f1, anls from r)
-select dimension, key, count(*) as n, {_MEANS} from e group by all""",
+    "eval_breakdowns": f"with {_LEFT}, {_EACH} select dimension, key, count(*) as n, {_MEANS} from e group by all",
+    "eval_report": f"""with {_INNER}, {_EACH}, said2 as (select question_id from qa where answered union all select 'x' || n_nationkey from nation),
+c as (select 'gold' as key, count(*) as n from qa union all select 'prediction', count(*) from said2 union all select 'evaluated', count(*) from r
+  union all select 'missing_prediction', count(*) from qa anti join said2 using (question_id) union all select 'extra_prediction', count(*) from said2 anti join qa using (question_id))
+select 'counts' as section, key, n, null::double as accuracy, null::double as token_f1, null::double as anls from c
+union all select 'overall', '', count(*), {_MEANS} from r union all select dimension, key, count(*), {_MEANS} from e group by dimension, key""",
     "missing_extra_predictions": f"with {T.QA_SQL}, s as (select question_id from qa where answered union all select 'x' || n_nationkey from nation) select question_id, 'missing' as side from qa anti join s using (question_id) union all select question_id, 'extra' from s anti join qa using (question_id)",
     "prediction_last_wins": f"with {T.STEPS_SQL} select key, arg_max(event_id, (ts, event_id)) as event_id, count(*) as n_rows from steps group by key",
     "latest_successful": f"with {T.STEPS_SQL} select run, coalesce(arg_max(event_id, (ts, event_id)) filter (tool <> (select max(tool) from steps)), arg_min(event_id, (ts, event_id))) as value from steps group by run",
-    "judge_metrics": f"with {_JUDGED} select count(*) as evaluated, round(coalesce(avg(score), 0.0), 6) as average_score, count(*) filter (score >= 0.7) as passed, count(*) filter (score < 0.7) as failed, count(*) filter (not valid) as schema_invalid, coalesce(sum(i), 0)::bigint as input_tokens, coalesce(sum(o), 0)::bigint as output_tokens from j where status = 'completed'",
+    "judge_metrics": f"with {_JUDGED} select count(*) as evaluated, round(coalesce(avg(score), 0.0), 6) as average_score, count(*) filter (score >= 0.7) as passed, count(*) filter (score < 0.7) as failed, count(*) filter (not valid) as schema_invalid, {_SUMS} from j where status = 'completed'",
+    "token_totals": f"with {_JUDGED}, s as (select status, {_SUMS} from j group by 1) select *, input_tokens + output_tokens + cache_read_tokens + cache_write_tokens as total_tokens from s",
+    "run_status": f"with {_JUDGED}, s as (select case when doc_id % 7 = 0 then 'skipped' else status end as status from j) select " + ", ".join(f"count(*) filter (status = '{v}') as {v}" for v in S.STATUSES) + ", count(*) as total from s",
+    "questions_per_document": f"with {T.QA_SQL} select reasoning_type, count(*) as n from qa group by 1",
+    "expected_order": f"with {T.QA_SQL} select question_id, prediction from qa where substr(question_id, 2)::int % 3 <> 0",
     "score_labels": f"with {_JUDGED} select case when score >= 0.7 then 'PASS' else 'FAIL' end as label, count(*) as n from j where status = 'completed' group by 1",
     "outcome_counts": f"""with {T.STEPS_SQL}, o as (select case when key % 17 = 1 then 'failed' when key % 5 = 4 then 'malformed' when key % 3 = 1 or key % 7 = 3 then 'explicit_unanswerable' when key % 11 = 0 then 'recovered' when key % 13 = 0 then 'recovered_fallback' when key % 4 = 0 then 'recovered' else 'direct' end as o from steps)
 select """ + ", ".join(f"count(*) filter (o = '{v}') as {v}" for v in S.OUTCOMES) + ", count(*) as total from o",
     "evaluation_routes": "select case when p_partkey % 10 = 0 then 'failed' when p_partkey % 7 = 0 and p_partkey % 14 <> 0 then 'skipped' when p_partkey % 3 = 0 then 'failed' else 'judge' end as route, count(*) as n from part group by 1",
-    "string_values": "select event_id, case event_id % 5 when 0 then 'True' when 1 then '' when 2 then event_type when 3 then event_id::varchar else replace(props, ' ', '') end as value from events",
+    "string_values": "select event_id, case event_id % 16 " + " ".join(f"when {i} then '{v}'" for i, v in enumerate(_VALUES.values())) + """ when 13 then event_type when 14 then '{"a": ' || replace(replace(replace(props, ' ', ''), ':', ': '), ',', ', ') || ', "b": "x, y: \\"z\\""}' else event_id::varchar end as value from events""",
+    "submission_counts": f"""with {T.STEPS_SQL}, o as (select *, case when key % 17 = 1 then 'runtime_error_omitted' when key % 5 = 4 then 'malformed_omitted' when key % 3 = 1 then 'explicit_unanswerable' when key % 13 = 0 then 'recovered_fallback' else 'direct' end as o from steps)
+select count(*) as selected, count(*) filter (key % 3 > 0) as emitted, """ + ", ".join(f"count(*) filter (o = '{v}') as {v}" for v in ("direct", "recovered", "recovered_fallback", "explicit_unanswerable", "malformed_omitted", "runtime_error_omitted")) + """, count(*) filter (key % 4 = 0) as carried_forward, count(*) filter (key % 4 <> 0 or key is null) as rerun,
+  sum(tokens)::bigint as total_input_tokens, sum(key)::bigint as total_output_tokens, 0::bigint as total_cache_read_tokens, sum(case when key % 2 = 0 then key end)::bigint as total_cache_write_tokens from o""",
     "document_uuid": f"with h as (select n_name, sha1(unhex('{_NS.replace('-', '')}') || n_name::blob) as h from nation) select n_name, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), lower(to_hex((('0x' || substr(h, 17, 2))::int & 63) | 128)) || substr(h, 19, 2), substr(h, 21, 12)) as uuid from h",
     "phase_cost_rollup": f"with {T.STEPS_SQL} select case when grouping(tool) = 1 then 'total' else tool end as phase, count(*) as calls, sum(tokens)::bigint as tokens, round(sum(cost), 6) as cost_usd from steps group by rollup (tool)",
     "token_attribution": "with t as (select l_orderkey, floor(o_totalprice)::bigint as total, count(*) over (partition by l_orderkey) as n, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) as r from lineitem join orders on o_orderkey = l_orderkey), s as (select l_orderkey, total // n + case when r = 1 then total % n else 0 end as share from t) select l_orderkey, sum(share)::bigint as tokens, max(share) as largest, min(share) as least from s group by 1",
@@ -249,7 +313,7 @@ select """ + ", ".join(f"count(*) filter (o = '{v}') as {v}" for v in S.OUTCOMES
     "multiset_diff": "with e as (select o_orderkey as id from orders), g as (select l_orderkey as id from lineitem where l_linenumber <= 2) select id, count(*) as n, 'missing' as side from (select id from e except all select id from g) group by id union all select id, count(*), 'extra' from (select id from g except all select id from e) group by id",
     "stale_streak": f"with {_STALE.format(where='')} select run, max(streak)::bigint as longest, min(step) filter (streak >= 5 and step >= 2) as stop_step, count(*) filter (grew) as distinct_keys from k group by run",
     "budget_cutoff": f"with {T.STEPS_SQL}, u as (select run, count(*) over w as c, sum(tokens) over w as t from steps window w as (partition by run order by ts, event_id)) select run, min(c) filter (c >= 30 or t >= 500000) as stop_call, min(greatest(0, 30 - c)) as calls_left, min(greatest(0, 500000 - t))::bigint as tokens_left from u group by run",
-    "stop_reasons": f"with {_STALE.format(where='where key < 50')}, b as (select *, count(*) over w as c, sum(tokens) over w as t from k window w as (partition by run order by ts, event_id)), r as (select run, bool_or(c >= 30 or t >= 500000) as ex, bool_or(streak >= 2 and step >= 2) as stale, count(*) as n from b group by run) select run, case when run % 9 = 0 then 'submitted' when ex then 'budget_exceeded' when stale then 'stale' when n >= 8 then 'max_iterations' else 'none' end as reason from r",
+    "stop_reasons": f"with {_STALE.format(where='')}, b as (select *, count(*) over w as c, sum(tokens) over w as t from k window w as (partition by run order by ts, event_id)), r as (select run, bool_or(c >= 30 or t >= 500000) as ex, bool_or(streak >= 2 and step >= 2) as stale, count(*) as n from b group by run) select run, case when run % 9 = 0 then 'submitted' when ex then 'budget_exceeded' when stale then 'stale' when n >= 8 then 'max_iterations' else 'none' end as reason from r",
     "doc_id_sha1": f"with {T.CHUNKS_SQL} select id, sha1(concat_ws('::', source_kind, source_path, chunk_index, section_id, case when doc_id % 4 = 0 then 'None' else section_title end)) as identity from chunks",
     "fake_embed": "with e as (select item_id, list_transform(range(64), lambda j: ('0x' || substr(sha256(text), (2 * (j % 32) + 1)::bigint, 2))::int / 255.0::double * 2 - 1) as v from benchmark), n as (select item_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from e) select item_id, unnest(range(64)) as j, round(unnest(v) / n, 6) as x from n",
     "json_clean_repair": "select event_id, case when event_id % 6 = 5 then null else (props->>'$.k')::bigint end as k, event_id % 6 <> 5 as parsed from events",

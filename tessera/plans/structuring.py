@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import chunking as C
+from ..operators import indexing as I
 from ..operators import toc as O
 from ..sources import tables as T
 from . import retrieval
@@ -85,26 +88,63 @@ def passage_pack(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.col("no").cast("long").alias("no"), F.md5(F.concat("no", F.lit(":"), "piece")).alias("passage_md5"))
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """The catalog's sections as section records; small ones have no page."""
+    s = retrieval._sections(spark, d)
+    page = F.when(F.col("chunk_count") > 5, F.col("chunk_count"))
+    return s.select("source_path", "ordinal", "section_id", F.col("title").alias("section_title"), "breadcrumb", page.alias("page_start"), F.col("chunk_count").alias("direct_chunk_count"), F.length("content").alias("char_count"), "content")
+
+
 def section_record_revision(spark: SparkSession, d: str) -> DataFrame:
-    return O.revision(retrieval._sections(spark, d), "source_path", "ordinal", ["section_id", "title", "chunk_count"]).select("source_path", "revision", F.col("section_count").cast("long").alias("section_count"))
+    return O.revision(_records(spark, d)).select("source_path", "revision", F.col("section_count").cast("long").alias("section_count"))
 
 
 def corpus_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     """One digest of the corpus: of every source's digests in order."""
-    each = T.table(spark, d, "documents").select("source", "doc_id", F.sha2("text", 256).alias("h"))
-    one = O.revision(each, "source", "doc_id", ["doc_id", "h"])
-    return one.select(F.lit(1).alias("k"), "source", "revision").groupBy("k").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source", "revision"))), lambda x: F.concat_ws(":", x["source"], x["revision"])), "\n"), 256).alias("fingerprint")).select("fingerprint")
+    one = O.fingerprint(T.table(spark, d, "documents"), "source", "doc_id", F.sha2("text", 256))
+    return one.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source", "revision"))), lambda x: F.concat_ws(":", x["source"], x["revision"])), "\n"), 256).alias("fingerprint"))
 
 
 def section_index_state(spark: SparkSession, d: str) -> DataFrame:
-    """Regions as files: some without sections, some with a stale or no index."""
-    s = retrieval._sections(spark, d)
+    """Regions as files: without a section tree, with a bad one, not indexed, with a stale
+    revision, or with as many records of which one has another id."""
+    records = _records(spark, d)
     r = T.table(spark, d, "region")
     files = r.select(F.col("r_name").alias("source_path"), (F.col("r_regionkey") != 4).alias("indexed"), (F.col("r_regionkey") != 3).alias("valid"))
-    tocs = O.revision(s.where("source_path <> 'AMERICA'"), "source_path", "ordinal", ["section_id", "title"])
+    tocs = O.revision(records.where("source_path <> 'AMERICA'"))
     state = tocs.select("source_path", F.when(F.col("source_path") == "ASIA", "old").otherwise(F.col("revision")).alias("revision"), "section_count")
-    records = s.groupBy("source_path").agg(F.count(F.lit(1)).cast("int").alias("n_records"), F.lit(True).alias("embedded"))
-    return O.index_states(files, tocs, state, records)
+    swapped = F.when(F.col("section_id") == "n0", F.lit("n999")).otherwise(F.col("section_id"))
+    held = records.select("source_path", "ordinal", swapped.alias("section_id"), F.lit(True).alias("embedded"))
+    return O.index_states(files, tocs, state, records.where("source_path <> 'AMERICA'"), held)
+
+
+def _parsed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return I.parsed(_items(spark, d))
+
+
+def index_document(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as documents, from items to the rows to embed and store."""
+    rows = I.chunk_rows(*_parsed(spark, d))
+    return rows.select("source_path", "chunk_index", "section_id", "section_title", F.array_join("section_chain", "/").alias("chain"), "label", "page", "position", F.length("content").alias("chars"), F.md5("content").alias("content_md5"))
+
+
+def document_sections(spark: SparkSession, d: str) -> DataFrame:
+    """The section tree that comes with :func:`index_document`."""
+    sections, _ = _parsed(spark, d)
+    return sections.select("doc", "id", "level", "page_start", "char_count", "chunk_count", "parent_id", F.col("depth").cast("long").alias("depth"), F.array_join("section_chain", "/").alias("chain"), F.md5("breadcrumb").alias("breadcrumb_md5"))
+
+
+def publish_sections(spark: SparkSession, d: str) -> DataFrame:
+    """The catalog's sections published twice below the warehouse, the second time with
+    one file only, and read back: each file's current records."""
+    records = _records(spark, d)
+    toc = records.groupBy("source_path").agg(F.count(F.lit(1)).alias("total_sections"), F.sum("direct_chunk_count").alias("total_chunks"))
+    toc = toc.withColumn("toc_json", F.to_json(F.struct(F.struct("total_sections").alias("meta"))))
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/published-{uuid.uuid4().hex[:12]}"
+    I.publish(path, toc, records)
+    again = records.where("source_path = 'ASIA' and ordinal > 0").withColumn("section_title", F.upper("section_title"))
+    I.publish(path, toc.where("source_path = 'ASIA'"), again)
+    return I.current(spark, path, "sections").select("source_path", "ordinal", "section_id", "section_title", "revision", F.col("section_count").cast("long").alias("section_count"))
 
 
 def _split_sql(most: int, marks: tuple[str, ...], extra: int) -> str:
@@ -120,9 +160,11 @@ select doc_id, part - 1 as part, length(piece) as chars, md5(piece) as piece_md5
 _GROUPED = f"{T.ITEMS_SQL}, g as (select *, sum((label = 'section_header')::int) over (partition by doc order by pos)::bigint as section from items)"
 _SECTIONS = retrieval._SECTIONS
 _LINE = "repeat('  ', greatest(0, coalesce(nullif(depth, 0), 1) - 1)) || '- [' || id || '] ' || title || '  (' || chunk_count || ' chunks, page ' || coalesce(page_start::varchar, '?') || ')'"
-_REV = lambda rows, cols: f"select source_path, sha256(string_agg(concat_ws(chr(31), {cols}), chr(10) order by ordinal)) as revision, count(*) as n from {rows} group by 1"
+_RECORDS = f"{_SECTIONS}, records as (select source_path, ordinal, section_id, title as section_title, breadcrumb, case when chunk_count > 5 then chunk_count end as page_start, chunk_count as direct_chunk_count, length(content)::int as char_count from sections)"
+_JSON = "json_object(" + ", ".join(f"'{c}', {c}" for c in O.REVISED) + ")::varchar"
+_REV = lambda rows: f"select source_path, sha256('[' || string_agg({_JSON}, ',' order by ordinal) || ']') as revision, count(*) as n from {rows} group by 1"
 
-QUERIES = {f.__name__: f for f in (split_sentence_boundary, split_for_embedding, merge_items, group_under_sections, toc_hierarchy, toc_breadcrumbs, toc_render, chunk_numbering, table_markdown, table_split, sentence_split, passage_pack, section_record_revision, corpus_fingerprint, section_index_state)}
+QUERIES = {f.__name__: f for f in (split_sentence_boundary, split_for_embedding, merge_items, group_under_sections, toc_hierarchy, toc_breadcrumbs, toc_render, chunk_numbering, table_markdown, table_split, sentence_split, passage_pack, section_record_revision, corpus_fingerprint, section_index_state, index_document, document_sections, publish_sections)}
 
 ORACLE_SQL = {
     "split_sentence_boundary": _split_sql(C.HARD, (". ", "\n", ", ", " "), 1),
@@ -134,7 +176,7 @@ c as (select doc, section, string_agg('section_' || anc, '/' order by anc) filte
   coalesce(string_agg(anc_title, ' > ' order by anc) filter (kept) || ' > ', '') || coalesce(string_agg(anc_title, ' > ' order by anc) filter (not kept) || ' > ', '') as lead from a group by all)
 select h.doc, 'section_' || h.section as id, level, n_chunks, 'section_' || parent as parent_id, coalesce(depth, 0) as depth, coalesce(chain, '') as chain, md5(coalesce(lead, '') || title) as breadcrumb_md5 from h left join c using (doc, section) where n_chunks > 0""",
     "toc_breadcrumbs": f"with {_SECTIONS} select source_path, section_id, breadcrumb, md5(content) as content_md5 from sections",
-    "toc_render": f"""with {T.CATALOG_SQL}, r as (select *, case when level > 1 then level - 1 end as depth, case when chunk_count > 0 then chunk_count end as page_start from catalog where level < 3 or ordinal < 1100)
+    "toc_render": f"""with {T.CATALOG_SQL}, r as (select *, case when level > 1 then level - 1 end as depth, case when chunk_count > 0 then chunk_count end as page_start from catalog)
 select source_path, 'TOC for: ' || source_path || chr(10) || 'Sections: ' || count(*) || '  |  Total chunks: ' || sum(chunk_count)::bigint || chr(10) || chr(10) || string_agg({_LINE}, chr(10) order by ordinal) as rendered from r group by source_path""",
     "chunk_numbering": f"""with {_GROUPED}, x as (select * from g where label <> 'section_header')
 select doc, section, pos, row_number() over (partition by doc order by section, pos)::int as chunk_id, (row_number() over (partition by doc order by section = 0, section, pos) - 1)::int as chunk_index,
@@ -144,9 +186,14 @@ l as (select r_name, g.r, coalesce('| ' || name || ' | ' || k || ' | ' || r_name
 h as (select r_name, bool_or(r = 0) as head from n group by 1)
 select r_name, string_agg(line || case when r = 0 and head then chr(10) || '| --- | --- | --- |' else '' end, chr(10) order by r) as markdown from l join h using (r_name) group by r_name""",
     "sentence_split": "with s as (select doc_id, list_filter(list_transform(string_split_regex(text, '[.!?\\n]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 10) as s from documents) select doc_id, len(s)::int as n, md5(array_to_string(s, chr(31))) as sentences_md5 from s",
-    "section_record_revision": f"with {_SECTIONS} select source_path, revision, n as section_count from ({_REV('sections', 'section_id, title, chunk_count')})",
-    "corpus_fingerprint": "with s as (select source, sha256(string_agg(concat_ws(chr(31), doc_id, sha256(text)), chr(10) order by doc_id)) as r from documents group by 1) select sha256(string_agg(source || ':' || r, chr(10) order by source)) as fingerprint from s",
-    "section_index_state": f"""with {_SECTIONS}, t as (select source_path, count(*) as n from sections where source_path <> 'AMERICA' group by 1), f as (select r_name as source_path, r_regionkey <> 4 as indexed, r_regionkey <> 3 as valid from region),
-x as (select f.*, n, case when not indexed then 'SOURCE_NOT_INDEXED' when n is null then 'MISSING_TOC' when not valid then 'INVALID_TOC' else 'OK' end as status from f left join t using (source_path))
-select source_path, status, status = 'OK' and source_path = 'ASIA' as rebuild, status = 'OK' as eligible from x""",
+    "section_record_revision": f"with {_RECORDS} select source_path, revision, n as section_count from ({_REV('records')})",
+    "corpus_fingerprint": f"""with a as (select source, doc_id // {O.SPAN} as i, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) order by doc_id)) as l from documents group by all),
+b as (select source, i // {O.SPAN} as j, sha256(string_agg(i || ':' || l, chr(10) order by i)) as l from a group by all),
+s as (select source, sha256(string_agg(j || ':' || l, chr(10) order by j)) as r from b group by all) select sha256(string_agg(source || ':' || r, chr(10) order by source)) as fingerprint from s""",
+    "section_index_state": f"""with {_SECTIONS}, t as (select source_path, count(*) as n, bool_or(section_id = 'n0') as swapped from sections where source_path <> 'AMERICA' group by 1), f as (select r_name as source_path, r_regionkey <> 4 as indexed, r_regionkey <> 3 as valid from region),
+x as (select f.*, n, swapped, case when n is null then 'MISSING_TOC' when not valid then 'INVALID_TOC' when not indexed then 'SOURCE_NOT_INDEXED' else 'OK' end as status from f left join t using (source_path))
+select source_path, status, status = 'OK' and (source_path = 'ASIA' or swapped) as rebuild, status = 'OK' as eligible from x""",
+    "publish_sections": f"""with {_RECORDS}, o as (select *, false as again from records where source_path <> 'ASIA' union all select * replace (upper(section_title) as section_title), true from records where source_path = 'ASIA' and ordinal > 0),
+v as ({_REV('o')})
+select source_path, ordinal, section_id, section_title, revision, n as section_count from o join v using (source_path)""",
 }

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
 
-#: Names under which a prediction row may hold its id and its answer, in order.
+#: Names under which a prediction row may hold its id and its answer, in
+#: order.
 ID_FIELDS = ("question_id", "global_qa_id", "global_id", "id")
 ANSWER_FIELDS = ("prediction", "model_answer", "answer", "response", "output")
 
@@ -140,6 +146,83 @@ def results(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.posexplode(rows).alias("no", "result"))
 
 
+def result_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value): what a results object says besides its ``results``; nothing of a list."""
+    raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+    return raw.select(F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("key", "value")).where("key <> 'results'")
+
+
+def manifest(spark: SparkSession, path: str, prepared: DataFrame) -> DataFrame:
+    """(place, document) of a manifest's ``documents``; one that is not among prepared
+    (document) raises."""
+    raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+    rows = raw.select(F.posexplode(F.try_variant_get("v", "$.documents", "array<string>")).alias("place", "document"))
+    missing = [r["document"] for r in rows.join(prepared.select("document"), "document", "left_anti").orderBy("place").head(10)]
+    if missing:
+        raise ValueError(f"the prepared corpus is incomplete: {', '.join(missing)}")
+    return rows
+
+
+def downloaded(wanted: DataFrame, fetch: Callable[[str], bytes], complete: Callable[[bytes], str | None] = lambda data: None, archived: Callable[[str], str | None] | None = None, attempts: int = 3) -> DataFrame:
+    """wanted (document_id, url) with content, problem and attempts.
+
+    The seam for a network: fetch(url) gives the bytes or raises; LookupError means that
+    there is no such page, and is followed by archived(url), another place to look, if
+    there is one. complete(data) names what is wrong with the bytes, and they are tried
+    again. A failure concerns its row only; content is null then.
+    """
+
+    def one(url: str) -> tuple[bytes | None, str | None, int]:
+        problem = None
+        for n in range(1, attempts + 1):
+            try:
+                data = fetch(url)
+                problem = complete(data)
+                if problem is None:
+                    return data, None, n
+            except LookupError as e:
+                other = archived(url) if archived else None
+                if other is None or other == url:
+                    return None, f"not found: {e}", n
+                url = other
+            except Exception as e:  # any failure of a server is tried again
+                problem = f"{type(e).__name__}: {e}"
+        return None, problem, attempts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # one at a time: a file may be large
+                row = batch.slice(i, 1)
+                data, problem, n = one(row.column(1)[0].as_py())
+                yield pa.record_batch([row.column(0), row.column(1), pa.array([data], pa.binary()), pa.array([problem], pa.string()), pa.array([n], pa.int32())], names=["document_id", "url", "content", "problem", "attempts"])
+
+    return wanted.select("document_id", "url").mapInArrow(run, "document_id string, url string, content binary, problem string, attempts int")
+
+
+def pdf_problem(data: bytes) -> str | None:
+    """What is wrong with a PDF's bytes."""
+    return "PDF is missing or empty" if not data else "PDF signature is missing" if data[:5] != b"%PDF-" else "PDF EOF marker is missing" if b"%%EOF" not in data[-1024:] else None
+
+
+def unzipped(archives: DataFrame, folder: str) -> DataFrame:
+    """(file, content) of the files below a folder of zip archives (content); names that
+    lead out of the folder raise."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                with zipfile.ZipFile(io.BytesIO(data.as_py())) as z:
+                    for x in z.infolist():
+                        name = x.filename.removeprefix(folder.rstrip("/") + "/")
+                        if x.is_dir() or name == x.filename:
+                            continue
+                        if ".." in name.split("/") or name.startswith("/"):
+                            raise ValueError(f"unsafe name in an archive: {x.filename}")
+                        yield pa.record_batch([pa.array([name]), pa.array([z.read(x)], pa.binary())], names=["file", "content"])
+
+    return archives.select("content").mapInArrow(run, "file string, content binary")
+
+
 def result_files(spark: SparkSession, path: str, name: str = "final_results.json") -> DataFrame:
     """(file, no, result) of every file of that name below a folder."""
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(path, wholetext=True)

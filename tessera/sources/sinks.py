@@ -22,6 +22,30 @@ def submission(rows: DataFrame, path: str) -> int:
     return n
 
 
+def debug(counts: DataFrame, path: str, **metadata) -> None:
+    """One JSON row beside a submission: its counts (see ``scoring.submission_counts``)
+    and what else is told."""
+    counts.withColumns({"debug_schema_version": F.lit(1), **{k: F.lit(v) for k, v in metadata.items()}}).coalesce(1).write.mode("overwrite").json(path)
+
+
+def report(rows: DataFrame, path: str) -> None:
+    """An evaluation report (see ``scoring.report``) as one JSON object: counts, overall
+    and breakdowns by dimension and key."""
+    metrics = F.struct("n", "accuracy", "token_f1", "anls")
+    entries = lambda c, v: F.map_from_entries(F.array_sort(F.collect_list(F.when(c, F.struct("key", v.alias("v"))))))
+    group = rows.where("section not in ('counts', 'overall')").groupBy("section").agg(entries(F.lit(True), metrics).alias("v"))
+    every = F.map_from_entries(F.collect_list(F.struct("section", "v")))
+    ordered = lambda m: F.map_from_entries(F.transform(F.array_sort(F.map_keys(m)), lambda k: F.struct(k, m[k])))
+    breakdowns = group.agg(every.alias("m")).select(ordered(F.col("m")).alias("breakdowns"))
+    head = rows.agg(entries(F.col("section") == "counts", F.col("n")).alias("counts"), F.max(F.when(F.col("section") == "overall", metrics)).alias("overall"))
+    head.crossJoin(breakdowns).coalesce(1).write.mode("overwrite").json(path)  # one row each
+
+
+def summary(rows: DataFrame) -> str:
+    """One line a column of a one-row aggregate, for a console."""
+    return "\n".join(f"{k.replace('_', ' ').capitalize()}: {v}" for k, v in rows.first().asDict().items())
+
+
 def split_logs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows without logs, (test_id, agentic_log, agentic_debug) where either is there)."""
     filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
@@ -46,7 +70,8 @@ def frozen(rows: DataFrame, seq: str, path: str) -> None:
 
 
 def append(rows: DataFrame, path: str) -> None:
-    """Adds JSON lines; a reader skips what a broken writer left (see ``tolerant``)."""
+    """Adds JSON lines as files of their own, so a record that a broken writer left
+    unfinished never runs into a new one; ``tolerant`` skips it."""
     rows.write.mode("append").json(path)
 
 

@@ -19,6 +19,21 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc_id").cast("string").alias("id"), "doc_id", F.col("text").alias("content"), F.lit("local").alias("source_kind"), F.col("source").alias("source_path"), "chunk_index", F.col("lang").alias("section_id"), F.upper("lang").alias("section_title"))
 
 
+def unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunk rows without their index: within a source they stand in the order of doc_id,
+    so searches score and cut them before anything is numbered."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").cast("string").alias("id"), "doc_id", F.col("text").alias("content"), F.lit("local").alias("source_kind"), F.col("source").alias("source_path"), F.col("lang").alias("section_id"), F.upper("lang").alias("section_title"))
+
+
+def located(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    """A search's few rows (with source_path and doc_id) with their chunk_index: how many
+    documents of the source come before."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("_source"), F.col("doc_id").alias("_doc"))
+    before = docs.join(F.broadcast(found), (F.col("_source") == F.col("source_path")) & (F.col("_doc") <= F.col("doc_id")))
+    return before.groupBy(*found.columns).agg((F.count(F.lit(1)) - 1).cast("int").alias("chunk_index"))
+
+
 CHUNKS_SQL = """chunks as (select doc_id::varchar as id, doc_id, text as content, 'local' as source_kind, source as source_path,
   (row_number() over (partition by source order by doc_id) - 1)::int as chunk_index, lang as section_id, upper(lang) as section_title from documents)"""
 

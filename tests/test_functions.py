@@ -112,3 +112,32 @@ def test_bm25_equals_sqlite(spark):
     assert R.bm25_topk(rows, "!!").count() == 0
     best = R.bm25_topk(rows, "foo").first()
     assert best["score"] == pytest.approx(1 / (1 + abs(best["bm25"])))
+
+
+def test_string_values(spark):
+    said = lambda raw: _one(spark, X.string_value(F.parse_json(F.lit(raw))))
+    for raw, want in {"1.0": "1.0", "-2.50": "-2.5", "0": "0", "1e7": "10000000.0", "1.5e300": "1.5e+300", "-1e-7": "-1e-07", "123456789012345678901": "123456789012345678901", "false": "False", '"a, b: c"': "a, b: c", '{"b": [1, "x,y"], "a": {"k": null}}': '{"a": {"k": null}, "b": [1, "x,y"]}', "[]": "[]"}.items():
+        assert said(raw) == want, raw
+    assert _one(spark, X.string_value(F.lit(None).cast("variant"))) == ""
+
+
+def test_match_key_decomposes(spark):
+    key = lambda s: _one(spark, X.match_key(F.lit(s)))
+    assert key("  ﬁle_ＡＢ－Ά.Ё ") == "file ab α е" and key("Été--2020") == "ete 2020"
+    assert _one(spark, X.match_key(F.lit(None).cast("string"))) is None
+
+
+def test_folding_of_ascii_and_others(spark):
+    rows = spark.createDataFrame([("Plain TEXT",), ("Été ÑANDÚ",), (None,)], "t string")
+    assert [r[0] for r in rows.select(X.folded(F.col("t"))).collect()] == ["plain text", "ete nandu", None]
+
+
+def test_canonical_json_and_vectors(spark):
+    assert _one(spark, X.canonical_json(F.lit('{"b": 1, "a": [1, 2]}'))) == '{"a":[1,2],"b":1}'
+    with pytest.raises(Exception, match="invalid JSON"):
+        _one(spark, X.canonical_json(F.lit("{")))
+    assert _one(spark, V.serialised(F.array(F.lit(0.5), F.lit(-1.0)))) == "[0.5,-1.0]" and _one(spark, V.deserialised(F.lit("[0.5,1]"))) == [0.5, 1.0]
+    assert _one(spark, V.deserialised(F.lit(""))) is None and _one(spark, V.normalised(F.array(F.lit(3.0), F.lit(4.0)))) == [0.6, 0.8]
+    identity = lambda path, own, content: _one(spark, X.chunk_identity(F.lit("k"), path, F.lit(1), F.lit("s"), F.lit("t"), own, content))
+    none = F.lit(None).cast("string")
+    assert identity(none, F.lit("own"), F.lit("c")) == "own" and len(identity(none, F.lit(""), F.lit("c"))) == 40 and identity(F.lit("p"), F.lit("own"), F.lit("c")) != "own"

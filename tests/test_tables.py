@@ -1,14 +1,16 @@
 """Readers, writers, store, documents, cases, streaming and the tool loop."""
 
+import io
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import ranks
+from tessera.functions import payloads, ranks
 from tessera.functions import text as X
 from tessera.functions import vectors as V
-from tessera.operators import agent, cases, documents, store
+from tessera.operators import agent, cases, documents, indexing, store
 from tessera.operators import retrieval as R
 from tessera.operators import scoring as S
 from tessera.operators import toc as O
@@ -134,10 +136,124 @@ def test_documents(spark):
     assert {r["source_path"]: r["valid"] for r in documents.cache_problems(tocs, cached, valid).collect()} == {"p": True, "q": False, "r": False}
     done, failed = documents.isolated(spark.createDataFrame([("1",), ("x",)], "t string"), lambda t: [str(int(t))], "t")
     assert done.count() == 1 and failed.first()["error"].startswith("ValueError")
-    made = documents.embedded(cached, lambda: lambda texts: [[float(len(t))] for t in texts], prefix="q: ").first()["embedding"]
+    made = documents.embedded(cached, lambda: lambda texts: [[float(len(t))] for t in texts], prefix="q: ", unit=False).first()["embedding"]
+    many = documents.embedded(spark.range(250).select(F.lit("abcd").alias("content")), lambda: lambda texts: [[3.0, 4.0] if len(texts) <= 96 else [0.0, 1.0] for _ in texts]).distinct().collect()
+    assert [r["embedding"] for r in many] == [[0.6, 0.8]]
     assert made == [4.0] and documents.sentence_index(spark.createDataFrame([(1, "A long sentence. Short. Another long one!")], "k int, content string"), ["k"]).count() == 2
 
 
+def _parsed(spark):
+    items = [("d", 0, "paragraph", None, 1, "before"), ("d", 1, "section_header", 1, 2, "Empty"), ("d", 2, "section_header", 2, 2, "Top"), ("d", 3, "paragraph", None, 3, "abcdefghijk. " * 110), ("d", 4, "table", None, 4, "| a |"), ("d", 5, "section_header", 3, None, "Low"), ("d", 6, "paragraph", None, 7, "two")]
+    rows = spark.createDataFrame([(1, *x[1:]) for x in items], "doc long, pos long, label string, level int, page int, text string")
+    return indexing.parsed(rows)
+
+
+def test_items_become_an_index(spark):
+    sections, chunks = _parsed(spark)
+    assert [(r["id"], r["parent_id"], r["depth"], r["page_start"], r["chunk_count"], r["breadcrumb"]) for r in sections.orderBy("section").collect()] == [("section_2", None, 0, 2, 3, "Empty > Top"), ("section_3", "section_2", 1, 7, 1, "Top > Empty > Low")]
+    found = chunks.orderBy("chunk_no").collect()
+    assert [(r["id"], r["section_id"], r["position"], r["label"], r["page"]) for r in found] == [("chunk_1", None, None, "paragraph", 1), ("chunk_2", "section_2", 1, "paragraph", 3), ("chunk_3", "section_2", 2, "paragraph", 3), ("chunk_4", "section_2", 3, "table", 4), ("chunk_5", "section_3", 1, "paragraph", 7)]
+    assert found[0]["text"] == "before" and found[1]["text"].startswith("Empty > Top\n\nabcdefghijk. a") and found[1]["char_count"] == len(found[1]["text"]) - 13
+    rows = indexing.chunk_rows(sections, chunks).orderBy("chunk_index").collect()
+    assert [r["section_id"] for r in rows] == ["section_2", "section_2", "section_2", "section_3", None] and rows[3]["section_chain"] == ["section_2"]
+    toc = indexing.tocs(sections, chunks).first()
+    whole = json.loads(toc["toc_json"])
+    assert (toc["total_sections"], toc["total_chunks"]) == (2, 5) and whole["meta"]["orphan_chunks"] == 1 and "depth" not in whole["toc"][0] and whole["toc"][1]["section_chain"] == ["section_2"]
+    assert [len(x["chunks"]) for x in whole["sections"]] == [3, 1] and whole["orphan_chunks"][0]["text"] == "before"
+
+
+def test_publishing_is_all_or_nothing(spark, tmp_path):
+    sections, chunks = _parsed(spark)
+    path, toc, records = str(tmp_path / "index"), indexing.tocs(sections, chunks), indexing.section_records(sections)
+    assert indexing.load_tocs(spark, path, ["1"]).count() == 0
+    indexing.publish(path, toc, records)
+    held = indexing.current(spark, path, "sections")
+    assert [(r["ordinal"], r["content"], r["section_count"]) for r in held.orderBy("ordinal").collect()] == [(0, "Top\nEmpty > Top", 2), (1, "Low\nTop > Empty > Low", 2)]
+    with pytest.raises(Exception, match="broken"):
+        indexing.publish(path, toc, records.withColumn("content", F.raise_error(F.lit("broken")).cast("string")))
+    assert indexing.current(spark, path, "toc").count() == 1 and indexing.current(spark, path, "sections").count() == 2
+    indexing.publish(path, toc.withColumn("toc_json", F.lit("[1]")), records.where("ordinal = 0"))
+    assert indexing.current(spark, path, "sections").count() == 1 and indexing.load_tocs(spark, path, ["1", "2"]).count() == 1
+    with pytest.raises(Exception, match="not an object"):
+        indexing.load_toc_strict(spark, path, "1").collect()
+    assert indexing.load_toc_strict(spark, path, "2").count() == 0
+
+
+def test_sentence_index_and_parse_cache(spark, tmp_path):
+    chunks = spark.createDataFrame([("a", 0, "A long sentence here. Another long one!"), ("b", 0, "Something else entirely.")], "doc string, no long, content string")
+    path, model = str(tmp_path / "sentences"), lambda: lambda texts: [[3.0, 4.0] for _ in texts]
+    told = lambda c, name: {r["doc"]: r["matches"] for r in documents.index_matches(c, "doc", "no", name, path).collect()}
+    assert told(chunks, "m") == {"a": False, "b": False}
+    documents.build_sentence_index(chunks, "doc", "no", model, "m", path)
+    assert spark.read.parquet(path).count() == 3 and told(chunks, "m") == {"a": True, "b": True} and not any(told(chunks, "other").values())
+    changed = chunks.withColumn("content", F.when(F.col("doc") == "a", "New text stands here.").otherwise(F.col("content")))
+    assert told(changed, "m") == {"a": False, "b": True}
+    documents.build_sentence_index(changed.where("doc = 'a'"), "doc", "no", model, "m", path)
+    assert told(changed, "m") == {"a": True, "b": True} and spark.read.parquet(path).count() == 2
+    files_ = spark.createDataFrame([("x", "h1", "1"), ("y", "h1", "1"), ("z", "h2", "bad")], "file string, file_hash string, content string")
+    cache = str(tmp_path / "cache")
+    for parse in (lambda t: [str(int(t))], lambda t: ["again"]):
+        found = {r["file"]: r["result"] for r in documents.parsed_with_cache(files_, parse, cache).collect()}
+    assert found == {"x": ["1"], "y": ["1"], "z": ["again"]}
+
+
+def test_downloads(spark):
+    wanted = spark.createDataFrame([(x, f"http://h/{x}") for x in ("good", "cut", "gone", "lost", "down")], "document_id string, url string")
+
+    def fetch(url):
+        name = url.rpartition("/")[2]
+        if name in ("gone", "lost"):
+            raise LookupError("404")
+        if name == "down":
+            raise OSError("503")
+        return b"%PDF-1.4" if name == "cut" else b"%PDF-1.4 %%EOF"
+
+    rows = files.downloaded(wanted, fetch, files.pdf_problem, lambda url: "http://a/archived" if "gone" in url else None).collect()
+    assert {r["document_id"]: (r["content"] is not None, r["problem"], r["attempts"]) for r in rows} == {"good": (True, None, 1), "cut": (False, "PDF EOF marker is missing", 3), "gone": (True, None, 2), "lost": (False, "not found: 404", 1), "down": (False, "OSError: 503", 3)}
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for name in ("top/in/a.txt", "top/in/b/c.txt", "top/out.txt"):
+            z.writestr(name, name)
+    found = files.unzipped(spark.createDataFrame([(data.getvalue(),)], "content binary"), "top/in").collect()
+    assert {r["file"]: bytes(r["content"]) for r in found} == {"a.txt": b"top/in/a.txt", "b/c.txt": b"top/in/b/c.txt"}
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("top/../../evil", "x")
+    with pytest.raises(Exception, match="unsafe"):
+        files.unzipped(spark.createDataFrame([(data.getvalue(),)], "content binary"), "top").collect()
+
+
+def test_reports_and_debug(spark, tmp_path):
+    rows = S.scored(spark.createDataFrame([("q1", "a", "a", "Str", "", "ok", None), ("q2", "b", "x", "Str", "", "ok", "law")], "question_id string, gold string, prediction string, raw_format string, verification_rule string, status string, domain string"))
+    report = S.report(rows, rows, rows.where("question_id = 'q1'").unionByName(rows.limit(1).withColumn("question_id", F.lit("extra"))), {"domain": F.array("domain")})
+    sinks.report(report, str(tmp_path / "report"))
+    told = json.loads(spark.read.text(str(tmp_path / "report")).first()[0])
+    assert told["counts"] == {"evaluated": 2, "extra_prediction": 1, "gold": 2, "missing_prediction": 1, "prediction": 2}
+    assert told["overall"]["accuracy"] == 0.5 and list(told["breakdowns"]["domain"]) == ["law", "unknown"] and told["breakdowns"]["domain"]["unknown"]["accuracy"] == 1.0
+    cases_ = spark.createDataFrame([("direct", "p", True, 5), ("failed", None, False, 7)], "outcome string, prediction string, carried_forward boolean, input_tokens long").withColumns({c: F.lit(0) for c in S.TOKENS[1:]})
+    sinks.debug(S.submission_counts(cases_), str(tmp_path / "debug"), commit="c")
+    told = json.loads(spark.read.text(str(tmp_path / "debug")).first()[0])
+    assert (told["selected"], told["emitted"], told["runtime_error_omitted"], told["carried_forward"], told["rerun"], told["total_input_tokens"], told["commit"]) == (2, 1, 1, 1, 1, 12, "c")
+    assert sinks.summary(S.run_status(spark.createDataFrame([("completed",), ("skipped",)], "status string"))) == "Completed: 1\nFailed: 0\nSkipped: 1\nTotal: 2"
+    done = S.normalised_results(spark.createDataFrame([("q", None, "b", "ans")], "question string, gold_answer string, reference string, answer string")).first()
+    assert (done["reference"], done["generated"], done["status"]) == ("b", "ans", "completed")
+    failed = S.error_results(spark.createDataFrame([("t", "x" * 300)], "test_id string, question string"), F.lit("why")).first()
+    assert len(failed["question"]) == 100 and failed["status"] == "failed"
+
+
+def test_case_joins(spark):
+    q = spark.createDataFrame([(1, "a"), (2, "b")], "n int, doc string")
+    info = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new")], "doc string, seq int, kind string")
+    assert {r["doc"]: r["info"] and r["info"]["kind"] for r in cases.with_info(q, info, "doc", "seq").collect()} == {"a": "new", "b": None}
+    assert [r["doc"] for r in cases.with_files(q, info, "doc").collect()] == ["a"]
+    assert cases.selected(q.where("n = 1"), q, "doc").count() == 1
+    with pytest.raises(ValueError, match="unknown doc: zz"):
+        cases.selected(spark.createDataFrame([("zz",)], "doc string"), q, "doc")
+    order = spark.createDataFrame([("b", 3), ("a", 5), ("b", 9), ("c", 1)], "doc string, at int")
+    assert [r["doc"] for r in cases.first_order(order, "doc", "at").collect()] == ["c", "b", "a"]
+    assert spark.createDataFrame([("STRASSE",), ("Straße",)], "t string").where(cases.matches("straße", text=F.col("t"), ids=F.lit(""))).count() == 2
+
+
 def test_cases(spark):
     ids = cases.question_ids("set_s_", [(1, 2)], spark)
     assert [r[0] for r in ids.collect()] == ["set_s_000001", "set_s_000002"]
@@ -172,23 +288,86 @@ def context(spark):
 def test_tool_loop(context):
     script = [[("hybrid_search", {"query": "needle"})], [("get_chunk_window", {"chunk_ids": ["docs/spec.pdf::0", "bad"], "after": 9})], [("nope", {}), ("get_section", {"file_id": "spec", "section_title": "section-1"})], [("submit_answer", {"answer": " "}), ("submit_answer", {"answer": "done"}), ("get_toc", {"file_id": "spec"})]]
     out = agent.run(context, "q", lambda q, s: script[s.iterations - 1])
-    assert (out["answer"], out["stop_reason"], out["iterations"], out["calls"]) == ("done", "submitted", 4, 6)
+    assert (out["answer"], out["stop_reason"], out["iterations"], out["calls"]) == ("done", "submit_answer_called", 4, 6)
     results = [x["result"] for x in out["log"]]
     assert results[0].startswith("4 chunks, 4 new") and "[CHUNK_ID: docs/spec.pdf::2] [SECTION_ID: s1] [SECTION: Section 1]\ngamma" in results[0]
     assert results[1].startswith("4 chunks, 0 new") and "[ALREADY RETURNED: docs/spec.pdf::3]" in results[1]
     assert results[2] == "Error: unknown tool nope" and results[3].startswith("2 chunks") and results[4] == "Error: the answer is empty"
 
 
-def test_tool_loop_limits(context):
-    out = agent.run(context, "q", lambda q, s: [("get_toc", {"file_id": "spec.pdf"})], lambda q, text: "made up")
-    assert (out["stop_reason"], out["forced"], out["iterations"]) == ("stale", True, 5)
-    assert agent.run(context, "q", lambda q, s: [])["stop_reason"] == "no_tools"
+def test_tool_loop_limits(context, spark):
+    toc = [("get_toc", {"file_id": "spec.pdf"})]
+    out = agent.run(context, "q", lambda q, s: toc, lambda q, text: "made up")
+    assert (out["stop_reason"], out["answer"], out["iterations"], out["fallback_used"]) == ("stale_early_stop", agent.FALLBACKS[1], 5, True)
+    assert out["log"][0]["result"] == "TOC for: docs/spec.pdf\nSections: 2  |  Total chunks: 0\n\n- [s0] Section 0  (0 chunks, page ?)\n- [s1] Section 1  (0 chunks, page ?)"
+    seen = [("get_section", {"file_id": "spec", "section_id": "s1"})]
+    out = agent.run(context, "q", lambda q, s: seen if s.iterations < 2 else [], lambda q, text: text.upper())
+    assert out["stop_reason"] == "forced_final_synthesis" and "GAMMA NEEDLE" in out["answer"] and not out["fallback_used"]
+    assert agent.run(context, "q", lambda q, s: [])["stop_reason"] == "no_tool_requests_empty"
+    said = agent.run(context, "q", lambda q, s: agent.Turn(text=" plain ", input_tokens=7, cache_read_tokens=2))
+    assert (said["stop_reason"], said["answer"], said["input_tokens"], said["cache_read_tokens"]) == ("no_tool_requests_with_text", "plain", 7, 2)
+    out = agent.run(context, "q", lambda q, s: agent.Turn(toc, input_tokens=300_000))
+    assert (out["stop_reason"], out["iterations"], out["input_tokens"], out["answer"]) == ("budget_exceeded_after_loop", 2, 600_000, agent.FALLBACKS[0])
+    out = agent.run(context, "q", lambda q, s: toc * 40)
+    assert (out["calls"], out["stop_reason"]) == (30, "budget_exceeded_after_loop") and out["log"][35]["result"] == "Error: the budget is exceeded"
     with pytest.raises(ValueError):
         agent.Context(context.chunks, context.sections, context.query_vector, enabled=("get_toc",))
     tools = agent.Tools(context, agent.State())
     assert tools.call("search_toc", {"query": "section"}).count("[s") == 2 and not tools.s.seen
     context.validate = lambda a: [] if "value" in a else ["value is missing"]
-    assert tools.call("submit_answer", {"answer": "{}"}) == "Error: value is missing" and tools.call("submit_answer", {"answer": '{"value": 1}'}) == "accepted"
+    assert tools.call("submit_answer", {"answer": "{}"}) == "Error: value is missing" and tools.call("submit_answer", {"answer": '```json\n{"value": 1\n```'}) == "accepted"
+    assert tools.s.answer == '{"value": 1}'
+
+
+def test_answers_with_a_schema(context):
+    schema = payloads.closed_schema({"type": "object", "properties": {"answer": {"type": "string"}, "found": {"type": "boolean"}, "part": {"$ref": "#/$defs/P"}, "n": {"anyOf": [{"type": "integer"}, {"type": "null"}]}}, "required": ["answer"], "$defs": {"P": {"type": "object", "properties": {"x": {"type": "array", "items": {"type": "number"}}}}}})
+    assert schema["additionalProperties"] is False and schema["properties"]["part"]["additionalProperties"] is False and "$defs" not in schema
+    with pytest.raises(ValueError, match="recursive"):
+        payloads.closed_schema({"$ref": "#/$defs/A", "$defs": {"A": {"type": "object", "properties": {"a": {"$ref": "#/$defs/A"}}}}})
+    assert payloads.problems(schema, {"answer": "a", "n": None, "part": {"x": [1, 2.5]}}) == []
+    assert payloads.problems(schema, {"found": 1, "other": 2, "part": {"x": ["a"]}, "n": True}) == ["answer.answer is missing", "answer.other is unknown", "answer.found is not of type boolean", "answer.part.x[0] is not of type number", "answer.n is not of type integer or null"]
+    context = agent.Context(context.chunks, context.sections, context.query_vector, context.sources, schema=schema)
+    seen = [("get_section", {"file_id": "spec", "section_id": "s1"})]
+    script = lambda q, s: seen if s.iterations < 2 else agent.Turn(text="just text")
+    out = agent.run(context, "q", script, lambda q, text: '{"answer": 5}')
+    assert out["stop_reason"] == "no_final_answer" and json.loads(out["answer"]) == {"answer": agent.FALLBACKS[1], "found": False, "part": {"x": []}, "n": 0}
+    out = agent.run(context, "q", script, lambda q, text: '{"answer": "a"')
+    assert (out["stop_reason"], out["answer"]) == ("forced_final_synthesis", '{"answer": "a"}')
+    assert payloads.coerced("x", {"title": 1, "interpretation": 2, "confidence": 3})["title"] == 1 and payloads.coerced("x", {"message": "m"})["found"] is False
+    assert payloads.coerced("x", {"a": 1}) is None and payloads.coerced(" ", None) is None and payloads.coerced("plain", None)["sources"] == []
+    key = lambda text: payloads.cache_key("m", "s", [], [{"role": "user", "content": [{"text": text}, {"text": "later"}]}])
+    assert key("a") == key("a") != key("b")
+
+
+def test_search_toc_tells_what_it_leaves_out(context, spark):
+    states = spark.createDataFrame([("docs/spec.pdf", "OK", True), ("docs/missing.pdf", "MISSING_TOC", False)], "source_path string, status string, eligible boolean")
+    both = agent.Context(context.chunks, context.sections, context.query_vector, ("docs/spec.pdf", "docs/missing.pdf"), index_states=states)
+    found = agent.Tools(both, agent.State()).call("search_toc", {"query": "section"}).split("\n")
+    assert found[:2] == ["[SEARCH_TOC_WARNING: MISSING_TOC file_id=docs/missing.pdf]", "2 TOC section(s) returned:"]
+    none = agent.Context(context.chunks, context.sections, context.query_vector, ("docs/missing.pdf",), index_states=states)
+    assert agent.Tools(none, agent.State()).call("search_toc", {"query": "section"}).endswith("No searchable TOC sections in the effective scope.")
+    broken = agent.Context(context.chunks, context.sections.withColumn("embedding", F.raise_error(F.lit("no vectors")).cast("array<double>")), context.query_vector, ("docs/spec.pdf",))
+    found = agent.Tools(broken, agent.State()).call("search_toc", {"query": "section"}).split("\n")
+    assert found[0] == "[SEARCH_TOC_WARNING: SEMANTIC_RETRIEVAL_FAILED]" and len(found) == 4
+    legs = []
+    bad = context.chunks.withColumn("embedding", F.raise_error(F.lit("no vectors")).cast("array<double>"))
+    top = R.hybrid(bad, "needle", context.query_vector("needle"), warn=lambda name, e: legs.append(name))
+    assert top.count() == 2 and legs == ["semantic"]
+
+
+def test_runs_in_parallel_keep_their_order(context):
+    def policy(question, state):
+        if question == "bad":
+            raise RuntimeError("no model")
+        return [("submit_answer", {"answer": question})]
+
+    out = agent.run_all(context, ["a", "bad", "c"], policy, workers=3)
+    assert [(r["status"], r.get("answer")) for r in out] == [("completed", "a"), ("failed", None), ("completed", "c")] and out[1]["error"] == "RuntimeError: no model"
+    cases = [{"question": q, "reference": "r", "generated": q} for q in ("x", "y", "z")]
+    scored = agent.judged(cases, lambda prompt: {"x": '{"correct": true, "reasoning": "same"}', "y": "that is false", "z": "?"}[prompt.split("Answer: ")[1][0]])
+    assert [(r["score"], r["reasoning"]) for r in scored] == [(1.0, "same"), (0.0, ""), (0.0, "the reply can't be read")]
+    with pytest.raises(ValueError):
+        agent.run_all(context, [], policy, workers=0)
 
 
 def test_resolution_and_rendering(spark):
