@@ -16,7 +16,7 @@ from . import retrieval
 
 
 def _parts(spark: SparkSession, d: str, pieces) -> DataFrame:
-    rows = T.table(spark, d, "documents").select("doc_id", F.posexplode(pieces(F.col("text"))).alias("part", "piece"))
+    rows = T.spread(T.table(spark, d, "documents")).select("doc_id", F.posexplode(pieces(F.col("text"))).alias("part", "piece"))
     return rows.select("doc_id", F.col("part").cast("long").alias("part"), F.length("piece").cast("long").alias("chars"), F.md5("piece").alias("piece_md5"))
 
 

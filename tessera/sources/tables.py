@@ -8,6 +8,23 @@ from pyspark.sql import functions as F
 from ..functions.ranks import numbered
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that df reads, as far as Spark knows them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    # A leaf of which Spark doesn't know the size tells the largest one there is.
+    return sum(x for x in sizes if x < 1 << 55)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df on all cores: a table that is read in fewer parts than there are cores (a small
+    one, often one row group) is dealt out first. Larger ones stay as they are read."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    unit = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if input_bytes(df) < cores * unit else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -22,7 +39,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk rows without their index: within a source they stand in the order of doc_id,
     so searches score and cut them before anything is numbered."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select(F.col("doc_id").cast("string").alias("id"), "doc_id", F.col("text").alias("content"), F.lit("local").alias("source_kind"), F.col("source").alias("source_path"), F.col("lang").alias("section_id"), F.upper("lang").alias("section_title"))
 
 

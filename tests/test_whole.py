@@ -1,4 +1,4 @@
-"""Queries of which the registered SQL still holds a cut, against whole results."""
+"""Queries over whole tables, against results computed in Python."""
 
 import hashlib
 import json
