@@ -25,7 +25,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import Stage
+from .staging import Stage, documents
 
 #: Template id -> texts of headers and of whole licences.
 TEMPLATES = {
@@ -156,7 +156,7 @@ def scan(files: DataFrame, path: Column, text: Column, keys: list[str]) -> DataF
 
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as files source/lang/hundreds/doc_id.txt."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     path = F.concat_ws("/", "source", "lang", F.expr("cast(doc_id div 100 as string)"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     return scan(docs, path, F.col("text"), ["doc_id"])
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .staging import Stage, importable
+from .staging import Stage, documents, importable
 
 RATE, FRAME, HOP, PAD = 8000, 256, 128, 64
 #: Frames transformed at once: about 8 MB of spectra.
@@ -170,7 +170,7 @@ def wav_fingerprints(df: DataFrame, media: str = "media", arrays: bool = True) -
 def op1_media_wav(spark, sf_dir: str) -> DataFrame:
     """Contract query: every whole text as WAV in a stored table, read back from it and
     fingerprinted; the time-coded arrays stand in the result."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     stored = Stage(spark, "media").save(to_wav(docs, "text").drop("text"), "wav")
     read = wav_fingerprints(stored)
     feature = F.concat_ws(":", F.col("n_frames"), F.col("n_peaks"), F.col("n_pairs"), F.col("fp_sha256"))

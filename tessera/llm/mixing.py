@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .staging import Stage
+from .staging import Stage, documents
 
 OTHER = "*"
 ROUNDS, SEED = 30, "mix-1"
@@ -225,7 +225,7 @@ def sampled(docs: DataFrame) -> DataFrame:
 
 def op2_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their cell, raked share, probability and fate."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
+    docs = documents(spark, sf_dir, "doc_id", "text", "source", "lang")
     found = mixed(docs, carry=False)
     return found.select("doc.doc_id", "n_tokens", *MARGINS, F.round("raked", 9).alias("raked"), F.round("probability", 9).alias("probability"), "cutoff", "kept")
 

@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from . import wordhash
 from .components import components
 from .exactdedup import kept_rows, text_digest
-from .staging import Stage
+from .staging import Stage, documents
 
 #: (least set size, bands); four registers a band. The first class has no bands but
 #: exact keys.
@@ -372,5 +372,5 @@ def keep_one_of_group(docs: DataFrame) -> DataFrame:
 
 def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: three words, similarity 0.85, all documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     return near_duplicates(docs, 3, 0.85).select("doc_id", "n_shingles", "component_id", "kept", "n_links")

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .segments import LONGEST, SegmentCache
-from .staging import importable
+from .staging import documents, importable
 
 SPACE, UNIGRAM, BPE = "▁", 1, 2
 #: Fixed value: what the library's cost of a character without a piece is above that
@@ -371,6 +371,6 @@ def encoded_documents(docs: DataFrame) -> DataFrame:
 
 def op6_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document encoded, decoded and compared."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     found = encode(docs, model_path(), decoded="decoded")
     return found.select("doc_id", F.col("n_ids").alias("n_tokens"), "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), _same("text", "decoded").alias("round_trip"))

@@ -26,6 +26,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .staging import documents
+
 #: Bound of the labelled rows used, trees, their depth, and the lasso penalty.
 SAMPLE, TREES, DEPTH, PENALTY = 20_000, 12, 3, 1e-3
 BINS, SHRINK, LEAST_LEAF, STEPS = 32, 0.3, 10, 400
@@ -200,6 +202,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query over all documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= PASS).cast("int").alias("predicted"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import Stage
+from .staging import Stage, documents
 
 #: kind -> (order, pattern, group of the value, least length of the value).
 #: Letters of keywords are spelled in both cases, so that no engine folds others.
@@ -119,7 +119,7 @@ def find_secrets(docs: DataFrame, repository: Column, owner: Column, doc_id: str
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query; a source is an owner, its part in one language a repository."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     found = find_secrets(docs, F.concat_ws("/", F.col("source"), F.coalesce("lang", F.lit(""))), F.col("source"))
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
     return found.select(

@@ -19,6 +19,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import input_bytes, spread
+
 
 def importable(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it."""
@@ -84,6 +86,12 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The documents table, or columns of it, on all cores."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(docs.select(*columns) if columns else docs)
+
+
 #: Bytes of input files that one shard or one hash range is meant to hold.
 SHARD_BYTES = 64 << 20
 
@@ -91,7 +99,4 @@ SHARD_BYTES = 64 << 20
 def n_shards(docs: DataFrame, most_bytes: int = SHARD_BYTES) -> int:
     """How many shards of about most_bytes the tables below docs make; the shuffle
     partitions at least, so that small inputs keep all cores busy."""
-    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    # A leaf of which Spark doesn't know the size tells the largest one there is.
-    return max(n_partitions(docs.sparkSession), sum(x for x in sizes if x < 1 << 55) // most_bytes + 1)
+    return max(n_partitions(docs.sparkSession), input_bytes(docs) // most_bytes + 1)

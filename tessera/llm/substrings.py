@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .staging import Stage, n_shards
+from .staging import Stage, documents, n_shards
 
 WINDOW, BLOCK, STRIDE = 50, 11, 3
 #: Hashes gathered before a chunk is sent; rows handled at once; hash ranges a task
@@ -280,7 +280,7 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query over all documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     base, removed = repeated_windows(docs)
     changed = removed.select("doc_id", "all_sha256", "n_removed", "left_sha256").distinct()
     joined = base.join(changed, ["doc_id", "all_sha256"], "left")
