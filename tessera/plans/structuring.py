@@ -147,14 +147,31 @@ def publish_sections(spark: SparkSession, d: str) -> DataFrame:
     return I.current(spark, path, "sections").select("source_path", "ordinal", "section_id", "section_title", "revision", F.col("section_count").cast("long").alias("section_count"))
 
 
-def _split_sql(most: int, marks: tuple[str, ...], extra: int) -> str:
+def _split_sql(most: int, marks: tuple[str, ...], extra: int, rows: str = "documents", key: str = "doc_id") -> str:
     strip = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
     char = lambda m: " || ".join(f"chr({ord(c)})" for c in m)
     tests = " ".join(f"when strpos(p, {char(m)}) > 0 then {most} - strpos(reverse(p), {char(m[::-1])}) - {len(m) - 1} + 1" for m in marks)
-    return f"""with recursive s as (select doc_id, 0::bigint as part, ''::varchar as piece, text as rest, length(text) <= {most} as done from documents
-  union all select doc_id, part + 1, case when cut = 0 then rest else {strip("substr(rest, 1, cut)")} end, case when cut = 0 then '' else {strip("substr(rest, cut + 1)")} end, false
-  from (select *, case when length(rest) <= {most} then 0 else case {tests} else {most + extra} end end as cut from (select *, substr(rest, 1, {most}) as p from s where rest <> '' and not done)))
-select doc_id, part - 1 as part, length(piece) as chars, md5(piece) as piece_md5 from s where part > 0 union all select doc_id, 0, length(rest), md5(rest) from s where part = 0 and done"""
+    return f"""s as (select {key}, 0::bigint as part, ''::varchar as piece, text as rest, length(text) <= {most} as done from {rows}
+  union all select {key}, part + 1, case when cut = 0 then rest else {strip("substr(rest, 1, cut)")} end, case when cut = 0 then '' else {strip("substr(rest, cut + 1)")} end, false
+  from (select *, case when length(rest) <= {most} then 0 else case {tests} else {most + extra} end end as cut from (select *, substr(rest, 1, {most}) as p from s where rest <> '' and not done))),
+pieces as (select {key}, part - 1 as part, piece from s where part > 0 union all select {key}, 0, rest from s where part = 0 and done)"""
+
+
+_PARTS = "select doc_id, part, length(piece) as chars, md5(piece) as piece_md5 from pieces"
+_MERGED = f"""{T.ITEMS_SQL}, n as (select *, row_number() over (partition by doc order by pos) as i, pos // 3 as page from items),
+w as (select doc, 0::bigint as i, 0::bigint as block, null::bigint as room from (select distinct doc from n)
+  union all select w.doc, n.i, block + (label in ('section_header', 'table') or room is null or length(text) > room)::int,
+    case when label in ('section_header', 'table') then null
+      when room is null and length(text) > {C.SOFT} then case when length(text) <= {C.HARD} then {C.SOFT} - length(text) end
+      when room is null then {C.SOFT} - length(text) - 2
+      when length(text) > room then case when text <> '' then {C.SOFT} - length(text) end
+      else room - 2 - length(text) end
+  from w join n on n.doc = w.doc and n.i = w.i + 1),
+g as (select doc, block, n.i, n.label, level, page, text from w join n using (doc, i)),
+alone as (select doc, block, label, level, page, text from g where label in ('section_header', 'table')),
+joined as (select doc, block, regexp_replace(string_agg(text, chr(10) || chr(10) order by i), '^\\s+|\\s+$', '', 'g') as text, arg_min(page, i) as page, doc || ':' || block as k from g where label not in ('section_header', 'table') group by doc, block),
+{_split_sql(C.HARD, (". ", chr(10), ", ", " "), 1, "joined", "k")},
+every as (select doc, block, 0::bigint as part, label, level, page, text from alone union all select doc, block, part, 'paragraph', null, page, piece from pieces join joined using (k) where piece <> '')"""
 
 
 _GROUPED = f"{T.ITEMS_SQL}, g as (select *, sum((label = 'section_header')::int) over (partition by doc order by pos)::bigint as section from items)"
@@ -167,8 +184,22 @@ _REV = lambda rows: f"select source_path, sha256('[' || string_agg({_JSON}, ','
 QUERIES = {f.__name__: f for f in (split_sentence_boundary, split_for_embedding, merge_items, group_under_sections, toc_hierarchy, toc_breadcrumbs, toc_render, chunk_numbering, table_markdown, table_split, sentence_split, passage_pack, section_record_revision, corpus_fingerprint, section_index_state, index_document, document_sections, publish_sections)}
 
 ORACLE_SQL = {
-    "split_sentence_boundary": _split_sql(C.HARD, (". ", "\n", ", ", " "), 1),
-    "split_for_embedding": _split_sql(C.EMBEDDED, (". ", "\n", " "), 0),
+    "split_sentence_boundary": f"with recursive {_split_sql(C.HARD, ('. ', chr(10), ', ', ' '), 1)} {_PARTS}",
+    "split_for_embedding": f"with recursive {_split_sql(C.EMBEDDED, ('. ', chr(10), ' '), 0)} {_PARTS}",
+    "merge_items": f"with recursive {_MERGED} select doc, row_number() over (partition by doc order by block, part) - 1 as pos, label, level, page, length(text) as chars, md5(text) as text_md5 from every",
+    # The heading, of three lines, stands above each part; rows follow while they fit.
+    "table_split": """with recursive r as (select p_brand, row_number() over (partition by p_brand order by p_partkey) as i, '| ' || concat_ws(' | ', p_name, p_type, p_size::varchar, printf('%.2f', p_retailprice)) || ' |' as l from part),
+h as (select '| item | kind | number | money |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || '| name | type | size | price |' as h),
+s as (select p_brand, 0::bigint as i, -1::bigint as part, 600::bigint as size from (select distinct p_brand from r)
+  union all select s.p_brand, r.i, part + (size + 1 + length(l) > 600)::int, case when size + 1 + length(l) > 600 then length(h) else size end + 1 + length(l) from s join r on r.p_brand = s.p_brand and r.i = s.i + 1, h)
+select p_brand, part, length(piece)::int as chars, md5(piece) as piece_md5 from (select p_brand, part, max(h) || chr(10) || string_agg(l, chr(10) order by i) as piece from s join r using (p_brand, i), h group by p_brand, part)""",
+    "passage_pack": f"""with recursive l as (select doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, chr(10), chr(10) || chr(10), 'g'), '\\n\\s*\\n+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') as bs from documents),
+b as (select doc_id, unnest(range(len(bs))) + 1 as i, unnest(bs) as block from l),
+n as (select doc_id, block, i, length(block) as n, starts_with(lower(block), '<table') as t, starts_with(block, '#') as h from b),
+s as (select doc_id, 0::bigint as i, 0::bigint as pn, 0::bigint as no, 0::bigint as size, false as open from (select distinct doc_id from b)
+  union all select doc_id, i, p, p + (t or not (held + n + 2 < {C.PASSAGE} or h))::int, case when t or not (held + n + 2 < {C.PASSAGE} or h) then 0 else held + n + 2 end, not (t or not (held + n + 2 < {C.PASSAGE} or h))
+  from (select s.doc_id, n.i, n, t, h, no + (open and (t or (size + n > {C.PASSAGE} and not h)))::int as p, case when open and (t or (size + n > {C.PASSAGE} and not h)) then 0 else size end as held from s join n on n.doc_id = s.doc_id and n.i = s.i + 1))
+select doc_id, pn as no, md5(pn || ':' || string_agg(block, chr(10) || chr(10) order by i)) as passage_md5 from s join n using (doc_id, i) group by doc_id, pn""",
     "group_under_sections": f"with {_GROUPED} select doc, pos, label, section from g",
     "toc_hierarchy": f"""with {_GROUPED}, h as (select doc, section, max(case when label = 'section_header' then text end) as title, max(case when label = 'section_header' then level end) as level, count(*) filter (label <> 'section_header') as n_chunks from g where section > 0 group by all),
 a as (select i.doc, i.section, j.section as anc, j.title as anc_title, j.n_chunks > 0 as kept from h i join h j on j.doc = i.doc and j.section < i.section and not exists (select 1 from h k where k.doc = i.doc and k.section > j.section and k.section <= i.section and k.level <= j.level)),
