@@ -147,14 +147,16 @@ def publish_sections(spark: SparkSession, d: str) -> DataFrame:
     return I.current(spark, path, "sections").select("source_path", "ordinal", "section_id", "section_title", "revision", F.col("section_count").cast("long").alias("section_count"))
 
 
-def _split_sql(most: int, marks: tuple[str, ...], extra: int, rows: str = "documents", key: str = "doc_id") -> str:
+def _split_sql(most: int | str, marks: tuple[str, ...], extra: int, rows: str = "documents", key: str = "doc_id", names: tuple[str, str] = ("s", "pieces")) -> str:
+    """Common tables of a splitter over rows (key, text); most is a number or a column."""
     strip = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
     char = lambda m: " || ".join(f"chr({ord(c)})" for c in m)
-    tests = " ".join(f"when strpos(p, {char(m)}) > 0 then {most} - strpos(reverse(p), {char(m[::-1])}) - {len(m) - 1} + 1" for m in marks)
-    return f"""s as (select {key}, 0::bigint as part, ''::varchar as piece, text as rest, length(text) <= {most} as done from {rows}
-  union all select {key}, part + 1, case when cut = 0 then rest else {strip("substr(rest, 1, cut)")} end, case when cut = 0 then '' else {strip("substr(rest, cut + 1)")} end, false
-  from (select *, case when length(rest) <= {most} then 0 else case {tests} else {most + extra} end end as cut from (select *, substr(rest, 1, {most}) as p from s where rest <> '' and not done))),
-pieces as (select {key}, part - 1 as part, piece from s where part > 0 union all select {key}, 0, rest from s where part = 0 and done)"""
+    tests = " ".join(f"when strpos(p, {char(m)}) > 0 then most - strpos(reverse(p), {char(m[::-1])}) - {len(m) - 1} + 1" for m in marks)
+    s, pieces = names
+    return f"""{s} as (select {key}, ({most})::bigint as most, 0::bigint as part, ''::varchar as piece, text as rest, length(text) <= {most} as done from {rows}
+  union all select {key}, most, part + 1, case when cut = 0 then rest else {strip("substr(rest, 1, cut)")} end, case when cut = 0 then '' else {strip("substr(rest, cut + 1)")} end, false
+  from (select *, case when length(rest) <= most then 0 else case {tests} else most + {extra} end end as cut from (select *, substr(rest, 1, most) as p from {s} where rest <> '' and not done))),
+{pieces} as (select {key}, part - 1 as part, piece from {s} where part > 0 union all select {key}, 0, rest from {s} where part = 0 and done)"""
 
 
 _PARTS = "select doc_id, part, length(piece) as chars, md5(piece) as piece_md5 from pieces"
@@ -174,6 +176,25 @@ joined as (select doc, block, regexp_replace(string_agg(text, chr(10) || chr(10)
 every as (select doc, block, 0::bigint as part, label, level, page, text from alone union all select doc, block, part, 'paragraph', null, page, piece from pieces join joined using (k) where piece <> '')"""
 
 
+_ANCESTORS = """a as (select i.doc, i.section, j.section as anc, j.title as anc_title, j.n_chunks > 0 as kept from h i join h j on j.doc = i.doc and j.section < i.section and not exists (select 1 from h k where k.doc = i.doc and k.section > j.section and k.section <= i.section and k.level <= j.level)),
+c as (select doc, section, string_agg('section_' || anc, '/' order by anc) filter (kept) as chain, max(anc) filter (kept) as parent, count(*) filter (kept) as depth,
+  coalesce(string_agg(anc_title, ' > ' order by anc) filter (kept) || ' > ', '') || coalesce(string_agg(anc_title, ' > ' order by anc) filter (not kept) || ' > ', '') as lead from a group by all)"""
+_TRIM = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+_PARSED = f"""{_MERGED},
+m as (select *, row_number() over (partition by doc order by block, part) as pos, sum((label = 'section_header')::int) over (partition by doc order by block, part)::bigint as section from every),
+hd as (select doc, section, text as title, coalesce(nullif(level, 0), 1) as level, page as head_page from m where label = 'section_header'),
+bd as (select m.doc, m.section, pos, label, page, m.doc || ':' || pos as q, case when m.section = 0 then m.text else {_TRIM('m.text')} end as text, case when m.section = 0 then 1000000000 else greatest({C.LEAST_BODY}, {C.HARD} - length(title) - 2) end as lim
+  from m left join hd using (doc, section) where label <> 'section_header'),
+{_split_sql("lim", (". ", chr(10), ", ", " "), 1, "(select * from bd where section = 0 or text <> '')", "q", ("bs", "bp"))},
+ec as (select doc, section, pos, part, label, page, piece as body from bp join bd using (q)),
+sz as (select doc, section, count(*) as n_chunks, sum(length({_TRIM('body')}))::bigint as char_count, arg_min(page, (pos, part)) as first_page from ec where section > 0 group by all),
+h as (select hd.*, coalesce(n_chunks, 0) as n_chunks, char_count, first_page from hd left join sz using (doc, section)),
+{_ANCESTORS},
+se as (select h.doc, h.section, 'section_' || h.section as id, title, level, coalesce(nullif(head_page, 0), first_page) as page_start, char_count, n_chunks as chunk_count, 'section_' || parent as parent_id, coalesce(depth, 0) as depth, coalesce(chain, '') as chain, coalesce(lead, '') || title as breadcrumb from h left join c using (doc, section) where n_chunks > 0),
+ch as (select ec.doc, ec.section, row_number() over (partition by ec.doc order by ec.section, pos, part) as chunk_no, case when ec.section > 0 then row_number() over (partition by ec.doc, ec.section order by pos, part) end as position, label, page, id as section_id, title as section_title, chain,
+  case when ec.section = 0 then body else breadcrumb || chr(10) || chr(10) || body end as text from ec left join se using (doc, section)),
+ct as (select *, doc || ':' || chunk_no as r from ch where trim(text) <> ''),
+{_split_sql(C.EMBEDDED, (". ", chr(10), " "), 0, "ct", "r", ("es", "ep"))}"""
 _GROUPED = f"{T.ITEMS_SQL}, g as (select *, sum((label = 'section_header')::int) over (partition by doc order by pos)::bigint as section from items)"
 _SECTIONS = retrieval._SECTIONS
 _LINE = "repeat('  ', greatest(0, coalesce(nullif(depth, 0), 1) - 1)) || '- [' || id || '] ' || title || '  (' || chunk_count || ' chunks, page ' || coalesce(page_start::varchar, '?') || ')'"
@@ -202,9 +223,7 @@ s as (select doc_id, 0::bigint as i, 0::bigint as pn, 0::bigint as no, 0::bigint
 select doc_id, pn as no, md5(pn || ':' || string_agg(block, chr(10) || chr(10) order by i)) as passage_md5 from s join n using (doc_id, i) group by doc_id, pn""",
     "group_under_sections": f"with {_GROUPED} select doc, pos, label, section from g",
     "toc_hierarchy": f"""with {_GROUPED}, h as (select doc, section, max(case when label = 'section_header' then text end) as title, max(case when label = 'section_header' then level end) as level, count(*) filter (label <> 'section_header') as n_chunks from g where section > 0 group by all),
-a as (select i.doc, i.section, j.section as anc, j.title as anc_title, j.n_chunks > 0 as kept from h i join h j on j.doc = i.doc and j.section < i.section and not exists (select 1 from h k where k.doc = i.doc and k.section > j.section and k.section <= i.section and k.level <= j.level)),
-c as (select doc, section, string_agg('section_' || anc, '/' order by anc) filter (kept) as chain, max(anc) filter (kept) as parent, count(*) filter (kept) as depth,
-  coalesce(string_agg(anc_title, ' > ' order by anc) filter (kept) || ' > ', '') || coalesce(string_agg(anc_title, ' > ' order by anc) filter (not kept) || ' > ', '') as lead from a group by all)
+{_ANCESTORS}
 select h.doc, 'section_' || h.section as id, level, n_chunks, 'section_' || parent as parent_id, coalesce(depth, 0) as depth, coalesce(chain, '') as chain, md5(coalesce(lead, '') || title) as breadcrumb_md5 from h left join c using (doc, section) where n_chunks > 0""",
     "toc_breadcrumbs": f"with {_SECTIONS} select source_path, section_id, breadcrumb, md5(content) as content_md5 from sections",
     "toc_render": f"""with {T.CATALOG_SQL}, r as (select *, case when level > 1 then level - 1 end as depth, case when chunk_count > 0 then chunk_count end as page_start from catalog)
@@ -224,6 +243,9 @@ s as (select source, sha256(string_agg(j || ':' || l, chr(10) order by j)) as r
     "section_index_state": f"""with {_SECTIONS}, t as (select source_path, count(*) as n, bool_or(section_id = 'n0') as swapped from sections where source_path <> 'AMERICA' group by 1), f as (select r_name as source_path, r_regionkey <> 4 as indexed, r_regionkey <> 3 as valid from region),
 x as (select f.*, n, swapped, case when n is null then 'MISSING_TOC' when not valid then 'INVALID_TOC' when not indexed then 'SOURCE_NOT_INDEXED' else 'OK' end as status from f left join t using (source_path))
 select source_path, status, status = 'OK' and (source_path = 'ASIA' or swapped) as rebuild, status = 'OK' as eligible from x""",
+    "index_document": f"""with recursive {_PARSED} select doc::varchar as source_path, (row_number() over (partition by doc order by section_id is null, chunk_no, part) - 1)::int as chunk_index, section_id, section_title, chain, label, page::int as page, position::int as position, length(piece)::int as chars, md5(piece) as content_md5
+from ep join ct using (r) where piece <> ''""",
+    "document_sections": f"with recursive {_PARSED} select doc, id, level, page_start::int as page_start, char_count, chunk_count, parent_id, depth, chain, md5(breadcrumb) as breadcrumb_md5 from se",
     "publish_sections": f"""with {_RECORDS}, o as (select *, false as again from records where source_path <> 'ASIA' union all select * replace (upper(section_title) as section_title), true from records where source_path = 'ASIA' and ordinal > 0),
 v as ({_REV('o')})
 select source_path, ordinal, section_id, section_title, revision, n as section_count from o join v using (source_path)""",
