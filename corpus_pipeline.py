@@ -2,6 +2,16 @@
 
 Each stage is one operator of ``tessera.llm``; its output is written as Parquet
 and read as the next one's input, so a lost executor costs one stage at most.
+
+Defined results: a null text counts as empty everywhere. Each stage decides for rows by
+doc_id and text, null doc_ids included, so rows with a null doc_id are judged by their
+text; a row that is there several times stays or goes as a whole. Of equal texts the
+largest doc_id stays, of near-duplicates the smallest; rows with null doc_ids only, and
+texts without words, are no near-duplicates of anything. Null sources and languages are
+mixed as one category of their own. Empty tables give empty tables, without labels every
+document passes the first stage (its score is 0.5). Columns of any name pass through all
+stages; the last adds ids, n_ids, ids_crc32 and round_trip, in the place of columns that
+have these names.
 """
 
 from __future__ import annotations
@@ -13,7 +23,7 @@ from tessera.llm.staging import Stage
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble accepts."""
+    """Documents that the rule ensemble accepts; it learns from the labelled ones of docs."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -28,7 +38,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of which the token shares follow the targets."""
+    """A sample of which the token shares follow the targets: the largest that does, and a
+    tenth of the tokens at least (see ``mixing``)."""
     return mixing.sampled(docs)
 
 
