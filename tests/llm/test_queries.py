@@ -97,10 +97,38 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == comp
 
 
-def test_pipeline(spark):
+def test_pipeline_against_brute_force(spark):
+    """Every stage again in Python, the mixture by its SQL, the ids by the library."""
+    import sentencepiece
+
+    from tessera.llm import mixing, pieces, quality
+
+    from .test_operators import _shingles, _statistics
+
+    table, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.train(table, labels)
+    docs = {r["doc_id"]: r for r in table.collect()}
+    x = np.array([_statistics(r["text"]) for r in docs.values()], float)
+    score = 1 / (1 + np.exp(-(model.intercept + sum(w * rule.holds(x) for rule, w in model.rules))))
+    good = [i for i, s in zip(docs, score, strict=True) if s >= quality.PASS]
+    owner = {}
+    for i in sorted(good):
+        owner[docs[i]["text"] or ""] = i
+    left = sorted(owner.values())
+    sets, comp = {i: _shingles(docs[i]["text"], 5) for i in left}, {i: i for i in left}
+    changed = True
+    while changed:
+        changed = False
+        for i in left:
+            for j in left:
+                if comp[i] < comp[j] and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    comp[j], changed = comp[i], True
+    left = [i for i in left if comp[i] == i]
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet' where doc_id in ({', '.join(map(str, left))})")
+    kept = {r[0] for r in con.sql(f"select doc_id from ({mixing.SQL}) where kept").fetchall()}
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "mixing", "tokens"]
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    out = corpus_pipeline.run(spark, SF)
-    rows = out.collect()
-    assert 0 < len(rows) < docs.count() and all(r["round_trip"] for r in rows)
-    assert len({r["text"] for r in rows}) == len(rows)
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert {r["doc_id"]: r["ids"] for r in rows} == {i: library.encode(docs[i]["text"] or "") for i in kept}
+    assert len(rows) == len(kept) > 0 and all(r["round_trip"] and r["n_ids"] == len(r["ids"]) for r in rows)
