@@ -42,9 +42,9 @@ from . import wordhash
 from .staging import Stage, documents, n_shards
 
 WINDOW, BLOCK, STRIDE = 50, 11, 3
-#: Hashes gathered before a chunk is sent; rows handled at once; hash ranges a task
-#: gets on average, so that tasks get about as much.
-CHUNK, ROWS, RANGES = 1_000_000, 2048, 16
+#: Hashes gathered before a chunk is sent; rows handled at once; the least number of
+#: hash ranges, several a task, so that tasks get about as much.
+CHUNK, ROWS, RANGES = 1_000_000, 2048, 1024
 
 _PACKED = "part int, ids binary, counts binary, hashes binary"
 _REPLY = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
@@ -115,7 +115,7 @@ class _Gather:
         yield _pack(ids[first], sent, _range_of(sent, self.parts))
 
 
-def _exchange(packed: DataFrame, flagged: bool, parts: int) -> DataFrame:
+def _exchange(packed: DataFrame, flagged: bool, parts: int, tasks: int) -> DataFrame:
     """(doc_id, found array<binary>): each document's hits if flagged, else repeats.
 
     Replies are packed by document range, as entries are by hash range, so there
@@ -164,8 +164,8 @@ def _exchange(packed: DataFrame, flagged: bool, parts: int) -> DataFrame:
             rows = every[at : at + ROWS]
             yield pa.record_batch([pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.list_(pa.binary()))], names=["doc_id", "found"])
 
-    dealt = packed.withColumn("to", spread).repartition(parts // RANGES, "to").drop("to")
-    return dealt.mapInArrow(resolve, _PACKED).repartition(parts // RANGES, "part").mapInArrow(collect, "doc_id long, found array<binary>")
+    dealt = packed.withColumn("to", spread).repartition(tasks, "to").drop("to")
+    return dealt.mapInArrow(resolve, _PACKED).repartition(tasks, "part").mapInArrow(collect, "doc_id long, found array<binary>")
 
 
 def _anchors(docs: DataFrame, parts: int) -> DataFrame:
@@ -269,10 +269,11 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     stage = Stage(docs.sparkSession, "substrings")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     known = docs.where("doc_id is not null and text is not null")
-    parts = RANGES * n_shards(docs)
-    hits = stage.save(_exchange(_anchors(known, parts), True, parts).withColumnRenamed("found", "hits"), "hits")
+    tasks = n_shards(docs)
+    parts = max(RANGES, 2 * tasks)
+    hits = stage.save(_exchange(_anchors(known, parts), True, parts, tasks).withColumnRenamed("found", "hits"), "hits")
     found = stage.save(known.join(hits, "doc_id"), "found")
-    repeats = stage.save(_exchange(_windows(found, parts), False, parts).withColumnRenamed("found", "repeats"), "repeats")
+    repeats = stage.save(_exchange(_windows(found, parts), False, parts, tasks).withColumnRenamed("found", "repeats"), "repeats")
     removed = stage.save(_removed(found.join(repeats, "doc_id")), "removed")
     stage.drop("hits", "found", "repeats")
     return _base(docs), removed
