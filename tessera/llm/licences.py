@@ -1,12 +1,13 @@
 """Operator 8: licence scans by sparse TF-IDF and directory inheritance (native).
 
 Every line of a whole text is looked at. One of which half of the distinct terms are
-terms of the templates is a header line. Compared with the templates are each header
+terms of the templates is a header line; function words are no terms. Compared with the templates are each header
 line, each run of adjacent header lines as one text (a header that is wrapped over
 lines), and the whole text of a licence file: a file whose name says so, or of which at
 least half of the lines are header lines. Distinct texts of these become sparse TF-IDF
 vectors, with document frequencies over all of the corpus, and are compared by cosine; a
-file's own licence is that of its best one. A licence file licenses its directory. Other
+file's own licence is that of its best one, but of a licence file that of the whole text
+if that is like a template. A licence file licenses its directory. Other
 files without a licence of their own inherit from the nearest ancestor directory that
 has one: each directory is joined with its path prefixes once, and files with their
 directory.
@@ -64,19 +65,27 @@ TERM = r"([a-z0-9]+(?:[.+-][a-z0-9]+)*)"
 #: The least cosine; the share of template terms in a header line, of header lines in a
 #: licence file.
 LEAST, HEADER_SHARE, FILE_SHARE = 0.6, 0.5, 0.5
+#: Words that say nothing of a licence.
+STOP = ("a", "an", "and", "any", "are", "as", "at", "be", "by", "for", "from", "if", "in", "is", "it", "its", "no", "not", "of", "on", "or", "that", "the", "this", "to", "was", "will", "with", "you", "your")
 #: All terms of the templates: a few hundred.
-VOCABULARY = sorted({t for texts in TEMPLATES.values() for text in texts for t in re.findall(TERM, text.lower())})
+VOCABULARY = sorted({t for texts in TEMPLATES.values() for text in texts for t in re.findall(TERM, text.lower())} - set(STOP))
+#: Which of a file's texts decide first.
+WHOLE, PART = 0, 1
 FILE_NAME = r"(?:^|/)(?:[Ll][Ii][Cc][Ee][Nn][CcSs][Ee]|[Cc][Oo][Pp][Yy][Ii][Nn][Gg])[^/]*$"
 
 
-def _terms(text: Column) -> Column:
+def _found(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(1))
 
 
+def _terms(text: Column) -> Column:
+    return F.filter(_found(text), lambda x: ~x.isin(*STOP))
+
+
 def _is_header(line: Column) -> Column:
     known = F.array(*map(F.lit, VOCABULARY))
     own = lambda terms: (F.size(terms) > 0) & (F.size(F.array_intersect(terms, known)) >= HEADER_SHARE * F.size(terms))
-    return F.transform(F.array(F.array_distinct(_terms(line))), own)[0]
+    return F.transform(F.array(F.array_except(_found(line), F.array(*map(F.lit, STOP)))), own)[0]
 
 
 def headers(files: DataFrame) -> DataFrame:
@@ -91,7 +100,8 @@ def headers(files: DataFrame) -> DataFrame:
     share = F.size("_heads") / F.greatest(F.size("_lines"), F.lit(1))
     found = found.withColumn("n_headers", F.size("_heads").cast("long")).withColumn("is_file", F.rlike("path", F.lit(FILE_NAME)) | (share >= FILE_SHARE))
     whole = F.when(F.col("is_file"), F.array(F.array_join("_lines", " "))).otherwise(F.array().cast("array<string>"))
-    found = found.withColumn("headers", F.filter(F.array_distinct(F.concat("_heads", runs, whole)), lambda x: x != ""))
+    ranked = lambda texts, rank: F.transform(texts, lambda x: F.struct(F.lit(rank).alias("rank"), x.alias("line")))
+    found = found.withColumn("headers", F.filter(F.array_distinct(F.concat(ranked(F.concat("_heads", runs), PART), ranked(whole, WHOLE))), lambda x: x["line"] != ""))
     return found.drop("_lines", "_flags", "_heads", "_runs", "text").withColumn("row_id", F.monotonically_increasing_id())
 
 
@@ -134,10 +144,10 @@ def scan(files: DataFrame, path: Column, text: Column, keys: list[str]) -> DataF
     stage = Stage(files.sparkSession, "licences")
     found = files.select(*keys, F.coalesce(path, F.lit("")).alias("path"), text.alias("text"))
     found = stage.save(headers(found), "headers")
-    each = found.select("row_id", F.explode("headers").alias("line"))
+    each = found.select("row_id", F.explode("headers").alias("h")).select("row_id", "h.rank", "h.line")
     lines = stage.save(each.groupBy("line").agg(F.count(F.lit(1)).alias("n")), "lines")
     scored = stage.save(match(lines, stage), "scored")
-    own = each.join(scored, "line").groupBy("row_id").agg(F.min(F.struct((-F.col("score")).alias("neg"), "licence")).alias("m"))
+    own = each.join(scored, "line").groupBy("row_id").agg(F.min(F.struct("rank", (-F.col("score")).alias("neg"), "licence")).alias("m"))
     own = own.select("row_id", F.col("m.licence").alias("own"), (-F.col("m.neg")).alias("score"))
     directory = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
     judged = found.select("row_id", *keys, "path", "is_file", "n_headers", directory.alias("dir")).join(own, "row_id", "left")
@@ -163,7 +173,7 @@ def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    found = lambda c: f"regexp_extract_all(lower({c}), {quoted(TERM)}, 1)"
+    found = lambda c: f"list_filter(regexp_extract_all(lower({c}), {quoted(TERM)}, 1), lambda y: y not in ({', '.join(map(quoted, STOP))}))"
     known = "[" + ", ".join(map(quoted, VOCABULARY)) + "]"
     templates = ", ".join(f"({quoted(n)}, {i}, {quoted(t)})" for n, ts in TEMPLATES.items() for i, t in enumerate(ts))
     return f"""
@@ -176,8 +186,8 @@ hl as (select *, i - row_number() over (partition by doc_id order by i) as run f
 hn as (select doc_id, count(*) as n_headers from hl group by 1),
 g as (select f.doc_id, path, ls, regexp_replace(path, '/[^/]*$', '') as dir, coalesce(n_headers, 0) as n_headers,
   regexp_matches(path, {quoted(FILE_NAME)}) or coalesce(n_headers, 0) >= {FILE_SHARE} * greatest(len(ls), 1) as is_file from f left join hn using (doc_id)),
-e as (select doc_id, line from hl union select doc_id, trim(string_agg(line, ' ' order by i)) from hl group by doc_id, run having max(doc_id) in (select doc_id from hn where n_headers > 1)
-  union select doc_id, array_to_string(ls, ' ') from g where is_file and len(ls) > 0),
+e as (select doc_id, {PART} as rank, line from hl union select doc_id, {PART}, trim(string_agg(line, ' ' order by i)) from hl group by doc_id, run having max(doc_id) in (select doc_id from hn where n_headers > 1)
+  union select doc_id, {WHOLE}, array_to_string(ls, ' ') from g where is_file and len(ls) > 0),
 l as (select line, count(*) as n from e group by line),
 t as (select line, n, term, count(*) as tf from (select line, n, unnest({found("line")}) as term from l) group by all),
 i as (select term, ln((1 + (select sum(n) from l)) / (1 + sum(n))) + 1 as idf from t group by term),
@@ -188,7 +198,7 @@ v as (select licence, k, term, tf * coalesce(idf, 1.0) as v from tt left join i
 nv as (select licence, k, sqrt(sum(v * v)) as size from v group by all),
 s as (select line, licence, round(dot / (norm * size), 6) as score from (select line, licence, k, sum(w * v) as dot from w join v using (term) group by all) join nl using (line) join nv using (licence, k)),
 b as (select line, licence, score from s where score >= {LEAST} qualify row_number() over (partition by line order by score desc, licence) = 1),
-o as (select doc_id, licence as own, score from e join b using (line) qualify row_number() over (partition by doc_id order by score desc, licence) = 1),
+o as (select doc_id, licence as own, score from e join b using (line) qualify row_number() over (partition by doc_id order by rank, score desc, licence) = 1),
 j as (select g.doc_id, path, dir, is_file, n_headers, own, score from g left join o using (doc_id)),
 d as (select dir as from_dir, own as inherited from j where is_file and own is not null qualify row_number() over (partition by dir order by score desc, path, own) = 1),
 a as (select dir, from_dir, inherited from (select distinct dir from j) x join d on d.from_dir = x.dir or starts_with(x.dir, d.from_dir || '/')
