@@ -561,7 +561,7 @@ def test_licences(spark, docs, empty):
     out = {r["doc_id"]: r for r in licences.scan(docs, path, F.col("text"), ["doc_id"]).collect()}
     assert [out[i]["own"] for i in (19, 20, 21)] == ["Apache-2.0", "CC-BY-NC-4.0", "MIT"]
     # Lines without the word licence, headers wrapped over lines, whole licence files.
-    gpl = "/* This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version. */\nint main() { return 0; }\nsome other code here\nmore code there\nand more of it\nlast one"
+    gpl = "/* This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version. */\nint main() { return 0; }\nx = y(z);\nif (x) y = x;\nfor (;;) break;\nz += 2;"
     bsd = "Copyright (c) 2020, Somebody\nAll rights reserved.\n\n" + licences.TEMPLATES["BSD-3-Clause"][2].replace(": ", ":\n\n").replace(", ", ",\n")
     tree = [("a/gpl.c", gpl), ("b/LICENSE", bsd), ("b/x/y.c", "code"), ("c/one.c", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that\ncode\ncode\ncode"), ("d/prose.txt", "the of and to in is this\nwords of no template at all")]
     found = {r["path"]: r for r in licences.scan(spark.createDataFrame(tree, "path string, text string"), F.col("path"), F.col("text"), []).collect()}
