@@ -142,6 +142,8 @@ def publish_sections(spark: SparkSession, d: str) -> DataFrame:
     toc = toc.withColumn("toc_json", F.to_json(F.struct(F.struct("total_sections").alias("meta"))))
     path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/published-{uuid.uuid4().hex[:12]}"
     I.publish(path, toc, records)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)  # the query's own folder
     again = records.where("source_path = 'ASIA' and ordinal > 0").withColumn("section_title", F.upper("section_title"))
     I.publish(path, toc.where("source_path = 'ASIA'"), again)
     return I.current(spark, path, "sections").select("source_path", "ordinal", "section_id", "section_title", "revision", F.col("section_count").cast("long").alias("section_count"))

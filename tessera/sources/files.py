@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions import text as X
 
@@ -24,19 +25,28 @@ def jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFra
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def jsonl_strict(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value variant): a line that is no JSON object raises with its place.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, raw) of text files, lines from 1; files are read in splits.
 
-    Lines are numbered within a file that is read whole as one row, as question
-    sets are small; large sets are read with :func:`jsonl`.
+    A split's lines are numbered where they are read; a row a split says how many lines
+    stand before it.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\n").alias("lines"))
-    rows = files.select("file", F.posexplode("lines").alias("line", "raw")).where(~X.is_blank(F.col("raw")))
+    rows = spark.read.option("lineSep", "\n").text(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("raw"))
+    splits = rows.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return rows.join(splits, ["file", "block"]).select("file", (F.col("id") - F.col("first") + F.col("before") + 1).alias("line"), "raw")
+
+
+def jsonl_strict(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value variant) in order: a line that is no JSON object raises with its place."""
+    rows = numbered_lines(spark, path).where(~X.is_blank(F.col("raw")))
     value = F.try_parse_json(F.trim("raw"))
-    where = F.concat("file", F.lit(":"), (F.col("line") + 1).cast("string"))
+    where = F.concat("file", F.lit(":"), F.col("line").cast("string"))
     shape = F.schema_of_variant(value)
     checked = F.when(value.isNull(), F.raise_error(F.concat(F.lit("not JSON: "), where))).when(~shape.startswith("OBJECT"), F.raise_error(F.concat(F.lit("no object: "), where))).otherwise(value)
-    return rows.select((F.col("line") + 1).cast("long").alias("line"), checked.alias("value"))
+    return rows.orderBy("file", "line").select("line", checked.alias("value"))
 
 
 def json_or_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -92,11 +102,11 @@ def submission_problems(spark: SparkSession, path: str) -> DataFrame:
     prediction, ids not blank and unique, predictions text. No rows if it is valid."""
     if not path.endswith(".jsonl"):
         return spark.createDataFrame([(0, "not a .jsonl file")], "line long, problem string")
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "raw")).where(~X.is_blank(F.col("raw")))
+    rows = numbered_lines(spark, path).where(~X.is_blank(F.col("raw")))
     value = F.try_parse_json(F.trim("raw"))
     keys = F.array_sort(F.json_object_keys("raw"))
     kind = lambda k: F.schema_of_variant(F.try_variant_get(F.col("v"), f"$.{k}", "variant"))
-    rows = rows.select((F.col("line") + 1).cast("long").alias("line"), value.alias("v"), keys.alias("keys"))
+    rows = rows.select("line", value.alias("v"), keys.alias("keys"))
     rows = rows.withColumn("id", X.stripped(F.try_variant_get("v", "$.question_id", "string")))
     shape = F.when(F.col("v").isNull(), "not JSON").when(F.col("keys").isNull(), "no object").when(~F.col("keys").eqNullSafe(F.array(F.lit("prediction"), F.lit("question_id"))), "keys")
     problem = shape.when(kind("question_id") != "STRING", "id is no text").when(F.col("id") == "", "id is blank").when(kind("prediction") != "STRING", "prediction is no text")

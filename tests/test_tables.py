@@ -276,6 +276,28 @@ def test_streaming_upsert_is_idempotent(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", "x"), ("b", "z"), ("c", "w")]
 
 
+def test_windowed_costs(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    _write(tmp_path / "in" / "1.json", "\n".join(json.dumps({"ts": f"2024-01-01T0{h}:{m}:00Z", "tool": t, "cost": c}) for h, m, t, c in ((1, 10, "a", 1.0), (1, 50, "a", 2.0), (2, 10, "a", 4.0), (1, 20, "b", 8.0))))
+    stream = spark.readStream.schema("ts timestamp, tool string, cost double").json(str(tmp_path / "in"))
+    query = ingest.windowed_costs(stream).writeStream.format("memory").queryName("windowed_costs").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    found = spark.sql("select hour(start) as h, tool, calls, cost from windowed_costs order by all").collect()
+    assert [tuple(r) for r in found] == [(1, "a", 2, 3.0), (1, "b", 1, 8.0), (2, "a", 1, 4.0)]
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    _write(tmp_path / "many.jsonl", "\n".join(f'{{"n": {i}}}' if i % 3 else "" for i in range(1, 5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = files.jsonl_strict(spark, str(tmp_path / "many.jsonl"))
+        assert rows.rdd.getNumPartitions() > 1
+        assert rows.where(F.col("line") != F.variant_get("value", "$.n", "long")).count() == 0 and rows.count() == 3333
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 @pytest.fixture
 def context(spark):
     texts = ["alpha needle text", "beta text", "gamma needle needle", "delta"]
