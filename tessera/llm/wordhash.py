@@ -63,10 +63,10 @@ class Words:
     ``end`` are byte positions in ``data``; ``hash`` is one uint64 a word.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool, apart: np.ndarray = _SPACE):
         self.data, self.offsets = data, offsets
         n = len(data)
-        inside = ~_SPACE[data]
+        inside = ~apart[data]
         begins, ends = inside.copy(), inside.copy()
         begins[1:] &= ~inside[:-1]
         ends[:-1] &= ~inside[1:]
@@ -98,10 +98,11 @@ class Words:
         return every[keep], np.concatenate([[0], np.cumsum(np.maximum(n_words - k + 1, 0))])
 
 
-def chunks(text: pa.Array | pa.ChunkedArray, fold: bool = False) -> Iterator[tuple[int, Words]]:
+def chunks(text: pa.Array | pa.ChunkedArray, fold: bool = False, apart: np.ndarray = _SPACE) -> Iterator[tuple[int, Words]]:
     """(index of the first document, words) for slices of about CHUNK_BYTES.
 
-    A null text counts as empty. A document is never cut.
+    A null text counts as empty. A document is never cut. apart: the bytes that
+    stand between words, ASCII space by default.
     """
     if isinstance(text, pa.ChunkedArray):
         text = text.combine_chunks()
@@ -116,5 +117,5 @@ def chunks(text: pa.Array | pa.ChunkedArray, fold: bool = False) -> Iterator[tup
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, "right")) - 1)
         to = min(to, n)
-        yield at, Words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], fold)
+        yield at, Words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], fold, apart)
         at = to
