@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, exactdedup, licences, media, mixing, neardup, negatives, pieces, quality, secrets, substrings, tokens
+from . import decontam, exactdedup, licences, media, mixing, neardup, negatives, pieces, quality, secrets, spelling, substrings, tokens
 
 QUERIES = {
     "op1_media_wav": media.op1_media_wav,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_licence_scan": licences.op8_licence_scan,
     "op9_rule_ensemble": quality.op9_rule_ensemble,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_hard_negatives": negatives.op12_hard_negatives,
     "op13_suffix_arrays": decontam.op13_suffix_arrays,
 }
