@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LEVELS = 6
-
 
 def grouped_under_sections(items: DataFrame) -> DataFrame:
     """items with section: the number of the nearest header before, 0 for none."""
@@ -24,23 +22,56 @@ def headings(items: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.col("n_chunks") > 0)
 
 
-def hierarchy(heads: DataFrame, levels: int = LEVELS) -> DataFrame:
+#: Headings that one fold takes at a time, and ranges of them.
+FOLD = 128
+
+
+def _pushed(stack: Column, one: Column) -> Column:
+    """A heading ends all open ones of its level and deeper."""
+    return F.concat(F.filter(stack, lambda s: s["level"] < one["level"]), F.array(one))
+
+
+def _composed(stack: Column, later: Column) -> Column:
+    """The stack after a range of headings, from the one before it and the range's own,
+    of which the first entry has the least level."""
+    return F.concat(F.filter(stack, lambda s: s["level"] < later[0]["level"]), later)
+
+
+def hierarchy(heads: DataFrame) -> DataFrame:
     """Kept headings with parent_id, depth, chain and breadcrumb.
 
-    Every heading, kept or not, ends all open ones of its level and deeper. So the
-    ancestor of level m is the last heading of level m or less before, if that one
-    is of level m; one without chunks gives its title only. One window a level
-    instead of a self-join.
+    Every heading, kept or not, ends all open ones of its level and deeper, so what is
+    open is a stack of rising levels, of any number and size. A range of headings acts
+    on a stack in two numbers: how much of it stays (what is above the range's least
+    level) and what comes on top (the range's own stack). Headings are folded in ranges
+    of FOLD, ranges in ranges again, and each range starts from the stack of those
+    before it: a long document is no single task.
     """
-    before = Window.partitionBy("doc").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
-    one = F.struct("section", "level", "kept", "title")
-    out = heads
-    for m in range(1, levels + 1):
-        last = F.last(F.when(F.col("level") <= m, one), ignorenulls=True).over(before)
-        out = out.withColumn(f"_a{m}", last)
-    real = [F.when((F.col(f"_a{m}.level") == m) & (F.col("level") > m), F.col(f"_a{m}")) for m in range(1, levels + 1)]
-    every = F.filter(F.array(*real), lambda x: x.isNotNull())
-    out = out.withColumn("_all", every).drop(*[f"_a{m}" for m in range(1, levels + 1)])
+    one = lambda x: F.struct(x["section"].alias("section"), x["level"].alias("level"), x["kept"].alias("kept"), x["title"].alias("title"))
+    of = F.floor((F.col("section") - 1) / FOLD).cast("long")
+    rows = heads.groupBy("doc", of.alias("_r")).agg(F.array_sort(F.collect_list(F.struct("section", "level", "kept", "title", "n_chunks"))).alias("_l"))
+    none = F.filter(F.transform("_l", one), lambda x: F.lit(False))
+    own = rows.select("doc", "_r", F.aggregate("_l", none, lambda acc, x: _pushed(acc, one(x))).alias("_s"))
+    empty = F.filter(F.element_at("_e", 1)["_s"], lambda x: F.lit(False))
+
+    def entered(ranges: Column, start: Column) -> Column:
+        """(_r, stack before it) of sorted ranges (_r, _s)."""
+        begin = F.struct(start.alias("now"), F.filter(F.transform(ranges, lambda x: F.struct(x["_r"].alias("_r"), start.alias("_s"))), lambda x: F.lit(False)).alias("out"))
+        return F.aggregate(ranges, begin, lambda acc, x: F.struct(_composed(acc["now"], x["_s"]).alias("now"), F.concat(acc["out"], F.array(F.struct(x["_r"].alias("_r"), acc["now"].alias("_s")))).alias("out")))["out"]
+
+    spans = own.groupBy("doc", F.floor(F.col("_r") / FOLD).cast("long").alias("_g")).agg(F.array_sort(F.collect_list(F.struct("_r", "_s"))).alias("_e"))
+    whole = spans.select("doc", F.struct(F.col("_g").alias("_r"), F.aggregate("_e", empty, lambda acc, x: _composed(acc, x["_s"])).alias("_s")).alias("_one"))
+    docs = whole.groupBy("doc").agg(F.array_sort(F.collect_list("_one")).alias("_e"))
+    starts = docs.select("doc", F.explode(entered(F.col("_e"), empty)).alias("_x")).select("doc", F.col("_x._r").alias("_g"), F.col("_x._s").alias("_start"))
+    before = spans.join(starts, ["doc", "_g"]).select("doc", F.explode(entered(F.col("_e"), F.col("_start"))).alias("_x")).select("doc", F.col("_x._r").alias("_r"), F.col("_x._s").alias("_open"))
+
+    def step(acc: Column, x: Column) -> Column:
+        above = F.filter(acc["open"], lambda s: s["level"] < x["level"])
+        return F.struct(F.concat(above, F.array(one(x))).alias("open"), F.concat(acc["out"], F.array(F.struct(x.alias("x"), above.alias("all")))).alias("out"))
+
+    nothing = F.filter(F.transform("_l", lambda x: F.struct(x.alias("x"), F.col("_open").alias("all"))), lambda x: F.lit(False))
+    folded = F.aggregate("_l", F.struct(F.col("_open").alias("open"), nothing.alias("out")), step)["out"]
+    out = rows.join(before, ["doc", "_r"]).select("doc", F.explode(folded).alias("_y")).select("doc", "_y.x.*", F.col("_y.all").alias("_all"))
     kept, skipped = F.filter("_all", lambda x: x["kept"]), F.filter("_all", lambda x: ~x["kept"])
     name = lambda x: F.concat(F.lit("section_"), x["section"].cast("string"))
     chain = F.transform(kept, name)

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..operators import chunking as C
@@ -44,6 +45,13 @@ def toc_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return O.hierarchy(O.headings(T.items(spark, d))).select("doc", "id", "level", "n_chunks", "parent_id", F.col("depth").cast("long").alias("depth"), F.array_join("chain", "/").alias("chain"), F.md5("breadcrumb").alias("breadcrumb_md5"))
 
 
+def toc_hierarchy_deep(spark: SparkSession, d: str) -> DataFrame:
+    """Headings of nine levels: a run's steps, of which purchases hold nothing."""
+    by = Window.partitionBy("run").orderBy("ts", "event_id")
+    heads = T.steps(spark, d).select(F.col("run").alias("doc"), F.row_number().over(by).cast("long").alias("section"), F.concat("tool", F.col("event_id").cast("string")).alias("title"), (F.col("key") % 9 + 1).cast("int").alias("level"), F.when(F.col("tool") == "purchase", 0).otherwise(F.col("key") + 1).cast("long").alias("n_chunks"))
+    return O.hierarchy(heads.withColumn("kept", F.col("n_chunks") > 0)).select("doc", "id", "level", "n_chunks", "parent_id", F.col("depth").cast("long").alias("depth"), F.array_join("chain", "/").alias("chain"), F.md5("breadcrumb").alias("breadcrumb_md5"))
+
+
 def toc_breadcrumbs(spark: SparkSession, d: str) -> DataFrame:
     return retrieval._sections(spark, d).select("source_path", "section_id", "breadcrumb", F.md5("content").alias("content_md5"))
 
@@ -204,7 +212,7 @@ _RECORDS = f"{_SECTIONS}, records as (select source_path, ordinal, section_id, t
 _JSON = "json_object(" + ", ".join(f"'{c}', {c}" for c in O.REVISED) + ")::varchar"
 _REV = lambda rows: f"select source_path, sha256('[' || string_agg({_JSON}, ',' order by ordinal) || ']') as revision, count(*) as n from {rows} group by 1"
 
-QUERIES = {f.__name__: f for f in (split_sentence_boundary, split_for_embedding, merge_items, group_under_sections, toc_hierarchy, toc_breadcrumbs, toc_render, chunk_numbering, table_markdown, table_split, sentence_split, passage_pack, section_record_revision, corpus_fingerprint, section_index_state, index_document, document_sections, publish_sections)}
+QUERIES = {f.__name__: f for f in (split_sentence_boundary, split_for_embedding, merge_items, group_under_sections, toc_hierarchy, toc_hierarchy_deep, toc_breadcrumbs, toc_render, chunk_numbering, table_markdown, table_split, sentence_split, passage_pack, section_record_revision, corpus_fingerprint, section_index_state, index_document, document_sections, publish_sections)}
 
 ORACLE_SQL = {
     "split_sentence_boundary": f"with recursive {_split_sql(C.HARD, ('. ', chr(10), ', ', ' '), 1)} {_PARTS}",
@@ -224,6 +232,12 @@ s as (select doc_id, 0::bigint as i, 0::bigint as pn, 0::bigint as no, 0::bigint
   from (select s.doc_id, n.i, n, t, h, no + (open and (t or (size + n > {C.PASSAGE} and not h)))::int as p, case when open and (t or (size + n > {C.PASSAGE} and not h)) then 0 else size end as held from s join n on n.doc_id = s.doc_id and n.i = s.i + 1))
 select doc_id, pn as no, md5(pn || ':' || string_agg(block, chr(10) || chr(10) order by i)) as passage_md5 from s join n using (doc_id, i) group by doc_id, pn""",
     "group_under_sections": f"with {_GROUPED} select doc, pos, label, section from g",
+    "toc_hierarchy_deep": f"""with {T.STEPS_SQL}, h as (select run as doc, row_number() over (partition by run order by ts, event_id) as section, tool || event_id as title, (key % 9 + 1)::int as level, case when tool = 'purchase' then 0 else key + 1 end as n_chunks from steps),
+p as (select i.doc, i.section, j.section as up, j.title as up_title, j.n_chunks > 0 as kept, j.level as up_level, min(i.level) over (partition by i.doc, j.section order by i.section) as least from h i join h j on i.doc = j.doc and j.section < i.section),
+a as (select doc, section, string_agg('section_' || up, '/' order by up) filter (kept) as chain, count(*) filter (kept) as depth, max(up) filter (kept) as parent,
+  string_agg(up_title, ' > ' order by up) filter (kept) as kept_titles, string_agg(up_title, ' > ' order by up) filter (not kept) as other_titles from p where up_level < least group by 1, 2)
+select doc, 'section_' || section as id, level, n_chunks, 'section_' || parent as parent_id, coalesce(depth, 0)::bigint as depth, coalesce(chain, '') as chain, md5(concat_ws(' > ', kept_titles, other_titles, title)) as breadcrumb_md5
+from h left join a using (doc, section) where n_chunks > 0""",
     "toc_hierarchy": f"""with {_GROUPED}, h as (select doc, section, max(case when label = 'section_header' then text end) as title, max(case when label = 'section_header' then level end) as level, count(*) filter (label <> 'section_header') as n_chunks from g where section > 0 group by all),
 {_ANCESTORS}
 select h.doc, 'section_' || h.section as id, level, n_chunks, 'section_' || parent as parent_id, coalesce(depth, 0) as depth, coalesce(chain, '') as chain, md5(coalesce(lead, '') || title) as breadcrumb_md5 from h left join c using (doc, section) where n_chunks > 0""",
