@@ -130,8 +130,9 @@ def fused(legs: list[DataFrame], keys: list[str], k: int) -> DataFrame:
     return out.orderBy(F.desc(F.round("rrf", 12)), F.desc("hits"), F.desc("best_score"), "_seen").limit(k).drop("_seen")
 
 
-def hybrid(rows: DataFrame, query: str, vector: DataFrame, k: int = FINAL, predicate: Column | None = None, keys: tuple[str, ...] = ("source_path", "chunk_index"), warn: Callable[[str, Exception], None] | None = None) -> DataFrame:
-    """Vector and keyword legs over chunks, fused by chunk key.
+def hybrid(rows: DataFrame, query: str, vector: DataFrame, k: int = FINAL, predicate: Column | None = None, keys: tuple[str, ...] = ("source_path", "chunk_index"), warn: Callable[[str, Exception], None] | None = None, index=None) -> DataFrame:
+    """Vector and keyword legs over chunks, fused by chunk key; index is a term index of
+    rows (``termindex.TermIndex``), without one their texts are read.
 
     With warn, a leg that fails is told and left out; if both fail the second error
     is raised.
@@ -140,7 +141,8 @@ def hybrid(rows: DataFrame, query: str, vector: DataFrame, k: int = FINAL, predi
     order = (*keys, "id")
     scoped = rows if predicate is None else rows.where(predicate)
     semantic = lambda: ranked(vector_topk(scoped.select(*order, "embedding"), vector, LEG, order=order), 0, keys, [F.desc("score"), *order])
-    lexical = lambda: ranked(bm25_topk(rows.select(*order, "section_id", "content"), query, LEG, predicate, order=tuple(keys)), 1, keys, ["bm25", *keys])
+    found = lambda: index.search(query, LEG, predicate, tuple(keys)) if index else bm25_topk(rows.select(*order, "section_id", "content"), query, LEG, predicate, order=tuple(keys))
+    lexical = lambda: ranked(found(), 1, keys, ["bm25", *keys])
     if warn is None:
         return fused([semantic(), lexical()], keys, k)
     legs, failure = [], None

@@ -10,6 +10,8 @@ from ..functions import predicates as P
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import retrieval as R
+from ..operators.termindex import TermIndex
+from ..sources import shared
 from ..sources import tables as T
 
 QUESTION = "then licensed the reating edes then"
@@ -71,17 +73,46 @@ def query_tokens(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "benchmark").select("item_id", F.array_join(X.query_terms(F.col("text")), " ").alias("tokens"))
 
 
+def _chunk_index(spark: SparkSession, d: str) -> TermIndex:
+    """The term index of the chunks, built once for the documents as they are."""
+
+    def build(path: str) -> None:
+        TermIndex(spark, path).append(T.chunks(spark, d).select("id", "doc_id", "source_path", "chunk_index", "section_id", "content"))
+
+    return TermIndex(spark, shared.kept(spark, "chunk-terms", [f"{d}/documents.parquet"], build))
+
+
+def _section_index(spark: SparkSession, d: str) -> TermIndex:
+    def build(path: str) -> None:
+        TermIndex(spark, path).append(_sections(spark, d).select("source_path", "section_id", "ordinal", "content"))
+
+    return TermIndex(spark, shared.kept(spark, "section-terms", [f"{d}/{t}.parquet" for t in ("region", "nation", "customer", "orders")], build))
+
+
 def bm25_term_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Texts are dealt by document, so that a document's terms are counted where it is
-    and only the counts by term are shuffled."""
-    rows = T.table(spark, d, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", X.terms(F.col("text")).alias("t"))
-    each = rows.select("doc_id", F.explode("t").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
+    return _chunk_index(spark, d).statistics()
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    found = R.bm25_topk(T.unnumbered(spark, d).select("id", *_KEYS, "content"), QUESTION, order=_KEYS)
-    return T.located(spark, d, found.drop("content")).select(*R.ORDER, F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"))
+    found = _chunk_index(spark, d).search(QUESTION)
+    return found.select(*R.ORDER, F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"))
+
+
+def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics are of all chunks, results of one section."""
+    found = _chunk_index(spark, d).search(QUESTION, 30, P.compiled(P.equal("section_id", "en")))
+    return found.select(*R.ORDER, F.round("bm25", 6).alias("bm25"))
+
+
+def bm25_after_delete(spark: SparkSession, d: str) -> DataFrame:
+    """An index of its own: two sources deleted, one of them and a third replaced."""
+    path = shared.folder(spark, "terms")
+    index = TermIndex(spark, path)
+    rows = T.chunks(spark, d).select("id", "source_path", "chunk_index", "section_id", "content")
+    index.append(rows)
+    index.delete(F.col("source_path").isin("src1", "src2"))
+    index.replace(rows.where("source_path in ('src2', 'src3')").withColumn("content", F.concat("content", F.lit(" licensed reating"))))
+    return index.search(QUESTION).select(*R.ORDER, F.round("bm25", 6).alias("bm25"))
 
 
 def keyword_like_fallback(spark: SparkSession, d: str) -> DataFrame:
@@ -90,8 +121,11 @@ def keyword_like_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    found = R.hybrid(_vectors(spark, d), QUESTION, _question(spark, d), keys=_KEYS)
-    return T.located(spark, d, found).select("source_path", "chunk_index", F.round("rrf", 6).alias("rrf"), "hits", F.round("best_score", 6).alias("best_score"))
+    """Chunks are known by the term index; their texts are not read."""
+    index = _chunk_index(spark, d)
+    e = T.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    found = R.hybrid(index.documents().join(e, "doc_id"), QUESTION, _question(spark, d), index=index)
+    return found.select("source_path", "chunk_index", F.round("rrf", 6).alias("rrf"), "hits", F.round("best_score", 6).alias("best_score"))
 
 
 def _sections(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +149,7 @@ def toc_rrf(spark: SparkSession, d: str) -> DataFrame:
     keys = ["source_path", "section_id"]
     q = spark.range(1).select(V.hash_embedding(F.lit(_TOC_QUERY)).alias("q"))
     semantic = R.vector_topk(s.select(*keys, "ordinal", V.hash_embedding(F.col("content")).alias("embedding")), q, R.LEG, order=("source_path", "ordinal"))
-    lexical = R.bm25_topk(s.select(*keys, "ordinal", "content"), _TOC_QUERY, R.LEG, order=("source_path", "ordinal"))
+    lexical = _section_index(spark, d).search(_TOC_QUERY, order=("source_path", "ordinal"))
     found = R.fused([R.ranked(semantic, 0, keys, [F.desc("score"), "source_path", "ordinal"]), R.ranked(lexical, 1, keys, ["bm25", "source_path", "ordinal"])], keys, R.TOC)
     return found.select(*keys, F.round("rrf", 6).alias("rrf"), "hits", F.round("best_score", 6).alias("best_score"))
 
@@ -207,7 +241,7 @@ _HASH = lambda c: f"list_transform(range(64), lambda j: ('0x' || substr(sha256({
 _FOLD = "strip_accents(lower({}))"
 _KEY = lambda c: f"trim(regexp_replace(strip_accents(lower({c})), '[\\s_.\\-]+', ' ', 'g'))"
 
-QUERIES = {f.__name__: f for f in (filter_ast_and_or, filter_empty_in, scan_ordered_by_source, vector_topk, vector_topk_filtered, vector_topk_batch, query_tokens, bm25_term_stats, bm25_topk, keyword_like_fallback, hybrid_rrf, toc_rrf, fuzzy_file_resolve, fuzzy_title_resolve, chunk_window, chunk_id_parse_errors, section_chunks, quote_resolution, synthesis_context, dedupe_returned, evidence_first_seen, file_listing)}
+QUERIES = {f.__name__: f for f in (filter_ast_and_or, filter_empty_in, scan_ordered_by_source, vector_topk, vector_topk_filtered, vector_topk_batch, query_tokens, bm25_term_stats, bm25_topk, bm25_filtered, bm25_after_delete, keyword_like_fallback, hybrid_rrf, toc_rrf, fuzzy_file_resolve, fuzzy_title_resolve, chunk_window, chunk_id_parse_errors, section_chunks, quote_resolution, synthesis_context, dedupe_returned, evidence_first_seen, file_listing)}
 
 ORACLE_SQL = {
     "filter_ast_and_or": f"with {CHUNKS} select id, source_path, chunk_index, section_id from chunks where section_id = 'en' and (source_path = 'src3' or chunk_index in (0, 1, 2))",
@@ -219,6 +253,10 @@ ORACLE_SQL = {
     "query_tokens": "select item_id, array_to_string(list_transform(regexp_extract_all(text, '([0-9A-Za-z_]+)', 1), lambda x: lower(x)), ' ') as tokens from benchmark",
     "bm25_term_stats": "with e as (select doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '([\\p{L}\\p{N}]+)', 1)) as term from documents), t as (select doc_id, term, count(*) as tf from e group by all) select term, count(*) as df, sum(tf)::bigint as cf, max(tf) as max_tf from t group by term",
     "bm25_topk": f"with {CHUNKS}, {_bm25_sql('chunks', QUESTION, 'source_path, chunk_index', 30, 'source_path, chunk_index, id')} select source_path, chunk_index, id, round(bm25, 6) as bm25, round(score, 6) as score from lex",
+    "bm25_filtered": f"with {CHUNKS}, {_bm25_sql('chunks', QUESTION, 'source_path, chunk_index', 1 << 60, 'source_path, chunk_index, id, section_id')} select source_path, chunk_index, id, round(bm25, 6) as bm25 from lex where section_id = 'en' qualify row_number() over (order by lex.bm25, source_path, chunk_index) <= 30",
+    "bm25_after_delete": f"""with {CHUNKS}, live as (select source_path, chunk_index, id, content from chunks where source_path not in ('src1', 'src2', 'src3')
+  union all select source_path, chunk_index, id, content || ' licensed reating' from chunks where source_path in ('src2', 'src3')),
+{_bm25_sql('live', QUESTION, 'source_path, chunk_index', 30, 'source_path, chunk_index, id')} select source_path, chunk_index, id, round(bm25, 6) as bm25 from lex""",
     "keyword_like_fallback": f"with {CHUNKS}, c as (select * from chunks where lower(content) like '%licensed%' or lower(content) like '%token%' order by source_path, chunk_index limit 30) select source_path, chunk_index, id, round((contains(lower(content), 'licensed')::int + contains(lower(content), 'token')::int) / 2, 6) as score from c",
     "hybrid_rrf": f"""with {_VECTORS}, {_Q},
 sem as (select source_path, chunk_index, {_COS} as score, row_number() over (order by {_COS} desc, source_path, chunk_index, id) as rank from vectors, q where embedding is not null qualify rank <= 30),
