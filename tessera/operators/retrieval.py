@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..sources import shared
+from .vectorindex import VectorIndex
 
 #: Depths and constants of fusion.
 LEG, FINAL, TOC, K = 30, 5, 10, 60
@@ -45,12 +47,14 @@ def vector_topk(rows: DataFrame, query: DataFrame, k: int = LEG, vector: str = "
     return scored.where("score is not null").drop("q").orderBy(F.desc("score"), *order).limit(k or LEG)
 
 
-def vector_topk_batch(rows: DataFrame, queries: DataFrame, k: int, query_id: str = "query_id", order: tuple[str, ...] = ("id",)) -> DataFrame:
-    """The k nearest rows of each query. Queries grow with the table, so they are joined
-    partition by partition with all rows; the per-query cut happens before the shuffle."""
-    scored = rows.crossJoin(queries.repartition(query_id).hint("shuffle_replicate_nl")).withColumn("score", V.cosine(F.col("embedding"), F.col("q"))).where("score is not null").drop("q", "embedding")
-    rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), *order))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+def vector_topk_batch(rows: DataFrame, queries: DataFrame, k: int, query_id: str = "query_id") -> DataFrame:
+    """The k nearest rows (id, embedding) of each query (q), exact: an index of cells is
+    built for them, of which only blocks that can hold a neighbour are scored."""
+    spark = rows.sparkSession
+    index = VectorIndex(spark, shared.folder(spark, "vector-cells")).build(rows)
+    found = index.search(queries, k, query_id=query_id)[0]
+    kinds = dict(rows.dtypes) | dict(queries.dtypes)
+    return found.select(F.col("query_id").cast(kinds[query_id]).alias(query_id), F.col("id").cast(kinds["id"]).alias("id"), "score", "rank")
 
 
 def query_tokens(query: str) -> list[str]:

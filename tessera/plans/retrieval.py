@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import retrieval as R
 from ..operators.termindex import TermIndex
+from ..operators.vectorindex import VectorIndex
 from ..sources import shared
 from ..sources import tables as T
 
@@ -62,11 +63,18 @@ def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     return T.located(spark, d, found.drop("embedding")).select(*R.ORDER, F.round("score", 6).alias("score"))
 
 
+def _vector_index(spark: SparkSession, d: str) -> VectorIndex:
+    def build(path: str) -> None:
+        VectorIndex(spark, path).build(T.table(spark, d, "embeddings"), row_id="vec_id")
+
+    return VectorIndex(spark, shared.kept(spark, "vector-cells", [f"{d}/embeddings.parquet"], build))
+
+
 def vector_topk_batch(spark: SparkSession, d: str) -> DataFrame:
-    e = T.table(spark, d, "embeddings")
-    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    found = R.vector_topk_batch(e.select(F.col("vec_id").alias("id"), "embedding"), queries, 5)
-    return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    """Every twentieth vector against all of them, by a kept index of cells."""
+    queries = T.table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    found = _vector_index(spark, d).search(queries, 5)[0]
+    return found.select(F.col("query_id").cast("long").alias("query_id"), F.col("id").cast("long").alias("id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 def query_tokens(spark: SparkSession, d: str) -> DataFrame:

@@ -121,13 +121,6 @@ def test_vector_topk_batch_of_every_twentieth(spark):
         assert [n for n, _ in sorted(found)] == [1, 2, 3, 4, 5] and [s for _, s in sorted(found)] == pytest.approx(want[q], abs=2e-5)
 
 
-def test_batch_queries_are_not_broadcast(spark):
-    e = spark.read.parquet(f"{SF}/embeddings.parquet")
-    out = retrieval.vector_topk_batch(e.selectExpr("vec_id as id", "embedding"), e.selectExpr("vec_id as query_id", "embedding as q"), 3)
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" in plan and "Broadcast" not in plan
-
-
 def test_chunk_window_around_every_cited_chunk(spark):
     chunks = _chunks(spark)
     keys = {(f"src{(b['item_id'] + i) % 22}", b["item_id"] * 3 + i) for b in _table(spark, "benchmark") for i in range(3)}
