@@ -48,9 +48,8 @@ def folded(c: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def match_key(c: pd.Series) -> pd.Series:
-    """Key of fuzzy comparison: without marks (compatibility decomposition), separators
-    as one space, stripped, lower case. The engine has no such decomposition."""
+def _decomposed_key(c: pd.Series) -> pd.Series:
+    """Keys of texts beyond ASCII; the engine has no compatibility decomposition."""
 
     def key(text: str | None) -> str | None:
         if text is None:
@@ -61,6 +60,14 @@ def match_key(c: pd.Series) -> pd.Series:
     return c.map(key)
 
 
+def match_key(c: Column) -> Column:
+    """Key of fuzzy comparison: without marks (compatibility decomposition), separators
+    as one space, stripped, lower case. ASCII texts are folded by the engine."""
+    other = F.rlike(c, F.lit(r"[^\x00-\x7F]"))
+    plain = F.trim(F.lower(F.regexp_replace(c, r"[\x09-\x0D\x1C-\x20_.\-]+", " ")))
+    return F.when(other, _decomposed_key(F.when(other, c))).otherwise(plain)
+
+
 def terms(c: Column) -> Column:
     """Document-side search terms: folded runs of letters and digits."""
     return F.regexp_extract_all(folded(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))

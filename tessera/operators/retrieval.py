@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..functions import vectors as V
 from ..sources import shared
+from .containment import containing
 from .vectorindex import VectorIndex
 
 #: Depths and constants of fusion.
@@ -28,13 +29,8 @@ ORDER = ("source_path", "chunk_index", "id")
 WINDOW_MOST, CONTEXT_DOCS, CONTEXT_CHARS = 5, 20, 45_000
 
 
-#: Rows that a request names at most to be sent to every task.
-REQUEST = 1000
-
-
-def request(rows: DataFrame, most: int = REQUEST) -> DataFrame:
-    """A request's rows: broadcast if there are few, else joined partition by partition."""
-    return F.broadcast(rows) if len(rows.head(most + 1)) <= most else rows.hint("shuffle_replicate_nl")
+#: Needles of a request that are sent to every task and compared with a whole listing.
+REQUEST = 32
 
 
 def vector_topk(rows: DataFrame, query: DataFrame, k: int = LEG, vector: str = "embedding", order: tuple[str, ...] = ORDER) -> DataFrame:
@@ -163,28 +159,62 @@ def hybrid(rows: DataFrame, query: str, vector: DataFrame, k: int = FINAL, predi
     return fused(legs, keys, k)
 
 
-def resolve_file(wanted: DataFrame, files: DataFrame) -> DataFrame:
+def _scanned(listing: DataFrame, needles: DataFrame, rank: Column, name: str, order: list[str]) -> DataFrame:
+    """Each needle's best row of a listing, for a request of few needles."""
+    best = listing.crossJoin(F.broadcast(needles)).withColumn("_p", rank).where("_p is not null")
+    return best.groupBy(name).agg(F.min(F.struct("_p", *order)).alias("m"))
+
+
+def resolve_file(wanted: DataFrame, files: DataFrame, few: int = REQUEST) -> DataFrame:
     """(file_id, source_path): exact, then basename containment either way, then the
-    folded key. Ties go to the smaller path. Files are a listing, wanted a request; keys
-    are made once a file and once a request.
+    folded key. Ties go to the smaller path. Keys are made once a file and once a request;
+    a request of more than few needles is looked up by q-grams.
     """
     base = F.lower(X.basename(F.col("source_path")))
     listing = files.select("source_path").distinct().withColumns({"base": base, "b_key": X.match_key(base)})
-    needles = wanted.select("file_id", F.lower("file_id").alias("needle")).withColumn("n_key", X.match_key(F.col("needle")))
-    # The third rule reads: the base's key starts with or holds the needle's key.
-    rank = F.when(F.col("file_id") == F.col("source_path"), 1).when(F.contains("base", "needle") | F.contains("needle", "base"), 2).when(F.contains("b_key", "n_key"), 3)
-    best = listing.crossJoin(request(needles)).withColumn("_p", rank).where("_p is not null")
-    best = best.groupBy("file_id").agg(F.min(F.struct("_p", "source_path")).alias("m"))
+    needles = wanted.select("file_id", F.lower("file_id").alias("needle")).where("file_id is not null").distinct().withColumn("n_key", X.match_key(F.col("needle")))
+    if len(needles.head(few + 1)) <= few:
+        # The third rule reads: the base's key starts with or holds the needle's key.
+        rank = F.when(F.col("file_id") == F.col("source_path"), 1).when(F.contains("base", "needle") | F.contains("needle", "base"), 2).when(F.contains("b_key", "n_key"), 3)
+        best = _scanned(listing, needles, rank, "file_id", ["source_path"])
+    else:
+        least = F.min("source_path").alias("source_path")
+        bases, keys = listing.groupBy("base").agg(least), listing.groupBy("b_key").agg(least)
+        held = containing(needles, bases, "needle", "base").toDF("needle", "base")
+        holds = containing(bases, needles, "base", "needle").toDF("base", "needle").select("needle", "base")
+        by_key = containing(needles, keys, "n_key", "b_key").toDF("n_key", "b_key")
+        found = [
+            (1, needles.join(listing.select("source_path"), F.col("file_id") == F.col("source_path"))),
+            (2, held.unionByName(holds).join(bases, "base").join(needles, "needle")),
+            (3, by_key.join(keys, "b_key").join(needles, "n_key")),
+            # An empty text is in every other: one row each, the least path there is.
+            (2, needles.where("needle = ''").crossJoin(F.broadcast(listing.agg(least)))),
+            (2, needles.crossJoin(F.broadcast(listing.where("base = ''").agg(least)))),
+            (3, needles.where("n_key = ''").crossJoin(F.broadcast(listing.agg(least)))),
+        ]
+        rows = reduce(DataFrame.unionByName, [df.select("file_id", F.lit(p).alias("_p"), "source_path") for p, df in found]).where("source_path is not null")
+        best = rows.groupBy("file_id").agg(F.min(F.struct("_p", "source_path")).alias("m"))
     return wanted.select("file_id").join(best, "file_id", "left").select("file_id", F.col("m.source_path").alias("source_path"))
 
 
-def resolve_title(wanted: DataFrame, sections: DataFrame) -> DataFrame:
-    """(needle, title): exact, equal keys, key contained; first in section order."""
+def resolve_title(wanted: DataFrame, sections: DataFrame, few: int = REQUEST) -> DataFrame:
+    """(needle, title): exact, equal keys, key contained; first in section order. A request
+    of more than few needles is looked up by q-grams."""
     listing = sections.select("title", "ordinal").withColumn("key", X.match_key(F.col("title")))
-    needles = wanted.select("needle").withColumn("need", X.match_key(F.col("needle")))
-    rank = F.when(F.col("needle") == F.col("title"), 1).when(F.col("need") == F.col("key"), 2).when((F.col("need") != "") & F.contains("key", "need"), 3)
-    best = listing.crossJoin(request(needles)).withColumn("_p", rank).where("_p is not null")
-    best = best.groupBy("needle").agg(F.min(F.struct("_p", "ordinal", "title")).alias("m"))
+    needles = wanted.select("needle").where("needle is not null").distinct().withColumn("need", X.match_key(F.col("needle")))
+    if len(needles.head(few + 1)) <= few:
+        rank = F.when(F.col("needle") == F.col("title"), 1).when(F.col("need") == F.col("key"), 2).when((F.col("need") != "") & F.contains("key", "need"), 3)
+        best = _scanned(listing, needles, rank, "needle", ["ordinal", "title"])
+    else:
+        first = F.min(F.struct("ordinal", "title")).alias("o")
+        keys = listing.groupBy("key").agg(first)
+        found = [
+            (1, needles.join(listing.groupBy("title").agg(first), F.col("needle") == F.col("title"))),
+            (2, needles.join(keys, F.col("need") == F.col("key"))),
+            (3, containing(needles, keys, "need", "key").toDF("need", "key").join(keys, "key").join(needles, "need")),
+        ]
+        rows = reduce(DataFrame.unionByName, [df.select("needle", F.lit(p).alias("_p"), "o.ordinal", "o.title") for p, df in found])
+        best = rows.groupBy("needle").agg(F.min(F.struct("_p", "ordinal", "title")).alias("m"))
     return wanted.select("needle").join(best, "needle", "left").select("needle", F.col("m.title").alias("title"))
 
 

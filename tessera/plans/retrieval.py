@@ -163,14 +163,22 @@ def toc_rrf(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fuzzy_file_resolve(spark: SparkSession, d: str) -> DataFrame:
-    wanted = spark.createDataFrame([(x,) for x in ("src3", "SRC1", "src-7.", "the src19 file", "nothing", "Sr")], "file_id string")
-    return R.resolve_file(wanted, T.table(spark, d, "documents").select(F.concat(F.lit("data/"), "source").alias("source_path")))
+    """Every page asks for a file among all pages and sources: by its path, by its last
+    part in upper case, by a part with other separators, by a text around it."""
+    pages = T.table(spark, d, "pages")
+    last = F.substring_index("url", "/", -1)
+    form = F.when(F.col("page_id") % 4 == 0, F.col("url")).when(F.col("page_id") % 4 == 1, F.upper(last)).when(F.col("page_id") % 4 == 2, F.translate(last, "?=&#", "_.-_")).otherwise(F.concat(F.lit("the file src"), (F.col("page_id") % 30).cast("string"), F.lit(" of "), last))
+    wanted = pages.select(form.alias("file_id")).distinct()
+    sources = T.table(spark, d, "documents").select(F.concat(F.lit("data/"), "source").alias("source_path"))
+    return R.resolve_file(wanted, pages.select(F.col("url").alias("source_path")).union(sources))
 
 
 def fuzzy_title_resolve(spark: SparkSession, d: str) -> DataFrame:
-    p = T.table(spark, d, "part").select(F.col("p_name").alias("title"), F.col("p_partkey").alias("ordinal"))
-    needles = T.table(spark, d, "part").where("p_partkey in (3, 14, 15, 92)").select(F.when(F.col("p_partkey") % 2 == 1, F.upper(F.replace("p_name", F.lit(" "), F.lit("_")))).otherwise(F.substring("p_name", 1, 5)).alias("needle"))
-    return R.resolve_title(needles.distinct(), p)
+    """Every customer's name as a title, and as a needle in one of four forms."""
+    c = T.table(spark, d, "customer")
+    k, name = F.col("c_custkey"), F.col("c_name")
+    form = F.when(k % 4 == 0, name).when(k % 4 == 1, F.upper(name)).when(k % 4 == 2, F.substr(name, F.length(name) - 4)).otherwise(F.concat(F.lit(" _"), F.lower(name), F.lit("-")))
+    return R.resolve_title(c.select(form.alias("needle")).distinct(), c.select(name.alias("title"), k.alias("ordinal")))
 
 
 def _cited(spark: SparkSession, d: str) -> DataFrame:
@@ -272,12 +280,17 @@ sem as (select source_path, chunk_index, {_COS} as score, row_number() over (ord
     "toc_rrf": f"""with {_SECTIONS}, q as (select {_HASH(f"'{_TOC_QUERY}'")} as q), ve as (select source_path, section_id, ordinal, {_HASH("content")} as embedding from sections),
 sem as (select source_path, section_id, {_COS} as score, row_number() over (order by {_COS} desc, source_path, ordinal) as rank from ve, q qualify rank <= 30),
 {_bm25_sql("sections", _TOC_QUERY, "source_path, ordinal", 30, "source_path, section_id, ordinal")}, {_fuse_sql("source_path, section_id", 10)}""",
-    "fuzzy_file_resolve": f"""with n as (select unnest(['src3', 'SRC1', 'src-7.', 'the src19 file', 'nothing', 'Sr']) as file_id), f as (select distinct 'data/' || source as source_path, source as base from documents),
-m as (select file_id, source_path, case when file_id = source_path then 1 when contains(lower(base), lower(file_id)) or contains(lower(file_id), lower(base)) then 2 when contains({_KEY("base")}, {_KEY("file_id")}) then 3 end as p from n, f)
-select file_id, (select source_path from m where m.file_id = n.file_id and p is not null order by p, source_path limit 1) as source_path from n""",
-    "fuzzy_title_resolve": f"""with n as (select distinct case when p_partkey % 2 = 1 then upper(replace(p_name, ' ', '_')) else substr(p_name, 1, 5) end as needle from part where p_partkey in (3, 14, 15, 92)),
-m as (select needle, p_name, p_partkey, case when needle = p_name then 1 when {_KEY("needle")} = {_KEY("p_name")} then 2 when {_KEY("needle")} <> '' and contains({_KEY("p_name")}, {_KEY("needle")}) then 3 end as p from n, part)
-select needle, (select p_name from m where m.needle = n.needle and p is not null order by p, p_partkey limit 1) as title from n""",
+    "fuzzy_file_resolve": f"""with p as (select page_id, url, string_split(url, '/')[-1] as last from pages),
+n as (select distinct case page_id % 4 when 0 then url when 1 then upper(last) when 2 then translate(last, '?=&#', '_.-_') else 'the file src' || (page_id % 30) || ' of ' || last end as file_id from p),
+f as (select distinct source_path, string_split(source_path, '/')[-1] as base from (select url as source_path from pages union all select 'data/' || source from documents)),
+m as (select file_id, source_path, case when file_id = source_path then 1 when contains(lower(base), lower(file_id)) or contains(lower(file_id), lower(base)) then 2 when contains({_KEY("base")}, {_KEY("file_id")}) then 3 end as p from n, f),
+r as (select file_id, min({{'p': p, 'source_path': source_path}}) as m from m where p is not null group by 1)
+select file_id, m.source_path as source_path from n left join r using (file_id)""",
+    "fuzzy_title_resolve": f"""with n as (select distinct case c_custkey % 4 when 0 then c_name when 1 then upper(c_name) when 2 then c_name[-5:] else ' _' || lower(c_name) || '-' end as needle from customer),
+k as (select needle, {_KEY("needle")} as need from n), t as (select c_name as title, c_custkey as ordinal, {_KEY("c_name")} as key from customer),
+m as (select needle, title, ordinal, case when needle = title then 1 when need = key then 2 when need <> '' and contains(key, need) then 3 end as p from k, t),
+r as (select needle, min({{'p': p, 'ordinal': ordinal, 'title': title}}) as m from m where p is not null group by 1)
+select needle, m.title as title from n left join r using (needle)""",
     "chunk_window": f"""with {CHUNKS}, x as (select item_id, unnest([0, 1, 2]) as pos from benchmark),
 k as (select distinct 'src' || ((item_id + pos) % 22) as source_path, unnest(range(greatest(item_id * 3 + pos - 1, 0), item_id * 3 + pos + 3)) as i from x)
 select id, c.source_path, chunk_index, section_id from chunks c semi join k on k.source_path = c.source_path and i = chunk_index""",
