@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .staging import Stage, documents
 
@@ -77,12 +78,25 @@ def _joined(found: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without the text, with arrays base and bare (before the count)."""
+    """docs without the text, with arrays base and bare (those over base spans too)."""
     whole = F.coalesce(F.col(text), F.lit(""))
     base = F.array_sort(F.concat(*[spans(whole, k, *v) for k, v in KINDS.items()]))
-    clear = lambda x: ~F.exists("base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
     bare = F.filter(spans(whole, "bare", *BARE), lambda x: _mixed(x["value"]))
-    return docs.withColumn("base", base).withColumn("bare", bare).drop(text).withColumn("bare", F.filter("bare", clear))
+    return docs.withColumn("base", base).withColumn("bare", bare).drop(text)
+
+
+def clear(each: DataFrame) -> DataFrame:
+    """Span rows (row_id, s) without the bare ones that overlap a base span of their row.
+
+    One pass from each side instead of pairs: of the base spans that begin no later the
+    furthest end counts, of those that begin later the first.
+    """
+    base = F.col("s.kind") != "bare"
+    start = F.col("s.start")
+    before = F.max(F.when(base, F.col("s.end"))).over(Window.partitionBy("row_id").orderBy(start).rangeBetween(Window.unboundedPreceding, 0))
+    after = F.min(F.when(base, start)).over(Window.partitionBy("row_id").orderBy(-start).rangeBetween(Window.unboundedPreceding, -1))
+    known = each.withColumn("_before", before).withColumn("_after", after)
+    return known.where(base | ((F.coalesce("_before", F.lit(0)) <= start) & (F.coalesce(F.col("_after"), F.col("s.end")) >= F.col("s.end")))).drop("_before", "_after")
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -102,6 +116,7 @@ def find_secrets(docs: DataFrame, repository: Column, owner: Column, doc_id: str
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(repository, F.lit("")).alias("repository"), F.coalesce(owner, F.lit("")).alias("owner"))
     found = stage.save(scan(narrow).withColumn("row_id", F.monotonically_increasing_id()), "spans")
     each = found.select("row_id", "repository", "owner", F.explode(F.concat("base", "bare")).alias("s")).withColumn("value_hash", F.sha2("s.value", 256))
+    each = clear(each)
     each = stage.save(each.select("row_id", "repository", "owner", "value_hash", F.col("s.start").alias("start"), F.col("s.ord").alias("ord"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind")), "each")
     owned = stage.save(ownership(each), "owned")
     judged = each.join(owned.select("value_hash", "n_owners"), "value_hash")
