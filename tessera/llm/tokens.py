@@ -2,11 +2,11 @@
 
 A corpus becomes numbered shards. ``shard-N.tokens.arrow`` is an Arrow IPC file
 of record batches with two columns of fixed-size lists: ``ids`` (``LENGTH``
-token ids) and ``mask`` (true where an id is a token, false for the padding of
-the last sequence). Documents, each closed by ``end_id``, follow one another
+token ids) and ``mask`` (one byte an id: 1 for a token, 0 for the padding of the last
+sequence; Arrow's booleans are single bits, which numpy cannot view). Documents, each closed by ``end_id``, follow one another
 across sequences in ascending doc_id. ``shard-N.docs.arrow`` has doc_id, start
 (within the shard) and n_tokens. The lists are uncompressed buffers, so sequence
-i of a memory-mapped file is a view, found by division.
+and mask i of a memory-mapped file are views, found by division.
 
 Defined results: a null text counts as empty (the end id alone); repeated rows
 with one doc_id are documents of their own, ordered by text; null doc_ids come
@@ -36,6 +36,8 @@ from .staging import Stage, importable, n_shards
 LENGTH, SEQUENCES = 1024, 512
 #: Rows encoded at once; distinct words in one call of the library.
 ROWS, WORDS = 512, 10_000
+#: Characters by which rows of one doc_id are dealt out.
+HEAD = 64
 
 
 class WordEncoder(SegmentCache):
@@ -91,7 +93,7 @@ class ShardWriter:
     def __init__(self, fs: pa.fs.FileSystem, path: str, width: np.dtype, length: int):
         self.fs, self.path, self.length, self.width = fs, path, length, width
         kind = pa.from_numpy_dtype(width)
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.docs_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.sinks = [fs.open_output_stream(f"{path}.tokens.arrow"), fs.open_output_stream(f"{path}.docs.arrow")]
         self.tokens, self.docs = pa.ipc.new_file(self.sinks[0], self.schema), pa.ipc.new_file(self.sinks[1], self.docs_schema)
@@ -99,7 +101,7 @@ class ShardWriter:
         self.n_held = self.n_tokens = self.n_docs = 0
 
     def _write(self, ids: np.ndarray, real: int) -> None:
-        mask = np.arange(len(ids)) < real
+        mask = (np.arange(len(ids)) < real).astype(np.uint8)
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
         self.tokens.write_batch(pa.record_batch(lists, schema=self.schema))
 
@@ -150,7 +152,7 @@ class Shard:
 
     def mask(self, i: int) -> np.ndarray:
         b, k = divmod(i, SEQUENCES)
-        return self._values(b, "mask").slice(k * self.length, self.length).to_numpy(zero_copy_only=False)
+        return self._values(b, "mask").to_numpy(zero_copy_only=True)[k * self.length : (k + 1) * self.length].view(bool)
 
     def span(self, start: int, n: int) -> np.ndarray:
         """Ids start to start + n of the shard."""
@@ -166,14 +168,15 @@ class Shard:
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, shards: int | None = None, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> list[dict]:
     """Writes docs in ascending doc_id; returns the shards in order.
 
-    A shard is one range of doc_ids and one task; there is one for about SHARD_BYTES
+    A shard is one range of doc_ids (rows of one doc_id are divided by how their texts
+    begin) and one task; there is one for about SHARD_BYTES
     of input, and as many entries: {path, base (tokens before it), n_tokens, n_docs}.
     """
     spark = docs.sparkSession
     importable(spark)
     shards = shards or n_shards(docs)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange(shards, F.col("doc_id"), F.substring("text", 1, HEAD)).sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
