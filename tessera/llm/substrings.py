@@ -223,9 +223,10 @@ def _windows(found: DataFrame, parts: int) -> DataFrame:
     return found.select("doc_id", "text", "hits").mapInArrow(run, _PACKED)
 
 
-def _removed(found: DataFrame) -> DataFrame:
-    """doc_id, sha of all words, n_removed and sha of the words left, where any goes."""
-    out = pa.schema([("doc_id", pa.int64()), ("all_sha256", pa.string()), ("n_removed", pa.int64()), ("left_sha256", pa.string()), ("kept_text", pa.string())])
+def _removed(found: DataFrame, texts: bool) -> DataFrame:
+    """doc_id, sha of all words, n_removed and sha of the words left, where any goes;
+    with texts also these words, as kept_text."""
+    out = pa.schema([("doc_id", pa.int64()), ("all_sha256", pa.string()), ("n_removed", pa.int64()), ("left_sha256", pa.string()), ("kept_text", pa.string())][: 5 if texts else 4])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,10 +245,10 @@ def _removed(found: DataFrame) -> DataFrame:
                     data = words.data.tobytes() if len(words.first) == 2 else words.data[words.offsets[i] : words.offsets[i + 1]].tobytes()
                     every = data.split()
                     kept = b" ".join([w for w, keep in zip(every, left.tolist(), strict=True) if keep])
-                    rows.append((ids[row], hashlib.sha256(b" ".join(every)).hexdigest(), int((~left).sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
+                    rows.append((ids[row], hashlib.sha256(b" ".join(every)).hexdigest(), int((~left).sum()), hashlib.sha256(kept).hexdigest(), *([kept.decode()] if texts else [])))
                 yield pa.record_batch([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(out)], schema=out)
 
-    return found.mapInArrow(run, "doc_id long, all_sha256 string, n_removed long, left_sha256 string, kept_text string")
+    return found.mapInArrow(run, "doc_id long, all_sha256 string, n_removed long, left_sha256 string" + ", kept_text string" * texts)
 
 
 def _base(docs: DataFrame) -> DataFrame:
@@ -264,8 +265,9 @@ def _base(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_words long, all_sha256 string")
 
 
-def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(per row: doc_id, n_words, all_sha256; per changed row: see _removed)."""
+def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(per row: doc_id, n_words, all_sha256; per changed row: see _removed). The texts
+    that are left are made and stored only if asked for."""
     stage = Stage(docs.sparkSession, "substrings")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     known = docs.where("doc_id is not null and text is not null")
@@ -274,7 +276,7 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     hits = stage.save(_exchange(_anchors(known, parts), True, parts, tasks).withColumnRenamed("found", "hits"), "hits")
     found = stage.save(known.join(hits, "doc_id"), "found")
     repeats = stage.save(_exchange(_windows(found, parts), False, parts, tasks).withColumnRenamed("found", "repeats"), "repeats")
-    removed = stage.save(_removed(found.join(repeats, "doc_id")), "removed")
+    removed = stage.save(_removed(found.join(repeats, "doc_id"), texts), "removed")
     stage.drop("hits", "found", "repeats")
     return _base(docs), removed
 
