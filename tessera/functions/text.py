@@ -47,6 +47,17 @@ def folded(c: Column) -> Column:
     return F.when(other, F.translate(F.lower(F.translate(c, FOLD_FROM, FOLD_TO)), FOLD_FROM, FOLD_TO)).otherwise(F.lower(c))
 
 
+@F.pandas_udf(T.StringType())
+def _casefolded(c: pd.Series) -> pd.Series:
+    return c.map(lambda t: None if t is None else t.casefold())
+
+
+def casefolded(c: Column) -> Column:
+    """Full case folding (ligatures and sharp s included); ASCII texts by the engine."""
+    other = F.rlike(c, F.lit(r"[^\x00-\x7F]"))
+    return F.when(other, _casefolded(F.when(other, c))).otherwise(F.lower(c))
+
+
 @F.pandas_udf(T.StringType())
 def _decomposed_key(c: pd.Series) -> pd.Series:
     """Keys of texts beyond ASCII; the engine has no compatibility decomposition."""

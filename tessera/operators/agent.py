@@ -25,8 +25,6 @@ from . import toc as O
 log = logging.getLogger(__name__)
 
 MAX_ITERATIONS, MAX_CALLS, MAX_INPUT, STALE = 8, 30, 500_000, 5
-#: Rows that one tool call shows at most; more raise, as a section or a contents list is bounded.
-SHOWN = 10_000
 #: Statuses of a file's section index that a search warns of.
 WARNED = ("MISSING_TOC", "INVALID_TOC", "SOURCE_NOT_INDEXED", "BACKFILL_FAILED")
 #: How a run ended.
@@ -141,10 +139,8 @@ class Tools:
         return "\n\n".join([f"{len(found)} chunks, {new} new", *texts])
 
     def _rows(self, rows: DataFrame) -> list:
-        found = rows.head(SHOWN + 1)
-        if len(found) > SHOWN:
-            raise ValueError(f"more than {SHOWN} rows; narrow the scope")
-        return found
+        """All rows, one partition at a time: an answer may be of any length."""
+        return list(rows.toLocalIterator(prefetchPartitions=True))
 
     def _scope(self, given: dict) -> dict:
         path = self._file(given.get("file_id"))

@@ -8,21 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as X
 from ..functions.ranks import numbered
 
 
 def matches(question: str | None = None, source: str | None = None, subset: list[str] | None = None, text: Column | None = None, ids: Column | None = None, sources: Column | None = None) -> Column:
     """Substring tests of a case: any subset part in its id, the question in text or
-    id, the source in any of its sources; what is not given holds. Upper and lower case,
-    also of a sharp s, are alike."""
-    has = lambda c, s: F.contains(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit(s.casefold()))
+    id, the source in any of its sources; what is not given holds. Texts that case folding
+    makes equal are alike."""
+    has = lambda c, s: F.contains(X.casefolded(c), F.lit(s.casefold()))
     out = F.lit(True)
     if subset:
         out = out & reduce(lambda a, b: a | b, [F.contains(ids, F.lit(s)) for s in subset])
     if question:
         out = out & (has(text, question) | has(ids, question))
     if source:
-        out = out & F.exists(sources, lambda s: has(s, source))
+        # One text of all sources: folded at once, and no source holds what divides them.
+        if "\x1f" in source:
+            return F.lit(False)
+        out = out & has(F.array_join(sources, "\x1f"), source)
     return out
 
 

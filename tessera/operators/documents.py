@@ -17,10 +17,10 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..sources import shared
 from . import toc as O
 
 BODY = "#/body"
-DEEPEST = 20
 
 
 def with_override(elements: DataFrame, override: DataFrame | None) -> DataFrame:
@@ -32,24 +32,44 @@ def with_override(elements: DataFrame, override: DataFrame | None) -> DataFrame:
     return elements.join(o, ["doc", "ref"], "left").withColumn("text", F.regexp_replace(F.coalesce("_o", "text"), r"^#{1,6}\s+", "")).drop("_o")
 
 
-def leaves(elements: DataFrame, edges: DataFrame, root: str = BODY) -> DataFrame:
-    """(doc, path, ref, …) of texts and tables below root, in reading order.
+def _group_paths(elements: DataFrame, edges: DataFrame, root: str) -> DataFrame:
+    """(doc, parent, path) of the groups below root, of any depth.
 
-    Groups are followed level by level, one equi-join each, until none is left;
-    references to nothing (and pictures) drop out. path is the order key.
+    Pointer jumping: every group knows an ancestor and the path from it, and takes over
+    its ancestor's ancestor, so what is known doubles each round. A round in which no
+    group reaches the root is the last; what never does is not below it.
     """
-    known = elements.select("doc", "ref", "kind", "label", "text", "page", "level")
-    step = lambda e: e.join(known.withColumnRenamed("ref", "child"), ["doc", "child"])
-    front = step(edges.where(F.col("parent") == root)).withColumn("path", F.array("ord"))
-    columns = ["doc", "path", F.col("child").alias("ref"), "kind", "label", "text", "page", "level"]
-    out = front.where("kind <> 'group'").select(*columns)
-    for _ in range(DEEPEST):
-        groups = front.where("kind = 'group'").select("doc", F.col("child").alias("parent"), "path")
-        if groups.isEmpty():
-            return out
-        front = step(edges.join(groups, ["doc", "parent"])).withColumn("path", F.concat("path", F.array("ord")))
-        out = out.unionByName(front.where("kind <> 'group'").select(*columns))
-    raise ValueError(f"groups are nested deeper than {DEEPEST}")
+    spark = elements.sparkSession
+    groups = elements.where("kind = 'group'").select("doc", F.col("ref").alias("node"))
+    known = edges.select("doc", F.col("child").alias("node"), F.col("parent").alias("above"), F.array("ord").alias("path")).join(groups, ["doc", "node"])
+    at, step = shared.folder(spark, "groups"), 0
+
+    def saved(df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{at}/{step}")
+        return spark.read.schema(df.schema).parquet(f"{at}/{step}")
+
+    known = saved(known.withColumn("new", F.lit(True)))
+    most = known.count()
+    below = F.col("above") == root
+    while not known.where(below & F.col("new")).isEmpty():
+        step += 1
+        if 2 ** (step - 1) > 2 * most:
+            raise ValueError("a group is inside itself")
+        ahead = known.select("doc", F.col("node").alias("above"), F.col("above").alias("_above"), F.col("path").alias("_path"))
+        jumped = known.where(~below).join(ahead, ["doc", "above"]).select("doc", "node", F.col("_above").alias("above"), F.concat("_path", "path").alias("path"), F.lit(True).alias("new"))
+        known = saved(known.where(below).withColumn("new", F.lit(False)).unionByName(jumped))
+    return known.where(below).select("doc", F.col("node").alias("parent"), "path")
+
+
+def leaves(elements: DataFrame, edges: DataFrame, root: str = BODY) -> DataFrame:
+    """(doc, path, ref, …) of texts and tables below root, in reading order, whatever the
+    depth of their groups; references to nothing (and pictures) drop out. path is the order
+    key."""
+    known = elements.where("kind <> 'group'").select("doc", F.col("ref").alias("child"), "kind", "label", "text", "page", "level")
+    top = edges.where(F.col("parent") == root).withColumn("path", F.array("ord"))
+    deep = edges.join(_group_paths(elements, edges, root), ["doc", "parent"]).withColumn("path", F.concat("path", F.array("ord")))
+    rows = top.unionByName(deep).join(known, ["doc", "child"])
+    return rows.select("doc", "path", F.col("child").alias("ref"), "kind", "label", "text", "page", "level")
 
 
 def flattened_groups(elements: DataFrame, edges: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ written last, in one commit, so readers see both tables of a version or none of
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..sources.shared import CommitLog, ConflictError, file_system
 from . import chunking as C
 from . import toc as O
 
@@ -123,25 +125,85 @@ def section_records(sections: DataFrame, source_kind: str = "local") -> DataFram
 def publish(path: str, toc: DataFrame, records: DataFrame) -> str:
     """Publishes toc rows and section records together; the version they got.
 
-    A source's older versions stay readable until its state row is written, and for
-    good if a write fails before.
+    All tables are written below a version of their own, then one numbered entry of the
+    log names it: readers see the whole version or nothing of it. If another writer's
+    entry came first since this call began and has a source in common, ConflictError is
+    raised; entries of other sources are no conflict.
     """
-    version = uuid.uuid4().hex
-    toc.write.mode("append").parquet(f"{path}/toc/version={version}")
-    records.write.mode("append").parquet(f"{path}/sections/version={version}")
     spark = toc.sparkSession
-    revisions = O.revision(spark.read.schema(records.schema).parquet(f"{path}/sections/version={version}"))
-    state = spark.read.schema(toc.schema).parquet(f"{path}/toc/version={version}").select("source_path").join(revisions, "source_path", "left")
-    state = state.select("source_path", F.lit(version).alias("version"), "revision", F.coalesce("section_count", F.lit(0)).alias("section_count"), F.current_timestamp().alias("published"))
-    state.coalesce(1).write.mode("append").parquet(f"{path}/state")
+    log = CommitLog(spark, path)
+    base, version = log.last(), uuid.uuid4().hex
+    at = lambda table, v=version: f"{path}/{table}/version={v}"
+    toc.write.parquet(at("toc"))
+    records.write.parquet(at("sections"))
+    revisions = O.revision(spark.read.schema(records.schema).parquet(at("sections")))
+    state = spark.read.schema(toc.schema).parquet(at("toc")).select("source_path").join(revisions, "source_path", "left")
+    state.select("source_path", "revision", F.coalesce("section_count", F.lit(0)).alias("section_count")).write.parquet(at("state"))
+    own = spark.read.schema(_STATE).parquet(at("state")).select("source_path")
+
+    def disputed(newer: list[tuple[int, dict]]) -> bool:
+        theirs = [at("state", e["version"]) for _, e in newer if "version" in e]
+        return bool(theirs) and not own.join(spark.read.schema(_STATE).parquet(*theirs), "source_path", "left_semi").isEmpty()
+
+    log.commit({"version": version}, base, disputed)
     return version
 
 
+_STATE = "source_path string, revision string, section_count int"
+
+
+def published(path: str, made: Callable[[], tuple[DataFrame, DataFrame]], tries: int = 5) -> str:
+    """Publishes what made() gives (toc, records), made anew after each conflict."""
+    for left in range(tries - 1, -1, -1):
+        try:
+            return publish(path, *made())
+        except ConflictError:
+            if not left:
+                raise
+    raise AssertionError
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(entry, version) of the log that have not expired."""
+    entries = CommitLog(spark, path).entries()
+    gone = {v for _, e in entries for v in e.get("expired", [])}
+    return [(n, e["version"]) for n, e in entries if "version" in e and e["version"] not in gone]
+
+
+def _last(spark: SparkSession, path: str, versions: list[tuple[int, str]]) -> DataFrame:
+    """(source_path, version, revision, section_count): each source's last entry."""
+    state = spark.read.schema(f"{_STATE}, version string").option("basePath", f"{path}/state").parquet(*[f"{path}/state/version={v}" for _, v in versions])
+    numbers = F.broadcast(spark.createDataFrame(versions, "entry long, version string"))  # a row a publication
+    return state.join(numbers, "version").groupBy("source_path").agg(F.max_by(F.struct("version", "revision", "section_count"), "entry").alias("s")).select("source_path", "s.*")
+
+
 def current(spark: SparkSession, path: str, table: str) -> DataFrame:
     """The rows of a table (toc or sections) in each source's newest version, with
-    their revision."""
-    last = spark.read.parquet(f"{path}/state").groupBy("source_path").agg(F.max_by(F.struct("version", "revision", "section_count"), "published").alias("s")).select("source_path", "s.*")
-    return spark.read.parquet(f"{path}/{table}").join(last, ["source_path", "version"]).drop("version")
+    their revision. What is published later does not change the result."""
+    versions = _versions(spark, path)
+    if not versions:
+        raise ValueError(f"nothing is published at {path}")
+    rows = spark.read.option("basePath", f"{path}/{table}").parquet(*[f"{path}/{table}/version={v}" for _, v in versions])
+    return rows.join(_last(spark, path, versions), ["source_path", "version"]).drop("version")
+
+
+def expire(spark: SparkSession, path: str, keep: int = 10) -> list[str]:
+    """Deletes versions that no source reads any more, but for the last keep of the log;
+    the log says so before the files go. Readers that began before may still want them, so
+    keep is more than are published while a query runs."""
+    versions = _versions(spark, path)
+    if len(versions) <= keep:
+        return []
+    used = {r["version"] for r in _last(spark, path, versions).select("version").distinct().collect()}
+    gone = [v for _, v in versions[: len(versions) - keep] if v not in used]
+    if gone:
+        log = CommitLog(spark, path)
+        log.commit({"expired": gone}, log.last(), lambda newer: False)
+        for v in gone:
+            for table in ("toc", "sections", "state"):
+                fs, at = file_system(spark, f"{path}/{table}/version={v}")
+                fs.delete(at, True)
+    return gone
 
 
 def load_tocs(spark: SparkSession, path: str, source_paths: list[str]) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +10,7 @@ from ..functions import text as X
 from ..operators import chunking as C
 from ..operators import indexing as I
 from ..operators import toc as O
+from ..sources import shared
 from ..sources import tables as T
 from . import retrieval
 
@@ -143,15 +142,13 @@ def document_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def publish_sections(spark: SparkSession, d: str) -> DataFrame:
-    """The catalog's sections published twice below the warehouse, the second time with
+    """The catalog's sections published twice in the shared folder, the second time with
     one file only, and read back: each file's current records."""
     records = _records(spark, d)
     toc = records.groupBy("source_path").agg(F.count(F.lit(1)).alias("total_sections"), F.sum("direct_chunk_count").alias("total_chunks"))
     toc = toc.withColumn("toc_json", F.to_json(F.struct(F.struct("total_sections").alias("meta"))))
-    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/published-{uuid.uuid4().hex[:12]}"
+    path = shared.folder(spark, "published")
     I.publish(path, toc, records)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)  # the query's own folder
     again = records.where("source_path = 'ASIA' and ordinal > 0").withColumn("section_title", F.upper("section_title"))
     I.publish(path, toc.where("source_path = 'ASIA'"), again)
     return I.current(spark, path, "sections").select("source_path", "ordinal", "section_id", "section_title", "revision", F.col("section_count").cast("long").alias("section_count"))

@@ -14,7 +14,7 @@ from tessera.operators import agent, cases, documents, indexing, store
 from tessera.operators import retrieval as R
 from tessera.operators import scoring as S
 from tessera.operators import toc as O
-from tessera.sources import files, sinks
+from tessera.sources import files, shared, sinks
 from tessera.streaming import ingest
 
 
@@ -179,6 +179,38 @@ def test_publishing_is_all_or_nothing(spark, tmp_path):
     assert indexing.load_toc_strict(spark, path, "2").count() == 0
 
 
+def test_two_writers_of_an_index(spark, tmp_path):
+    """Of two that began together one is first; the other goes on only with other sources."""
+    path = str(tmp_path / "index")
+    rows = spark.createDataFrame([(p, i, f"s{i}") for p in "abc" for i in range(3)], "source_path string, ordinal long, section_id string").withColumns({"section_title": F.col("section_id"), "breadcrumb": F.col("section_id"), "page_start": F.lit(1), "direct_chunk_count": F.lit(1), "char_count": F.lit(1)})
+    toc = rows.select("source_path").distinct().withColumn("toc_json", F.lit("{}"))
+    indexing.publish(path, toc, rows)
+    before = indexing.current(spark, path, "sections")
+    real, calls = shared.CommitLog.put, []
+
+    def raced(self, number, entry):
+        if not calls:  # another writer is faster, for the sources that calls names
+            calls.append(1)
+            indexing.publish(path, toc.where("source_path = 'a'"), rows.where("source_path = 'a' and ordinal < 2"))
+        return real(self, number, entry)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(shared.CommitLog, "put", raced)
+        indexing.publish(path, toc.where("source_path = 'b'"), rows.where("source_path = 'b' and ordinal < 1"))
+        count = lambda df: {r["source_path"]: r["count"] for r in df.groupBy("source_path").count().collect()}
+        assert count(indexing.current(spark, path, "sections")) == {"a": 2, "b": 1, "c": 3}
+        calls.clear()
+        with pytest.raises(shared.ConflictError):
+            indexing.publish(path, toc.where("source_path = 'a'"), rows.where("source_path = 'a' and ordinal < 1"))
+        calls.clear()
+        made = lambda: (toc.where("source_path = 'a'"), rows.where("source_path = 'a' and ordinal < 1"))
+        indexing.published(path, made)
+    assert count(indexing.current(spark, path, "sections")) == {"a": 1, "b": 1, "c": 3}
+    assert count(before) == {"a": 3, "b": 3, "c": 3}
+    assert len(indexing.expire(spark, path, keep=1)) == 3 and indexing.expire(spark, path, keep=1) == []
+    assert count(indexing.current(spark, path, "sections")) == {"a": 1, "b": 1, "c": 3}
+
+
 def test_sentence_index_and_parse_cache(spark, tmp_path):
     chunks = spark.createDataFrame([("a", 0, "A long sentence here. Another long one!"), ("b", 0, "Something else entirely.")], "doc string, no long, content string")
     path, model = str(tmp_path / "sentences"), lambda: lambda texts: [[3.0, 4.0] for _ in texts]
@@ -291,8 +323,10 @@ def test_lines_are_numbered_across_splits(spark, tmp_path):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
+        assert spark.read.text(str(tmp_path / "many.jsonl")).rdd.getNumPartitions() > 1
+        found = files.numbered_lines(spark, str(tmp_path / "many.jsonl"))
+        assert sorted(r["line"] for r in found.collect()) == list(range(1, 5000))
         rows = files.jsonl_strict(spark, str(tmp_path / "many.jsonl"))
-        assert rows.rdd.getNumPartitions() > 1
         assert rows.where(F.col("line") != F.variant_get("value", "$.n", "long")).count() == 0 and rows.count() == 3333
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
@@ -398,3 +432,29 @@ def test_resolution_and_rendering(spark):
     line = spark.createDataFrame([("p", 1, "section_1", "Payment schedule", None, 1, 3)], "source_path string, ordinal long, id string, title string, depth int, chunk_count int, page_start int")
     assert O.rendered(line).first()["rendered"] == "TOC for: p\nSections: 1  |  Total chunks: 1\n\n- [section_1] Payment schedule  (1 chunks, page 3)"
     assert spark.range(1).select(X.status_label(F.lit(0.7)).alias("s")).first()["s"] == "PASS"
+
+
+def test_groups_of_any_depth(spark):
+    """A chain of 40 groups with a text at each, groups that nothing leads to, a loop."""
+    n = 40
+    chain = [(1, "#/body" if i == 0 else f"g{i - 1}", i % 3, f"g{i}") for i in range(n)]
+    texts = [(1, f"g{i}", 5, f"t{i}") for i in range(n)] + [(1, "#/body", 9, "last"), (1, "lost", 0, "t0"), (1, "g0", 7, "missing")]
+    lost = [(1, "far", 0, "lost")]
+    elements = [(1, f"g{i}", "group") for i in range(n)] + [(1, "lost", "group")] + [(1, f"t{i}", "text") for i in range(n)] + [(1, "last", "text")]
+    e = spark.createDataFrame([(d, r, k, "paragraph", r, 1, None) for d, r, k in elements], "doc int, ref string, kind string, label string, text string, page int, level int")
+    g = spark.createDataFrame(chain + texts + lost, "doc int, parent string, ord int, child string")
+    got = {r["ref"]: r["path"] for r in documents.leaves(e, g).collect()}
+    assert got == {**{f"t{i}": [j % 3 for j in range(i + 1)] + [5] for i in range(n)}, "last": [9]}
+    loop = g.union(spark.createDataFrame([(1, "g3", 8, "g1")], g.schema))
+    with pytest.raises(ValueError, match="inside itself"):
+        documents.leaves(e, loop)
+    flat = documents.leaves(e.where("kind = 'text'"), g.where("parent = '#/body'"))
+    assert [r["ref"] for r in flat.collect()] == ["last"]
+
+
+def test_case_folding(spark):
+    rows = spark.createDataFrame([("ein ﬁle", ["Straße"]), ("plain FILE", ["x"]), (None, None)], "t string, s array<string>")
+    told = lambda c: [r[0] for r in rows.select(c).collect()]
+    ids = F.lit("id")
+    assert told(cases.matches(question="FILE", text=F.col("t"), ids=ids)) == [True, True, None]
+    assert told(cases.matches(source="STRASSE", sources=F.col("s"))) == [True, False, None]
