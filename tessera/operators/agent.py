@@ -327,24 +327,3 @@ def run_all(context: Context, questions: list[str], policy: Callable, synthesise
 
     with ThreadPoolExecutor(min(workers, max(1, len(questions)))) as pool:
         return list(pool.map(one, questions))
-
-
-def judged(cases: list[dict], judge: Callable[[str], str], workers: int = 4) -> list[dict]:
-    """cases (question, generated, reference) with score and reasoning by a judge, a
-    function of a prompt; a reply that can't be read or an error scores 0."""
-
-    def one(case: dict) -> dict:
-        prompt = f"Question: {case['question']}\nReference answer: {case['reference']}\nAnswer: {case['generated']}\nReply with JSON: correct (true or false), reasoning."
-        try:
-            said = judge(prompt)
-            value = J.repaired_json(said)
-            told = value.get("correct") if isinstance(value, dict) else None
-            words = said.lower()
-            correct = told if isinstance(told, bool) else True if "true" in words else False if "false" in words else None
-            reason = str(value.get("reasoning", "")) if isinstance(value, dict) else ""
-            return {**case, "score": float(bool(correct)), "reasoning": reason if correct is not None else "the reply can't be read"}
-        except Exception as e:
-            return {**case, "score": 0.0, "reasoning": f"Error: {e}"}
-
-    with ThreadPoolExecutor(max(1, workers)) as pool:
-        return list(pool.map(one, cases))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import payloads, ranks
 from tessera.functions import text as X
 from tessera.functions import vectors as V
-from tessera.operators import agent, cases, documents, indexing, store
+from tessera.operators import agent, answering, cases, documents, indexing, store
 from tessera.operators import retrieval as R
 from tessera.operators import scoring as S
 from tessera.operators import toc as O
@@ -420,7 +420,8 @@ def test_runs_in_parallel_keep_their_order(context):
     out = agent.run_all(context, ["a", "bad", "c"], policy, workers=3)
     assert [(r["status"], r.get("answer")) for r in out] == [("completed", "a"), ("failed", None), ("completed", "c")] and out[1]["error"] == "RuntimeError: no model"
     cases = [{"question": q, "reference": "r", "generated": q} for q in ("x", "y", "z")]
-    scored = agent.judged(cases, lambda prompt: {"x": '{"correct": true, "reasoning": "same"}', "y": "that is false", "z": "?"}[prompt.split("Answer: ")[1][0]])
+    judge = lambda prompt: {"x": '{"correct": true, "reasoning": "same"}', "y": "that is false", "z": "?"}[prompt.split("\nAnswer: ")[1][0]]
+    scored = answering.judged(context.chunks.sparkSession.createDataFrame(cases), lambda: judge).orderBy("question").collect()
     assert [(r["score"], r["reasoning"]) for r in scored] == [(1.0, "same"), (0.0, ""), (0.0, "the reply can't be read")]
     with pytest.raises(ValueError):
         agent.run_all(context, [], policy, workers=0)
