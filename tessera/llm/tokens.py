@@ -1,9 +1,10 @@
 """Operator 5: token-ID output as Arrow files of fixed-size sequences.
 
 A corpus becomes numbered shards. ``shard-N.tokens.arrow`` is an Arrow IPC file
-of record batches with two columns of fixed-size lists: ``ids`` (``LENGTH``
-token ids) and ``mask`` (one byte an id: 1 for a token, 0 for the padding of the last
-sequence; Arrow's booleans are single bits, which numpy cannot view). Documents, each closed by ``end_id``, follow one another
+of record batches of fixed-size lists, ``ids`` (``LENGTH`` token ids). Only the last
+sequence of a shard has padding, so ``shard-N.masks.arrow`` holds the two masks there
+are, as fixed-size lists of one byte an id (1 for a token; Arrow's booleans are single
+bits, which numpy cannot view): that of all full sequences and that of the last. Documents, each closed by ``end_id``, follow one another
 across sequences in ascending doc_id. ``shard-N.docs.arrow`` has doc_id, start
 (within the shard) and n_tokens. The lists are uncompressed buffers, so sequence
 and mask i of a memory-mapped file are views, found by division.
@@ -93,17 +94,15 @@ class ShardWriter:
     def __init__(self, fs: pa.fs.FileSystem, path: str, width: np.dtype, length: int):
         self.fs, self.path, self.length, self.width = fs, path, length, width
         kind = pa.from_numpy_dtype(width)
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length))])
         self.docs_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.sinks = [fs.open_output_stream(f"{path}.tokens.arrow"), fs.open_output_stream(f"{path}.docs.arrow")]
         self.tokens, self.docs = pa.ipc.new_file(self.sinks[0], self.schema), pa.ipc.new_file(self.sinks[1], self.docs_schema)
         self.held: list[np.ndarray] = []
         self.n_held = self.n_tokens = self.n_docs = 0
 
-    def _write(self, ids: np.ndarray, real: int) -> None:
-        mask = (np.arange(len(ids)) < real).astype(np.uint8)
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
-        self.tokens.write_batch(pa.record_batch(lists, schema=self.schema))
+    def _write(self, ids: np.ndarray) -> None:
+        self.tokens.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(ids), self.length)], schema=self.schema))
 
     def add(self, doc_ids: pa.Array, ids: np.ndarray, n: np.ndarray) -> None:
         starts = self.n_tokens + np.cumsum(n) - n
@@ -116,7 +115,7 @@ class ShardWriter:
         if self.n_held >= unit:
             every = np.concatenate(self.held)
             for at in range(0, len(every) - unit + 1, unit):
-                self._write(every[at : at + unit], unit)
+                self._write(every[at : at + unit])
             self.held = [every[len(every) // unit * unit :].copy()]
             self.n_held = len(self.held[0])
 
@@ -125,9 +124,14 @@ class ShardWriter:
             every = np.concatenate(self.held)
             full = np.zeros(-(-len(every) // self.length) * self.length, self.width)
             full[: len(every)] = every
-            self._write(full, len(every))
+            self._write(full)
         for x in (self.tokens, self.docs, *self.sinks):
             x.close()
+        left = self.n_tokens % self.length or self.length
+        masks = np.concatenate([np.ones(self.length, np.uint8), (np.arange(self.length) < left).astype(np.uint8)])
+        schema = pa.schema([("mask", pa.list_(pa.uint8(), self.length))])
+        with self.fs.open_output_stream(f"{self.path}.masks.arrow") as sink, pa.ipc.new_file(sink, schema) as out:
+            out.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(masks), self.length)], schema=schema))
 
 
 class Shard:
@@ -137,22 +141,24 @@ class Shard:
         fs, at = pa.fs.FileSystem.from_uri(path)
         local = isinstance(fs, pa.fs.LocalFileSystem)
         opened = lambda end: pa.ipc.open_file(pa.memory_map(at + end) if local else fs.open_input_file(at + end))
-        self.tokens, self.docs = opened(".tokens.arrow"), opened(".docs.arrow")
+        self.tokens, self.docs, self.masks = opened(".tokens.arrow"), opened(".docs.arrow"), opened(".masks.arrow").get_batch(0).column("mask").values
         self.length = self.tokens.schema.field("ids").type.list_size
+        batches = self.tokens.num_record_batches
+        self.n_sequences = (batches - 1) * SEQUENCES + self.tokens.get_batch(batches - 1).num_rows if batches else 0
         self._at, self._batch = -1, None
 
-    def _values(self, batch: int, column: str = "ids") -> pa.Array:
+    def _values(self, batch: int) -> pa.Array:
         if batch != self._at:
             self._at, self._batch = batch, self.tokens.get_batch(batch)
-        return self._batch.column(column).values
+        return self._batch.column("ids").values
 
     def sequence(self, i: int) -> np.ndarray:
         b, k = divmod(i, SEQUENCES)
         return self._values(b).to_numpy(zero_copy_only=True)[k * self.length : (k + 1) * self.length]
 
     def mask(self, i: int) -> np.ndarray:
-        b, k = divmod(i, SEQUENCES)
-        return self._values(b, "mask").to_numpy(zero_copy_only=True)[k * self.length : (k + 1) * self.length].view(bool)
+        k = int(i == self.n_sequences - 1)
+        return self.masks.to_numpy(zero_copy_only=True)[k * self.length : (k + 1) * self.length].view(bool)
 
     def span(self, start: int, n: int) -> np.ndarray:
         """Ids start to start + n of the shard."""
@@ -191,7 +197,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, shard
                 out.add(part.column(0), *own.documents(part.column(1).to_pylist(), end_id))
         if out:
             out.close()
-            for end in (".tokens.arrow", ".docs.arrow"):
+            for end in (".tokens.arrow", ".docs.arrow", ".masks.arrow"):
                 fs.move(draft + end, name + end)
             yield pa.record_batch({"shard": pa.array([task.partitionId()], pa.int32()), "n_tokens": pa.array([out.n_tokens]), "n_docs": pa.array([out.n_docs])})
 

@@ -603,8 +603,9 @@ def test_masks_are_views_and_a_shared_id_is_divided(spark, tmp_path):
     manifest = tokens.write_tokens(docs, str(tmp_path / "t"), public_tokenizers.path("word_bpe_49k.json"), 1, shards=4, length=16)
     assert len(manifest) > 1 and max(x["n_docs"] for x in manifest) < 390
     shard = tokens.Shard(manifest[0]["path"])
-    column = shard.tokens.get_batch(0).column("mask").values
-    view = column.to_numpy(zero_copy_only=True)
-    assert np.shares_memory(shard.mask(1), shard._batch.column("mask").values.to_numpy(zero_copy_only=True)) and view[:16].all() and shard.mask(0).dtype == bool
+    stored = shard.masks.to_numpy(zero_copy_only=True)
+    last, n = shard.n_sequences - 1, manifest[0]["n_tokens"]
+    assert last == (n - 1) // 16 and shard.mask(0).dtype == bool and all(np.shares_memory(shard.mask(i), stored) for i in (0, last))
+    assert [int(shard.mask(i).sum()) for i in range(last + 1)] == [16] * last + [(n - 1) % 16 + 1]
     got = [r["doc_id"] for r in sorted(tokens.read_documents(spark, manifest).collect(), key=lambda r: r["start"])]
     assert got == [7] * 400 + [8]
