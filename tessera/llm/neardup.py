@@ -261,25 +261,37 @@ def _fine(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(run, "rep long, fine binary")
 
 
-def _across(mixed: DataFrame, threshold: float) -> DataFrame:
-    """Plausible pairs (a, b) of different components within (band, key, block pair)."""
-    rows = mixed.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+def _dealt(inside: DataFrame) -> DataFrame:
+    """Members of mixed buckets with x, y and right: what is compared in one group.
 
-    def compare(group: list[tuple], i: int, j: int) -> Iterator[tuple[int, int]]:
-        rep, comp, n = (np.array([x[c] for x in group], np.int64) for c in (4, 5, 6))
-        block = np.array([x[7] for x in group])
+    Rows of a bucket's largest component are linked already, so only pairs with one of the
+    other rows, the rare ones, are left: every member, in blocks of BLOCK (x), meets the
+    rare rows, in blocks of their own (y). A bucket with few rare rows is sent about once,
+    however large it is.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rare_blocks = F.ceil(F.col("n_rare") / BLOCK).cast("int")
+    at = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = inside.withColumn("x", at(blocks)).withColumn("y", every(rare_blocks)).withColumn("right", F.lit(False))
+    right = inside.where("rare").withColumn("y", at(rare_blocks)).withColumn("x", every(blocks)).withColumn("right", F.lit(True))
+    return left.unionByName(right)
+
+
+def _across(dealt: DataFrame, threshold: float) -> DataFrame:
+    """Plausible pairs (a, b) of different components within (band, key, x, y)."""
+    rows = dealt.repartition("band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y")
+
+    def compare(group: list[tuple]) -> Iterator[tuple[int, int]]:
+        rep, comp, n = (np.array([g[c] for g in group], np.int64) for c in (4, 5, 6))
+        rare, right = (np.array([g[c] for g in group], bool) for c in (7, 8))
         band_keys = group[0][0] // 64 != EXACT
-        keys = np.array([x[8] for x in group], np.int64) if band_keys else None
-        fine = np.frombuffer(b"".join(x[9] for x in group), "<u2").reshape(len(group), -1)
+        keys = np.array([g[9] for g in group], np.int64) if band_keys else None
+        fine = np.frombuffer(b"".join(g[10] for g in group), "<u2").reshape(len(group), -1)
         band = group[0][0] % 64
-        names, count = np.unique(comp, return_counts=True)
-        most = names[count.argmax()]
-        rare = np.flatnonzero(comp != most)
-        rank = np.full(len(group), -1)
-        rank[rare] = np.arange(len(rare))
-        for x in rare:
-            # Pairs of two rare rows once; of different blocks only in their own block pair.
-            other = np.flatnonzero((comp != comp[x]) & (rank < rank[x]) & ((block != block[x]) | (i == j)))
+        for x in np.flatnonzero(right):
+            # A pair of two rare rows is met twice; it counts on the side of the larger.
+            other = np.flatnonzero(~right & (comp != comp[x]) & (~rare | (rep > rep[x])))
             if band_keys and len(other):
                 shared = (keys[other] == keys[x]) & (keys[x] != 0)
                 other = other[shared.argmax(1) == band]
@@ -289,7 +301,7 @@ def _across(mixed: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def send(group: list[tuple]) -> pa.RecordBatch:
-            found = set(compare(group, group[0][2], group[0][3])) if group else set()
+            found = set(compare(group)) if group else set()
             return pa.record_batch([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
         group: list[tuple] = []
@@ -301,7 +313,7 @@ def _across(mixed: DataFrame, threshold: float) -> DataFrame:
                 group.append(row)
         yield send(group)
 
-    return rows.select("band", "key", "i", "j", "rep", "comp", "n", "block", "keys", "fine").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("band", "key", "x", "y", "rep", "comp", "n", "rare", "right", "keys", "fine").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -341,15 +353,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, doc_id:
     # Buckets that hold several components still.
     crowd = bands.join(hubs.select("band", "key", "size"), ["band", "key"]).join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "cls", "rep", "n", "size", F.coalesce("comp", "rep").alias("comp"))
     crowd = stage.save(crowd, "crowd")
-    mixed = stage.save(crowd.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band", "key"), "mixed")
-    inside = stage.save(crowd.join(mixed, ["band", "key"]), "inside")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    inside = inside.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    sizes = crowd.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    largest = sizes.groupBy("band", "key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"), F.sum("c").alias("all")).where("comps > 1")
+    mixed = stage.save(largest.select("band", "key", F.col("m.comp").alias("most"), (F.col("all") - F.col("m.c")).alias("n_rare")), "mixed")
+    inside = stage.save(crowd.join(mixed, ["band", "key"]).withColumn("rare", F.col("comp") != F.col("most")).drop("most"), "inside")
     wanted = texts.join(inside.select("rep").distinct(), "rep", "left_semi")
     fine = stage.save(_fine(wanted, k), "fine")
     inside = inside.join(reps.select("rep", "sketch").join(fine, "rep"), "rep").withColumn("keys", F.filter("sketch", lambda s: s["cls"] == F.col("cls"))[0]["keys"])
-    dealt = inside.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "x")).withColumn("j", F.greatest("block", "x"))
-    more = stage.save(_across(dealt, threshold).join(first, ["a", "b"], "left_anti"), "more")
+    more = stage.save(_across(_dealt(inside), threshold).join(first, ["a", "b"], "left_anti"), "more")
     links = stage.save(links.unionByName(verified(more, texts, k, threshold)), "all-links")
 
     joined = components(links, stage, "two")

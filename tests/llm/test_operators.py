@@ -609,3 +609,39 @@ def test_masks_are_views_and_a_shared_id_is_divided(spark, tmp_path):
     assert [int(shard.mask(i).sum()) for i in range(last + 1)] == [16] * last + [(n - 1) % 16 + 1]
     got = [r["doc_id"] for r in sorted(tokens.read_documents(spark, manifest).collect(), key=lambda r: r["start"])]
     assert got == [7] * 400 + [8]
+
+
+def test_skewed_buckets_are_sent_about_once(spark):
+    """A bucket of 5,000 rows, of which all but three are linked already."""
+    n, odd = 5000, 3
+    rows = [(0, 1, i, n, odd, i < odd) for i in range(n)]
+    dealt = neardup._dealt(spark.createDataFrame(rows, "band int, key long, rep long, size long, n_rare long, rare boolean"))
+    blocks = -(-n // neardup.BLOCK)
+    assert dealt.count() == n + odd * blocks
+    groups = dealt.groupBy("x", "y").agg(F.count_if(F.col("right")).alias("r"), F.count_if(~F.col("right")).alias("l")).collect()
+    assert len(groups) == blocks and all(g["r"] == odd and g["l"] < 2 * neardup.BLOCK for g in groups)
+
+
+def test_links_at_the_threshold_by_size(spark):
+    """Pairs of exactly the least similarity: none is missed in any class of sizes."""
+    rng = np.random.default_rng(11)
+    rows, size = [], {}
+    for lo, hi in ((10, 12), (12, 192), (192, 700)):
+        for _ in range(150):
+            n = int(rng.integers(lo, hi))
+            words = [f"x{rng.integers(1 << 40)}" for _ in range(n + 4)]
+            near = words.copy()
+            # d replaced words at the end: d shingles differ on either side.
+            d = max(1, int(0.2 * n / 1.8)) if n > 11 else 1
+            near[-d:] = [f"y{rng.integers(1 << 40)}" for _ in range(d)]
+            i = len(rows)
+            rows += [(i, " ".join(words)), (i + 1, " ".join(near))]
+            size[i] = n
+    out = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    linked = 0
+    for i in size:
+        a, b = _shingles(rows[i][1], 5), _shingles(rows[i + 1][1], 5)
+        holds = 100 * len(a & b) >= 80 * len(a | b)
+        linked += holds
+        assert out[i + 1] == (i if holds else i + 1)
+    assert linked > 400
