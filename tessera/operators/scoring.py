@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from .scan import running
 
 #: Statuses of a run that could not read its documents; a passing score.
 OVERFLOW = ("context_overflow", "vision_unsupported")
@@ -162,18 +163,15 @@ def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def stale_streaks(rows: DataFrame, run: str, seq: list[str], key: str) -> DataFrame:
     """rows with step, grew and streak: steps in a row without a key not seen before."""
-    by = Window.partitionBy(run).orderBy(*seq)
     first = F.row_number().over(Window.partitionBy(run, key).orderBy(*seq)) == 1
-    out = rows.withColumn("step", F.row_number().over(by)).withColumn("grew", first & F.col(key).isNotNull())
-    out = out.withColumn("_island", F.sum(F.col("grew").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = F.sum(F.when(F.col("grew"), 0).otherwise(1)).over(Window.partitionBy(run, "_island").orderBy(*seq).rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("streak", inside).drop("_island")
+    out = running(rows.withColumn("grew", first & F.col(key).isNotNull()), [run], seq, {"step": ("count", F.lit(1))})
+    out = running(out.withColumn("step", F.col("step").cast("int")), [run], seq, {"_grown": ("max", F.when(F.col("grew"), F.col("step")))})
+    return out.withColumn("streak", (F.col("step") - F.coalesce("_grown", F.lit(0))).cast("long")).drop("_grown")
 
 
 def budgets(rows: DataFrame, run: str, seq: list[str], calls: int = MAX_CALLS, most: int = MAX_INPUT) -> DataFrame:
     """rows with used and remaining budget and whether it is exceeded."""
-    by = Window.partitionBy(run).orderBy(*seq).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn("used_calls", F.count(F.lit(1)).over(by)).withColumn("used_tokens", F.sum("tokens").over(by))
+    out = running(rows, [run], seq, {"used_calls": ("count", F.lit(1)), "used_tokens": ("sum", F.col("tokens"))})
     left = lambda limit, used: F.greatest(F.lit(0).cast("long"), F.lit(limit).cast("long") - F.col(used))
     return out.withColumns({"calls_left": left(calls, "used_calls"), "tokens_left": left(most, "used_tokens"), "exceeded": (F.col("used_calls") >= calls) | (F.col("used_tokens") >= most)})
 

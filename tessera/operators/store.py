@@ -33,10 +33,12 @@ def migrated(rows: DataFrame, payload: list[str]) -> tuple[DataFrame, DataFrame]
     """(rows under portable keys, conflicts) of legacy paths.
 
     Of the paths that share a portable key the key itself is preferred, else the
-    smallest; all of them must hold the same multiset of payloads.
+    smallest; all of them must hold the same multiset of payloads (compared by its size
+    and two sums of 64-bit hashes, so a path's payloads are never gathered).
     """
     keyed = rows.withColumn("target", X.portable_key(F.col("source_path")))
-    each = keyed.groupBy("target", "source_path").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.to_json(F.struct(*payload)))), "\n"), 256).alias("payload"))
+    total = lambda salt: F.sum(F.xxhash64(F.lit(salt), F.to_json(F.struct(*payload))).cast("decimal(20,0)"))
+    each = keyed.groupBy("target", "source_path").agg(F.count(F.lit(1)).alias("n"), total(0).alias("h"), total(1).alias("g")).select("target", "source_path", F.struct("n", "h", "g").alias("payload"))
     choice = each.groupBy("target").agg(F.min_by("source_path", F.struct((F.col("source_path") != F.col("target")).alias("o"), "source_path")).alias("chosen"), F.count_distinct("payload").alias("n_payloads"), F.count(F.lit(1)).alias("n_paths"))
     kept = keyed.join(choice.where("n_payloads = 1").select("target", F.col("chosen").alias("source_path")), ["target", "source_path"], "left_semi")
     return kept.withColumn("source_path", F.col("target")).drop("target"), choice.where("n_payloads > 1")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scan import running
+
 
 def grouped_under_sections(items: DataFrame) -> DataFrame:
     """items with section: the number of the nearest header before, 0 for none."""
-    by = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return items.withColumn("section", F.sum((F.col("label") == "section_header").cast("int")).over(by))
+    return running(items, ["doc"], ["pos"], {"section": ("sum", (F.col("label") == "section_header").cast("int"))})
 
 
 def headings(items: DataFrame) -> DataFrame:
@@ -114,11 +119,31 @@ REVISED = ("breadcrumb", "char_count", "direct_chunk_count", "ordinal", "page_st
 
 def revision(records: DataFrame) -> DataFrame:
     """(source_path, revision, section_count): SHA-256 of the canonical JSON (sorted keys,
-    no spaces, nulls written) of each file's section records in order."""
+    no spaces, nulls written) of each file's section records in order. A file's lines pass
+    through the digest one by one; they are never held together."""
     line = F.to_json(F.struct(*REVISED), {"ignoreNullFields": "false"})
-    rows = records.groupBy("source_path").agg(F.array_sort(F.collect_list(F.struct("ordinal", line.alias("l")))).alias("e"))
-    whole = F.concat(F.lit("["), F.array_join(F.transform("e", lambda x: x["l"]), ","), F.lit("]"))
-    return rows.select("source_path", F.sha2(whole, 256).alias("revision"), F.size("e").alias("section_count"))
+    rows = records.select("source_path", "ordinal", line.alias("l")).repartition("source_path").sortWithinPartitions("source_path", "ordinal", "l")
+    out = pa.schema([("source_path", pa.string()), ("revision", pa.string()), ("section_count", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, digest, n = None, None, 0
+
+        def told() -> pa.RecordBatch:
+            digest.update(b"]")
+            return pa.record_batch([pa.array([v], f.type) for v, f in zip((path, digest.hexdigest(), n), out, strict=True)], schema=out)
+
+        for batch in batches:
+            for p, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if digest is None or p != path:
+                    if digest is not None:
+                        yield told()
+                    path, digest, n = p, hashlib.sha256(b"["), 0
+                digest.update((b"," if n else b"") + text.encode())
+                n += 1
+        if digest is not None:
+            yield told()
+
+    return rows.select("source_path", "l").mapInArrow(run, "source_path string, revision string, section_count int")
 
 
 #: Entries that one row of a fingerprint's level joins, and the levels.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..operators import cases as C
@@ -103,9 +104,11 @@ def blank_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tool_call_cap(spark: SparkSession, d: str) -> DataFrame:
-    """The first 128 calls of each run, and whether any were dropped."""
-    rows = T.steps(spark, d).groupBy("run").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("calls"))
-    return rows.select("run", F.size(F.slice("calls", 1, 128)).cast("long").alias("kept"), (F.size("calls") > 128).alias("capped"))
+    """The first 128 calls of each run, and whether any were dropped; a run is cut to one
+    call more before it is counted."""
+    rank = F.row_number().over(Window.partitionBy("run").orderBy("ts", "event_id"))
+    first = T.steps(spark, d).select("run", "ts", "event_id").withColumn("rank", rank).where("rank <= 129")
+    return first.groupBy("run").agg(F.count_if(F.col("rank") <= 128).alias("kept"), (F.count(F.lit(1)) > 128).alias("capped"))
 
 
 _PRIOR = "p as (select o_orderkey, case o_orderstatus when 'F' then 'failed' when 'O' then 'completed' else 'skipped' end as status, case when o_orderkey % 2 = 0 then o_orderpriority end as prediction from orders where o_orderkey % 3 = 0)"
