@@ -19,8 +19,12 @@ def case_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def systematic_sample(spark: SparkSession, d: str) -> DataFrame:
-    rows = C.limited(T.table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 5000)
-    return C.systematic(rows, "o_orderkey", 7)
+    return C.systematic(T.table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 7)
+
+
+def first_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A positive limit keeps the first rows in order."""
+    return C.limited(T.table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", 50)
 
 
 def negative_limit(spark: SparkSession, d: str) -> DataFrame:
@@ -114,11 +118,12 @@ def tool_call_cap(spark: SparkSession, d: str) -> DataFrame:
 _PRIOR = "p as (select o_orderkey, case o_orderstatus when 'F' then 'failed' when 'O' then 'completed' else 'skipped' end as status, case when o_orderkey % 2 = 0 then o_orderpriority end as prediction from orders where o_orderkey % 3 = 0)"
 _HELD = "h as (select doc_id as id, md5(text) as content, 0::bigint as seq from documents where doc_id % 2 = 0), b as (select doc_id as id, lang || '-' || s as content, s as seq from documents, (values (1::bigint), (2::bigint)) x(s) where doc_id % 3 = 0)"
 
-QUERIES = {f.__name__: f for f in (case_filter, systematic_sample, negative_limit, resume_split, resume_overlay, frozen_ids, catalog_left_join, upsert_skip, upsert_replace, uncached_sources, source_key_migration, prune_oldest_tool_group, blank_filter, tool_call_cap)}
+QUERIES = {f.__name__: f for f in (case_filter, systematic_sample, first_rows, negative_limit, resume_split, resume_overlay, frozen_ids, catalog_left_join, upsert_skip, upsert_replace, uncached_sources, source_key_migration, prune_oldest_tool_group, blank_filter, tool_call_cap)}
 
 ORACLE_SQL = {
     "case_filter": "select doc_id, source from documents where (contains(doc_id::varchar, '1') or contains(doc_id::varchar, '7')) and (contains(lower(text), 'licensed') or contains(lower(doc_id::varchar), 'licensed')) and contains(lower(source), 'src1')",
-    "systematic_sample": "with l as (select o_orderkey, o_custkey, row_number() over (order by o_orderkey) as n from orders qualify n <= 5000) select o_orderkey, o_custkey from l where (n - 1) % 7 = 0",
+    "first_rows": "select c_custkey, c_name from customer order by c_custkey limit 50",
+    "systematic_sample": "with l as (select o_orderkey, o_custkey, row_number() over (order by o_orderkey) as n from orders) select o_orderkey, o_custkey from l where (n - 1) % 7 = 0",
     "negative_limit": "select c_custkey, c_name from customer qualify row_number() over (order by c_custkey) <= count(*) over () - 10",
     "resume_split": f"with {_PRIOR} select o_orderkey, status from p where status <> 'failed' union all select o_orderkey, 'new' from orders where o_orderkey not in (select o_orderkey from p where status <> 'failed')",
     "resume_overlay": f"with {_PRIOR} select o_orderkey, lower(o_orderstatus) as fresh, p.prediction, p.prediction is not null as carried_forward from orders left join (select * from p where prediction is not null) p using (o_orderkey)",

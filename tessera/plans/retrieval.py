@@ -139,9 +139,12 @@ def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
 def _sections(spark: SparkSession, d: str) -> DataFrame:
     """Section records of the catalog: title, then the breadcrumb."""
     c = T.catalog(spark, d)
-    titles = F.broadcast(c.where("level < 3").groupBy("source_path").agg(F.map_from_entries(F.collect_list(F.struct("id", "title"))).alias("names")))
-    crumb = F.array_join(F.transform("chain", lambda i: F.coalesce(F.col("names")[i], i)), " > ")
-    known = c.where("chunk_count > 0 and trim(title) <> ''").join(titles, "source_path")
+    # Titles come to a section by its chain, so no file's titles are held together.
+    links = c.select("source_path", "id", F.posexplode("chain").alias("at", "up"))
+    titles = c.where("level < 3").select("source_path", F.col("id").alias("up"), F.col("title").alias("up_title"))
+    named = links.join(titles, ["source_path", "up"], "left").groupBy("source_path", "id").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("up_title", "up").alias("t")))).alias("names"))
+    crumb = F.array_join(F.transform("names", lambda x: x["t"]), " > ")
+    known = c.where("chunk_count > 0 and trim(title) <> ''").join(named, ["source_path", "id"], "left")
     return known.select("source_path", F.col("id").alias("section_id"), "title", "level", "chain", "chunk_count", "ordinal", F.when(F.size("chain") == 0, F.col("title")).otherwise(F.concat("title", F.lit("\n"), crumb, F.lit(" > "), "title")).alias("content"), F.when(F.size("chain") == 0, F.col("title")).otherwise(F.concat(crumb, F.lit(" > "), "title")).alias("breadcrumb"))
 
 
@@ -191,11 +194,13 @@ def chunk_window(spark: SparkSession, d: str) -> DataFrame:
     return R.chunk_window(T.chunks(spark, d), R.parse_chunk_ids(_cited(spark, d)), 1, 2).select(*_COLUMNS).orderBy(*R.ORDER)
 
 
-_IDS = ("a/b.pdf::3", "x::y::7", "plain", "p::", "p::x1", "p::-2", "::0", "p:: 4 ", "p::1_0", "p::+5")
+#: Chunk ids of ten kinds, read by both engines.
+_ID = """case c_custkey % 10 when 0 then c_mktsegment || '/b.pdf::' || cast(c_custkey as string) when 1 then c_name || '::y::7' when 2 then c_name when 3 then c_name || '::' when 4 then c_name || '::x1'
+  when 5 then c_name || '::-' || cast(c_custkey as string) when 6 then '::' || cast(c_custkey as string) when 7 then c_name || ':: ' || cast(c_custkey as string) || ' ' when 8 then c_name || '::1_0' else c_name || '::+5' end"""
 
 
 def chunk_id_parse_errors(spark: SparkSession, d: str) -> DataFrame:
-    return R.parse_chunk_ids(spark.createDataFrame([(x,) for x in _IDS], "chunk_id string"))
+    return R.parse_chunk_ids(T.table(spark, d, "customer").select(F.expr(_ID).alias("chunk_id")))
 
 
 def section_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -294,7 +299,7 @@ select needle, m.title as title from n left join r using (needle)""",
     "chunk_window": f"""with {CHUNKS}, x as (select item_id, unnest([0, 1, 2]) as pos from benchmark),
 k as (select distinct 'src' || ((item_id + pos) % 22) as source_path, unnest(range(greatest(item_id * 3 + pos - 1, 0), item_id * 3 + pos + 3)) as i from x)
 select id, c.source_path, chunk_index, section_id from chunks c semi join k on k.source_path = c.source_path and i = chunk_index""",
-    "chunk_id_parse_errors": f"""with x as (select unnest([{", ".join(f"'{i}'" for i in _IDS)}]) as chunk_id), p as (select chunk_id, regexp_extract(chunk_id, '(?s)^(.*)::(.*)$', 1) as path, replace(trim(regexp_extract(chunk_id, '(?s)^(.*)::(.*)$', 2)), '_', '') as raw from x),
+    "chunk_id_parse_errors": f"""with x as (select {_ID} as chunk_id from customer), p as (select chunk_id, regexp_extract(chunk_id, '(?s)^(.*)::(.*)$', 1) as path, replace(trim(regexp_extract(chunk_id, '(?s)^(.*)::(.*)$', 2)), '_', '') as raw from x),
 e as (select *, case when regexp_matches(raw, '^[+-]?[0-9]+$') then try_cast(raw as int) end as i from p), r as (select *, case when not contains(chunk_id, '::') then 'no separator' when i is null then 'index is no integer' when i < 0 then 'index is negative' end as error from e)
 select chunk_id, error, case when error is null then path end as source_path, case when error is null then i end as chunk_index from r""",
     "section_chunks": f"with {CHUNKS} select source_path, chunk_index, id, '[CHUNK_ID: ' || source_path || '::' || chunk_index || '] [SECTION_ID: ' || section_id || '] [SECTION: ' || section_title || ']' || chr(10) || content as rendered from chunks where source_path = 'src4' and section_id = 'fr'",

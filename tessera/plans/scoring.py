@@ -25,7 +25,7 @@ def extract_number(spark: SparkSession, d: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     p = T.table(spark, d, "part")
-    return p.select("p_partkey", F.col("p_name").alias("a"), F.concat(F.substring("p_name", 2, 40), F.lit(" "), F.substring("p_type", 1, 4)).alias("b"))
+    return p.select("p_partkey", F.col("p_name").alias("a"), F.concat(F.expr("substring(p_name, 2)"), F.lit(" "), F.substring("p_type", 1, 4)).alias("b"))
 
 
 def anls_score(spark: SparkSession, d: str) -> DataFrame:
@@ -178,7 +178,7 @@ def tokens_per_question(spark: SparkSession, d: str) -> DataFrame:
 
 
 def multiset_diff(spark: SparkSession, d: str) -> DataFrame:
-    got = T.table(spark, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("id"))
+    got = T.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"))
     return S.multiset_difference(T.table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), got)
 
 
@@ -279,7 +279,7 @@ QUERIES = {f.__name__: f for f in (normalize_answer, extract_number, anls_score,
 ORACLE_SQL = {
     "normalize_answer": f"with {T.QA_SQL} select question_id, {_norm('prediction')} as normalised from qa",
     "extract_number": f"select o_orderkey, {_NUM('case when o_orderkey % 5 = 0 then chr(110) || chr(111) else concat(chr(36), printf(chr(37) || chr(46) || chr(50) || chr(102), o_totalprice), chr(32), o_orderkey) end')} as number from orders".replace("concat(chr(36), ", "concat('about $', ").replace(", chr(32), o_orderkey", ", ' for ', o_orderkey"),
-    "anls_score": f"with x as (select p_partkey, p_name as a, substr(p_name, 2, 40) || ' ' || substr(p_type, 1, 4) as b from part), s as (select *, {_sim('a', 'b')} as s from x) select p_partkey, levenshtein(a, b)::int as distance, round(s, 6) as similarity, round(case when s >= 0.5 then s else 0.0 end, 6) as anls from s",
+    "anls_score": f"with x as (select p_partkey, p_name as a, substr(p_name, 2) || ' ' || substr(p_type, 1, 4) as b from part), s as (select *, {_sim('a', 'b')} as s from x) select p_partkey, levenshtein(a, b)::int as distance, round(s, 6) as similarity, round(case when s >= 0.5 then s else 0.0 end, 6) as anls from s",
     "token_f1": f"with {T.QA_SQL}, t as (select question_id, list_filter(list_distinct(string_split({_norm('prediction')}, ' ')), lambda x: x <> '') as p, list_filter(list_distinct(string_split({_norm('gold')}, ' ')), lambda x: x <> '') as g from qa), b as (select *, len(list_intersect(p, g)) as n from t) select question_id, round(case when len(g) = 0 then case when len(p) = 0 then 1.0 else 0.0 end when len(p) = 0 or n = 0 then 0.0 else 2 * (n / len(p)) * (n / len(g)) / (n / len(p) + n / len(g)) end::double, 6) as f1 from b",
     "relaxed_accuracy": f"with {_LEFT} select question_id, answer_format, status, accuracy from r",
     "eval_overall": f"with {_LEFT} select count(*) as n, {_MEANS} from r",
@@ -310,7 +310,7 @@ select count(*) as selected, count(*) filter (key % 3 > 0) as emitted, """ + ",
     "phase_cost_rollup": f"with {T.STEPS_SQL} select case when grouping(tool) = 1 then 'total' else tool end as phase, count(*) as calls, sum(tokens)::bigint as tokens, round(sum(cost), 6) as cost_usd from steps group by rollup (tool)",
     "token_attribution": "with t as (select l_orderkey, floor(o_totalprice)::bigint as total, count(*) over (partition by l_orderkey) as n, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) as r from lineitem join orders on o_orderkey = l_orderkey), s as (select l_orderkey, total // n + case when r = 1 then total % n else 0 end as share from t) select l_orderkey, sum(share)::bigint as tokens, max(share) as largest, min(share) as least from s group by 1",
     "tokens_per_question": f"with {T.STEPS_SQL}, r as (select run, sum(tokens) as t, sum(cost) as c from steps group by 1) select round_even(coalesce(sum(t), 0) / greatest(count(*), 1), 0)::bigint as tokens_per_question, round(coalesce(sum(c), 0.0) / greatest(count(*), 1), 6) as cost_per_question from r",
-    "multiset_diff": "with e as (select o_orderkey as id from orders), g as (select l_orderkey as id from lineitem where l_linenumber <= 2) select id, count(*) as n, 'missing' as side from (select id from e except all select id from g) group by id union all select id, count(*), 'extra' from (select id from g except all select id from e) group by id",
+    "multiset_diff": "with e as (select o_orderkey as id from orders), g as (select l_orderkey as id from lineitem) select id, count(*) as n, 'missing' as side from (select id from e except all select id from g) group by id union all select id, count(*), 'extra' from (select id from g except all select id from e) group by id",
     "stale_streak": f"with {_STALE.format(where='')} select run, max(streak)::bigint as longest, min(step) filter (streak >= 5 and step >= 2) as stop_step, count(*) filter (grew) as distinct_keys from k group by run",
     "budget_cutoff": f"with {T.STEPS_SQL}, u as (select run, count(*) over w as c, sum(tokens) over w as t from steps window w as (partition by run order by ts, event_id)) select run, min(c) filter (c >= 30 or t >= 500000) as stop_call, min(greatest(0, 30 - c)) as calls_left, min(greatest(0, 500000 - t))::bigint as tokens_left from u group by run",
     "stop_reasons": f"with {_STALE.format(where='')}, b as (select *, count(*) over w as c, sum(tokens) over w as t from k window w as (partition by run order by ts, event_id)), r as (select run, bool_or(c >= 30 or t >= 500000) as ex, bool_or(streak >= 2 and step >= 2) as stale, count(*) as n from b group by run) select run, case when run % 9 = 0 then 'submitted' when ex then 'budget_exceeded' when stale then 'stale' when n >= 8 then 'max_iterations' else 'none' end as reason from r",

@@ -72,9 +72,9 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, n, c = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
     orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
     one = r.select(F.col("r_name").alias("source_path"), F.concat(F.lit("r"), "r_regionkey").alias("id"), F.col("r_name").alias("title"), F.lit(1).alias("level"), F.array().cast("array<string>").alias("chain"), F.lit(1).alias("chunk_count"), F.lit(0).cast("long").alias("ordinal"))
-    nations = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+    nations = n.join(r, n.n_regionkey == r.r_regionkey)
     two = nations.select(F.col("r_name").alias("source_path"), F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("title"), F.lit(2).alias("level"), F.array(F.concat(F.lit("r"), "r_regionkey")).alias("chain"), F.lit(1).alias("chunk_count"), (F.col("n_nationkey") + 1).cast("long").alias("ordinal"))
-    three = c.join(orders, "c_custkey", "left").join(F.broadcast(nations), c.c_nationkey == F.col("n_nationkey"))
+    three = c.join(orders, "c_custkey", "left").join(nations, c.c_nationkey == F.col("n_nationkey"))
     three = three.select(F.col("r_name").alias("source_path"), F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_name").alias("title"), F.lit(3).alias("level"), F.array(F.concat(F.lit("r"), "r_regionkey"), F.concat(F.lit("n"), "n_nationkey")).alias("chain"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), (F.col("c_custkey") + 1000).cast("long").alias("ordinal"))
     return one.unionByName(two).unionByName(three)
 
