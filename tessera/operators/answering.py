@@ -1,27 +1,25 @@
 """Answering and judging of question tables on the executors, with resume.
 
-An answering run goes over the questions that have no good answer yet, slice by slice.
-A slice's rows are written aside and become part of the results by one entry of a commit
-log: a run that stops loses at most the slice at hand, and what is in the results is there
-once. An error is a row too, with the error in it; the next run tries it again.
+An answering run goes over the questions that have no good answer yet, slice by slice
+(``slices``). An error is a row too, with the error in it; the next run tries it again.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fragments import stitch
-from ..sources.shared import CommitLog, ConflictError, importable
+from ..sources.shared import importable
+from .slices import SLICE, Slices
 
-#: Questions of a slice; characters of an error message that are kept.
-SLICE, MESSAGE = 1024, 500
+#: Characters of an error message that are kept.
+MESSAGE = 500
 
 #: What an answer holds besides the question's own columns.
 ANSWER = T.StructType(
@@ -114,20 +112,9 @@ def verdict(said: str) -> dict:
     return {"score": float(bool(correct)), "reasoning": reason if correct is not None else "the reply can't be read"}
 
 
-class Answers:
+class Answers(Slices):
     """The results of answering runs below a folder."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.log = spark, path.rstrip("/"), CommitLog(spark, path)
-
-    def rows(self) -> DataFrame | None:
-        """Every row of all runs with entry, its slice's number; None before the first."""
-        out = None
-        for n, e in self.log.entries():
-            part = self.spark.read.parquet(f"{self.path}/rows/{e['slice']}").withColumn("entry", F.lit(n))
-            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-        return out
-
     def completed(self, identity: dict[str, str], key: str = "qid") -> DataFrame | None:
         """Keys with an answer that is no error, given by the same models on the same data."""
         rows = self.rows()
@@ -148,45 +135,12 @@ class Answers:
         """Answers what is not completed under identity, in the order of keys, at most limit
         of them; counts of answered (errors too), failed and all questions. A question that
         another run has answered meanwhile is left to it."""
-        total, n, failed, name = questions.count(), 0, 0, uuid.uuid4().hex
-        tried = None
-        while limit is None or n < limit:
-            base, left = self.log.last(), questions
-            for done in (self.completed(identity, key), tried):
-                if done is not None:
-                    left = left.join(done, key, "left_anti")
-            # A slice's questions are written first: what is asked is what is committed.
-            part, asked = f"{name}-{n}", f"{self.path}/asked/{name}-{n}"
-            left.orderBy(key).limit(size if limit is None else min(size, limit - n)).write.parquet(asked)
-            todo = self.spark.read.schema(questions.schema).parquet(asked)
-            if todo.isEmpty():
-                break
-            rows = answered(todo.repartition(self.spark.sparkContext.defaultParallelism), make)
+
+        def work(todo: DataFrame) -> DataFrame:
+            rows = answered(todo, make)
             for column, value in identity.items():
                 rows = rows.withColumn(column, F.lit(value))
-            rows.write.parquet(f"{self.path}/rows/{part}")
-            part = self._committed(part, base, key)
-            found = self.spark.read.parquet(f"{self.path}/rows/{part}").agg(F.count(F.lit(1)), F.count("error")).head()
-            n, failed = n + found[0], failed + found[1]
-            mine = todo.select(key)
-            tried = mine if tried is None else tried.unionByName(mine)
-            if not found[0]:
-                break
-        return {"answered": n, "failed": failed, "total": total}
-
-    def _committed(self, part: str, base: int, key: str) -> str:
-        """Puts a slice into the log, without questions that others answered since base."""
-        while True:
-            own = self.spark.read.parquet(f"{self.path}/rows/{part}")
-
-            def theirs(newer: list[tuple[int, dict]]) -> DataFrame:
-                return self.spark.read.parquet(*[f"{self.path}/rows/{e['slice']}" for _, e in newer]).where("error is null").select(key)
-
-            try:
-                self.log.commit({"slice": part}, base, lambda newer: not own.join(theirs(newer), key, "left_semi").isEmpty())  # noqa: B023
-                return part
-            except ConflictError:
-                newer = self.log.entries(base)
-                fresh = f"{part}-again"
-                own.join(theirs(newer), key, "left_anti").write.parquet(f"{self.path}/rows/{fresh}")
-                base, part = newer[-1][0], fresh
+            return rows
+
+        n, failed = self.sliced(questions, key, work, lambda: self.completed(identity, key), "error is null", limit, size)
+        return {"answered": n, "failed": failed, "total": questions.count()}

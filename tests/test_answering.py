@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import fragments
 from tessera.operators.answering import Answers, judged, verdict
+from tessera.operators.slices import Downloads
+from tessera.sources import files
 
 WHO = {"answer_model": "m", "data_fingerprint": "f"}
 
@@ -40,10 +42,10 @@ def test_a_stopped_run_continues(spark, tmp_path, monkeypatch):
     answers, q = Answers(spark, str(tmp_path / "a")), _asked(spark)
     commit = Answers._committed
 
-    def stops(self, part, base, key):
+    def stops(self, part, base, key, good):
         if len(self.log.entries()) == 2:
             raise KeyboardInterrupt
-        return commit(self, part, base, key)
+        return commit(self, part, base, key, good)
 
     with monkeypatch.context() as m:
         m.setattr(Answers, "_committed", stops)
@@ -81,17 +83,47 @@ def test_two_runs_at_once_leave_one_answer(spark, tmp_path, monkeypatch):
     answers, q = Answers(spark, str(tmp_path / "a")), _asked(spark, 6)
     commit, first = Answers._committed, []
 
-    def raced(self, part, base, key):
+    def raced(self, part, base, key, good):
         if not first:
             first.append(1)
             Answers(spark, self.path).run(q.where("qid < 'q04'"), _teller(calls), WHO)
-        return commit(self, part, base, key)
+        return commit(self, part, base, key, good)
 
     monkeypatch.setattr(Answers, "_committed", raced)
     assert answers.run(q, _teller(calls), WHO)["answered"] == 2
     assert sorted(r["qid"] for r in answers.rows().collect()) == [f"q{i:02d}" for i in range(6)]
 
 
+def test_downloads_go_on_where_a_worker_died(spark, tmp_path):
+    """The worker dies at one file; only its slice is fetched again."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    wanted = spark.createDataFrame([(f"d{i:02d}", f"http://h/{i:02d}") for i in range(24)], "document_id string, url string")
+
+    def fetch(url, folder=str(calls)):
+        import os
+
+        name = url[-2:]
+        with open(f"{folder}/{name}", "a") as f:
+            f.write("x")
+        if name == "13" and not os.path.exists(f"{folder}/died"):
+            open(f"{folder}/died", "w").close()
+            os._exit(1)
+        if name == "20":
+            raise LookupError("404")
+        return b"%PDF-1.4 %%EOF"
+
+    store = Downloads(spark, str(tmp_path / "d"))
+    get = lambda rows: files.downloaded(rows, fetch, files.pdf_problem)
+    with pytest.raises(Exception):
+        store.run(wanted, get, size=8)
+    assert store.files().count() == 8
+    assert store.run(wanted, get, size=8) == {"downloaded": 15, "failed": 1}
+    count = {k: v for k, v in _calls(calls).items() if k != "died"}
+    assert len(count) == 24 and all(count[f"{i:02d}"] == 1 for i in (*range(8), *range(16, 24))) and max(count.values()) == 2
+    assert store.files().count() == 23 and store.run(wanted, get) == {"downloaded": 0, "failed": 1}
+
+
 def test_judges(spark):
     cases = spark.createDataFrame([("x", "x", "q"), ("y", "z", "q"), ("z", "z", "away")], "generated string, reference string, question string")
 
