@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -19,17 +19,19 @@ from ..functions import text as X
 from ..functions import vectors as V
 from ..sources import shared
 from . import toc as O
+from .scan import running
 
 BODY = "#/body"
 
 
 def with_override(elements: DataFrame, override: DataFrame | None) -> DataFrame:
-    """elements with the markdown text of their ref where there is one, without its
-    heading marks."""
+    """elements with the markdown text of their ref where there is one; a header's without
+    its heading marks."""
     if override is None:
         return elements
     o = override.select("doc", "ref", F.col("text").alias("_o"))
-    return elements.join(o, ["doc", "ref"], "left").withColumn("text", F.regexp_replace(F.coalesce("_o", "text"), r"^#{1,6}\s+", "")).drop("_o")
+    bare = F.when(F.col("label") == "section_header", F.regexp_replace("_o", r"^#{1,6}\s+", "")).otherwise(F.col("_o"))
+    return elements.join(o, ["doc", "ref"], "left").withColumn("text", F.coalesce(bare, "text")).drop("_o")
 
 
 def _group_paths(elements: DataFrame, edges: DataFrame, root: str) -> DataFrame:
@@ -72,29 +74,40 @@ def leaves(elements: DataFrame, edges: DataFrame, root: str = BODY) -> DataFrame
     return rows.select("doc", "path", F.col("child").alias("ref"), "kind", "label", "text", "page", "level")
 
 
+def _first_page(rows: Column) -> Column:
+    return F.get(F.filter(F.transform(rows, lambda x: x["page"]), lambda p: p.isNotNull()), F.lit(0))
+
+
 def flattened_groups(elements: DataFrame, edges: DataFrame) -> DataFrame:
-    """(doc, ref, text, page): each top-level group as one text, with its first page."""
+    """(doc, ref, text, page): each top-level group with what is in it as one text, parts
+    divided by a space, and its first page."""
     tops = elements.where("kind = 'group'").join(edges.where(F.col("parent") == BODY).select("doc", F.col("child").alias("ref")), ["doc", "ref"], "left_semi").select("doc", "ref")
     rows = leaves(elements, edges).withColumn("top", F.col("path")[0])
     of = edges.where(F.col("parent") == BODY).select("doc", F.col("ord").alias("top"), F.col("child").alias("group_ref"))
     out = rows.join(of, ["doc", "top"]).groupBy("doc", F.col("group_ref").alias("ref")).agg(F.array_sort(F.collect_list(F.struct("path", "text", "page"))).alias("l"))
-    out = out.select("doc", "ref", F.array_join(F.filter(F.transform("l", lambda x: x["text"]), lambda t: ~X.is_blank(t)), "\n").alias("text"), F.filter(F.transform("l", lambda x: x["page"]), lambda p: p.isNotNull())[0].alias("page"))
-    return tops.join(out, ["doc", "ref"])
+    return tops.join(out.select("doc", "ref", F.array_join(F.transform("l", lambda x: x["text"]), " ").alias("text"), _first_page(F.col("l")).alias("page")), ["doc", "ref"])
 
 
 def body_items(elements: DataFrame, edges: DataFrame, override: DataFrame | None = None) -> DataFrame:
-    """(doc, pos, label, level, page, text): flat groups as one paragraph, groups that
-    hold headers or tables item by item."""
-    rows = leaves(with_override(elements, override), edges).withColumn("top", F.col("path")[0])
-    of = edges.where(F.col("parent") == BODY).select("doc", F.col("ord").alias("top"), F.col("child").alias("top_ref"))
-    rows = rows.join(of, ["doc", "top"]).withColumn("grouped", F.col("top_ref") != F.col("ref"))
-    mixed = F.max((F.col("label") == "section_header") | (F.col("kind") == "table")).over(Window.partitionBy("doc", "top"))
-    rows = rows.withColumn("mixed", mixed)
-    flat = rows.where("grouped and not mixed").groupBy("doc", "top").agg(F.array_sort(F.collect_list(F.struct("path", "text", "page"))).alias("l"))
-    flat = flat.select("doc", F.array("top").alias("path"), F.lit("grouped_paragraph").alias("label"), F.lit(None).cast("int").alias("level"), F.filter(F.transform("l", lambda x: x["page"]), lambda p: p.isNotNull())[0].alias("page"), F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text"))
-    single = rows.where("not grouped or mixed").select("doc", "path", "label", "level", "page", "text")
-    every = flat.unionByName(single).where(~X.is_blank(F.col("text")))
-    return every.select("doc", (F.row_number().over(Window.partitionBy("doc").orderBy("path")) - 1).cast("long").alias("pos"), "label", "level", "page", "text")
+    """(doc, pos, label, level, page, text) of a document's body in reading order.
+
+    What stands in the body itself is an item. In a group, at any depth, headers are items;
+    other texts and tables are joined to one paragraph up to the next header or inner
+    group. A group without either that is blank as a whole is left out.
+    """
+    known = with_override(elements, override)
+    rows = leaves(known, edges).withColumn("stops", (F.col("kind") == "text") & F.coalesce(F.col("label") == "section_header", F.lit(False)))
+    inner = _group_paths(elements, edges, BODY).where(F.size("path") > 1).select("doc", "path", F.lit(True).alias("stops"))
+    events = rows.unionByName(inner, allowMissingColumns=True).withColumn("group", F.slice("path", F.lit(1), F.size("path") - 1))
+    events = running(events, ["doc", "group"], ["path"], {"run": ("sum", F.col("stops").cast("int"))})
+    alone = (F.size("group") == 0) | F.col("stops")
+    single = events.where(alone & F.col("kind").isNotNull()).select("doc", "path", "label", "level", "page", "text")
+    runs = events.where(~alone).groupBy("doc", "group", "run").agg(F.array_sort(F.collect_list(F.struct("path", "text", "page"))).alias("l"))
+    plain = events.where(F.size("group") > 0).groupBy("doc", "group").agg((~F.bool_or("stops")).alias("flat"))
+    joined = runs.join(plain, ["doc", "group"]).select("doc", F.element_at("l", 1)["path"].alias("path"), F.lit("grouped_paragraph").alias("label"), F.lit(None).cast("int").alias("level"), _first_page(F.col("l")).alias("page"), F.array_join(F.transform("l", lambda x: x["text"]), " ").alias("text"), "flat")
+    every = single.unionByName(joined.where(~(F.col("flat") & X.is_blank(F.col("text")))).drop("flat"))
+    numbered = running(every, ["doc"], ["path"], {"_no": ("count", F.lit(1))})
+    return numbered.select("doc", (F.col("_no") - 1).cast("long").alias("pos"), "label", "level", "page", "text")
 
 
 def toc_problems(tocs: DataFrame, chunks: DataFrame) -> DataFrame:

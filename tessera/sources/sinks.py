@@ -90,3 +90,12 @@ def emptied(spark, paths: dict[str, str]) -> list[str]:
             spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
             done.append(name)
     return done
+
+
+def predictions(rows: DataFrame, path: str) -> None:
+    """Answered questions as JSON lines that ``files.predictions`` reads: question_id,
+    prediction, status and whatever else rows have; a question without a prediction has ''
+    and the status it came with, or failed."""
+    blank = F.col("prediction").isNull()
+    status = F.coalesce("status", F.when(blank, "failed").otherwise("success")) if "status" in rows.columns else F.when(blank, "failed").otherwise("success")
+    rows.withColumns({"status": status, "prediction": F.coalesce("prediction", F.lit(""))}).write.mode("overwrite").json(path)

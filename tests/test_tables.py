@@ -126,8 +126,8 @@ def test_documents(spark):
     edges = spark.createDataFrame([("d", "#/body", 0, "#/texts/0"), ("d", "#/body", 1, "#/groups/0"), ("d", "#/body", 2, "#/pictures/0"), ("d", "#/body", 3, "#/tables/0"), ("d", "#/groups/0", 0, "#/texts/1"), ("d", "#/groups/0", 1, "#/groups/1"), ("d", "#/groups/1", 0, "#/texts/2")], "doc string, parent string, ord int, child string")
     override = spark.createDataFrame([("d", "#/texts/0", "## Better")], "doc string, ref string, text string")
     items = documents.body_items(elements, edges, override).orderBy("pos").collect()
-    assert [(r["label"], r["text"], r["page"]) for r in items] == [("section_header", "Better", 1), ("grouped_paragraph", "one\ntwo", 1), ("table", "| t |", 3)]
-    assert [tuple(r) for r in documents.flattened_groups(elements, edges).collect()] == [("d", "#/groups/0", "one\ntwo", 1)]
+    assert [(r["label"], r["text"], r["page"]) for r in items] == [("section_header", "Better", 1), ("grouped_paragraph", "one", 1), ("grouped_paragraph", "two", 2), ("table", "| t |", 3)]
+    assert [tuple(r) for r in documents.flattened_groups(elements, edges).collect()] == [("d", "#/groups/0", "one two", 1)]
     tocs = spark.createDataFrame([("p", 1, 1), ("q", 1, 1), ("r", 2, 1)], "source_path string, total_chunks int, meta_total int")
     chunks = spark.createDataFrame([("p", None, None, "c1", "text"), ("q", None, None, "c1", " ")], "source_path string, in_section string, section_id string, chunk_id string, text string")
     valid = documents.toc_problems(tocs, chunks)
