@@ -154,6 +154,19 @@ def attributed(rows: DataFrame, group: str, seq: list[str], total: str) -> DataF
     return rows.withColumn("share", F.expr(f"{total} div 1").cast("long")).withColumn("share", F.floor(F.col("share") / n) + F.when(first, F.col("share") % n).otherwise(0))
 
 
+def subset_cost(rows: DataFrame, group: str, seq: list[str], selected: Column, tokens: list[str], time: str) -> DataFrame:
+    """One row: what selected rows cost, by the tokens columns, total_tokens and time.
+
+    A group's integer totals are shared evenly, the rest goes to its first row; time is
+    shared in proportion. Groups are counted, not sorted.
+    """
+    first = F.min_by(F.struct(selected.alias("s")), F.struct(*seq))["s"]
+    each = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.count_if(selected).alias("_k"), first.alias("_first"), *[F.max(c).alias(c) for c in (*tokens, time)])
+    share = lambda c: F.floor(F.col(c) / F.col("_n")) * F.col("_k") + F.when(F.col("_first"), F.col(c) % F.col("_n")).otherwise(0)
+    out = each.agg(*[F.coalesce(F.sum(share(c)), F.lit(0)).cast("long").alias(c) for c in tokens], F.coalesce(F.sum(F.col(time) * F.col("_k") / F.col("_n")), F.lit(0.0)).alias(time))
+    return out.withColumn("total_tokens", reduce(lambda a, b: a + b, [F.col(c) for c in tokens]))
+
+
 def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """(side, id, n): what is only, or more often, on one side; one shuffle of counts."""
     sides = left.select("id", F.lit(1).alias("by")).unionByName(right.select("id", F.lit(-1).alias("by")))

@@ -171,6 +171,15 @@ def token_attribution(spark: SparkSession, d: str) -> DataFrame:
     return S.attributed(rows, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"], "cast(floor(o_totalprice) as bigint)").groupBy("l_orderkey").agg(F.sum("share").alias("tokens"), F.max("share").alias("largest"), F.min("share").alias("least"))
 
 
+def token_subset_cost(spark: SparkSession, d: str) -> DataFrame:
+    """What the returned lines cost of their orders' tokens and time."""
+    o = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.floor("o_totalprice").alias("prompt_tokens"), F.col("o_custkey").alias("completion_tokens"), (F.col("o_totalprice") / 100).alias("time"))
+    rows = T.table(spark, d, "lineitem").join(o, "l_orderkey")
+    seq = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag"]
+    found = S.subset_cost(rows, "l_orderkey", seq, F.col("l_returnflag") == "R", ["prompt_tokens", "completion_tokens"], "time")
+    return found.withColumn("time", F.round("time", 2))
+
+
 def tokens_per_question(spark: SparkSession, d: str) -> DataFrame:
     s = T.steps(spark, d).groupBy("run").agg(F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"))
     n = F.greatest(F.count(F.lit(1)), F.lit(1))
@@ -274,7 +283,7 @@ k as (select *, sum((not grew)::int) over (partition by run, island order by ts,
 _JUDGED = "j as (select case when doc_id % 11 = 0 then 'failed' else 'completed' end as status, quality * 0.8::double + toxic * 0.1::double as score, toxic = 0 as valid, doc_id * 3 as i, doc_id as o, case when doc_id % 2 = 0 then doc_id + 1 end as cr, 2 as cw, doc_id from labels)"
 _SUMS = ", ".join(f"coalesce(sum({a}), 0)::bigint as {b}" for a, b in zip(("i", "o", "cr", "cw"), S.TOKENS, strict=True))
 
-QUERIES = {f.__name__: f for f in (normalize_answer, extract_number, anls_score, token_f1, relaxed_accuracy, eval_overall, eval_ignore_missing, eval_breakdowns, eval_report, missing_extra_predictions, prediction_last_wins, latest_successful, judge_metrics, token_totals, run_status, questions_per_document, expected_order, score_labels, outcome_counts, submission_counts, evaluation_routes, string_values, phase_cost_rollup, token_attribution, tokens_per_question, multiset_diff, stale_streak, budget_cutoff, stop_reasons, doc_id_sha1, fake_embed, document_uuid, json_clean_repair)}
+QUERIES = {f.__name__: f for f in (normalize_answer, extract_number, anls_score, token_f1, relaxed_accuracy, eval_overall, eval_ignore_missing, eval_breakdowns, eval_report, missing_extra_predictions, prediction_last_wins, latest_successful, judge_metrics, token_totals, run_status, questions_per_document, expected_order, score_labels, outcome_counts, submission_counts, evaluation_routes, string_values, phase_cost_rollup, token_attribution, token_subset_cost, tokens_per_question, multiset_diff, stale_streak, budget_cutoff, stop_reasons, doc_id_sha1, fake_embed, document_uuid, json_clean_repair)}
 
 ORACLE_SQL = {
     "normalize_answer": f"with {T.QA_SQL} select question_id, {_norm('prediction')} as normalised from qa",
@@ -308,6 +317,10 @@ select count(*) as selected, count(*) filter (key % 3 > 0) as emitted, """ + ",
   sum(tokens)::bigint as total_input_tokens, sum(key)::bigint as total_output_tokens, 0::bigint as total_cache_read_tokens, sum(case when key % 2 = 0 then key end)::bigint as total_cache_write_tokens from o""",
     "document_uuid": f"with h as (select n_name, sha1(unhex('{_NS.replace('-', '')}') || n_name::blob) as h from nation) select n_name, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), lower(to_hex((('0x' || substr(h, 17, 2))::int & 63) | 128)) || substr(h, 19, 2), substr(h, 21, 12)) as uuid from h",
     "phase_cost_rollup": f"with {T.STEPS_SQL} select case when grouping(tool) = 1 then 'total' else tool end as phase, count(*) as calls, sum(tokens)::bigint as tokens, round(sum(cost), 6) as cost_usd from steps group by rollup (tool)",
+    "token_subset_cost": """with t as (select l_orderkey, floor(o_totalprice)::bigint as p, o_custkey as c, o_totalprice / 100 as t, l_returnflag = 'R' as sel, count(*) over (partition by l_orderkey) as n,
+    row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_returnflag) as r from lineitem join orders on o_orderkey = l_orderkey),
+s as (select p // n + case when r = 1 then p % n else 0 end as p, c // n + case when r = 1 then c % n else 0 end as c, t / n as t from t where sel)
+select sum(p)::bigint as prompt_tokens, sum(c)::bigint as completion_tokens, round(sum(t), 2) as time, (sum(p) + sum(c))::bigint as total_tokens from s""",
     "token_attribution": "with t as (select l_orderkey, floor(o_totalprice)::bigint as total, count(*) over (partition by l_orderkey) as n, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) as r from lineitem join orders on o_orderkey = l_orderkey), s as (select l_orderkey, total // n + case when r = 1 then total % n else 0 end as share from t) select l_orderkey, sum(share)::bigint as tokens, max(share) as largest, min(share) as least from s group by 1",
     "tokens_per_question": f"with {T.STEPS_SQL}, r as (select run, sum(tokens) as t, sum(cost) as c from steps group by 1) select round_even(coalesce(sum(t), 0) / greatest(count(*), 1), 0)::bigint as tokens_per_question, round(coalesce(sum(c), 0.0) / greatest(count(*), 1), 6) as cost_per_question from r",
     "multiset_diff": "with e as (select o_orderkey as id from orders), g as (select l_orderkey as id from lineitem) select id, count(*) as n, 'missing' as side from (select id from e except all select id from g) group by id union all select id, count(*), 'extra' from (select id from g except all select id from e) group by id",
