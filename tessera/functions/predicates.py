@@ -14,6 +14,7 @@ from operator import and_, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: the fields that a filter may name.
 FIELDS = ("source_kind", "source_path", "chunk_index", "section_id", "section_title")
 
 

@@ -111,7 +111,7 @@ def body_items(spark: SparkSession, d: str) -> DataFrame:
     groups = c.select("doc", F.explode(F.array(name("G", top), name("g", low))).alias("ref")).distinct().select("doc", "ref", F.lit("group").alias("kind"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("int").alias("level"))
     edge = lambda parent, n, child: c.select("doc", parent.alias("parent"), n.cast("int").alias("ord"), child.alias("child"))
     edges = edge(F.lit(D.BODY), top, name("G", top)).union(edge(name("G", top), low, name("g", low))).distinct().union(edge(name("g", low), F.col("turn"), F.col("ref"))).union(edge(F.lit(D.BODY), F.lit(10_000), F.lit("nothing")).distinct())
-    override = c.where("role <> 'assistant' and conv_id % 3 = 0").select("doc", "ref", F.concat(F.lit("## "), F.upper("text")).alias("text"))
+    override = c.where("role <> 'assistant' and conv_id % 3 = 0").select("doc", "ref", F.concat(F.lit("## "), "text", F.lit(" (md)")).alias("text"))
     return D.body_items(own.unionByName(groups), edges, override).select("doc", "pos", "label", "level", "page", F.md5("text").alias("text_md5"))
 
 
@@ -149,7 +149,7 @@ select page_id, md5(case when length(line) <= 120 then line else substr(line, 1,
 select o_orderkey, o_custkey, c_nationkey, l_partkey, l_suppkey from orders join customer on c_custkey = o_custkey left join l on l_orderkey = o_orderkey where c_acctbal > 0""",
     "keys_in_first_order": f"with {T.STEPS_SQL} select key, min(event_id) as event_id from steps where key is not null group by key",
     "body_items": """with c as (select conv_id as doc, turn, turn // 3 as low, role = 'system' as head, case when turn % 2 = 1 then turn // 3 end as page,
-    case when role <> 'assistant' and conv_id % 3 = 0 then case when role = 'system' then '' else '## ' end || upper(text) when turn % 4 = 3 then ' ' else text end as text from conversations),
+    case when role <> 'assistant' and conv_id % 3 = 0 then case when role = 'system' then '' else '## ' end || text || ' (md)' when turn % 4 = 3 then ' ' else text end as text from conversations),
 m as (select *, bool_or(head) over (partition by doc, low) as mixed, sum(head::int) over (partition by doc, low order by turn) as run from c),
 i as (select doc, turn, 'section_header' as label, 1 as level, page, text, true as mixed from m where head
   union all select doc, min(turn), 'grouped_paragraph', null, arg_min(page, turn) filter (page is not null), string_agg(text, ' ' order by turn), any_value(mixed) from m where not head group by doc, low, run)
