@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.shared import folder
+from ..sources.tables import input_bytes
 
-#: Rows of a group that one task may sort.
-MOST = 1_000_000
+#: Rows of a group that one task may sort, and bytes of files that a row takes at least:
+#: where the files below hold fewer, groups are not counted first.
+MOST, ROW_BYTES = 1_000_000, 16
 
 _AGGREGATES = {"sum": F.sum, "count": F.count, "max": F.max}
 _JOINED = {"sum": lambda a, b: F.coalesce(a + b, a, b), "count": lambda a, b: a + F.coalesce(b, F.lit(0)), "max": lambda a, b: F.greatest(a, b)}
@@ -39,6 +41,8 @@ def running(df: DataFrame, group: list[str], order: list, totals: dict[str, tupl
     its group up to this one. order tells the rows of a group apart."""
     most = MOST if most is None else most
     spark = df.sparkSession
+    if 0 < input_bytes(df) < most * ROW_BYTES:
+        return _plain(df, group, order, totals)
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
     rows = sizes.agg(F.sum("_n")).head()[0]
     if not rows:
