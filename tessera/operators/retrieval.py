@@ -141,8 +141,8 @@ def hybrid(rows: DataFrame, query: str, vector: DataFrame, k: int = FINAL, predi
     order = (*keys, "id")
     scoped = rows if predicate is None else rows.where(predicate)
     semantic = lambda: ranked(vector_topk(scoped.select(*order, "embedding"), vector, LEG, order=order), 0, keys, [F.desc("score"), *order])
-    found = lambda: index.search(query, LEG, predicate, tuple(keys)) if index else bm25_topk(rows.select(*order, "section_id", "content"), query, LEG, predicate, order=tuple(keys))
-    lexical = lambda: ranked(found(), 1, keys, ["bm25", *keys])
+    keyword = lambda: index.search(query, LEG, predicate, tuple(keys)) if index else bm25_topk(rows.select(*order, "section_id", "content"), query, LEG, predicate, order=tuple(keys))
+    lexical = lambda: ranked(keyword(), 1, keys, ["bm25", *keys])
     if warn is None:
         return fused([semantic(), lexical()], keys, k)
     legs, failure = [], None
