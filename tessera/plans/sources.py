@@ -89,7 +89,7 @@ def scoped_chunks(spark: SparkSession, d: str) -> DataFrame:
 def questions_with_info(spark: SparkSession, d: str) -> DataFrame:
     """Orders with the last of their lines, those that a listing of customers has."""
     o = T.table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    info = T.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_linenumber") * 10**12 + F.col("l_partkey") * 10**6 + F.col("l_suppkey")).alias("seq"), "l_partkey", "l_suppkey")
+    info = T.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).alias("seq"), "l_partkey", "l_suppkey")
     listed = T.table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
     rows = C.with_files(C.with_info(o, info, "o_orderkey", "seq"), listed, "o_custkey")
     known = C.selected(T.table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey")), T.table(spark, d, "customer").select("c_nationkey", F.col("c_custkey").alias("o_custkey")), "c_nationkey")

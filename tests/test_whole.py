@@ -127,3 +127,18 @@ def test_chunk_window_around_every_cited_chunk(spark):
     near = {(s, j) for s, i in keys for j in range(max(0, i - 1), i + 3)}
     want = {str(r["doc_id"]) for s, docs in chunks.items() for j, r in enumerate(docs) if (s, j) in near}
     assert {r["id"] for r in catalogue.QUERIES["chunk_window"](spark, SF).collect()} == want and want
+
+
+def test_last_line_of_an_order_whatever_the_size_of_keys(spark, tmp_path):
+    """Part keys of a million and more don't reach into the line number's place."""
+
+    def put(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    put("orders", [(1, 5), (2, 5), (3, 6)], "o_orderkey long, o_custkey long")
+    lines = [(1, 1_500_000, 1, 1), (1, 100_000, 2, 2), (2, 7, 3_000_000, 1), (2, 8, 4, 1)]
+    put("lineitem", lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int")
+    put("customer", [(5, 0, 1.0), (6, 0, -1.0)], "c_custkey long, c_nationkey int, c_acctbal double")
+    put("nation", [(0,)], "n_nationkey int")
+    got = catalogue.QUERIES["questions_with_info"](spark, str(tmp_path)).collect()
+    assert {(r["o_orderkey"], r["l_partkey"], r["l_suppkey"]) for r in got} == {(1, 100_000, 2), (2, 8, 4)}
