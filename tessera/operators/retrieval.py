@@ -179,21 +179,23 @@ def resolve_file(wanted: DataFrame, files: DataFrame, few: int = REQUEST) -> Dat
         best = _scanned(listing, needles, rank, "file_id", ["source_path"])
     else:
         least = F.min("source_path").alias("source_path")
-        bases, keys = listing.groupBy("base").agg(least), listing.groupBy("b_key").agg(least)
+        # Tables of many rows on both sides: shuffled, not collected for a broadcast.
+        bases, keys = listing.groupBy("base").agg(least).hint("merge"), listing.groupBy("b_key").agg(least).hint("merge")
+        asked = needles.hint("merge")
         held = containing(needles, bases, "needle", "base").toDF("needle", "base")
         holds = containing(bases, needles, "base", "needle").toDF("base", "needle").select("needle", "base")
         by_key = containing(needles, keys, "n_key", "b_key").toDF("n_key", "b_key")
         found = [
-            (1, needles.join(listing.select("source_path"), F.col("file_id") == F.col("source_path"))),
-            (2, held.unionByName(holds).join(bases, "base").join(needles, "needle")),
-            (3, by_key.join(keys, "b_key").join(needles, "n_key")),
+            (1, asked.join(listing.select("source_path"), F.col("file_id") == F.col("source_path"))),
+            (2, held.unionByName(holds).join(bases, "base").groupBy("needle").agg(least).join(asked, "needle")),
+            (3, by_key.join(keys, "b_key").groupBy("n_key").agg(least).join(asked, "n_key")),
             # An empty text is in every other: one row each, the least path there is.
             (2, needles.where("needle = ''").crossJoin(F.broadcast(listing.agg(least)))),
             (2, needles.crossJoin(F.broadcast(listing.where("base = ''").agg(least)))),
             (3, needles.where("n_key = ''").crossJoin(F.broadcast(listing.agg(least)))),
         ]
         rows = reduce(DataFrame.unionByName, [df.select("file_id", F.lit(p).alias("_p"), "source_path") for p, df in found]).where("source_path is not null")
-        best = rows.groupBy("file_id").agg(F.min(F.struct("_p", "source_path")).alias("m"))
+        best = rows.groupBy("file_id").agg(F.min(F.struct("_p", "source_path")).alias("m")).hint("merge")
     return wanted.select("file_id").join(best, "file_id", "left").select("file_id", F.col("m.source_path").alias("source_path"))
 
 
@@ -207,14 +209,18 @@ def resolve_title(wanted: DataFrame, sections: DataFrame, few: int = REQUEST) ->
         best = _scanned(listing, needles, rank, "needle", ["ordinal", "title"])
     else:
         first = F.min(F.struct("ordinal", "title")).alias("o")
-        keys = listing.groupBy("key").agg(first)
+        # Tables of many rows on both sides: shuffled, not collected for a broadcast.
+        titles, keys = listing.groupBy("title").agg(first).hint("merge"), listing.groupBy("key").agg(first).hint("merge")
+        same, alike = F.col("needle") == F.col("title"), F.col("need") == F.col("key")
+        # Only needles without a better match are looked up by their runs.
+        rest = needles.join(titles, same, "left_anti").join(keys, alike, "left_anti")
         found = [
-            (1, needles.join(listing.groupBy("title").agg(first), F.col("needle") == F.col("title"))),
-            (2, needles.join(keys, F.col("need") == F.col("key"))),
-            (3, containing(needles, keys, "need", "key").toDF("need", "key").join(keys, "key").join(needles, "need")),
+            (1, needles.join(titles, same)),
+            (2, needles.join(keys, alike)),
+            (3, containing(rest, keys, "need", "key").toDF("need", "key").join(keys, "key").groupBy("need").agg(F.min("o").alias("o")).join(rest.hint("merge"), "need")),
         ]
         rows = reduce(DataFrame.unionByName, [df.select("needle", F.lit(p).alias("_p"), "o.ordinal", "o.title") for p, df in found])
-        best = rows.groupBy("needle").agg(F.min(F.struct("_p", "ordinal", "title")).alias("m"))
+        best = rows.groupBy("needle").agg(F.min(F.struct("_p", "ordinal", "title")).alias("m")).hint("merge")
     return wanted.select("needle").join(best, "needle", "left").select("needle", F.col("m.title").alias("title"))
 
 

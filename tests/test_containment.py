@@ -38,3 +38,19 @@ def test_files_and_titles_as_by_a_scan(spark):
 def test_keys_of_ascii_and_other_texts(spark):
     rows = spark.createDataFrame([("  A_b-.C\t",), ("Ĳssel ﬁle_É",), (None,), ("\x1cx\x1f",), ("",)], "t string")
     assert [r[0] for r in rows.select(X.match_key(F.col("t"))).collect()] == ["a b c", "ijssel file e", None, "x", ""]
+
+
+def test_many_needles_are_not_broadcast(spark, tmp_path):
+    """Spark takes exploded rows for as many as they come from; only shuffles hold for any
+    number of them. Patterns are of all lengths around that of a run."""
+    texts = [f"customer{i:09d}" for i in range(300)]
+    patterns = [t[-n:] for t in texts[::7] for n in (1, 5, 7, 8, 9, 12, 17)]
+    for name, rows in (("pattern", patterns), ("text", texts)):  # of files Spark knows the size
+        spark.createDataFrame([(x,) for x in rows], f"{name} string").write.parquet(str(tmp_path / name))
+    p, t = (spark.read.parquet(str(tmp_path / name)) for name in ("pattern", "text"))
+    found = containment.containing(p, t)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {(a, b) for a in patterns for b in texts if a in b}
+    title = retrieval.resolve_title(p.toDF("needle").distinct(), t.select(F.col("text").alias("title"), F.length("text").alias("ordinal")), 0)
+    assert "Broadcast" not in title._jdf.queryExecution().executedPlan().toString()
+    assert {(r["needle"], r["title"]) for r in title.collect()} == {(a, min(b for b in texts if a in b)) for a in patterns}
