@@ -33,6 +33,18 @@ WINDOW_MOST, CONTEXT_DOCS, CONTEXT_CHARS = 5, 20, 45_000
 REQUEST = 32
 
 
+def vector_scores(rows: DataFrame, query: DataFrame, vector: str = "embedding") -> DataFrame:
+    """rows with score in the place of their vector, for the one vector of query (column q)."""
+    scored = rows.where(F.size(vector) > 0).crossJoin(F.broadcast(query.select("q").limit(1))).withColumn("score", V.cosine(F.col(vector), F.col("q")))
+    return scored.where("score is not null").drop("q", vector)
+
+
+def scored_topk(rows: DataFrame, scores: DataFrame, key: str, k: int = LEG, order: tuple[str, ...] = ORDER) -> DataFrame:
+    """The k best rows by the scores (key, score) that they have. Vectors are scored where
+    they are read; a shuffle takes narrow rows, whatever size Spark believes they have."""
+    return rows.join(scores.hint("merge"), key).orderBy(F.desc("score"), *order).limit(k)
+
+
 def vector_topk(rows: DataFrame, query: DataFrame, k: int = LEG, vector: str = "embedding", order: tuple[str, ...] = ORDER) -> DataFrame:
     """The k rows nearest to the one vector of query (column q), with score.
 
@@ -130,9 +142,10 @@ def fused(legs: list[DataFrame], keys: list[str], k: int) -> DataFrame:
     return out.orderBy(F.desc(F.round("rrf", 12)), F.desc("hits"), F.desc("best_score"), "_seen").limit(k).drop("_seen")
 
 
-def hybrid(rows: DataFrame, query: str, vector: DataFrame, k: int = FINAL, predicate: Column | None = None, keys: tuple[str, ...] = ("source_path", "chunk_index"), warn: Callable[[str, Exception], None] | None = None, index=None) -> DataFrame:
+def hybrid(rows: DataFrame, query: str, vector: DataFrame, k: int = FINAL, predicate: Column | None = None, keys: tuple[str, ...] = ("source_path", "chunk_index"), warn: Callable[[str, Exception], None] | None = None, index=None, vectors: tuple[DataFrame, str] | None = None) -> DataFrame:
     """Vector and keyword legs over chunks, fused by chunk key; index is a term index of
-    rows (``termindex.TermIndex``), without one their texts are read.
+    rows (``termindex.TermIndex``), without one their texts are read. vectors are a table
+    with an embedding by a key of rows, and the key; without them rows have embedding.
 
     With warn, a leg that fails is told and left out; if both fail the second error
     is raised.
@@ -140,7 +153,8 @@ def hybrid(rows: DataFrame, query: str, vector: DataFrame, k: int = FINAL, predi
     keys = list(keys)
     order = (*keys, "id")
     scoped = rows if predicate is None else rows.where(predicate)
-    semantic = lambda: ranked(vector_topk(scoped.select(*order, "embedding"), vector, LEG, order=order), 0, keys, [F.desc("score"), *order])
+    nearest = lambda: scored_topk(scoped.select(*order, vectors[1]), vector_scores(vectors[0].select(vectors[1], "embedding"), vector), vectors[1], LEG, order) if vectors else vector_topk(scoped.select(*order, "embedding"), vector, LEG, order=order)
+    semantic = lambda: ranked(nearest(), 0, keys, [F.desc("score"), *order])
     keyword = lambda: index.search(query, LEG, predicate, tuple(keys)) if index else bm25_topk(rows.select(*order, "section_id", "content"), query, LEG, predicate, order=tuple(keys))
     lexical = lambda: ranked(keyword(), 1, keys, ["bm25", *keys])
     if warn is None:

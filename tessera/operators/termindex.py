@@ -4,9 +4,15 @@ An index is a folder. Each append adds a segment of two tables:
 
 * ``docs``: one row a document (ordinal, range, length in terms, the columns kept for
   filters and results), no text;
-* ``postings``, in folders by a hash of the term: one row a term and range of ``RANGE``
+* ``postings``, in folders by a hash of the term: blocks of a term and range of ``RANGE``
   documents, with the documents that hold it, how often, at which positions, and the
-  block's largest frequency and least length.
+  block's largest frequency and least length. A block is flat arrays: ordinals from the
+  first one on, where each document's positions end, and the positions.
+
+Texts are not shuffled: ordinals are dealt out as they are read, so the documents of a range
+are in one task, which makes the range's blocks. A range that is read in two parts, or has
+more than ``TOKENS`` terms, has several blocks of a term; each is whole by itself. Only
+blocks are shuffled, once, to their folders.
 
 Ranges are the same for all terms, so the sum of the terms' bounds is a bound of every
 score in the range. A search reads the headers of its terms' blocks, takes the ranges of
@@ -20,20 +26,78 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..sources.shared import CommitLog, file_system
+from ..sources.shared import CommitLog, file_system, importable
 from ..sources.tables import input_bytes
 from .retrieval import IDF_FLOOR, K1, LEG, B, query_tokens
 
 #: Documents of a range, ranges that a search starts with, and bytes of input a bucket.
 RANGE, FIRST, BUCKET_BYTES = 1024, 32, 128 << 20
+#: Terms of documents that a task holds at once, and of one row that is handed to it.
+TOKENS, PIECE = 1 << 20, 4096
 _SLACK = 1e-9
-_BLOCK = "term string, _range long, n int, cf long, max_tf int, min_dl int, docs array<struct<_ord: long, dl: int, tf: int, at: array<int>>>, bucket int"
+_MADE = "term string, _range long, n int, cf long, max_tf int, min_dl int, base long, ords array<int>, ends array<int>, at array<int>"
+_BLOCK = f"{_MADE}, bucket int"
+
+
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values, pa.int32()))
+
+
+def _blocks(ranges: int, rows: list[tuple[int, int, int, pa.Array]]) -> pa.RecordBatch:
+    """The blocks of a range's pieces of documents: (ordinal, length, first position, terms)."""
+    coded = pa.concat_arrays([r[3] for r in rows]).dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    sizes = np.array([len(r[3]) for r in rows])
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    doc = np.repeat(np.array([r[0] for r in rows], np.int64), sizes)
+    dl = np.repeat(np.array([r[1] for r in rows], np.int64), sizes)
+    at = np.arange(len(code)) + np.repeat(np.array([r[2] for r in rows], np.int64) - begin, sizes)
+    # Stable, so documents and positions stay in order within a term.
+    order = np.argsort(code, kind="stable")
+    code, doc, dl, at = code[order], doc[order], dl[order], at[order]
+    first = np.concatenate([[True], code[1:] != code[:-1]])  # of a term
+    own = first | np.concatenate([[True], doc[1:] != doc[:-1]])  # of a document in a term
+    starts, heads = np.flatnonzero(first), np.flatnonzero(own)
+    ends = np.append(starts[1:], len(code))
+    tails = np.append(heads[1:], len(code))
+    block = np.cumsum(first)[heads] - 1
+    opens = np.searchsorted(block, np.arange(len(starts)))
+    return pa.record_batch(
+        [
+            coded.dictionary.take(pa.array(code[starts])).cast(pa.string()), pa.array(np.full(len(starts), ranges), pa.int64()),
+            pa.array(np.bincount(block), pa.int32()), pa.array(ends - starts, pa.int64()),
+            pa.array(np.maximum.reduceat(tails - heads, opens), pa.int32()), pa.array(np.minimum.reduceat(dl[heads], opens), pa.int32()),
+            pa.array(doc[starts], pa.int64()), _lists(doc[heads] - doc[starts][block], np.append(opens[1:], len(heads))),
+            _lists(tails - starts[block], np.append(opens[1:], len(heads))), _lists(at, ends),
+        ],
+        names=[f.split()[0] for f in _MADE.split(", ")],
+    )
+
+
+def _made(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows (_range, _ord, _dl, first, terms) in the order of ordinals."""
+    held, held_range, size = [], None, 0
+    for batch in batches:
+        terms = batch.column("terms")
+        for i, (r, o, dl, first) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_range", "_ord", "_dl", "first")), strict=True)):
+            # A document is not divided, or its frequency would be.
+            if held and (r != held_range or (size >= most and o != held[-1][0])):
+                yield _blocks(held_range, held)
+                held, size = [], 0
+            held_range = r
+            held.append((o, dl, first, terms[i].values))
+            size += len(held[-1][3])
+    if held:
+        yield _blocks(held_range, held)
 
 
 class TermIndex:
@@ -42,40 +106,40 @@ class TermIndex:
 
     # Writing
 
-    def append(self, rows: DataFrame, content: str = "content") -> int:
-        """Adds a segment of rows; every column but content is kept. The entry's number."""
+    def append(self, rows: DataFrame, content: str = "content", kept: Callable[[DataFrame], DataFrame] | None = None) -> int:
+        """Adds a segment of rows; every column but content is kept. The entry's number.
+        What kept adds to the columns that are kept is found without the texts."""
         segment = uuid.uuid4().hex
-        return self.log.commit(self._written(rows, segment, content), self.log.last(), lambda newer: False)
+        return self.log.commit(self._written(rows, segment, content, kept), self.log.last(), lambda newer: False)
 
     def delete(self, predicate: Column) -> int:
         """Deletes the documents of which the kept columns satisfy the predicate."""
         base = self.log.last()
         return self.log.commit(self._deleted(predicate), base, lambda newer: any("segment" in e or "deletion" in e for _, e in newer))
 
-    def replace(self, rows: DataFrame, source: str = "source_path", content: str = "content") -> int:
+    def replace(self, rows: DataFrame, source: str = "source_path", content: str = "content", kept: Callable[[DataFrame], DataFrame] | None = None) -> int:
         """Rows of some sources in the place of what is held of these, in one commit; another
         writer's commit in between is a conflict, as it may hold the same sources."""
         base = self.log.last()
-        entry = self._written(rows, uuid.uuid4().hex, content)
+        entry = self._written(rows, uuid.uuid4().hex, content, kept)
         own = self._segments([(base + 1, entry)], "docs").select(source).distinct()
         entry |= self._deleted(None, own)
         return self.log.commit(entry, base, lambda newer: True)
 
-    def _written(self, rows: DataFrame, segment: str, content: str) -> dict:
+    def _written(self, rows: DataFrame, segment: str, content: str, kept: Callable[[DataFrame], DataFrame] | None) -> dict:
         # Tokens are written once with the ordinals, so that both tables have the same.
         aside = f"{self.path}/aside/{segment}"
         tokens = rows.withColumn("_terms", X.terms(F.coalesce(F.col(content), F.lit("")))).drop(content)
-        tokens.withColumns({"_dl": F.size("_terms"), "_ord": F.monotonically_increasing_id()}).withColumn("_range", F.floor(F.col("_ord") / RANGE)).write.parquet(aside)
-        held = self.spark.read.parquet(aside)
-        held.drop("_terms").write.parquet(f"{self.path}/docs/{segment}")
+        tokens.withColumns({"_dl": F.size("_terms"), "_ord": F.monotonically_increasing_id()}).write.parquet(aside)
+        held, ranges = self.spark.read.parquet(aside), F.floor(F.col("_ord") / RANGE)
+        docs = held.drop("_terms")
+        (kept(docs) if kept else docs).withColumn("_range", ranges).write.parquet(f"{self.path}/docs/{segment}")
         n_buckets = max(16, input_bytes(held) // BUCKET_BYTES)
-        each = held.select("_range", "_ord", "_dl", F.posexplode("_terms").alias("pos", "term"))
-        docs = each.groupBy("_range", "_ord", "_dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("at"))
+        cuts = F.transform(F.sequence(F.lit(0), F.col("_dl") - 1, F.lit(PIECE)), lambda i: F.struct(i.alias("first"), F.slice("_terms", i + 1, F.lit(PIECE)).alias("terms")))
+        pieces = held.where("_dl > 0").select(ranges.alias("_range"), "_ord", "_dl", F.inline(cuts))
+        importable(self.spark)
         bucket = F.pmod(F.xxhash64("term"), F.lit(n_buckets)).cast("int")
-        blocks = docs.groupBy("term", "_range").agg(
-            F.count(F.lit(1)).cast("int").alias("n"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"), F.min("_dl").alias("min_dl"),
-            F.collect_list(F.struct("_ord", F.col("_dl").alias("dl"), "tf", "at")).alias("docs"),
-        ).withColumn("bucket", bucket)
+        blocks = pieces.mapInArrow(lambda batches, most=TOKENS: _made(batches, most), _MADE).withColumn("bucket", bucket)
         blocks.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "term", "_range").write.partitionBy("bucket").parquet(f"{self.path}/postings/{segment}")
         fs, at = file_system(self.spark, aside)
         fs.delete(at, True)
@@ -122,9 +186,16 @@ class TermIndex:
         live = self._live(self.log.entries())
         return None if live is None else live.drop("segment", "_range", "_ord", "_dl")
 
-    def _postings(self, entries: list[tuple[int, dict]], words: list[str] | None) -> DataFrame | None:
-        """Blocks of the words (None: of all terms) without deleted documents. Only the
-        folders of the words' buckets are read."""
+    def _postings(self, entries: list[tuple[int, dict]], words: list[str] | None, places: bool = False) -> DataFrame | None:
+        """Blocks of the words (None: of all terms) without deleted documents, their
+        positions if asked for. Only the folders of the words' buckets are read."""
+
+        def document(o: Column, i: Column) -> Column:
+            begin = F.when(i == 0, 0).otherwise(F.get("ends", i - 1))
+            tf = F.get("ends", i) - begin
+            own = [(F.col("base") + o).alias("_ord"), tf.alias("tf")]
+            return F.struct(*own, F.slice("at", begin + 1, tf).alias("at")) if places else F.struct(*own)
+
         out = None
         for _, e in entries:
             if "segment" not in e:
@@ -133,6 +204,7 @@ class TermIndex:
             if words is not None:
                 hashes = self.spark.range(1).select(*[F.pmod(F.xxhash64(F.lit(w)), F.lit(e["buckets"])).cast("int") for w in words]).head()
                 part = part.where(F.col("bucket").isin(*set(hashes)) & F.col("term").isin(*words))
+            part = part.withColumn("docs", F.transform("ords", document)).drop("base", "ords", "ends", "at")
             out = part if out is None else out.unionByName(part)
         gone = self._gone(entries)
         if out is None or gone is None:
@@ -167,7 +239,7 @@ class TermIndex:
         if not words or not n:
             return nothing
         average = sum(e.get("dl", 0) - e.get("dl_deleted", 0) for _, e in entries) / n
-        blocks = self._postings(entries, words)
+        blocks = self._postings(entries, words, any(len(own) > 1 for own in split.values()))
         df = self._frequencies(blocks, split)
         weight = {}
         for t, own in split.items():
@@ -193,11 +265,13 @@ class TermIndex:
 
         def scored(some: DataFrame, meta: DataFrame) -> DataFrame:
             each = some.select("segment", "_range", "term", F.explode("docs").alias("d")).select("segment", "_range", "term", "d.*")
-            per = each.groupBy("segment", "_range", "_ord").agg(F.max("dl").alias("dl"), *[F.max(F.when(F.col("term") == w, F.struct("tf", "at"))).alias(f"w{i}") for i, w in enumerate(words)])
+            own = F.struct(*[c for c in each.columns if c in ("tf", "at")])
+            per = each.groupBy("segment", "_range", "_ord").agg(*[F.max(F.when(F.col("term") == w, own)).alias(f"w{i}") for i, w in enumerate(words)])
             tf = {t: _phrase([F.col(f"w{number[w]}") for w in own]) for t, own in split.items() if own}
-            total = reduce(lambda a, b: a + b, [part(t, c, F.col("dl")) for t, c in tf.items()])
-            per = per.withColumn("_total", total).where("_total > 0").select("segment", "_range", "_ord", "_total")
-            return meta.join(per, ["segment", "_range", "_ord"])
+            some_tf = per.select("segment", "_range", "_ord", *[c.alias(f"_tf{i}") for i, c in enumerate(tf.values())])
+            total = reduce(lambda a, b: a + b, [part(t, F.col(f"_tf{i}"), F.col("_dl")) for i, t in enumerate(tf)])
+            joined = meta.join(some_tf, ["segment", "_range", "_ord"]).withColumn("_total", total)
+            return joined.where("_total > 0").drop(*[f"_tf{i}" for i in range(len(tf))])
 
         meta = docs if predicate is None else docs.where(predicate)
         head = scored(blocks.where(here), meta.where(here))

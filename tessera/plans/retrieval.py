@@ -25,9 +25,10 @@ _COLUMNS = ("id", "source_path", "chunk_index", "section_id")
 _KEYS = ("source_path", "doc_id")
 
 
-def _vectors(spark: SparkSession, d: str) -> DataFrame:
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, label, score): all vectors against the question's."""
     e = T.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
-    return T.unnumbered(spark, d).join(e, "doc_id", "left")
+    return R.vector_scores(e, _question(spark, d))
 
 
 _VECTORS = f"{CHUNKS}, vectors as (select c.*, embedding::double[] as embedding, label from chunks c left join embeddings on vec_id = doc_id)"
@@ -53,14 +54,14 @@ def scan_ordered_by_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    found = R.vector_topk(_vectors(spark, d).select("id", *_KEYS, "embedding"), _question(spark, d), order=_KEYS)
-    return T.located(spark, d, found.drop("embedding")).select(*R.ORDER, F.round("score", 6).alias("score"))
+    found = R.scored_topk(T.unnumbered(spark, d).select("id", *_KEYS), _scored(spark, d).drop("label"), "doc_id", order=_KEYS)
+    return T.located(spark, d, found).select(*R.ORDER, F.round("score", 6).alias("score"))
 
 
 def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
-    rows = _vectors(spark, d).where(P.compiled(P.equal("section_id", "en")) & (F.col("label") == 1))
-    found = R.vector_topk(rows.select("id", *_KEYS, "embedding"), _question(spark, d), 10, order=_KEYS)
-    return T.located(spark, d, found.drop("embedding")).select(*R.ORDER, F.round("score", 6).alias("score"))
+    rows = T.unnumbered(spark, d).where(P.compiled(P.equal("section_id", "en")))
+    found = R.scored_topk(rows.select("id", *_KEYS), _scored(spark, d).where("label = 1").drop("label"), "doc_id", 10, _KEYS)
+    return T.located(spark, d, found).select(*R.ORDER, F.round("score", 6).alias("score"))
 
 
 def _vector_index(spark: SparkSession, d: str) -> VectorIndex:
@@ -85,7 +86,7 @@ def _chunk_index(spark: SparkSession, d: str) -> TermIndex:
     """The term index of the chunks, built once for the documents as they are."""
 
     def build(path: str) -> None:
-        TermIndex(spark, path).append(T.chunks(spark, d).select("id", "doc_id", "source_path", "chunk_index", "section_id", "content"))
+        TermIndex(spark, path).append(T.unnumbered(spark, d).select("id", *_KEYS, "section_id", "content"), kept=T.with_index)
 
     return TermIndex(spark, shared.kept(spark, "chunk-terms", [f"{d}/documents.parquet"], build))
 
@@ -116,10 +117,10 @@ def bm25_after_delete(spark: SparkSession, d: str) -> DataFrame:
     """An index of its own: two sources deleted, one of them and a third replaced."""
     path = shared.folder(spark, "terms")
     index = TermIndex(spark, path)
-    rows = T.chunks(spark, d).select("id", "source_path", "chunk_index", "section_id", "content")
-    index.append(rows)
+    rows = T.unnumbered(spark, d).select("id", *_KEYS, "section_id", "content")
+    index.append(rows, kept=T.with_index)
     index.delete(F.col("source_path").isin("src1", "src2"))
-    index.replace(rows.where("source_path in ('src2', 'src3')").withColumn("content", F.concat("content", F.lit(" licensed reating"))))
+    index.replace(rows.where("source_path in ('src2', 'src3')").withColumn("content", F.concat("content", F.lit(" licensed reating"))), kept=T.with_index)
     return index.search(QUESTION).select(*R.ORDER, F.round("bm25", 6).alias("bm25"))
 
 
@@ -132,7 +133,7 @@ def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     """Chunks are known by the term index; their texts are not read."""
     index = _chunk_index(spark, d)
     e = T.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    found = R.hybrid(index.documents().join(e, "doc_id"), QUESTION, _question(spark, d), index=index)
+    found = R.hybrid(index.documents(), QUESTION, _question(spark, d), index=index, vectors=(e, "doc_id"))
     return found.select("source_path", "chunk_index", F.round("rrf", 6).alias("rrf"), "hits", F.round("best_score", 6).alias("best_score"))
 
 

@@ -43,6 +43,11 @@ def unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("id"), "doc_id", F.col("text").alias("content"), F.lit("local").alias("source_kind"), F.col("source").alias("source_path"), F.col("lang").alias("section_id"), F.upper("lang").alias("section_title"))
 
 
+def with_index(rows: DataFrame) -> DataFrame:
+    """Rows of whole sources (source_path, doc_id) with their chunk_index."""
+    return numbered(rows, "source_path", "doc_id", "chunk_index", "int")
+
+
 def located(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
     """A search's few rows (with source_path and doc_id) with their chunk_index: how many
     documents of the source come before."""

@@ -98,3 +98,37 @@ def test_one_of_two_writers_gets_a_number(spark, tmp_path):
     with pytest.raises(ConflictError):
         log.commit({"writer": 9}, 1, lambda newer: True)
     assert log.last() == 2 and [n for n, _ in log.entries(1)] == [2]
+
+
+def test_the_build_shuffles_no_texts(spark, rows, tmp_path, monkeypatch):
+    """Kept columns are added without the texts; blocks are made where texts are read, cut
+    as often as need be, and each is whole."""
+    made = []
+    monkeypatch.setattr(termindex, "TOKENS", 50)
+    monkeypatch.setattr(termindex, "PIECE", 7)
+    index = TermIndex(spark, str(tmp_path / "i"))
+    wide = rows.repartition(2).withColumn("content", F.repeat(F.concat("content", F.lit(" ")), 40))
+    numbers = lambda df: made.append(df.columns) or df.withColumn("chunk", F.col("chunk_index") + 1)
+    index.append(wide, kept=numbers)
+    assert made == [["id", "source_path", "chunk_index", "section_id", "_dl", "_ord"]]
+    assert index.documents().where("chunk = chunk_index + 1").count() == 60
+    for q in QUERIES[:2]:
+        assert _same(index.search(q), R.bm25_topk(wide, q)) == 30
+    blocks = index._postings(index.log.entries(), None, True)
+    seen = blocks.groupBy("term").agg(F.sum("n").alias("n"), F.sum("cf").alias("cf")).collect()
+    each = wide.select("id", F.explode(F.split(F.regexp_replace(F.lower("content"), "é", "e"), " ")).alias("term")).where("term <> ''").groupBy("term").agg(F.countDistinct("id").alias("n"), F.count("id").alias("cf")).collect()
+    assert sorted(map(tuple, seen)) == sorted(map(tuple, each))
+    # Many blocks of a term and range, each of whole documents.
+    assert blocks.where("term = 'sea'").count() > 4
+    assert blocks.select("term", F.explode("docs").alias("d")).groupBy("term", "d._ord").count().where("count > 1").count() == 0
+
+
+def test_vectors_are_scored_before_they_are_shuffled(spark, rows):
+    e = spark.createDataFrame([(f"d{i}", [float(i % 7), 1.0]) for i in range(60)], "id string, embedding array<float>")
+    q = spark.createDataFrame([([1.0, 2.0],)], "q array<float>")
+    apart = R.scored_topk(rows.drop("content"), R.vector_scores(e, q), "id")
+    plan = apart._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange hashpartitioning(id"):]
+    assert "SortMergeJoin" in plan and "embedding" not in plan[: plan.index("Exchange hashpartitioning(id")] and "score" in below
+    joined = R.vector_topk(rows.drop("content").join(e, "id"), q)
+    assert [r["id"] for r in apart.collect()] == [r["id"] for r in joined.collect()]
