@@ -30,6 +30,9 @@ from ..sources.shared import CommitLog, folder, importable
 #: Rows of a block, queries of a group, rows a cell is meant to hold at least.
 BLOCK, GROUP, CELL = 1024, 256, 4096
 CELLS, SAMPLE, ROUNDS = 1024, 16_384, 5
+#: Rows that meet all centres at once, and queries of a group that meet a block at once: with
+#: many equal vectors every pair of the two can tie for the last place.
+PLACED, MET = 1024, 16
 #: Slack of distances and of scores, for rounding.
 EPS = 1e-7
 
@@ -62,7 +65,7 @@ def _packed(rows: DataFrame, most: int, centres, parts: int) -> DataFrame:
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = centres.value
-        for batch in batches:
+        for batch in (b.slice(i, PLACED) for b in batches for i in range(0, b.num_rows, PLACED)):
             unit, sizes = _units(batch.column("v").to_pylist(), c.shape[1])
             d = _distances(unit, c)
             cell = d.argmin(1) if len(unit) else np.zeros(0, np.int64)
@@ -191,23 +194,31 @@ def _scored(pairs: DataFrame, k: int, width: int) -> DataFrame:
             for i in range(batch.num_rows):
                 r = batch.slice(i, 1).to_pylist()[0]
                 q, b = (np.frombuffer(r[c]).reshape(-1, width) for c in ("vecs", "b_vecs"))
-                score = q @ b.T
-                score[np.frombuffer(r["sizes"], np.int64)[:, None] != np.frombuffer(r["b_sizes"], np.int64)[None]] = -np.inf
-                least = np.full(len(q), -np.inf) if r["low"] is None else np.asarray(r["low"]) - EPS
-                if k < score.shape[1]:
-                    least = np.maximum(least, np.partition(score, -k, axis=1)[:, -k] - EPS)
-                x, y = np.nonzero((score >= least[:, None]) & (score > -np.inf))
-                # Products of whole matrices round by place; equal vectors must have equal scores.
-                exact = (q[x] * b[y]).sum(1)
-                ids = np.array(r["b_ids"], object)
-                names = np.array(r["ids"], object)
-                order = sorted(range(len(x)), key=lambda j: (x[j], -exact[j], len(ids[y[j]]), ids[y[j]]))
-                seen, keep = {}, []
-                for j in order:
-                    seen[x[j]] = seen.get(x[j], 0) + 1
-                    if seen[x[j]] <= k:
-                        keep.append(j)
-                yield pa.record_batch([pa.array(names[x[keep]], pa.string()), pa.array(ids[y[keep]], pa.string()), pa.array(exact[keep], pa.float64())], names=["query_id", "id", "score"])
+                size, b_size = (np.frombuffer(r[c], np.int64) for c in ("sizes", "b_sizes"))
+                low = np.full(len(q), -np.inf) if r["low"] is None else np.asarray(r["low"]) - EPS
+                ids, names = np.array(r["b_ids"], object), np.array(r["ids"], object)
+                keep = [best(q, b, size, b_size, low, ids, begin) for begin in range(0, len(q), MET)]
+                x, y, exact = (np.concatenate(c) for c in zip(*keep, strict=True))
+                yield pa.record_batch([pa.array(names[x], pa.string()), pa.array(ids[y], pa.string()), pa.array(exact, pa.float64())], names=["query_id", "id", "score"])
+
+    def best(q, b, size, b_size, low, ids, begin) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries from begin on, rows of the block and scores: up to k a query."""
+        own = slice(begin, begin + MET)
+        score, least = q[own] @ b.T, low[own]
+        score[size[own, None] != b_size[None]] = -np.inf
+        if k < score.shape[1]:
+            least = np.maximum(least, np.partition(score, -k, axis=1)[:, -k] - EPS)
+        x, y = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+        # Products of whole matrices round by place; equal vectors must have equal scores.
+        exact = (q[own][x] * b[y]).sum(1)
+        order = sorted(range(len(x)), key=lambda j: (x[j], -exact[j], len(ids[y[j]]), ids[y[j]]))
+        seen, keep = {}, []
+        for j in order:
+            seen[x[j]] = seen.get(x[j], 0) + 1
+            if seen[x[j]] <= k:
+                keep.append(j)
+        keep = np.array(keep, np.int64)
+        return x[keep] + begin, y[keep], exact[keep]
 
     return pairs.mapInArrow(run, "query_id string, id string, score double")
 
