@@ -26,11 +26,13 @@ from __future__ import annotations
 
 import math
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +41,12 @@ from ..sources.shared import CommitLog, file_system, importable
 from ..sources.tables import input_bytes
 from .retrieval import IDF_FLOOR, K1, LEG, B, query_tokens
 
-#: Documents of a range, ranges that a search starts with, and bytes of input a bucket.
-RANGE, FIRST, BUCKET_BYTES = 1024, 32, 128 << 20
-#: Terms of documents that a task holds at once, and of one row that is handed to it.
-TOKENS, PIECE = 1 << 20, 4096
+#: Documents of a range, ranges that a search starts with, and bytes of input a bucket and
+#: a file of it.
+RANGE, FIRST, BUCKET_BYTES, FILE_BYTES = 1024, 32, 128 << 20, 16 << 20
+#: Terms of documents that a task holds at once, of one row that is handed to it, and of
+#: blocks that are sent together.
+TOKENS, PIECE, SENT = 1 << 20, 4096, 1 << 19
 _SLACK = 1e-9
 _MADE = "term string, _range long, n int, cf long, max_tf int, min_dl int, base long, ords array<int>, ends array<int>, at array<int>"
 _BLOCK = f"{_MADE}, bucket int"
@@ -100,6 +104,46 @@ def _made(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBat
         yield _blocks(held_range, held)
 
 
+def _bucket(term: bytes, buckets: int) -> int:
+    return zlib.crc32(term) % buckets
+
+
+def _sent(blocks: list[pa.RecordBatch], buckets: int, files: int) -> pa.RecordBatch:
+    """(file, blocks): the blocks by the file that they go to, a file's as an Arrow stream."""
+    every = pa.concat_batches(blocks)
+    crc = np.array([zlib.crc32(t) for t in every.column("term").cast(pa.binary()).to_pylist()], np.int64)
+    bucket = crc % buckets  # as _bucket has it
+    file = bucket * files + crc // buckets % files
+    order = np.argsort(file, kind="stable")
+    every = every.append_column("bucket", pa.array(bucket, pa.int32())).take(pa.array(order))
+    starts = np.flatnonzero(np.diff(file[order], prepend=-1))
+    streams = []
+    for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, every.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(every.slice(a, b - a))
+        streams.append(sink.getvalue().to_pybytes())
+    return pa.record_batch([pa.array(file[order][starts], pa.int32()), pa.array(streams, pa.binary())], names=["file", "blocks"])
+
+
+def _packed(blocks: Iterator[pa.RecordBatch], buckets: int, files: int, most: int) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for batch in blocks:
+        held.append(batch)
+        size += pc.sum(batch.column("cf")).as_py()
+        if size >= most:
+            yield _sent(held, buckets, files)
+            held, size = [], 0
+    if held:
+        yield _sent(held, buckets, files)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for stream in batch.column("blocks"):
+            yield from pa.ipc.open_stream(stream.as_buffer())
+
+
 class TermIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.log = spark, path.rstrip("/"), CommitLog(spark, path)
@@ -134,13 +178,15 @@ class TermIndex:
         held, ranges = self.spark.read.parquet(aside), F.floor(F.col("_ord") / RANGE)
         docs = held.drop("_terms")
         (kept(docs) if kept else docs).withColumn("_range", ranges).write.parquet(f"{self.path}/docs/{segment}")
-        n_buckets = max(16, input_bytes(held) // BUCKET_BYTES)
+        size = input_bytes(held)
+        n_buckets = max(16, size // BUCKET_BYTES)
+        n_files = max(1, math.ceil(size / FILE_BYTES / n_buckets))
         cuts = F.transform(F.sequence(F.lit(0), F.col("_dl") - 1, F.lit(PIECE)), lambda i: F.struct(i.alias("first"), F.slice("_terms", i + 1, F.lit(PIECE)).alias("terms")))
         pieces = held.where("_dl > 0").select(ranges.alias("_range"), "_ord", "_dl", F.inline(cuts))
         importable(self.spark)
-        bucket = F.pmod(F.xxhash64("term"), F.lit(n_buckets)).cast("int")
-        blocks = pieces.mapInArrow(lambda batches, most=TOKENS: _made(batches, most), _MADE).withColumn("bucket", bucket)
-        blocks.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "term", "_range").write.partitionBy("bucket").parquet(f"{self.path}/postings/{segment}")
+        sent = pieces.mapInArrow(lambda batches, most=TOKENS, sent=SENT: _packed(_made(batches, most), n_buckets, n_files, sent), "file int, blocks binary")
+        blocks = sent.repartitionById(n_buckets * n_files, "file").select("blocks").mapInArrow(_unpacked, _BLOCK)
+        blocks.sortWithinPartitions("bucket", "term", "_range").write.partitionBy("bucket").parquet(f"{self.path}/postings/{segment}")
         fs, at = file_system(self.spark, aside)
         fs.delete(at, True)
         total = self.spark.read.parquet(f"{self.path}/docs/{segment}").agg(F.count(F.lit(1)), F.sum("_dl")).head()
@@ -202,8 +248,7 @@ class TermIndex:
                 continue
             part = self.spark.read.schema(_BLOCK).parquet(f"{self.path}/postings/{e['segment']}").withColumn("segment", F.lit(e["segment"]))
             if words is not None:
-                hashes = self.spark.range(1).select(*[F.pmod(F.xxhash64(F.lit(w)), F.lit(e["buckets"])).cast("int") for w in words]).head()
-                part = part.where(F.col("bucket").isin(*set(hashes)) & F.col("term").isin(*words))
+                part = part.where(F.col("bucket").isin(*{_bucket(w.encode(), e["buckets"]) for w in words}) & F.col("term").isin(*words))
             part = part.withColumn("docs", F.transform("ords", document)).drop("base", "ords", "ends", "at")
             out = part if out is None else out.unionByName(part)
         gone = self._gone(entries)

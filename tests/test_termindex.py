@@ -3,6 +3,7 @@
 import threading
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,25 @@ def test_vectors_are_scored_before_they_are_shuffled(spark, rows):
     assert "SortMergeJoin" in plan and "embedding" not in plan[: plan.index("Exchange hashpartitioning(id")] and "score" in below
     joined = R.vector_topk(rows.drop("content").join(e, "id"), q)
     assert [r["id"] for r in apart.collect()] == [r["id"] for r in joined.collect()]
+
+
+def test_blocks_are_sent_packed(spark, rows, tmp_path, monkeypatch):
+    """Blocks of some ranges that go to one file are one row; a bucket may have more files,
+    each with terms of its own, and a search finds them."""
+    terms = pa.array(["sea", "blue", "sea", "x9"] * 50)
+    blocks = [termindex._blocks(r, [(r * 1024 + i, 200, 0, terms) for i in range(3)]) for r in range(20)]
+    sent = list(termindex._packed(iter(blocks), 2, 3, 1 << 14))
+    assert sum(b.num_rows for b in blocks) == 60 and sum(b.num_rows for b in sent) <= 3
+    back = pa.Table.from_batches(termindex._unpacked(iter(sent)))
+    key = lambda r: (r["_range"], r["term"])
+    got = sorted(back.drop_columns("bucket").to_pylist(), key=key)
+    assert got == sorted(pa.Table.from_batches(blocks).to_pylist(), key=key)
+    assert all(r["bucket"] == termindex._bucket(r["term"].encode(), 2) for r in back.to_pylist())
+    monkeypatch.setattr(termindex, "FILE_BYTES", 200)
+    monkeypatch.setattr(termindex, "RANGE", 4)
+    index = TermIndex(spark, str(tmp_path / "i"))
+    more = rows.withColumn("content", F.concat_ws(" ", "content", "id"))
+    index.append(more)
+    files = list(tmp_path.glob("i/postings/*/bucket=*/*.parquet"))
+    assert len(files) > len({p.parent for p in files})
+    assert sum(_same(index.search(q, 9), R.bm25_topk(more, q, 9)) for q in QUERIES) > 0
