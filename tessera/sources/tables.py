@@ -16,13 +16,23 @@ def input_bytes(df: DataFrame) -> int:
     return sum(x for x in sizes if x < 1 << 55)
 
 
+#: Bytes of a table below which it is dealt out without a look at its parts.
+LOOK_BYTES = 32 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df on all cores: a table that is read in fewer parts than there are cores (a small
-    one, often one row group) is dealt out first. Larger ones stay as they are read."""
+    """df on all cores: a table that is read in fewer parts than half the cores (a small
+    one, often one row group) is dealt out first. Others stay as they are read."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     unit = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(cores) if input_bytes(df) < cores * unit else df
+    size = input_bytes(df)
+    if size >= cores * unit:
+        return df
+    # Parts that have rows are told by the files' footers: a row group is not divided.
+    if size >= LOOK_BYTES and df.select(F.spark_partition_id()).distinct().count() * 2 >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,6 +15,7 @@ from tessera.operators import retrieval as R
 from tessera.operators import scoring as S
 from tessera.operators import toc as O
 from tessera.sources import files, shared, sinks
+from tessera.sources import tables as T
 from tessera.streaming import ingest
 
 
@@ -459,3 +460,12 @@ def test_case_folding(spark):
     ids = F.lit("id")
     assert told(cases.matches(question="FILE", text=F.col("t"), ids=ids)) == [True, True, None]
     assert told(cases.matches(source="STRASSE", sources=F.col("s"))) == [True, False, None]
+
+
+def test_a_table_of_enough_parts_is_not_dealt_out(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "LOOK_BYTES", 0)
+    rows = spark.range(1000).withColumn("text", F.repeat(F.col("id").cast("string"), 50))
+    for n in (1, 4):
+        rows.repartition(n).write.parquet(str(tmp_path / str(n)))
+    dealt = {n: "Exchange" in T.spread(spark.read.parquet(str(tmp_path / str(n))))._jdf.queryExecution().executedPlan().toString() for n in (1, 4)}
+    assert dealt == {1: True, 4: False}
