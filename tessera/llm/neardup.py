@@ -16,7 +16,8 @@ bits instead of 64. Four neighbouring registers are one 64-bit band key.
 4. The rest is verified on the full sets, and links become components.
 5. Buckets that still hold several components are compared block by block on a
    finer sketch; only pairs of different components that pass step 3 there and
-   are not verified yet are verified, each in the first band that both share.
+   are not verified yet are verified, each in the first band that both share. Of
+   buckets with equal members the first is compared.
    So no link between different components is lost and a group that hangs
    together is never expanded into pairs.
 
@@ -41,17 +42,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import wordhash
 from .components import components
 from .exactdedup import kept_rows, text_digest
-from .staging import Stage, documents
+from .staging import Stage, among, documents
 
 #: (least set size, bands); four registers a band. The first class has no bands but
 #: exact keys.
@@ -65,6 +65,8 @@ COLLISIONS = 0.169919487159739093975315012348
 #: Members of a bucket compared in one block; hubs of a family; registers of the
 #: finer sketch that blocks are compared on.
 BLOCK, HUBS, FINE = 512, 8, 512
+#: Bands of all classes are numbered below this.
+PLACES = 512
 
 
 def shingle_sets(text: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -168,15 +170,29 @@ def signatures(docs: DataFrame, k: int, threshold: float, carry: tuple[str, ...]
 
 
 def _bands(reps: DataFrame) -> DataFrame:
-    """(rep, n, cls, band, key) for every band that is not empty."""
+    """(rep, bucket, place) for every band that is not empty: bucket is a hash of the band
+    and its key, place holds the set size and the band."""
     each = reps.select("rep", "n", F.explode("sketch").alias("s")).select("rep", "n", F.col("s.cls").alias("cls"), F.posexplode("s.keys").alias("pos", "key"))
     band = F.when(F.col("cls") == EXACT, F.lit(EXACT)).otherwise(F.col("cls") * 64 + F.col("pos"))
-    return each.where("key <> 0").select("rep", "n", "cls", band.alias("band"), "key")
+    return each.where("key <> 0").select("rep", F.xxhash64(band, "key").alias("bucket"), (F.col("n") * PLACES + band).alias("place"))
+
+
+def _crowd(bands: DataFrame) -> DataFrame:
+    """The rows of bands whose bucket has others too, with its size and hub: one hub a
+    bucket, the same for every HUBS-th band. Bands are shuffled here only, by one column
+    and as few others as can be."""
+    bucket = Window.partitionBy("bucket")
+    n = F.floor(F.col("place") / PLACES)
+    order = F.xxhash64((F.col("place") % PLACES % HUBS).cast("int"), "rep").alias("o")
+    # Dealt out first, else the window's arguments are shuffled too.
+    met = bands.repartition("bucket").select("bucket", "rep", "place", F.count(F.lit(1)).over(bucket).alias("size"), F.min(F.struct(order, "rep", n.alias("n"))).over(bucket).alias("hub"))
+    return met.where("size > 1").select("bucket", (F.col("place") % PLACES).cast("int").alias("band"), F.floor(F.col("place") % PLACES / 64).cast("int").alias("cls"), "rep", n.alias("n"), "size", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"))
 
 
 def _register_filter(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """pairs (a, b, cls) whose registers of class cls allow the threshold; exact keys
     need no such test."""
+    reps = among(reps, _ids(pairs), "rep")
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     keys = lambda x: F.filter(f"s_{x}", lambda s: s["cls"] == F.col("cls"))[0]["keys"].alias(f"k_{x}")
     sure = pairs.where(F.col("cls") == EXACT).select("a", "b")
@@ -198,44 +214,41 @@ def _register_filter(pairs: DataFrame, reps: DataFrame, threshold: float) -> Dat
     return wide.mapInArrow(run, "a long, b long").unionByName(sure).distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+def _ids(pairs: DataFrame) -> DataFrame:
+    """(rep): the ids of either side of pairs (a, b)."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("rep"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, several: DataFrame, k: int, threshold: float) -> DataFrame:
     """pairs (a, b) with 100 * intersection >= 100 * threshold * union on full sets;
-    of a doc_id with several texts any may be the one."""
+    of a doc_id with several texts (see _several) any may be the one.
+
+    The text of a is sent to where that of b is: one text a pair, besides one an id.
+    """
     percent = round(100 * threshold)
-    numbered = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("rep"))
-    both = numbered.join(texts, "rep").select("a", "b", "rep", "text").repartition("a", "b").sortWithinPartitions("a", "b", "rep")
+    ids = _ids(pairs)
+    # A text of a several id that gets through the filter is one of its texts too. An
+    # anti-join here would be pushed below the filter and shuffle all texts.
+    texts = among(docs.select(F.col("doc_id").alias("rep"), "text"), ids.join(several, "rep", "left_anti"), "rep").unionByName(several)
+    side = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, {}
-
-        def linked() -> bool:
-            if at is None or len(held) < 2:
-                return False
-            for x, y in product(*held.values()):
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * same >= percent * (len(x) + len(y) - same):
-                    return True
-            return False
-
         for batch in batches:
-            out = []
-            a, b, rep = (batch.column(i).to_pylist() for i in range(3))
-            for i, s in enumerate(shingle_sets(batch.column(3), k)):
-                if (a[i], b[i]) != at:
-                    if linked():
-                        out.append(at)
-                    at, held = (a[i], b[i]), {}
-                held.setdefault(rep[i], []).append(s)
-            yield pa.record_batch([pa.array([x[j] for x in out], pa.int64()) for j in (0, 1)], names=["a", "b"])
-        last = [at] if linked() else []
-        yield pa.record_batch([pa.array([x[j] for x in last], pa.int64()) for j in (0, 1)], names=["a", "b"])
+            keep = np.zeros(batch.num_rows, bool)
+            sets = zip(shingle_sets(batch.column(2), k), shingle_sets(batch.column(3), k), strict=True)
+            for i, (x, y) in enumerate(sets):
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = 100 * same >= percent * (len(x) + len(y) - same)
+            yield batch.select([0, 1]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(rep, set_hash, many, text) of the wanted (rep, set_hash, many): rows with that set."""
-    joined = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep")
+def _several(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(rep, text) of wanted (rep, set_hash), ids that several rows of docs have: one of
+    the texts with that set."""
+    joined = among(docs.select(F.col("doc_id").alias("rep"), "text"), wanted, "rep").join(wanted, "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,22 +256,40 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 part = batch.slice(at, 2048)
                 text, digest = part.column("text"), part.column("set_hash").to_pylist()
                 keep = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == h for s, h in zip(shingle_sets(text, k), digest, strict=True)]
-                yield part.select(["rep", "set_hash", "many", "text"]).filter(pa.array(keep))
+                yield part.select(["rep", "set_hash", "text"]).filter(pa.array(keep))
 
-    return joined.select("rep", "set_hash", "many", "text").mapInArrow(run, "rep long, set_hash binary, many boolean, text string")
+    found = joined.select("rep", "set_hash", "text").mapInArrow(run, "rep long, set_hash binary, text string")
+    return found.groupBy("rep", "set_hash").agg(F.min("text").alias("text")).select("rep", "text")
 
 
-def _fine(texts: DataFrame, k: int) -> DataFrame:
-    """(rep, fine): the finer registers of (rep, text)."""
+def _fine(wanted: DataFrame, docs: DataFrame, several: DataFrame, k: int) -> DataFrame:
+    """(rep, fine): the finer registers of the wanted (rep), and of a few others. A
+    register is cut to 8 bits (0 = empty): equal ones stay equal, so no pair is lost."""
+    rest = wanted.join(several, "rep", "left_anti")
+    texts = among(docs.select(F.col("doc_id").alias("rep"), "text"), rest, "rep").unionByName(several.join(wanted, "rep", "left_semi"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                made = [_registers(s, FINE).tobytes() for s in shingle_sets(part.column("text"), k)]
+                whole = (_registers(s, FINE) for s in shingle_sets(part.column("text"), k))
+                made = [np.where(r == 0, 0, r % 255 + 1).astype(np.uint8).tobytes() for r in whole]
                 yield pa.record_batch([part.column("rep"), pa.array(made, pa.binary())], names=["rep", "fine"])
 
-    return texts.mapInArrow(run, "rep long, fine binary")
+    return texts.select("rep", "text").mapInArrow(run, "rep long, fine binary")
+
+
+def _mixed(crowd: DataFrame) -> DataFrame:
+    """(bucket, most, n_rare): buckets of crowd (bucket, band, rep, n, comp) that hold
+    several components, their largest and the number of rows outside it.
+
+    Of buckets with the same members the first is enough: a pair's first common bucket is
+    never left out, since one before it with the same members would be common too.
+    """
+    sizes = crowd.groupBy("bucket", "comp").agg(F.min("band").alias("band"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("rep", "n")).alias("x"))
+    largest = sizes.groupBy("bucket").agg(F.min("band").alias("band"), F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"), F.sum("c").alias("all"), F.bit_xor("x").alias("members")).where("comps > 1")
+    one = largest.groupBy("members", "all", "m").agg(F.min(F.struct("band", "bucket")).alias("b"))
+    return one.select("b.bucket", F.col("m.comp").alias("most"), (F.col("all") - F.col("m.c")).alias("n_rare"))
 
 
 def _dealt(inside: DataFrame) -> DataFrame:
@@ -279,16 +310,16 @@ def _dealt(inside: DataFrame) -> DataFrame:
 
 
 def _across(dealt: DataFrame, threshold: float) -> DataFrame:
-    """Plausible pairs (a, b) of different components within (band, key, x, y)."""
-    rows = dealt.repartition("band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y")
+    """Plausible pairs (a, b) of different components within (bucket, x, y)."""
+    rows = dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "band", "x", "y")
 
     def compare(group: list[tuple]) -> Iterator[tuple[int, int]]:
         rep, comp, n = (np.array([g[c] for g in group], np.int64) for c in (4, 5, 6))
         rare, right = (np.array([g[c] for g in group], bool) for c in (7, 8))
-        band_keys = group[0][0] // 64 != EXACT
+        band_keys = group[0][1] // 64 != EXACT
         keys = np.array([g[9] for g in group], np.int64) if band_keys else None
-        fine = np.frombuffer(b"".join(g[10] for g in group), "<u2").reshape(len(group), -1)
-        band = group[0][0] % 64
+        band = group[0][1] % 64
+        fine = np.frombuffer(b"".join(g[10] for g in group), np.uint8).reshape(len(group), -1)
         for x in np.flatnonzero(right):
             # A pair of two rare rows is met twice; it counts on the side of the larger.
             other = np.flatnonzero(~right & (comp != comp[x]) & (~rare | (rep > rep[x])))
@@ -313,7 +344,7 @@ def _across(dealt: DataFrame, threshold: float) -> DataFrame:
                 group.append(row)
         yield send(group)
 
-    return rows.select("band", "key", "x", "y", "rep", "comp", "n", "rare", "right", "keys", "fine").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("bucket", "band", "x", "y", "rep", "comp", "n", "rare", "right", "keys", "fine").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -326,42 +357,40 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, doc_id:
         raise ValueError(f"the classes hold for thresholds of {LOWEST} and more")
     stage = Stage(docs.sparkSession, "neardup")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *carry)
-    signed = stage.save(signatures(docs, k, threshold, carry), "signatures")
+    signed = stage.save(signatures(docs, k, threshold, carry), "sketches")
 
     least = signed.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min_by(F.struct("doc_id", "n_shingles", "sketch"), "doc_id").alias("m"))
     reps = stage.save(least.select("set_hash", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("n"), F.col("m.sketch").alias("sketch")), "reps")
+    signed = stage.save(signed.drop("sketch"), "signatures")
+    stage.drop("sketches")
 
-    # One hub a bucket, the same for every HUBS-th band.
-    order = lambda rep: F.xxhash64(F.col("band") % HUBS, rep)
-    bands = _bands(reps)
-    hubs = bands.groupBy("band", "key").agg(F.min(F.struct(order("rep").alias("o"), "rep", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    hubs = stage.save(hubs.select("band", "key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"), "size"), "hubs")
-    members = bands.join(hubs, ["band", "key"]).where("rep <> hub").where(F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n"))
+    crowd = stage.save(_crowd(_bands(reps)), "crowd")
+    members = crowd.where("rep <> hub").where(F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n"))
     pairs = members.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), "cls").groupBy("a", "b").agg(F.min("cls").alias("cls"))
     first = stage.save(_register_filter(stage.save(pairs, "pairs"), reps, threshold), "first")
+    stage.drop("pairs")
 
-    crowded = bands.join(hubs.select("band", "key"), ["band", "key"]).select("rep").distinct()
     # A doc_id that several rows have is read once.
-    several = signed.groupBy(F.col("doc_id").alias("rep")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    wanted = reps.select("rep", "set_hash").join(crowded, "rep", "left_semi").join(several, "rep", "left").select("rep", "set_hash", F.col("rows").isNotNull().alias("many"))
-    found = stage.save(_texts(docs, wanted, k), "texts")
-    texts = found.where("not many").select("rep", "text").unionByName(found.where("many").groupBy("rep", "set_hash").agg(F.min("text").alias("text")).select("rep", "text"))
-    links = stage.save(verified(first, texts, k, threshold), "links")
-    stage.drop("pairs")
+    repeated = signed.groupBy(F.col("doc_id").alias("rep")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("rep")
+    repeated = repeated.join(crowd.select("rep"), "rep", "left_semi")
+    several = stage.save(_several(docs, reps.select("rep", "set_hash").join(repeated, "rep"), k), "several")
+    links = stage.save(verified(first, docs, several, k, threshold), "links")
     joined = components(links, stage, "one")
 
     # Buckets that hold several components still.
-    crowd = bands.join(hubs.select("band", "key", "size"), ["band", "key"]).join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "cls", "rep", "n", "size", F.coalesce("comp", "rep").alias("comp"))
-    crowd = stage.save(crowd, "crowd")
-    sizes = crowd.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    largest = sizes.groupBy("band", "key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"), F.sum("c").alias("all")).where("comps > 1")
-    mixed = stage.save(largest.select("band", "key", F.col("m.comp").alias("most"), (F.col("all") - F.col("m.c")).alias("n_rare")), "mixed")
-    inside = stage.save(crowd.join(mixed, ["band", "key"]).withColumn("rare", F.col("comp") != F.col("most")).drop("most"), "inside")
-    wanted = texts.join(inside.select("rep").distinct(), "rep", "left_semi")
-    fine = stage.save(_fine(wanted, k), "fine")
-    inside = inside.join(reps.select("rep", "sketch").join(fine, "rep"), "rep").withColumn("keys", F.filter("sketch", lambda s: s["cls"] == F.col("cls"))[0]["keys"])
+    crowd = crowd.select("bucket", "band", "cls", "rep", "n", "size").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "band", "cls", "rep", "n", "size", F.coalesce("comp", "rep").alias("comp"))
+    crowd = stage.save(crowd, "crowd-joined")
+    stage.drop("crowd")
+    mixed = stage.save(_mixed(crowd), "mixed")
+    inside = stage.save(crowd.join(mixed, "bucket").withColumn("rare", F.col("comp") != F.col("most")).drop("most"), "inside")
+    stage.drop("crowd-joined", "mixed")
+    wanted = inside.select("rep").distinct()
+    fine = stage.save(_fine(wanted, docs, several, k), "fine")
+    inside = inside.join(among(reps.select("rep", "sketch"), wanted, "rep").join(fine, "rep"), "rep").withColumn("keys", F.filter("sketch", lambda s: s["cls"] == F.col("cls"))[0]["keys"]).drop("sketch")
     more = stage.save(_across(_dealt(inside), threshold).join(first, ["a", "b"], "left_anti"), "more")
-    links = stage.save(links.unionByName(verified(more, texts, k, threshold)), "all-links")
+    stage.drop("inside", "fine", "first")
+    links = stage.save(links.unionByName(verified(more, docs, several, k, threshold)), "all-links")
+    stage.drop("links", "more", "several")
 
     joined = components(links, stage, "two")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
@@ -370,7 +399,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, doc_id:
     classes = stage.save(classes, "classes")
     stage.keep("signatures", "classes")
 
-    out = signed.select("doc_id", "n_shingles", "set_hash", *carry).join(classes, "set_hash", "left")
+    out = signed.join(classes, "set_hash", "left")
     comp = F.coalesce("comp", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), comp).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *carry).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -18,6 +18,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import input_bytes, spread
 
@@ -92,6 +93,25 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spread(docs.select(*columns) if columns else docs)
 
 
+#: Bits of the filter that `among` sends to all tasks (8 MB), and of a row of it.
+FILTER_BITS, PAGE_BITS = 1 << 26, 1 << 15
+
+
+def among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in wanted, and a few others: those whose hashed key is not
+    in a bitmap of bounded size are left out, so that a join by key shuffles what it needs.
+
+    No row with a wanted key is lost. Beyond some ten million keys the bitmap fills up and
+    more rows of other keys stay; an exact join follows.
+    """
+    at = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    page, bit = F.floor(at / PAGE_BITS).cast("int").alias("_page"), (at % PAGE_BITS).cast("int").alias("_bit")
+    pages = wanted.where(F.col(key).isNotNull()).select(page, bit).repartition("_page").groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.select("*", page, bit).join(F.broadcast(pages), "_page").where(F.getbit(byte, F.col("_bit") % 8) == 1)
+    return met.drop("_page", "_bit", "_bits")
+
+
 #: Bytes of input files that one shard or one hash range is meant to hold.
 SHARD_BYTES = 64 << 20
 

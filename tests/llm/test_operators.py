@@ -645,3 +645,56 @@ def test_links_at_the_threshold_by_size(spark):
         linked += holds
         assert out[i + 1] == (i if holds else i + 1)
     assert linked > 400
+
+
+def _shuffled(spark) -> int:
+    """Bytes that all stages of the session have written to shuffles."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_near_duplicates_shuffle_few_texts(spark, tmp_path):
+    """Texts that share no bucket with another are not shuffled, whatever is broadcast."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(map(str, rng.integers(1 << 30, size=4000)))) for i in range(600)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "d"))
+    before, limit = _shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in neardup.near_duplicates(spark.read.parquet(str(tmp_path / "d")), 3, 0.85).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert out == {i: (i % 1000, int(i % 1000 < 20)) for i, _ in rows}
+    assert _shuffled(spark) - before < sum(len(t) for _, t in rows) / 4
+
+
+def test_bands_are_shuffled_once_and_narrow(spark):
+    """One exchange of three numbers a band tells hubs, sizes and members."""
+    bands = spark.range(64).select((F.col("id") % 8).alias("rep"), (F.col("id") % 5).alias("bucket"), (20 * neardup.PLACES + 65 + F.col("id") % 5).alias("place"))
+    met = neardup._crowd(bands.unionByName(bands.selectExpr("rep + 100 as rep", "rep + 1000 as bucket", "place").distinct().where("rep = 100 and bucket = 1000").limit(1)))
+    rows = met.collect()
+    assert len(rows) == 64 and {r["bucket"] for r in rows} == set(range(5)) and all(r["n"] == 20 and r["cls"] == 1 and r["size"] in (12, 13) for r in rows)
+    assert all(len({r["hub"] for r in rows if r["bucket"] == b}) == 1 for b in range(5))
+    plan = neardup._crowd(bands)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_buckets_of_equal_members_are_compared_once(spark):
+    """Ten buckets of the same two unlinked rows, one of three, one of linked rows."""
+    rows = [(b, 90 - b, r, 20, r) for b in range(10) for r in (1, 2)] + [(10, 64, r, 20, r) for r in (1, 2, 3)] + [(11, 64, r, 20, 7) for r in (7, 8)]
+    mixed = neardup._mixed(spark.createDataFrame(rows, "bucket long, band int, rep long, n long, comp long")).collect()
+    assert sorted((r["bucket"], r["n_rare"]) for r in mixed) == [(9, 1), (10, 2)]
+
+
+def test_among_loses_no_wanted_key(spark):
+    from tessera.llm.staging import among
+
+    keys = spark.range(100_000).select((F.col("id") * 7919 - 50_000).alias("key"))
+    wanted = keys.where("key % 97 = 0").unionByName(keys.where("key % 97 = 0")).unionByName(spark.sql("select cast(null as bigint) as key"))
+    found = {r["key"] for r in among(keys, wanted, "key").collect()}
+    want = {r["key"] for r in wanted.collect()} - {None}
+    assert want <= found and len(found) < len(want) + 100
+    assert among(keys, wanted.where("key = 1"), "key").count() == 0
+    assert among(keys, wanted, "key").columns == ["key"]
